@@ -42,7 +42,7 @@ def fifo_durations(events: DataFrame, key: Sequence[str] = STAGE_KEY, blocks: in
         *key, (F.col("ends") - orphans_before).alias("k"), F.col("at").alias("ended"), F.col("event_id").alias("end_id")
     )
     return starts.join(ends, [*key, "k"]).select(
-        *key, "k", "start_id", "end_id", ((F.col("ended") - F.col("started")) / 1000.0).alias("duration_ms")
+        *key, "k", "start_id", "end_id", (F.col("ended") - F.col("started")).alias("duration_us")
     )
 
 
@@ -74,7 +74,9 @@ def stage_metrics(events: DataFrame, results: DataFrame | None = None, blocks: i
     the results when no event names a failure code.
     """
     counts = stage_counts(events)
-    mean = fifo_durations(events, blocks=blocks).groupBy(*STAGE_KEY).agg(F.avg("duration_ms").alias("avg_latency_ms"))
+    mean = fifo_durations(events, blocks=blocks).groupBy(*STAGE_KEY).agg(
+        (F.sum("duration_us") / F.count("*") / F.lit(1000)).alias("avg_latency_ms")
+    )
     ordered = events.withColumn("_at", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id"))
     top = top_code(ordered, STAGE_KEY, "failure_code", "_at", F.col("status") == "fail")
     stages = F.array(

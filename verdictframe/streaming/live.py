@@ -117,5 +117,5 @@ def fifo_stream(events: DataFrame, key: Sequence[str] = STAGE_KEY, label: str =
 
     _drain(rows, write, "append", folder)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", k bigint, start_id bigint, end_id bigint, duration_ms double"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", k bigint, start_id bigint, end_id bigint, duration_us bigint"
     return spark.read.schema(schema).option("basePath", f"{folder}/pairs").parquet(f"{folder}/pairs")
