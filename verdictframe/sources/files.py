@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +29,18 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def load_suite(
-    lines: DataFrame, schemas: Mapping[str, dict], line: str = "value", strict: bool = True, keys: tuple[str, ...] = ("item", "oracle")
+    lines: DataFrame,
+    schemas: Mapping[str, dict],
+    line: str = "value",
+    strict: bool = True,
+    keys: Sequence[str] = ("item", "oracle"),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Suite rows from JSON text lines. Every row needs ``keys``, and each key named in ``schemas`` must
     conform. Strict loading fails the job at the first bad row; otherwise ``problem`` tells what is wrong."""
     row = F.try_parse_json(F.col(line))
     parsed = lines.where(F.trim(F.col(line)) != "").select(
-        line, row.isNull().alias("_bad"), *[F.try_variant_get(row, f"$.{k}", "variant").alias(k) for k in keys]
+        *keep, line, row.isNull().alias("_bad"), *[F.try_variant_get(row, f"$.{k}", "variant").alias(k) for k in keys]
     )
     problem: Column = F.when(F.col("_bad"), "not_json")
     for key in keys:
@@ -57,7 +62,10 @@ RUN_RECORD = """
 
 def backfill_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Run rows from the run_record.json of every run folder; unreadable records are skipped."""
-    records = spark.read.schema(RUN_RECORD).option("mode", "DROPMALFORMED").json(f"{folder}/*/run_record.json")
+    return run_rows(spark.read.schema(RUN_RECORD).option("mode", "DROPMALFORMED").json(f"{folder}/*/run_record.json"))
+
+
+def run_rows(records: DataFrame) -> DataFrame:
     m = F.col("metrics")
     return records.where(F.col("run_id").isNotNull()).select(
         "run_id",
@@ -97,3 +105,8 @@ def version_bundle(
     )
 
 
+
+
+def prefer(first: DataFrame, second: DataFrame, key: Sequence[str]) -> DataFrame:
+    """All rows of ``first``, and rows of ``second`` for keys that ``first`` does not have."""
+    return first.unionByName(second.join(first.select(*key).distinct(), list(key), "left_anti"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verdictframe.operators.events import STAGE_KEY, fifo_durations
 from verdictframe.operators.metrics import latest_by_key
@@ -73,7 +74,7 @@ def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None,
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
 
     _drain(stream, write, mode, folder)
-    schema = stream.schema.add("batch", "bigint")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     rows = spark.read.schema(schema).option("basePath", f"{folder}/data").parquet(f"{folder}/data")
     if key is None:
         return rows.drop("batch")
