@@ -19,7 +19,15 @@ from pyspark.sql.types import ArrayType, StringType
 MAX_COMPILED = 200
 
 
+def _fields(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def _is_type(v: Column, kind: str) -> Column:
+    if kind == "object":
+        return _fields(v).isNotNull()
+    if kind == "array":
+        return F.try_variant_get(v, "$", "array<variant>").isNotNull()
     t = F.schema_of_variant(v)
     number = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
     if kind == "string":
@@ -28,10 +36,6 @@ def _is_type(v: Column, kind: str) -> Column:
         test = t == "BOOLEAN"
     elif kind == "null":
         test = t == "VOID"
-    elif kind == "object":
-        test = t.startswith("OBJECT")
-    elif kind == "array":
-        test = t.startswith("ARRAY")
     elif kind == "number":
         test = number
     elif kind == "integer":
@@ -42,6 +46,13 @@ def _is_type(v: Column, kind: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _member(v: Column, name: str) -> Column:
+    """Field of an object without building its map; names that a path cannot quote use the map."""
+    if re.fullmatch(r"[^\"'\\\[\]]+", name):
+        return F.try_variant_get(v, f'$["{name}"]', "variant")
+    return F.try_element_at(_fields(v), F.lit(name))
+
+
 def _text(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
@@ -87,17 +98,19 @@ def _collect(schema: Mapping[str, object], v: Column, path: str) -> list[tuple[C
             add(is_array & F.exists(array, lambda e: _any_violated(schema["items"], e)), "items")
 
     if {"required", "properties", "additionalProperties"} & schema.keys():
-        fields = F.try_variant_get(v, "$", "map<string,variant>")
-        is_object = _is_type(v, "object")
+        fields = _fields(v)
+        is_object = fields.isNotNull()
         for name in schema.get("required", []):
-            add(is_object & ~F.map_contains_key(fields, name), f"required {name}")
+            add(is_object & _member(v, name).isNull(), f"required {name}")
         known = schema.get("properties", {})
         if schema.get("additionalProperties") is False:
-            names = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
-            add(is_object & (F.size(F.array_except(F.map_keys(fields), names)) > 0), "additionalProperties")
+            present = F.lit(0)
+            for name in known:
+                present = present + _member(v, name).isNotNull().cast("int")
+            add(is_object & (F.size(fields) > present), "additionalProperties")
         for name in sorted(known):
             if isinstance(known[name], Mapping) and known[name]:
-                checks += _collect(known[name], F.try_element_at(fields, F.lit(name)), f"{path}.{name}")
+                checks += _collect(known[name], _member(v, name), f"{path}.{name}")
     return checks
 
 
@@ -108,10 +121,22 @@ def _any_violated(schema: Mapping[str, object], v: Column) -> Column:
     return out
 
 
+def violated(schema: Mapping[str, object], v: Column) -> Column:
+    """True when the value breaks the schema. Plain boolean code, much cheaper than the messages."""
+    return _any_violated(schema, v)
+
+
+def _no_messages() -> Column:
+    return F.array().cast("array<string>")
+
+
 def violations(schema: Mapping[str, object], v: Column, limit: int | None = None) -> Column:
     """Array of messages, in path order; empty when the value conforms."""
     checks = _collect(schema, v, "$")
-    found = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks])) if checks else F.array().cast("array<string>")
+    if not checks:
+        return _no_messages()
+    listed = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))
+    found = F.when(_any_violated(schema, v), listed).otherwise(_no_messages())
     return F.slice(found, 1, limit) if limit else found
 
 
@@ -199,7 +224,7 @@ def violations_by_schema(
     if len(schemas) > MAX_COMPILED:
         out = _violations_by_row(F.col(schema_col), F.to_json(value))
     else:
-        out = F.array().cast("array<string>")
+        out = _no_messages()
         for text in schemas:
             out = F.when(F.col(schema_col) == text, violations(json.loads(text), value)).otherwise(out)
     return F.slice(out, 1, limit) if limit else out

@@ -31,10 +31,11 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k:
 
 def cluster_counts(results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = KEYS, idx: str = "idx") -> DataFrame:
     """Count, first id and last id of every failure cluster. Error types other than PASS are failures."""
-    failed = results.where((F.col("error_type") != "") & (F.col("error_type") != "PASS"))
-    return failed.groupBy(*by, *keys).agg(
-        F.count("*").alias("n"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx")
-    )
+    failed = (F.col("error_type") != "") & (F.col("error_type") != "PASS")
+    # filtered on the count: a filter on the key would move below and score every response twice
+    return results.groupBy(*by, *keys).agg(
+        F.count_if(failed).alias("n"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx")
+    ).where(F.col("n") > 0)
 
 
 def failure_clusters(
@@ -74,6 +75,8 @@ def failure_clusters(
 def cluster_members(results: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long table (cluster, item): the members of the given clusters, however many they are."""
     names = clusters.select(*by, *KEYS, "cluster_id")
+    if not by:
+        names = F.broadcast(names)  # at most the number of clusters that are reported
     failed = results.where((F.col("error_type") != "") & (F.col("error_type") != "PASS"))
     return failed.join(names, [*by, *KEYS]).select(*by, "cluster_id", "idx", "item_id")
 

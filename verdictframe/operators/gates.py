@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdictframe.functions import rules
 from verdictframe.functions.decide import lookup
 from verdictframe.functions.hashing import dedup_fingerprint
-from verdictframe.functions.schema import violations
+from verdictframe.functions.schema import violated, violations
 from verdictframe.functions.text import contains_any, instruction_header
 from verdictframe.operators.ordered import attach, id_blocks, running_rank
 from verdictframe.session import materialize
@@ -63,9 +63,9 @@ def schema_messages(columns: Sequence[str], schema: dict = ITEM_SCHEMA, limit: i
 
 def item_violations() -> Column:
     """True where the typed item columns break the item or the oracle schema."""
-    item = schema_messages(list(ITEM_SCHEMA["properties"]))
-    oracle = schema_messages(list(ORACLE_SCHEMA["properties"]), ORACLE_SCHEMA)
-    return F.size(F.concat(item, oracle)) > 0
+    item = as_variant(list(ITEM_SCHEMA["properties"]))
+    oracle = as_variant(list(ORACLE_SCHEMA["properties"]))
+    return violated(ITEM_SCHEMA, item) | violated(ORACLE_SCHEMA, oracle)
 
 
 # --- semantic rules; each is True where the item fails -------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdictframe.functions import rules
 from verdictframe.functions.decide import applicable_methods, lookup, pick_by_priority
 from verdictframe.functions.text import extract_email, extract_name
+from verdictframe.operators.ordered import attach
 
 # (task type, scenario, source text, instruction); {email} {name} {decoy} {a} {b} {c} are filled in
 TEMPLATES = [
@@ -159,9 +160,12 @@ def expected_answers(items: DataFrame) -> DataFrame:
 def ground_items(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Complete items by their source policy: a page's text, an image description, or as they are.
 
-    ``items`` has source_policy, page_id and prompt; ``pages`` page_id, url and content, one row per page.
+    ``items`` has its id first, then source_policy, page_id and prompt; ``pages`` page_id, url and content, one row per page.
     """
-    known = items.join(pages, "page_id", "left")
+    used = items.groupBy("page_id").agg(F.count("*").alias("_used"))
+    key = items.columns[0]
+    # one page may ground a third of all items
+    known = attach(items, pages.join(used, "page_id"), ["page_id"], key, "_used", hot_rows=100_000)
     policy = F.col("source_policy")
     content = F.coalesce("content", F.lit(""))
     web = F.concat_ws("\n", F.lit(INSTRUCTION), F.concat(F.lit("Context: "), content), F.concat(F.lit("Question: "), "prompt"))

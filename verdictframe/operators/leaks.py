@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.operators.ordered import attach
 from verdictframe.session import materialize
 
 WORDS = 3
 CHARS = 3  # needles without inner words: runs of 3, 2 or 1 characters
-MAX_BROADCAST_ANCHORS = 200_000
+MAX_BROADCAST = 200_000  # anchors and needles, both counted first
 SALTS = 32
 
 
@@ -80,22 +81,23 @@ def contained_texts(
     candidates = pairs[0]
     for more in pairs[1:]:
         candidates = candidates.unionByName(more)
-    checked = candidates.join(source, needle_id).join(texts, doc_id)
+    candidates = materialize(candidates, "candidates")
+    per_needle = candidates.groupBy(needle_id).agg(F.count("*").alias("_copies"))
+    named = attach(candidates, source.join(per_needle, needle_id), [needle_id], doc_id, "_copies")
+    checked = named.join(texts, doc_id)
     return checked.where(F.contains(F.lower("_text"), F.lower("_needle"))).select(doc_id, needle_id)
 
 
 def _candidates(grams: DataFrame, anchored: DataFrame, doc_id: str, needle_id: str) -> DataFrame:
     """Docs holding the rarest anchor of a needle. Only hashes and ids are shuffled."""
+    sizes = anchored.agg(F.count_distinct("_anchor").alias("a"), F.count_distinct(needle_id).alias("n")).first()
+    small = max(sizes["a"], sizes["n"]) <= MAX_BROADCAST
     wanted = anchored.select("_anchor").distinct()
-    small = wanted.count() <= MAX_BROADCAST_ANCHORS
     if small:
         hits = grams.join(F.broadcast(wanted), "_anchor")
     else:
         # a gram that a third of all docs share is spread over SALTS tasks
-        salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = grams.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(
-            salted, ["_anchor", "_salt"]
-        ).drop("_salt")
+        hits = _salted(grams, wanted, doc_id)
     found = materialize(hits, "hits")
     counts = found.groupBy("_anchor").agg(F.count("*").alias("_n"))
     rarest = (
@@ -103,10 +105,11 @@ def _candidates(grams: DataFrame, anchored: DataFrame, doc_id: str, needle_id: s
         .groupBy(needle_id)
         .agg(F.min_by("_anchor", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_anchor")).alias("_anchor"))
     )
-    if small:
-        # no more rows than the anchors counted above
-        return found.join(F.broadcast(rarest), "_anchor").select(doc_id, needle_id)
-    salted = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return found.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(
-        salted, ["_anchor", "_salt"]
-    ).select(doc_id, needle_id)
+    chosen = found.join(F.broadcast(rarest), "_anchor") if small else _salted(found, rarest, doc_id)
+    return chosen.select(doc_id, needle_id)
+
+
+def _salted(rows: DataFrame, lookup: DataFrame, spread_by: str) -> DataFrame:
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return salted.join(repeated, ["_anchor", "_salt"]).drop("_salt")

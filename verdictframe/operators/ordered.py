@@ -127,22 +127,23 @@ def attach(
 ) -> DataFrame:
     """Left-join ``lookup`` (one row per key) to ``rows`` when a few keys may own most rows.
 
-    ``lookup[copies]`` tells how many rows share a key. At most ``max_hot`` of the largest keys are
-    broadcast; their rows are spread by ``spread_by`` in the shuffle that joins all other keys.
+    ``lookup[copies]`` tells how many rows share a key. The largest keys are salted: their rows are
+    spread by ``spread_by`` over ``copies / hot_rows`` tasks and their lookup row is repeated for each.
+    Only keys and salt counts of at most ``max_hot`` keys are broadcast; all others join as they are.
     """
-    values = [c for c in lookup.columns if c not in keys]
     hot = (
         lookup.where(F.col(copies) > hot_rows)
         .orderBy(F.col(copies).desc(), *keys)
         .limit(max_hot)
-        .select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values])
+        .select(*keys, F.ceil(F.col(copies) / hot_rows).cast("int").alias("_salts"))
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    salted_rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), salts.cast("bigint")).cast("int")
     )
-    marked = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt",
-        F.when(F.col(f"_hot_{copies}").isNotNull(), 1 + F.pmod(F.xxhash64(spread_by), F.lit(1 << 20))).otherwise(
-            F.lit(0).cast("bigint")
-        ),
+    salted_lookup = lookup.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    cold = lookup.withColumn("_salt", F.lit(0).cast("bigint"))
-    joined = marked.join(cold, [*keys, "_salt"], "left")
-    return joined.select(*rows.columns, *[F.coalesce(f"_hot_{v}", v).alias(v) for v in values])
+    values = [c for c in lookup.columns if c not in keys]
+    joined = salted_rows.join(salted_lookup.drop("_salts"), [*keys, "_salt"], "left")
+    return joined.select(*rows.columns, *values)

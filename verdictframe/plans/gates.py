@@ -14,6 +14,7 @@ from verdictframe.operators.metrics import duplicate_audit
 from verdictframe.plans.registry import query
 from verdictframe.plans.scalars import sql_case, sql_text
 from verdictframe.plans.views import table, view
+from verdictframe.session import spread
 
 ALLOWED_TAGS = ["en", "fr", "de"]
 ALLOWED_TASKS = ["json_extract_email", "json_classify_sentiment", "trajectory_email_then_answer"]
@@ -52,7 +53,7 @@ SQL = {
 
 def gate_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose prompts carry taste words now and then."""
-    items = view(spark, sf, "v_items")
+    items = view(spark, sf, "v_items", wide=True)
     lead = (
         F.when(F.col("idx") % 14 == 5, "In your opinion WHICH one? ")
         .when(F.col("idx") % 12 == 7, "Pick the BEST option. ")
@@ -120,7 +121,7 @@ def with_fp(items: DataFrame) -> DataFrame:
 def copies(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose fingerprint ignores the blueprint, so that copied documents collide."""
     fp = dedup_fingerprint("prompt", F.lit("any"), "difficulty")
-    return view(spark, sf, "v_items").select("idx", F.lit("any").alias("task_type"), "difficulty", fp.alias("fp"))
+    return view(spark, sf, "v_items", wide=True).select("idx", F.lit("any").alias("task_type"), "difficulty", fp.alias("fp"))
 
 
 COPIES_SQL = r"""
@@ -208,7 +209,7 @@ def locked_field_drift(spark: SparkSession, sf: str) -> DataFrame:
 @query("leak_corpus_scan", """
     SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))""")
 def leak_corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return contained_texts(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return contained_texts(spread(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
 
 
 @query("duplicate_audit", f"""

@@ -11,6 +11,7 @@ from verdictframe.operators import generate, planning
 from verdictframe.plans.registry import query
 from verdictframe.plans.scalars import _BRIEFS, _FAMILY_PICK, _FAMILY_NAMES, _tag_sql, sql_case, sql_text
 from verdictframe.plans.views import table, view
+from verdictframe.session import spread
 
 ALLOCATE = """
     t0 AS (SELECT *, greatest(1, quota_weight) AS w FROM v_targets),
@@ -121,7 +122,7 @@ _RESOLVE_SQL = (
     SELECT d.doc_id, coalesce(string_agg(family, ',' ORDER BY pos), '') AS families
     FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id AND rn <= 3 GROUP BY d.doc_id""")
 def resolve_tags(spark: SparkSession, sf: str) -> DataFrame:
-    briefs = table(spark, sf, "documents").select("doc_id", rule_tags(F.expr(_BRIEFS)).alias("tags"))
+    briefs = spread(table(spark, sf, "documents")).select("doc_id", rule_tags(F.expr(_BRIEFS)).alias("tags"))
     return briefs.select("doc_id", F.array_join(planning.resolve_tags(F.col("tags"), 3), ",").alias("families"))
 
 

@@ -9,6 +9,7 @@ from verdictframe.functions import decide, hashing, rules, text
 from verdictframe.operators import rubric, trajectory
 from verdictframe.plans.registry import query
 from verdictframe.plans.views import table, view
+from verdictframe.session import spread
 
 
 def sql_text(value: str) -> str:
@@ -100,7 +101,7 @@ def field_normalizers(spark: SparkSession, sf: str) -> DataFrame:
 @query("extract_email", rf"""
     SELECT doc_id, coalesce(regexp_extract(text, '{rules.EMAIL_PATTERN}', 0), '') AS email FROM documents""")
 def extract_email(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.extract_email("text").alias("email"))
+    return spread(table(spark, sf, "documents")).select("doc_id", text.extract_email("text").alias("email"))
 
 
 _CONTACT = "'Please contact ' || lower(c_mktsegment) || CASE WHEN c_custkey % 4 = 0 THEN ' on ' ELSE ' at  ' END || c_name"
@@ -318,7 +319,7 @@ def _tag_sql() -> str:
     SELECT d.doc_id, coalesce(string_agg(tag, ',' ORDER BY pos), '') AS tags
     FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
 def rule_tagging(spark: SparkSession, sf: str) -> DataFrame:
-    briefs = table(spark, sf, "documents").select("doc_id", F.expr(_BRIEFS).alias("brief"))
+    briefs = spread(table(spark, sf, "documents")).select("doc_id", F.expr(_BRIEFS).alias("brief"))
     return briefs.select("doc_id", F.array_join(text.rule_tags("brief"), ",").alias("tags"))
 
 
@@ -336,7 +337,7 @@ def rule_tagging(spark: SparkSession, sf: str) -> DataFrame:
            CAST(greatest(1, least(10000, coalesce(n, 12))) AS BIGINT) AS batch_size
     FROM n""")
 def text_first_match(spark: SparkSession, sf: str) -> DataFrame:
-    briefs = table(spark, sf, "documents").select("doc_id", F.expr(_BRIEFS).alias("brief"))
+    briefs = spread(table(spark, sf, "documents")).select("doc_id", F.expr(_BRIEFS).alias("brief"))
     return briefs.select(
         "doc_id",
         text.objective("brief").alias("objective"),
@@ -359,7 +360,7 @@ _FENCED = (
 def extract_json_block(spark: SparkSession, sf: str) -> DataFrame:
     from verdictframe.functions.jsonblock import extract_json_block as block
 
-    return table(spark, sf, "documents").select("doc_id", block(F.expr(_FENCED)).alias("block"))
+    return spread(table(spark, sf, "documents")).select("doc_id", block(F.expr(_FENCED)).alias("block"))
 
 
 @query("run_status", """

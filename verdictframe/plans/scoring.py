@@ -10,6 +10,7 @@ from verdictframe.operators.rubric import accept_mean, judge_evidence, rubric_ou
 from verdictframe.plans.registry import query
 from verdictframe.plans.scalars import sql_text
 from verdictframe.plans.views import CLOSED_ANSWER, OPEN_ANSWER, table, view
+from verdictframe.session import spread
 
 # code of each addition response, with DuckDB's own JSON functions
 MATH_CODES = """
@@ -22,7 +23,7 @@ MATH_CODES = """
 
 
 def score_math(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "v_math").withColumn("output_schema", F.lit(CLOSED_ANSWER))
+    rows = view(spark, sf, "v_math", wide=True).withColumn("output_schema", F.lit(CLOSED_ANSWER))
     checked = scoring.schema_check(rows, schemas=[CLOSED_ANSWER])
     answer = F.try_variant_get("parsed", "$.answer", "bigint")
     result = scoring.math_sum(F.col("a"), F.col("b"), F.col("c"), answer)
@@ -73,7 +74,7 @@ def math_failure_report(spark: SparkSession, sf: str) -> DataFrame:
     FROM v_math""", ("v_math",))
 def verify_schema(spark: SparkSession, sf: str) -> DataFrame:
     even = F.col("l_linenumber") % 2 == 0
-    rows = view(spark, sf, "v_math").withColumn("output_schema", F.when(even, OPEN_ANSWER).otherwise(CLOSED_ANSWER))
+    rows = view(spark, sf, "v_math", wide=True).withColumn("output_schema", F.when(even, OPEN_ANSWER).otherwise(CLOSED_ANSWER))
     checked = scoring.schema_check(rows, schemas=[CLOSED_ANSWER, OPEN_ANSWER])
     return checked.select(
         "l_orderkey", "l_linenumber", "a", "b", "schema_error",
@@ -98,7 +99,7 @@ def verify_exact(spark: SparkSession, sf: str) -> DataFrame:
            CASE WHEN idx % 7 = 0 THEN 'segment' WHEN idx % 11 = 0 THEN '' WHEN idx % 5 = 0 THEN 'name' ELSE '' END AS field
     FROM v_structured""", ("v_structured",))
 def verify_structured(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "v_structured")
+    rows = view(spark, sf, "v_structured", wide=True)
     expected = F.parse_json(F.to_json(F.struct(F.col("exp_name").alias("name"), F.col("exp_segment").alias("segment"))))
     config = F.parse_json(F.lit('{"field_normalize":{"name":"strip","segment":"strip_lower"}}'))
     row = {"input": F.lit(None), "parsed": scoring.parse("raw_output"), "expected": expected, "config": config,
@@ -147,7 +148,7 @@ def verify_unknown_checker(spark: SparkSession, sf: str) -> DataFrame:
         "rules": F.lit(None).cast("array<struct<from:string,to:string>>"),
     }
     out = scoring.programmatic_check(name, row)
-    return view(spark, sf, "v_math").select("l_orderkey", "l_linenumber", "a", "b", out["code"].alias("code"))
+    return view(spark, sf, "v_math", wide=True).select("l_orderkey", "l_linenumber", "a", "b", out["code"].alias("code"))
 
 
 # --- trajectories --------------------------------------------------------------------------------------
@@ -236,7 +237,7 @@ def row_traces(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 8 == 0, F.array(search))
         .otherwise(F.array(search, answer))
     )
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         "event_id", k.alias("k"), "event_type", F.concat(F.lit('{"k":'), k, F.lit("}")).alias("raw_output"),
         trace.alias("tool_trace"),
     )
@@ -367,13 +368,13 @@ def mixed_responses(spark: SparkSession, sf: str) -> DataFrame:
         return df.select(*[columns.get(n, trace if n == "tool_trace" else text).alias(n) for n in names])
 
     math = rows(
-        view(spark, sf, "v_math"),
+        view(spark, sf, "v_math", wide=True),
         item_id=F.concat(F.lit("m"), F.concat_ws("_", "l_orderkey", "l_linenumber", "a", "b")),
         eval_method=F.lit("programmatic_check"), output_schema=F.lit(CLOSED_ANSWER), raw_output=F.col("raw_output"),
         input=F.to_json(F.struct("a", "b", "c")),
     )
     structured = rows(
-        view(spark, sf, "v_structured"),
+        view(spark, sf, "v_structured", wide=True),
         item_id=F.concat(F.lit("s"), "idx"),
         eval_method=F.lit("programmatic_check"), output_schema=F.lit(ANY_OBJECT), raw_output=F.col("raw_output"),
         checker_name=F.lit("structured_extraction_v1"),
@@ -438,7 +439,7 @@ def expectation_check(spark: SparkSession, sf: str) -> DataFrame:
            WHEN idx % 11 = 0 THEN 'STRUCTURED_EXTRA_FIELD_PRESENT' WHEN idx % 5 = 0 THEN 'STRUCTURED_FIELD_VALUE_MISMATCH'
            ELSE '' END AS evidence_code FROM v_structured""", ("v_structured",))
 def replay_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "v_structured")
+    rows = view(spark, sf, "v_structured", wide=True)
     expected = F.to_json(F.struct(F.col("exp_name").alias("name"), F.col("exp_segment").alias("segment")))
     responses = rows.select(
         F.col("idx").alias("item_id"), "raw_output", F.lit("programmatic_check").alias("eval_method"),

@@ -36,10 +36,10 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     return live.run_to_table(live.progress(event_stream(spark, sf)), "update", ["run_id"], "progress")
 
 
-@query("stream_dedup", "SELECT count(DISTINCT user_id) AS n, CAST(sum(DISTINCT user_id) AS BIGINT) AS ids FROM events")
+@query("stream_dedup", "SELECT user_id AS run_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    kept = live.run_to_table(live.first_seen(event_stream(spark, sf), "run_id"), "append", label="dedup")
-    return kept.agg(F.count("*").alias("n"), F.sum("run_id").alias("ids"))
+    rows = event_stream(spark, sf).select("run_id", "event_id")
+    return live.first_seen(rows, "run_id", "event_id").select("run_id", "event_id")
 
 
 @query("stream_fifo", f"WITH {FIFO} SELECT run_id, stage, start_id, end_id, duration_us FROM fifo", ("v_stage_events",))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdictframe.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -184,8 +186,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(_text(name, "spark", sf_dir.rstrip("/")))
+def view(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A derived table; ``wide`` spreads small scans over all cores before heavy per-row work."""
+    text = _text(name, "spark", sf_dir.rstrip("/"))
+    if wide:
+        for source in TABLES:
+            path = f"parquet.`{sf_dir.rstrip('/')}/{source}.parquet`"
+            if path in text:
+                alias = f"wide_{source}_{abs(hash(path))}"
+                spread(table(spark, sf_dir, source)).createOrReplaceTempView(alias)
+                text = text.replace(path, alias)
+    return spark.sql(text)
 
 
 def duckdb_with(uses: tuple[str, ...], sql: str) -> str:
