@@ -26,7 +26,8 @@ MAX_CLUSTERS = 10
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every group. Spark cuts each group to ``k`` rows before it shuffles."""
     window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    top = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    return top.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def cluster_counts(results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = KEYS, idx: str = "idx") -> DataFrame:
@@ -53,7 +54,7 @@ def failure_clusters(
         ranked = ranked.join(totals, list(by))
     else:
         best = counts.orderBy(*order).limit(limit)
-        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
         ranked = ranked.withColumn("total", results.select(F.count("*")).scalar())
     cause = root_cause("error_type", "evidence_code", "task_type")
     tier = blast_tier("n", "total")

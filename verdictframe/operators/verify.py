@@ -38,10 +38,8 @@ def verify(
     are parsed here, once). Adds verdict, score, error_type, evidence_code, message and the
     verification_ladder; a scorer that cannot read a row fails that row, never the job.
     """
-    df = responses
-    for name, kind in OPTIONAL.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
+    given = responses.columns
+    df = responses.select("*", *[F.lit(None).cast(kind).alias(n) for n, kind in OPTIONAL.items() if n not in given])
     df = scoring.schema_check(df, schemas=schemas)
     df = df.select(
         "*",

@@ -15,7 +15,7 @@ JOINED = """
     j AS (SELECT r.idx, r.item_id, r.run_id, r.verdict, r.latency_ms, i.task_type, i.difficulty, i.tag1, i.tag2, o.eval_method
           FROM v_results r JOIN v_result_items i ON r.item_id = i.item_id JOIN v_result_oracles o ON r.item_id = o.item_id)"""
 JOIN_VIEWS = ("v_results", "v_result_items", "v_result_oracles")
-_RATES = "count(*) AS n, count_if(verdict = 'pass') AS n_pass, round(count_if(verdict = 'pass') / count(*), 4) AS pass_rate"
+_RATES = "count(*) AS n, count(*) FILTER (WHERE verdict = 'pass') AS n_pass, round(count(*) FILTER (WHERE verdict = 'pass') / count(*), 4) AS pass_rate"
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,15 +72,15 @@ def latency_round(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("qa_throughput", """
-    SELECT count_if(stage = 'GENERATE_ITEM' AND status = 'start') AS attempted, count_if(stage = 'VERIFY' AND status = 'ok') AS evaluated,
-           count_if(stage = 'QA_GATE' AND status = 'fail' AND failure_code <> 'DISTRIBUTION_MISMATCH') AS aborted FROM v_run_events""",
+    SELECT count(*) FILTER (WHERE stage = 'GENERATE_ITEM' AND status = 'start') AS attempted, count(*) FILTER (WHERE stage = 'VERIFY' AND status = 'ok') AS evaluated,
+           count(*) FILTER (WHERE stage = 'QA_GATE' AND status = 'fail' AND failure_code <> 'DISTRIBUTION_MISMATCH') AS aborted FROM v_run_events""",
        ("v_run_events",))
 def qa_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.qa_throughput(view(spark, sf, "v_run_events"))
 
 
 @query("run_metrics", """
-    SELECT run_id, count(*) AS items_total, count_if(verdict = 'pass') AS eval_passed, count_if(verdict = 'fail') AS failures_total
+    SELECT run_id, count(*) AS items_total, count(*) FILTER (WHERE verdict = 'pass') AS eval_passed, count(*) FILTER (WHERE verdict = 'fail') AS failures_total
     FROM v_results GROUP BY run_id""", ("v_results",))
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.run_metrics(view(spark, sf, "v_results"), ["run_id"])
@@ -139,7 +139,7 @@ def topk_clusters(spark: SparkSession, sf: str) -> DataFrame:
            CASE WHEN f.user_id IS NULL THEN 4 ELSE CASE WHEN n / total >= 0.3 OR n >= 10 THEN 1
                 WHEN n / total >= 0.1 OR n >= 3 THEN 2 ELSE 3 END END AS priority,
            CASE WHEN f.user_id IS NULL THEN 0 ELSE n END AS n
-    FROM (SELECT user_id, count(*) AS total, count_if(event_type = 'error' AND value > 25) AS n FROM events GROUP BY user_id) e
+    FROM (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error' AND value > 25) AS n FROM events GROUP BY user_id) e
     LEFT JOIN f USING (user_id)""")
 def pass_cluster(spark: SparkSession, sf: str) -> DataFrame:
     failed = (F.col("event_type") == "error") & (F.col("value") > 25)
@@ -277,8 +277,8 @@ def duplicate_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("regression_gate", """
     WITH g AS (SELECT user_id % 200 AS suite, value < 90 AS ok, event_type, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
-    SELECT suite, count(*) AS n, round(count_if(ok) / count(*), 6) AS pass_rate, count_if(NOT ok AND k % 9 = 0) AS critical_hits,
-           count_if(ok) / count(*) >= 0.95 AND count_if(NOT ok AND k % 9 = 0) = 0 AS passed FROM g GROUP BY suite""")
+    SELECT suite, count(*) AS n, round(count(*) FILTER (WHERE ok) / count(*), 6) AS pass_rate, count(*) FILTER (WHERE NOT ok AND k % 9 = 0) AS critical_hits,
+           count(*) FILTER (WHERE ok) / count(*) >= 0.95 AND count(*) FILTER (WHERE NOT ok AND k % 9 = 0) = 0 AS passed FROM g GROUP BY suite""")
 def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.col("value") < 90
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -299,7 +299,7 @@ def critical_intersect(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gate_composite", """
     WITH s AS (SELECT run_id, bool_and(verdict = 'pass' OR error_type = 'EXACT_MATCH_FAILED') AS scenarios_met,
-                  count_if(verdict = 'pass') / count(*) AS rate, count_if(error_type = 'TRAJECTORY_CHECK_FAILED') AS hits FROM v_results GROUP BY run_id)
+                  count(*) FILTER (WHERE verdict = 'pass') / count(*) AS rate, count(*) FILTER (WHERE error_type = 'TRAJECTORY_CHECK_FAILED') AS hits FROM v_results GROUP BY run_id)
     SELECT run_id, scenarios_met, rate >= 0.5 AND hits = 0 AS regression_passed, scenarios_met AND rate >= 0.5 AND hits = 0 AS passed FROM s""",
        ("v_results",))
 def gate_composite(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ ALLOCATE = """
               greatest(0, max_count - min_count) AS cap FROM t0, tt),
     a2 AS (SELECT *, least(CAST(floor(ideal) AS BIGINT), cap) AS fl FROM a1),
     a3 AS (SELECT *, min_count + fl < max_count AS room, rem - sum(fl) OVER () AS r FROM a2),
-    a4 AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY ideal - fl DESC, idx) AS rn, count_if(room) OVER () AS rooms FROM a3),
+    a4 AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY ideal - fl DESC, idx) AS rn, count(*) FILTER (WHERE room) OVER () AS rooms FROM a3),
     a5 AS (SELECT *, min_count + fl + CASE WHEN room AND rn <= r THEN 1 ELSE 0 END AS c2, greatest(0, r - rooms) AS rest FROM a4),
     a6 AS (SELECT *, greatest(0, max_count - c2) AS space FROM a5),
     a7 AS (SELECT *, sum(space) OVER (ORDER BY idx) AS run FROM a6),
@@ -208,7 +208,7 @@ def plan_critic(spark: SparkSession, sf: str) -> DataFrame:
     WITH i AS (SELECT item_id, count(*) AS n FROM v_result_items GROUP BY item_id), o AS (SELECT item_id, count(*) AS n FROM v_result_oracles GROUP BY item_id),
     r AS (SELECT item_id, count(*) AS n FROM (SELECT item_id FROM v_results UNION ALL SELECT item_id FROM v_results WHERE idx % 10 = 3) GROUP BY item_id)
     SELECT i.item_id IS NOT NULL AS has_item, o.item_id IS NOT NULL AS has_oracle, r.item_id IS NOT NULL AS has_result, count(*) AS n_ids,
-           count_if(greatest(coalesce(i.n, 0), coalesce(o.n, 0), coalesce(r.n, 0)) > 1) AS n_repeated
+           count(*) FILTER (WHERE greatest(coalesce(i.n, 0), coalesce(o.n, 0), coalesce(r.n, 0)) > 1) AS n_repeated
     FROM i FULL JOIN o ON i.item_id = o.item_id FULL JOIN r ON coalesce(i.item_id, o.item_id) = r.item_id GROUP BY ALL""",
        ("v_results", "v_result_items", "v_result_oracles"))
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:

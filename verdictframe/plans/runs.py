@@ -43,7 +43,7 @@ _STAGE_VALUES = ", ".join(f"({i}, {sql_text(a)}, {sql_text(s)}, {sql_text(label)
 @query("stage_metrics", f"""
     WITH {FIFO},
     d AS (SELECT run_id, stage, sum(duration_us) / count(*) / 1000 AS avg_latency_ms FROM fifo GROUP BY ALL),
-    n AS (SELECT run_id, stage, count_if(status = 'start') AS starts, count_if(status = 'ok') AS ok, count_if(status = 'fail') AS fail
+    n AS (SELECT run_id, stage, count(*) FILTER (WHERE status = 'start') AS starts, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'fail') AS fail
           FROM v_stage_events GROUP BY ALL),
     fc AS (SELECT run_id, stage, failure_code, count(*) AS n, min((ts, event_id)) AS first_at FROM v_stage_events
            WHERE status = 'fail' AND failure_code <> '' GROUP BY ALL),
@@ -59,9 +59,9 @@ def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FLAGS = """
-    g AS (SELECT run_id, count_if(stage = 'GENERATE_ITEM' AND status = 'start') AS gen, count_if(stage = 'QA_GATE' AND status = 'fail') AS qa,
-             count_if(stage = 'RUN_MODEL' AND status = 'start') AS model_starts, count_if(stage = 'RUN_MODEL') AS model,
-             count_if(stage = 'VERIFY') AS verify, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us
+    g AS (SELECT run_id, count(*) FILTER (WHERE stage = 'GENERATE_ITEM' AND status = 'start') AS gen, count(*) FILTER (WHERE stage = 'QA_GATE' AND status = 'fail') AS qa,
+             count(*) FILTER (WHERE stage = 'RUN_MODEL' AND status = 'start') AS model_starts, count(*) FILTER (WHERE stage = 'RUN_MODEL') AS model,
+             count(*) FILTER (WHERE stage = 'VERIFY') AS verify, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us
           FROM v_run_events GROUP BY run_id)"""
 
 
@@ -75,7 +75,7 @@ def blocked_runs(spark: SparkSession, sf: str) -> DataFrame:
     st AS (SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 0 ELSE items_total END AS items_total,
               CASE WHEN run_id % 2 = 0 THEN 0 ELSE eval_passed END AS eval_passed,
               CASE WHEN run_id % 2 = 0 THEN 0 ELSE failures_total END AS failures_total FROM v_runs WHERE run_id % 3 <> 0),
-    rs AS (SELECT l_orderkey AS run_id, count(*) AS n, count_if(l_returnflag <> 'R') AS p FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey),
+    rs AS (SELECT l_orderkey AS run_id, count(*) AS n, count(*) FILTER (WHERE l_returnflag <> 'R') AS p FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey),
     a AS (SELECT coalesce(st.run_id, g.run_id, rs.run_id) AS run_id, coalesce(items_total, 0) AS i, coalesce(eval_passed, 0) AS e,
              coalesce(failures_total, 0) AS f, g.* EXCLUDE (run_id), n, p
           FROM st FULL JOIN g ON st.run_id = g.run_id FULL JOIN rs ON coalesce(st.run_id, g.run_id) = rs.run_id),
@@ -142,7 +142,7 @@ def cluster_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("release_decision", f"""
     WITH {_PREV}, {_DIFF},
-    n AS (SELECT run_id, count_if(change = 'recovered') AS rec, count_if(change = 'introduced') AS intro FROM diff GROUP BY run_id),
+    n AS (SELECT run_id, count(*) FILTER (WHERE change = 'recovered') AS rec, count(*) FILTER (WHERE change = 'introduced') AS intro FROM diff GROUP BY run_id),
     x AS (SELECT p.*, coalesce(rec, 0) AS rec, coalesce(intro, 0) AS intro,
              CASE WHEN items_total > 0 THEN eval_passed / items_total ELSE 0 END AS rate,
              CASE WHEN prev_items > 0 THEN prev_passed / prev_items ELSE 0 END AS prev_rate FROM p LEFT JOIN n USING (run_id))

@@ -85,7 +85,7 @@ def runs_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("runs_backfill", """
-    SELECT run_id, 'set_' || run_id AS dataset_name, count(*) AS items_total, count_if(verdict = 'pass') AS eval_passed
+    SELECT run_id, 'set_' || run_id AS dataset_name, count(*) AS items_total, count(*) FILTER (WHERE verdict = 'pass') AS eval_passed
     FROM v_results GROUP BY run_id""", ("v_results",))
 def runs_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """One folder per run with its record as JSON, and broken records beside them."""

@@ -23,7 +23,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_stage_counts", """
-    SELECT run_id, stage, count_if(status = 'start') AS starts, count_if(status = 'ok') AS ok, count_if(status = 'fail') AS fail
+    SELECT run_id, stage, count(*) FILTER (WHERE status = 'start') AS starts, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'fail') AS fail
     FROM v_stage_events GROUP BY ALL""", ("v_stage_events",))
 def stream_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
     return live.run_to_table(live.stage_counters(event_stream(spark, sf)), "update", ["run_id", "stage"], "counts")
@@ -48,7 +48,7 @@ def stream_fifo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_failure_rate", """
-    SELECT epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n_ended, count_if(status = 'fail') AS n_failed
+    SELECT epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n_ended, count(*) FILTER (WHERE status = 'fail') AS n_failed
     FROM v_stage_events WHERE status <> 'start' GROUP BY ALL""", ("v_stage_events",))
 def stream_failure_rate(spark: SparkSession, sf: str) -> DataFrame:
     rates = live.run_to_table(live.failure_rate(event_stream(spark, sf)), "update", ["window_start"], "rate")
