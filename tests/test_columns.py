@@ -88,6 +88,15 @@ def test_judges(spark):
         assert (r["verdict"], round(r["score"], 6), r["error_type"]) == (r["wv"], r["ws"], r["we"]), r["id"]
 
 
+def test_judge_hook(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "mute")], "item_id bigint, prompt string")
+    answers = {"good": '{"verdict":"pass","score":0.9}', "bad": '{"verdict":"no"}', "mute": "sorry"}
+    got = {(r["item_id"], r["judge_index"]): r["judgement"] for r in rubric.ask_judges(df, lambda p: p.map(answers)).collect()}
+    assert len(got) == 6 and got[3, 1] is None and got[3, 2] is None
+    assert (got[1, 2]["verdict"], got[1, 2]["score"]) == ("pass", 0.9)
+    assert (got[2, 1]["verdict"], got[2, 1]["score"]) == ("fail", 0.0)
+
+
 def test_json_blocks(spark):
     rows = [("x ```json\n{\"a\": 1}\n``` y", '{"a": 1}'), ("see {\"a\": {\"b\": 2}} {", '{"a": {"b": 2}}'), ("{ open [1]", "[1]"),
             ("none", None), (None, None), ("``` raw ```", "raw")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,25 @@ def normalize_judgement(raw: Column | str) -> Column:
     )
 
 
+def ask_judges(prompts: DataFrame, judge: Callable[[pd.Series], pd.Series], judges: int = 2) -> DataFrame:
+    """Verdicts of independent judges: one row per item and judge, normalised.
+
+    ``prompts`` has item_id and prompt; ``judge`` maps a batch of prompts to raw JSON texts and runs in
+    the tasks. Text that is no JSON object gives a null verdict.
+    """
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item_id": batch["item_id"], "judge_index": batch["judge_index"], "raw": judge(batch["prompt"])})
+
+    indexed = prompts.select("item_id", "prompt", F.explode(F.sequence(F.lit(1), F.lit(judges))).alias("judge_index"))
+    kind = dict(prompts.dtypes)["item_id"]
+    raw = indexed.mapInPandas(answer, f"item_id {kind}, judge_index int, raw string")
+    parsed = F.try_parse_json("raw")
+    is_object = F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull()
+    return raw.select("item_id", "judge_index", F.when(is_object, normalize_judgement(parsed)).alias("judgement"))
+
+
 def accept_mean(v1: Column, s1: Column, v2: Column, s2: Column, delta: float = rules.JUDGE_SCORE_DELTA) -> Column:
     return (v1 == v2) & (F.abs(s1 - s2) < delta)
 

@@ -9,7 +9,7 @@ from verdictframe.functions import rules
 from verdictframe.functions.text import rule_tags
 from verdictframe.operators import generate, planning
 from verdictframe.plans.registry import query
-from verdictframe.plans.scalars import _BRIEFS, _FAMILY_PICK, _FAMILY_NAMES, _tag_sql, sql_case, sql_text
+from verdictframe.plans.scalars import _BRIEFS, _FAMILY_PICK, _tag_sql, sql_case, sql_text
 from verdictframe.plans.views import table, view
 from verdictframe.session import spread
 

@@ -17,6 +17,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # the JVM does not compile methods above 8000 bytes; Spark splits such stages instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # call sites on every expression cost more than they tell for the large generated ones
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
