@@ -122,7 +122,9 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-codec = lru_cache(maxsize=2)(Codec)
+@lru_cache(maxsize=2)
+def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Codec:
+    return Codec(path, pattern)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
