@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictframe.llm import langid, secrets
+from verdictframe.llm import langid, neardup, packing, secrets
 from verdictframe.llm.common import table
 from verdictframe.session import scratch_path
 
@@ -15,12 +15,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(found["lang_pred"] != langid.UNKNOWN).select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the least id."""
+    return neardup.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in any encoding replaced by a mark."""
     return secrets.redact(docs)
 
 
-STAGES = [("language_id", language_id), ("secret_scan", secret_scan)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: where each piece of each document lies, and its ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("packing", packed)]
 
 #: No stage can be said in SQL: profiles, signatures, nested decoding and tokens are not relational.
 ORACLE_SQL = None

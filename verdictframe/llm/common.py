@@ -18,13 +18,24 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
+#: Bytes of input that a task turns into Python objects at a time (one row at least).
+SLICE = 2 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of about ``SLICE`` bytes, so that memory does not follow the length of texts."""
+    rows = max(1, int(SLICE * batch.num_rows / max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def by_batch(df: DataFrame, columns: Callable[..., Iterable], schema: str) -> DataFrame:
-    """Apply ``columns`` to the Arrow columns of each batch; it gives the output columns in order of ``schema``."""
+    """Apply ``columns`` to the Arrow columns of parts of batches; it gives the output columns in order of ``schema``."""
     names = [f.name for f in _fields(df, schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns(*batch.columns)], names=names)
 
     return df.mapInArrow(run, schema)
@@ -48,7 +59,7 @@ def lists(values: list, kind: pa.DataType) -> pa.Array:
 class Memo(dict):
     """Results of ``fn`` for short keys; emptied when it holds ``limit`` of them, so memory stays bounded."""
 
-    def __init__(self, fn: Callable, limit: int = 400_000, longest: int = 48) -> None:
+    def __init__(self, fn: Callable, limit: int = 250_000, longest: int = 48) -> None:
         super().__init__()
         self.fn, self.limit, self.longest = fn, limit, longest
 

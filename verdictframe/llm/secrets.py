@@ -251,10 +251,14 @@ def find_secrets(docs: DataFrame, max_expanded: int = MAX_EXPANDED) -> DataFrame
 def digest(found: DataFrame) -> DataFrame:
     """Counts and the digest of the spans of the text itself, and all spans as text."""
     base = F.filter("secrets", lambda s: s["via"] == "")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *map(count, KINDS),
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("secrets")).alias("spans"),
         "unread_layers",
