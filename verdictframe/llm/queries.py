@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictframe.llm import bpe, counts, langid, neardup, packing, secrets, topk, winnow
+from verdictframe.llm import bpe, counts, langid, neardup, packing, pages, secrets, topk, warc, winnow
 from verdictframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,21 @@ def op10_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors["vec_id"] % 50 == 0, 5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op4_token_counts, op6_winnowing, op7_curve_packing, op8_language_id, op9_bagminhash, op10_term_at_a_time)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_secret_scan,
+        op3_host_consensus,
+        op4_token_counts,
+        op5_warc_index,
+        op6_winnowing,
+        op7_curve_packing,
+        op8_language_id,
+        op9_bagminhash,
+        op10_term_at_a_time,
+    )
+}
 ORACLES: dict[str, str] = {
     "op10_term_at_a_time": """
         WITH whole AS (
