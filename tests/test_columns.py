@@ -35,13 +35,53 @@ def test_compiled_schema_equals_plain_checker(spark, one):
         assert row["b"] == bool(want)
 
 
-def test_many_schemas_use_the_row_function(spark, monkeypatch):
+def test_verdicts_do_not_change_when_schemas_are_added(spark):
     rows = [(json.dumps(s), json.dumps(v)) for s in SCHEMAS for v in VALUES]
-    df = spark.createDataFrame(rows, "s string, j string")
-    compiled = df.select("s", "j", schema.violations_by_schema(df, "s", F.parse_json("j")).alias("m")).collect()
-    monkeypatch.setattr(schema, "MAX_COMPILED", 2)
-    by_row = df.select("s", "j", schema.violations_by_schema(df, "s", F.parse_json("j")).alias("m")).collect()
-    assert {(r["s"], r["j"]): sorted(r["m"]) for r in compiled} == {(r["s"], r["j"]): sorted(r["m"]) for r in by_row}
+    more = [(json.dumps({"maximum": n}), "5") for n in range(300)] + [("{broken", "1"), ('{"pattern":"("}', '"x"'), ('{"$ref":"#"}', "1")]
+
+    def found(table):
+        df = spark.createDataFrame(table, "s string, j string")
+        return {(r["s"], r["j"]): r["m"] for r in df.select("s", "j", schema.violations_by_schema("s", F.parse_json("j")).alias("m")).collect()}
+
+    few, many = found(rows), found(rows + more)
+    assert few == {k: many[k] for k in few}
+    assert few[json.dumps(SCHEMAS[0]), json.dumps({"a": 1})] == ["$.a: minimum"]
+    for bad in more[-3:]:
+        assert many[bad] == schema.UNUSABLE
+
+
+KEYWORDS = [
+    # schema, values that fit, values that do not
+    ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["x", 5, None], [4, 4.5]),
+    ({"oneOf": [{"multipleOf": 3}, {"multipleOf": 5}]}, [3, 5, 9], [15, 7]),
+    ({"allOf": [{"type": "integer"}, {"exclusiveMinimum": 0}], "not": {"const": 7}}, [1, 2.0], [0, 7, 1.5, "x"]),
+    ({"exclusiveMaximum": 3, "multipleOf": 0.1}, [0.3, -1, 2.9], [3, 0.25]),
+    ({"type": "integer"}, [12345678901234567890123, -3, 2.0], [2.5, "1", True]),
+    ({"pattern": r"^\w+$"}, ["été", "a1", 5], ["a b", ""]),
+    ({"pattern": r"^(?P<a>x)\d$"}, ["x1"], ["y1"]),
+    ({"uniqueItems": True}, [[1, 2, True], [[1], [2]], []], [[1, 1.0], [{"a": 1}, {"a": 1}]]),
+    ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1, 2], [], ["a"]], [[1], ["a", "b"]]),
+    ({"contains": {"const": 1}, "maxContains": 2}, [[1], [0, 1, 1]], [[], [0], [1, 1, 1]]),
+    ({"minProperties": 1, "maxProperties": 2, "propertyNames": {"maxLength": 2}}, [{"a": 1}, {"a": 1, "bb": 2}, 5], [{}, {"abc": 1}]),
+    ({"patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": {"type": "string"}}, [{"n_a": 1, "b": "x"}], [{"n_a": "x"}, {"b": 1}]),
+    ({"dependentRequired": {"a": ["b"]}, "dependentSchemas": {"c": {"required": ["d"]}}}, [{"b": 1}, {"a": 1, "b": 2}, {"c": 1, "d": 1}], [{"a": 1}, {"c": 1}]),
+    ({"if": {"required": ["k"]}, "then": {"required": ["v"]}, "else": {"maxProperties": 0}}, [{"k": 1, "v": 2}, {}], [{"k": 1}, {"z": 1}]),
+    ({"$defs": {"tree": {"type": "object", "properties": {"kids": {"items": {"$ref": "#/$defs/tree"}}}}}, "$ref": "#/$defs/tree"}, [{"kids": [{"kids": []}]}], [{"kids": [{"kids": [3]}]}]),
+    ({"enum": [1, "a", None, {"k": [1]}]}, [1.0, None, {"k": [1.0]}], [True, "b", {"k": []}]),
+    (False, [], [1, None]),
+    (True, [1, None], []),
+]
+
+
+@pytest.mark.parametrize(("one", "good", "bad"), KEYWORDS)
+def test_keywords(one, good, bad):
+    assert all(schema.python_violations(one, v) == [] for v in good)
+    assert all(schema.python_violations(one, v) for v in bad)
+
+
+def test_compiling_an_unknown_keyword_is_an_error():
+    with pytest.raises(ValueError, match="anyOf"):
+        schema.violated({"anyOf": []}, F.lit(None))
 
 
 def test_math_reads_what_is_a_number(spark):
@@ -111,7 +151,7 @@ def test_text_functions(spark):
         text.iso_to_millis(F.lit("soon")).alias("bad"), text.batch_size(F.lit("run 99999 cases")).alias("top"),
         F.array_join(text.rule_tags(F.lit("Email lookup and QA")), ",").alias("tags"),
     ).first()
-    assert (row["s"], row["n"], row["name"], row["ms"], row["bad"], row["top"]) == ("a b", "a b", "Alicex", 1704067201000, None, 10000)
+    assert (row["s"], row["n"], row["name"], row["ms"], row["bad"], row["top"]) == ("a b", "a b", "Alicex", 1704067201000, None, 99999)
     assert row["tags"] == "email,extraction,grounded_qa,factual,trajectory"
 
 

@@ -1,22 +1,31 @@
-"""JSON Schema checks as column expressions over VARIANT values.
+"""JSON Schema checks of VARIANT values.
 
-Keywords: type, enum, const, required, properties, additionalProperties (false), items, pattern,
-minLength, maxLength, minimum, maximum, minItems, maxItems. A schema is compiled on the driver, once
-per distinct schema; rows with more distinct schemas than that are checked by a vectorised function.
+A schema that the library itself states (the item record) becomes column expressions; it may use type,
+enum, const, required, properties, additionalProperties (false), items, pattern, minLength, maxLength,
+minimum, maximum, minItems and maxItems, and any other keyword is an error while the plan is built.
+
+Schemas that come as data, one text in each row, are checked by one vectorised function however many there
+are, so the verdict of a row never depends on other rows. It knows the validation keywords of draft 2020-12.
+A text that is no schema fails its own rows with the message ``$: unusable schema`` and no others.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-MAX_COMPILED = 200
+COMPILED = frozenset(
+    "type enum const required properties additionalProperties items pattern minLength maxLength minimum maximum minItems maxItems".split()
+)
+NOTES = frozenset("$schema $id $comment title description default examples format".split())
 
 
 def _fields(v: Column) -> Column:
@@ -59,6 +68,9 @@ def _text(value: object) -> str:
 
 def _collect(schema: Mapping[str, object], v: Column, path: str) -> list[tuple[Column, str]]:
     checks: list[tuple[Column, str]] = []
+    unknown = schema.keys() - COMPILED - NOTES
+    if unknown or isinstance(schema.get("additionalProperties"), Mapping):
+        raise ValueError(f"not compiled: {sorted(unknown) or 'additionalProperties as a schema'}")
 
     def add(violated: Column, message: str) -> None:
         checks.append((v.isNotNull() & F.coalesce(violated, F.lit(False)), f"{path}: {message}"))
@@ -130,101 +142,213 @@ def _no_messages() -> Column:
     return F.array().cast("array<string>")
 
 
-def violations(schema: Mapping[str, object], v: Column, limit: int | None = None) -> Column:
+def violations(schema: Mapping[str, object], v: Column) -> Column:
     """Array of messages, in path order; empty when the value conforms."""
     checks = _collect(schema, v, "$")
     if not checks:
         return _no_messages()
     listed = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))
-    found = F.when(_any_violated(schema, v), listed).otherwise(_no_messages())
-    return F.slice(found, 1, limit) if limit else found
-
-
-def python_violations(schema: object, value: object, path: str = "$") -> list[str]:
-    """The same messages for one parsed value; used when schemas are too many to compile."""
-    if not isinstance(schema, Mapping):
-        return []
-    out: list[str] = []
-    is_number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {
-        "string": isinstance(value, str),
-        "boolean": isinstance(value, bool),
-        "null": value is None,
-        "object": isinstance(value, dict),
-        "array": isinstance(value, list),
-        "number": is_number,
-        "integer": is_number and float(value).is_integer(),
-    }
-    if "type" in schema:
-        kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        if not any(fits.get(k, False) for k in kinds):
-            out.append("type " + "|".join(kinds))
-    if "enum" in schema and _text(value) not in [_text(e) for e in schema["enum"]]:
-        out.append("enum")
-    if "const" in schema and _text(value) != _text(schema["const"]):
-        out.append("const")
-    if fits["string"]:
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            out.append("pattern")
-        if len(value) < schema.get("minLength", 0):
-            out.append("minLength")
-        if len(value) > schema.get("maxLength", len(value)):
-            out.append("maxLength")
-    if is_number:
-        if value < schema.get("minimum", value):
-            out.append("minimum")
-        if value > schema.get("maximum", value):
-            out.append("maximum")
-    if fits["array"]:
+    return F.when(_any_violated(schema, v), listed).otherwise(_no_messages())
+
+
+class UnusableSchema(Exception):
+    """The schema itself is at fault, whatever the value."""
+
+
+def _same(a: object, b: object) -> bool:
+    """JSON equality: numbers by value, ``true`` is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+        return a == b
+    if type(a) is not type(b):
+        return False
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
+def _is_number(value: object) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+TYPES: dict[str, Callable[[object], bool]] = {
+    "string": lambda v: isinstance(v, str),
+    "boolean": lambda v: isinstance(v, bool),
+    "null": lambda v: v is None,
+    "object": lambda v: isinstance(v, dict),
+    "array": lambda v: isinstance(v, list),
+    "number": _is_number,
+    "integer": lambda v: _is_number(v) and (isinstance(v, int) or v.is_integer()),
+}
+
+
+@lru_cache(maxsize=4096)
+def _pattern(text: str) -> re.Pattern[str]:
+    try:
+        return re.compile(text)
+    except re.error as fault:
+        raise UnusableSchema(text) from fault
+
+
+def _multiple(value: float, step: float) -> bool:
+    if isinstance(value, int) and isinstance(step, int):
+        return value % step == 0
+    ratio = value / step
+    return math.isfinite(ratio) and abs(ratio - round(ratio)) < 1e-9 * max(1.0, abs(ratio))
+
+
+class _Check:
+    """Violations of a value, path by path; ``root`` is where references start."""
+
+    def __init__(self, root: object) -> None:
+        self.root = root
+
+    def target(self, ref: str) -> object:
+        if not ref.startswith("#"):
+            raise UnusableSchema(ref)
+        at = self.root
+        for part in filter(None, ref[1:].split("/")):
+            part = part.replace("~1", "/").replace("~0", "~")
+            try:
+                at = at[int(part)] if isinstance(at, list) else at[part]
+            except (KeyError, IndexError, ValueError, TypeError) as fault:
+                raise UnusableSchema(ref) from fault
+        return at
+
+    def fits(self, schema: object, value: object) -> bool:
+        return next(self.all(schema, value, "$"), None) is None
+
+    def all(self, schema: object, value: object, path: str) -> Iterator[str]:
+        if schema is True:
+            return
+        if schema is False:
+            yield f"{path}: false"
+            return
+        if not isinstance(schema, Mapping):
+            raise UnusableSchema(str(schema))
+        for message in self.own(schema, value):
+            yield f"{path}: {message}"
+        if isinstance(value, dict):
+            yield from self.members(schema, value, path)
+        if "$ref" in schema:
+            yield from self.all(self.target(schema["$ref"]), value, path)
+        for part in schema.get("allOf", []):
+            yield from self.all(part, value, path)
+        if "if" in schema:
+            branch = "then" if self.fits(schema["if"], value) else "else"
+            if branch in schema:
+                yield from self.all(schema[branch], value, path)
+
+    def own(self, schema: Mapping[str, object], value: object) -> Iterator[str]:
+        if "type" in schema:
+            kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+            if not any(TYPES[k](value) for k in kinds):
+                yield "type " + "|".join(kinds)
+        if "enum" in schema and not any(_same(value, e) for e in schema["enum"]):
+            yield "enum"
+        if "const" in schema and not _same(value, schema["const"]):
+            yield "const"
+        if isinstance(value, str):
+            if "pattern" in schema and not _pattern(schema["pattern"]).search(value):
+                yield "pattern"
+            if len(value) < schema.get("minLength", 0):
+                yield "minLength"
+            if len(value) > schema.get("maxLength", len(value)):
+                yield "maxLength"
+        if _is_number(value):
+            if value < schema.get("minimum", value):
+                yield "minimum"
+            if value > schema.get("maximum", value):
+                yield "maximum"
+            if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+                yield "exclusiveMinimum"
+            if "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+                yield "exclusiveMaximum"
+            if "multipleOf" in schema and not _multiple(value, schema["multipleOf"]):
+                yield "multipleOf"
+        if isinstance(value, list):
+            yield from self.elements(schema, value)
+        if "anyOf" in schema and not any(self.fits(x, value) for x in schema["anyOf"]):
+            yield "anyOf"
+        if "oneOf" in schema and sum(self.fits(x, value) for x in schema["oneOf"]) != 1:
+            yield "oneOf"
+        if "not" in schema and self.fits(schema["not"], value):
+            yield "not"
+
+    def elements(self, schema: Mapping[str, object], value: list) -> Iterator[str]:
         if len(value) < schema.get("minItems", 0):
-            out.append("minItems")
+            yield "minItems"
         if len(value) > schema.get("maxItems", len(value)):
-            out.append("maxItems")
-        if schema.get("items") and any(python_violations(schema["items"], e) for e in value):
-            out.append("items")
-    out = [f"{path}: {m}" for m in out]
-    if fits["object"]:
-        known = schema.get("properties", {})
-        out += [f"{path}: required {n}" for n in schema.get("required", []) if n not in value]
-        if schema.get("additionalProperties") is False and set(value) - set(known):
-            out.append(f"{path}: additionalProperties")
+            yield "maxItems"
+        first = schema.get("prefixItems", [])
+        if not all(self.fits(s, v) for s, v in zip(first, value)):
+            yield "prefixItems"
+        if "items" in schema and not all(self.fits(schema["items"], v) for v in value[len(first) :]):
+            yield "items"
+        if schema.get("uniqueItems") and any(_same(a, b) for i, a in enumerate(value) for b in value[:i]):
+            yield "uniqueItems"
+        if "contains" in schema:
+            n = sum(self.fits(schema["contains"], v) for v in value)
+            if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
+                yield "contains"
+
+    def members(self, schema: Mapping[str, object], value: dict, path: str) -> Iterator[str]:
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+        for name in schema.get("required", []):
+            if name not in value:
+                yield f"{path}: required {name}"
+        if len(value) < schema.get("minProperties", 0):
+            yield f"{path}: minProperties"
+        if len(value) > schema.get("maxProperties", len(value)):
+            yield f"{path}: maxProperties"
+        others = [n for n in value if n not in known and not any(_pattern(p).search(n) for p in patterns)]
+        more = schema.get("additionalProperties", True)
+        if others and more is False or isinstance(more, Mapping) and not all(self.fits(more, value[n]) for n in others):
+            yield f"{path}: additionalProperties"
+        if "propertyNames" in schema and not all(self.fits(schema["propertyNames"], n) for n in value):
+            yield f"{path}: propertyNames"
+        for name, needed in schema.get("dependentRequired", {}).items():
+            if name in value and not set(needed) <= value.keys():
+                yield f"{path}: dependentRequired {name}"
+        for name, part in schema.get("dependentSchemas", {}).items():
+            if name in value:
+                yield from self.all(part, value, path)
         for name in sorted(known):
             if name in value:
-                out += python_violations(known[name], value[name], f"{path}.{name}")
-    return out
+                yield from self.all(known[name], value[name], f"{path}.{name}")
+        for pattern in sorted(patterns):
+            for name in sorted(value):
+                if _pattern(pattern).search(name):
+                    yield from self.all(patterns[pattern], value[name], f"{path}.{name}")
+
+
+UNUSABLE = ["$: unusable schema"]
+
+
+def python_violations(schema: object, value: object) -> list[str]:
+    """Messages for one parsed value, in path order; a schema that cannot be used is a violation."""
+    try:
+        return list(_Check(schema).all(schema, value, "$"))
+    except (UnusableSchema, RecursionError, TypeError, KeyError, AttributeError, ZeroDivisionError, ValueError):
+        return UNUSABLE
+
+
+@lru_cache(maxsize=4096)
+def _parsed(text: str) -> object:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return text  # no mapping, so no schema
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _violations_by_row(schemas: pd.Series, values: pd.Series) -> pd.Series:
-    parsed: dict[str, object] = {}
+    return pd.Series([[] if s is None or v is None else python_violations(_parsed(s), json.loads(v)) for s, v in zip(schemas, values)])
 
-    def one(schema: str | None, value: str | None) -> list[str] | None:
-        if schema is None or value is None:
-            return []
-        if schema not in parsed:
-            try:
-                parsed[schema] = json.loads(schema)
-            except ValueError:
-                parsed[schema] = None
-        return python_violations(parsed[schema], json.loads(value))
-
-    return pd.Series([one(s, v) for s, v in zip(schemas, values)])
-
-
-def violations_by_schema(
-    df: DataFrame, schema_col: str, value: Column, schemas: list[str] | None = None, limit: int | None = None
-) -> Column:
-    """Violations of each row's own schema text.
-
-    ``schemas`` lists the distinct texts; when not given they are read from ``df`` (one small job).
-    """
-    if schemas is None:
-        found = df.select(schema_col).where(F.col(schema_col).isNotNull()).distinct().limit(MAX_COMPILED + 1).collect()
-        schemas = sorted(r[0] for r in found)
-    if len(schemas) > MAX_COMPILED:
-        out = _violations_by_row(F.col(schema_col), F.to_json(value))
-    else:
-        out = _no_messages()
-        for text in schemas:
-            out = F.when(F.col(schema_col) == text, violations(json.loads(text), value)).otherwise(out)
-    return F.slice(out, 1, limit) if limit else out
+
+def violations_by_schema(schema: Column | str, value: Column) -> Column:
+    """Violations of each row's own schema text; empty without a schema or a value."""
+    return _violations_by_row(F.col(schema) if isinstance(schema, str) else schema, F.to_json(value))

@@ -26,13 +26,10 @@ def parse(raw: Column | str) -> Column:
     return F.try_parse_json(col(raw))
 
 
-def schema_check(
-    df: DataFrame, raw: str = "raw_output", schema: str = "output_schema", schemas: list[str] | None = None
-) -> DataFrame:
+def schema_check(df: DataFrame, raw: str = "raw_output", schema: str = "output_schema") -> DataFrame:
     """Add ``parsed`` and ``schema_error``: empty, MODEL_OUTPUT_NOT_JSON or MODEL_OUTPUT_SCHEMA_VIOLATION."""
     parsed = df.withColumn("parsed", parse(raw))
-    found = violations_by_schema(parsed, schema, F.col("parsed"), schemas, limit=3)
-    broken = parsed.withColumn("schema_messages", found)
+    broken = parsed.withColumn("schema_messages", violations_by_schema(schema, F.col("parsed")))
     # JSON null that violates its schema counts as no JSON at all
     return broken.withColumn(
         "schema_error",

@@ -20,7 +20,7 @@ STEPS = ("type", "required_first", "must_include", "max_calls", "sequence", "arg
 def json_path(v: Column | str, path: Column) -> Column:
     """Value at ``$.a.b`` walking objects only, as JSON text; null for any other path or a missing key."""
     value = F.aggregate(
-        F.split(F.substring(path, 3, 1 << 20), r"\."),
+        F.split(F.substr(path, F.lit(3)), r"\."),
         col(v),
         lambda at, part: F.try_element_at(F.try_variant_get(at, "$", "map<string,variant>"), part),
     )
@@ -35,7 +35,7 @@ def _subsequence(names: Column, wanted: Column) -> Column:
     return reached >= F.size(wanted)
 
 
-def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str, arg_schemas: list[str] | None = None) -> DataFrame:
+def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str) -> DataFrame:
     """Add ``trajectory``: outcome of the first failing step. ``expected`` and ``parsed`` are VARIANT and
     ``trace`` is ARRAY<STRUCT<name STRING, args VARIANT, result VARIANT>> (null when it is no list)."""
     spec = F.col(expected)
@@ -58,7 +58,7 @@ def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str, arg_schem
     empty_object = F.parse_json(F.lit("{}"))
     args = F.coalesce(F.get(calls_of(arg_tool), 0)["args"], empty_object)
     with_args = df.withColumn("_arg_schema", F.to_json(part("$.arg_schema.schema", "variant"))).withColumn("_args", args)
-    bad_args = violations_by_schema(with_args, "_arg_schema", F.col("_args"), arg_schemas, limit=3)
+    bad_args = violations_by_schema("_arg_schema", F.col("_args"))
 
     def unbound(b: Column) -> Column:
         result = F.get(calls_of(b["tool"]), 0)["result"]

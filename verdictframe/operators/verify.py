@@ -29,9 +29,7 @@ def _entry(method: Column | str, ran: Column, passed: Column, reason: Column) ->
     return F.struct(name.alias("method"), ran.alias("ran"), passed.alias("passed"), reason.alias("reason"))
 
 
-def verify(
-    responses: DataFrame, schemas: list[str] | None = None, arg_schemas: list[str] | None = None
-) -> DataFrame:
+def verify(responses: DataFrame) -> DataFrame:
     """Score every response.
 
     Needs item_id, eval_method, output_schema and raw_output; see ``OPTIONAL`` for the rest (JSON texts
@@ -40,12 +38,12 @@ def verify(
     """
     given = responses.columns
     df = responses.select("*", *[F.lit(None).cast(kind).alias(n) for n, kind in OPTIONAL.items() if n not in given])
-    df = scoring.schema_check(df, schemas=schemas)
+    df = scoring.schema_check(df)
     df = df.select(
         "*",
         *[scoring.parse(c).alias(f"_{c}") for c in ("input", "expected", "checker_config")],
     )
-    df = trajectory.trace_codes(df, "_expected", "tool_trace", "parsed", arg_schemas)
+    df = trajectory.trace_codes(df, "_expected", "tool_trace", "parsed")
     judged = rubric_outcome(df.drop("verdict", "score", "error_type"))
 
     method, pre = F.col("eval_method"), F.col("schema_error")
@@ -111,13 +109,13 @@ def verify(
     )
 
 
-def replay(responses: DataFrame, overrides: DataFrame, **options: list[str] | None) -> DataFrame:
+def replay(responses: DataFrame, overrides: DataFrame) -> DataFrame:
     """Score again with overridden outputs: ``overrides`` has item_id and raw_output, one row per item."""
     changed = overrides.select("item_id", F.col("raw_output").alias("_override"))
     merged = responses.join(changed, "item_id", "left").withColumn(
         "raw_output", F.coalesce("_override", "raw_output")
     )
-    return verify(merged.drop("_override"), **options)
+    return verify(merged.drop("_override"))
 
 
 def expectation_check(results: DataFrame, expected: DataFrame, key: str = "scenario_id") -> DataFrame:

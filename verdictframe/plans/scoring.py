@@ -24,7 +24,7 @@ MATH_CODES = """
 
 def score_math(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "v_math", wide=True).withColumn("output_schema", F.lit(CLOSED_ANSWER))
-    checked = scoring.schema_check(rows, schemas=[CLOSED_ANSWER])
+    checked = scoring.schema_check(rows)
     answer = F.try_variant_get("parsed", "$.answer", "bigint")
     result = scoring.math_sum(F.col("a"), F.col("b"), F.col("c"), answer)
     error = F.when(F.col("schema_error") != "", F.col("schema_error")).otherwise(result["code"])
@@ -75,13 +75,32 @@ def math_failure_report(spark: SparkSession, sf: str) -> DataFrame:
 def verify_schema(spark: SparkSession, sf: str) -> DataFrame:
     even = F.col("l_linenumber") % 2 == 0
     rows = view(spark, sf, "v_math", wide=True).withColumn("output_schema", F.when(even, OPEN_ANSWER).otherwise(CLOSED_ANSWER))
-    checked = scoring.schema_check(rows, schemas=[CLOSED_ANSWER, OPEN_ANSWER])
+    checked = scoring.schema_check(rows)
     return checked.select(
         "l_orderkey", "l_linenumber", "a", "b", "schema_error",
         F.coalesce(F.array_join("schema_messages", "; "), F.lit("")).alias("messages"),
     )
 
 
+# a schema of its own for nearly every row, one in nine of them no JSON and one in ten with a broken pattern
+_MANY_SCHEMAS = """CASE WHEN h % 9 = 0 THEN '{"type":' WHEN h % 10 = 0 THEN '{"properties":{"answer":{"pattern":"("}},"not":{"type":"string"}}'
+    ELSE '{"$defs":{"n":{"type":"integer","exclusiveMaximum":' || CAST(a + 60 AS STRING) || '}},"properties":{"answer":{"anyOf":[{"$ref":"#/$defs/n"},{"const":"x"}]}}}' END"""
+
+
+@query("verify_many_schemas", """
+    WITH n AS (SELECT *, CASE WHEN json_valid(raw_output) THEN try_cast(json_extract_string(raw_output, '$.answer') AS BIGINT) END AS answer FROM v_math)
+    SELECT l_orderkey, l_linenumber, a, b,
+           CASE WHEN NOT json_valid(raw_output) THEN '' WHEN h % 9 = 0 THEN '$: unusable schema'
+                WHEN h % 10 = 0 THEN CASE WHEN answer IS NULL THEN '$: unusable schema' ELSE '' END
+                WHEN answer >= a + 60 THEN '$.answer: anyOf' ELSE '' END AS messages FROM n""", ("v_math",))
+def verify_many_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict of a row depends on its own schema only, however many there are and whatever is wrong with others."""
+    rows = view(spark, sf, "v_math", wide=True).withColumn("output_schema", F.expr(_MANY_SCHEMAS))
+    return scoring.schema_check(rows).select(
+        "l_orderkey", "l_linenumber", "a", "b", F.coalesce(F.array_join("schema_messages", "; "), F.lit("")).alias("messages")
+    )
+
+
 @query("verify_exact", """
     SELECT event_id, CASE WHEN CAST(props->>'$.k' AS BIGINT) % 4 = 0 THEN 'EXACT_MATCH_FAILED' ELSE '' END AS code FROM events""")
 def verify_exact(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,13 +274,7 @@ def traj_type(spark: SparkSession, sf: str) -> DataFrame:
     rows = row_traces(spark, sf).withColumn("expected", trajectory.spec_json(ROW_TRACE_SPEC)).withColumn(
         "parsed", scoring.parse("raw_output")
     )
-    schemas = [scoring_schema_text()]
-    return trajectory.trace_codes(rows, "expected", "tool_trace", "parsed", schemas).select("event_id", "trajectory.code")
-
-
-def scoring_schema_text() -> str:
-    """Argument schema of the row traces as VARIANT text, with sorted keys."""
-    return '{"properties":{"query":{"minLength":5,"type":"string"}},"type":"object"}'
+    return trajectory.trace_codes(rows, "expected", "tool_trace", "parsed").select("event_id", "trajectory.code")
 
 
 # --- judges --------------------------------------------------------------------------------------------
@@ -406,7 +419,7 @@ def mixed_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verify_mixed(df: DataFrame) -> DataFrame:
-    return verify.verify(df, schemas=[CLOSED_ANSWER, ANY_OBJECT], arg_schemas=[scoring_schema_text()])
+    return verify.verify(df)
 
 
 @query("verify_all", f"""
@@ -460,5 +473,5 @@ def replay_overrides(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('{"field_normalize":{"name":"strip","segment":"strip_lower"}}').alias("checker_config"),
     )
     overrides = rows.where(F.col("idx") % 2 == 0).select(F.col("idx").alias("item_id"), expected.alias("raw_output"))
-    scored = verify.replay(responses, overrides, schemas=[ANY_OBJECT], arg_schemas=[])
+    scored = verify.replay(responses, overrides)
     return scored.select(F.col("item_id").alias("idx"), "evidence_code")
