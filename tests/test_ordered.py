@@ -61,15 +61,28 @@ def test_previous_row_without_groups_and_null_keys(spark):
     assert [r["rank"] for r in grouped.orderBy("id").collect()] == [1, 2, 1]
 
 
-@pytest.mark.parametrize("max_hot", [1, 10])
-def test_attach_keeps_every_row(spark, max_hot):
+@pytest.mark.parametrize("hot_rows", [20, 50])
+def test_attach_keeps_every_row(spark, hot_rows):
     rows = [(i, "hot" if i % 3 else f"k{i % 30}") for i in range(900)] + [(900, "none")]
     df = spark.createDataFrame(rows, "id bigint, k string")
     lookup = df.where("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    got = ordered.attach(df, lookup, ["k"], "id", "n", hot_rows=50, max_hot=max_hot).collect()
+    got = ordered.attach(df, lookup, ["k"], "id", "n", hot_rows=hot_rows).collect()
     first = {}
     for i, k in rows:
         first.setdefault(k, i)
     first["none"] = None
     assert sorted((r["id"], r["k"]) for r in got) == sorted(rows)
     assert all(r["first"] == first[r["k"]] for r in got)
+
+
+def test_ids_far_apart_do_not_give_a_block_each(spark):
+    rows = [(i << 40, "hot" if i % 3 else "cold") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, g string")
+    assert ordered.id_blocks(df, "id").select("_block").distinct().count() == 1
+    blocked = ordered.id_blocks(df, "id", 100)
+    assert blocked.select("_block").distinct().count() == 10
+    got = {r["id"]: r["rank"] for r in ordered.running_rank(blocked, ["g"], ["id"]).collect()}
+    seen = {}
+    for i, g in rows:
+        seen[g] = seen.get(g, 0) + 1
+        assert got[i] == seen[g]

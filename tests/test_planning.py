@@ -38,8 +38,14 @@ def test_quota_equals_hand_out(spark, seed):
     rng = random.Random(seed)
     targets = [(i, i, rng.randint(0, 30), rng.randint(0, 2), rng.randint(0, 9)) for i in range(rng.randint(3, 40))]
     quota = sum(t[3] for t in targets) + rng.randint(0, 120)
-    got = planning.allocate_quota(spark.createDataFrame(targets, DDL), quota, blocks=3).orderBy("idx").collect()
-    assert [r["count"] for r in got] == hand_out(targets, quota)
+    got = planning.allocate_quota(spark.createDataFrame(targets, DDL), quota, blocks=3).collect()
+    assert {r["idx"]: r["count"] for r in got} == {i: n for i, n in enumerate(hand_out(targets, quota)) if n}
+
+
+def test_quota_without_bounds(spark):
+    rows = [(0, 0, 1, None, None), (1, 1, 1, 0, 0), (2, 2, None, 1, 2)]
+    got = planning.allocate_quota(spark.createDataFrame(rows, DDL), 9).collect()
+    assert {r["idx"]: r["count"] for r in got} == {0: 7, 2: 2}
 
 
 def test_quota_examples(spark):

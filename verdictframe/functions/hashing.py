@@ -45,8 +45,12 @@ def artifact_ref(content: Column | str, uri: Column, mime: str = "text/plain") -
 
 
 def row_digest(*columns: Column | str) -> Column:
-    """60 bits of the SHA-256 of a row, as a non-negative BIGINT."""
-    text = F.concat_ws("|", *[col(c).cast("string") for c in columns])
+    """60 bits of the SHA-256 of a row, as a non-negative BIGINT.
+
+    Each value goes in with its length, a null as ``n``, so no two different rows are the same text.
+    """
+    texts = [col(c).cast("string") for c in columns]
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("n")) for t in texts])
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
 
 

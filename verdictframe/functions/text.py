@@ -30,14 +30,14 @@ def normalize_prompt(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), r"(?U)\s+", " "))
 
 
-def instruction_header(c: Column | str, chars: int = rules.HEADER_CHARS) -> Column:
-    """Text before the embedded input; marks are tried in order, not by position."""
+def instruction_header(c: Column | str) -> Column:
+    """Text before the embedded input, or the whole text; marks are tried in order, not by position."""
     prompt = col(c)
     tries = [
         F.when(F.instr(prompt, mark) > 0, F.substring(prompt, F.lit(1), F.instr(prompt, mark) - 1))
         for mark in rules.HEADER_MARKS
     ]
-    return strip(F.coalesce(*tries, F.left(prompt, F.lit(chars))))
+    return strip(F.coalesce(*tries, prompt))
 
 
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
@@ -53,7 +53,7 @@ def extract_email(c: Column | str) -> Column:
 
 def extract_name(c: Column | str) -> Column:
     name = F.coalesce(F.regexp_extract(col(c), "(?U)" + rules.NAME_PATTERN, 1), F.lit(""))
-    return F.concat(F.upper(F.left(name, F.lit(1))), F.lower(F.substring(name, 2, 1 << 30)))
+    return F.concat(F.upper(F.left(name, F.lit(1))), F.lower(F.substr(name, F.lit(2))))
 
 
 def first_match(text: Column, patterns: Sequence[tuple[str, str]], default: str) -> Column:
@@ -85,9 +85,11 @@ def difficulty_mix(c: Column | str) -> Column:
     return F.when(col(c).rlike(rules.HARD_PATTERN), "hard").when(col(c).rlike(rules.EASY_PATTERN), "easy").otherwise("even")
 
 
-def batch_size(c: Column | str, default: int = 12, top: int = 10_000) -> Column:
+def batch_size(c: Column | str, default: int = 12, top: int | None = None) -> Column:
+    """The first number that the text names, at least 1 and at most ``top`` if that is given."""
     number = F.regexp_extract(col(c), rules.BATCH_PATTERN, 1).try_cast("bigint")
-    return F.greatest(F.lit(1), F.least(F.lit(top), F.coalesce(number, F.lit(default)))).cast("bigint")
+    wanted = F.greatest(F.lit(1), F.coalesce(number, F.lit(default)))
+    return (wanted if top is None else F.least(F.lit(top), wanted)).cast("bigint")
 
 
 def iso_to_millis(c: Column | str) -> Column:

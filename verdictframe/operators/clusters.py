@@ -18,9 +18,9 @@ from verdictframe.functions.decide import (
     normalize_owner,
     root_cause,
 )
+from verdictframe.operators.ordered import attach, range_blocks, running_rank
 
 KEYS = ("error_type", "evidence_code", "task_type", "eval_method")
-MAX_CLUSTERS = 10
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
@@ -30,6 +30,14 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k:
     return top.withColumn(rank, F.col(rank).cast("bigint"))
 
 
+def ranked_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], rank: str = "rank") -> DataFrame:
+    """All rows with their place in their group, by blocks, so that no group needs one task."""
+    columns = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns({c: F.col(o) if isinstance(o, str) else o for c, o in zip(columns, order)})
+    blocked = range_blocks(keyed, list(by), columns)
+    return running_rank(blocked, list(by), columns, rank).drop("_block", *columns)
+
+
 def cluster_counts(results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = KEYS, idx: str = "idx") -> DataFrame:
     """Count, first id and last id of every failure cluster. Error types other than PASS are failures."""
     failed = (F.col("error_type") != "") & (F.col("error_type") != "PASS")
@@ -40,21 +48,19 @@ def cluster_counts(results: DataFrame, by: Sequence[str] = (), keys: Sequence[st
 
 
 def failure_clusters(
-    results: DataFrame, by: Sequence[str] = (), limit: int = MAX_CLUSTERS, idx: str = "idx"
+    results: DataFrame, by: Sequence[str] = (), limit: int | None = None, idx: str = "idx"
 ) -> DataFrame:
-    """The largest clusters (ties: first seen) with root cause, owner, action, priority and blast radius.
+    """Clusters by size (ties: first seen) with root cause, owner, action, priority and blast radius.
 
-    Item ids are not gathered; see ``cluster_members`` and ``top_examples``.
+    All of them, unless ``limit`` asks for the largest of each group. Item ids are not gathered; see ``cluster_members`` and ``top_examples``.
     """
     counts = cluster_counts(results, by, idx=idx)
-    order = [F.col("n").desc(), "first_idx"]
+    order = [-F.col("n"), "first_idx"]
+    ranked = ranked_rows(counts, by, order) if limit is None else top_rows(counts, by, order, limit)
     if by:
-        ranked = top_rows(counts, by, order, limit)
         totals = results.groupBy(*by).agg(F.count("*").alias("total"))
         ranked = ranked.join(totals, list(by))
     else:
-        best = counts.orderBy(*order).limit(limit)
-        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
         ranked = ranked.withColumn("total", results.select(F.count("*")).scalar())
     cause = root_cause("error_type", "evidence_code", "task_type")
     tier = blast_tier("n", "total")
@@ -75,11 +81,10 @@ def failure_clusters(
 
 def cluster_members(results: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long table (cluster, item): the members of the given clusters, however many they are."""
-    names = clusters.select(*by, *KEYS, "cluster_id")
-    if not by:
-        names = F.broadcast(names)  # at most the number of clusters that are reported
+    names = clusters.select(*by, *KEYS, "cluster_id", "n")
     failed = results.where((F.col("error_type") != "") & (F.col("error_type") != "PASS"))
-    return failed.join(names, [*by, *KEYS]).select(*by, "cluster_id", "idx", "item_id")
+    named = attach(failed.select(*by, *KEYS, "idx", "item_id"), names, [*by, *KEYS], spread_by="idx", copies="n")
+    return named.where(F.col("cluster_id").isNotNull()).select(*by, "cluster_id", "idx", "item_id")
 
 
 def top_examples(

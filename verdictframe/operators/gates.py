@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdictframe.functions import rules
 from verdictframe.functions.decide import lookup
 from verdictframe.functions.hashing import dedup_fingerprint
-from verdictframe.functions.schema import violated, violations
+from verdictframe.functions.schema import violated
 from verdictframe.functions.text import contains_any, instruction_header
 from verdictframe.operators.ordered import attach, id_blocks, running_rank
 from verdictframe.session import materialize
@@ -56,11 +56,6 @@ def as_variant(columns: Sequence[str]) -> Column:
     return F.to_variant_object(F.struct(*columns))
 
 
-def schema_messages(columns: Sequence[str], schema: dict = ITEM_SCHEMA, limit: int = 5) -> Column:
-    """First violations of a record made of typed columns."""
-    return violations(schema, as_variant(columns), limit)
-
-
 def item_violations() -> Column:
     """True where the typed item columns break the item or the oracle schema."""
     item = as_variant(list(ITEM_SCHEMA["properties"]))
@@ -174,9 +169,9 @@ def first_failure(
 # --- statistical gate ----------------------------------------------------------------------------------
 
 
-def first_seen(items: DataFrame, key: str = "fp", idx: str = "idx", carry: Sequence[str] = ()) -> DataFrame:
+def first_seen(items: DataFrame, key: str = "fp", idx: str = "idx") -> DataFrame:
     """One row per key: its first id and how many rows share it (combined before the shuffle)."""
-    return items.groupBy(key, *carry).agg(F.min(idx).alias("first_idx"), F.count("*").alias("n_copies"))
+    return items.groupBy(key).agg(F.min(idx).alias("first_idx"), F.count("*").alias("n_copies"))
 
 
 def flag_first(items: DataFrame, key: str = "fp", idx: str = "idx") -> DataFrame:
@@ -190,9 +185,14 @@ def slot_ranks(
 ) -> DataFrame:
     """First-seen rows with their place in the slot and whether the plan still has room.
 
-    ``planned`` has the slot columns and ``planned``; a slot without a plan has 0.
+    ``planned`` has the slot columns and ``planned``; a slot without a plan has 0. A key counts in the slot of
+    its first row, also where copies lie in other slots.
     """
-    firsts = first_seen(items, key, idx, slot)
+    firsts = materialize(
+        items.groupBy(key).agg(F.min(idx).alias("first_idx"), F.count("*").alias("n_copies"), F.min_by(F.struct(*slot), idx).alias("_slot"))
+        .select(key, "first_idx", "n_copies", "_slot.*"),
+        "firsts",
+    )
     ranked = running_rank(id_blocks(firsts, "first_idx"), list(slot), ["first_idx"], "slot_rank")
     return (
         ranked.join(planned, list(slot), "left")
@@ -234,7 +234,8 @@ def qa_gate(
     and only these are shuffled.
     """
     gate = item_violations() if schema_gate is None else schema_gate
-    fp = dedup_fingerprint("prompt", "task_type", "difficulty", "blueprint_id", "family_id")
+    kind = F.col("materializer_type") if "materializer_type" in items.columns else None
+    fp = dedup_fingerprint("prompt", "task_type", "difficulty", "blueprint_id", "family_id", kind)
     early = first_failure(allowed_tags, allowed_tasks, max_prompt, F.col("schema_failed"))
     narrow = materialize(
         items.withColumn("schema_failed", gate).select(

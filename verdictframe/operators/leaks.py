@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.operators.ordered import attach
+from verdictframe.operators.prefilter import only
 from verdictframe.session import materialize
 
 WORDS = 3
@@ -84,7 +85,8 @@ def contained_texts(
     candidates = materialize(candidates, "candidates")
     per_needle = candidates.groupBy(needle_id).agg(F.count("*").alias("_copies"))
     named = attach(candidates, source.join(per_needle, needle_id), [needle_id], doc_id, "_copies")
-    checked = named.join(texts, doc_id)
+    # texts of candidates only: the others are left out where they are scanned
+    checked = named.join(only(texts, candidates.select(doc_id), doc_id), doc_id)
     return checked.where(F.contains(F.lower("_text"), F.lower("_needle"))).select(doc_id, needle_id)
 
 

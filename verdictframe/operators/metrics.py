@@ -17,8 +17,13 @@ def latest_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return picked.select(*key, "_row.*")
 
 
-def join_results(results: DataFrame, items: DataFrame, oracles: DataFrame) -> DataFrame:
-    """Results with their item and oracle; results without both are dropped."""
+def join_results(results: DataFrame, items: DataFrame, oracles: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Results with their item and oracle; results without both are dropped.
+
+    With ``order`` an item or oracle may come more than once: its last row in that order counts.
+    """
+    if order:
+        items, oracles = (latest_by_key(df, ["item_id"], order).drop(*order) for df in (items, oracles))
     return results.join(items, "item_id").join(oracles, "item_id")
 
 

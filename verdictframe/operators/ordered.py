@@ -19,8 +19,16 @@ ROWS_PER_BLOCK = 1 << 20
 
 
 def id_blocks(df: DataFrame, id_col: str, rows: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Blocks of a unique integer order column: at most ``rows`` ids fit in one."""
-    return df.withColumn(BLOCK, F.floor(F.col(id_col) / F.lit(rows)).cast("bigint"))
+    """Blocks of a unique integer order column, of about ``rows`` rows.
+
+    The span of the ids is cut evenly into as many blocks as the number of rows asks for, so ids that lie
+    far apart do not give a block each.
+    """
+    id_ = F.col(id_col).cast("double")
+    spread_ = df.agg(F.struct(F.min(id_).alias("low"), F.max(id_).alias("high"), F.ceil(F.count("*") / F.lit(rows)).alias("n")).alias("s"))
+    spread_ = spread_.scalar()
+    width = F.greatest(F.lit(1.0), (spread_["high"] - spread_["low"] + 1) / F.greatest(F.lit(1), spread_["n"]))
+    return df.withColumn(BLOCK, F.floor((id_ - spread_["low"]) / width).cast("bigint"))
 
 
 def range_blocks(
@@ -123,20 +131,16 @@ def attach(
     spread_by: str,
     copies: str,
     hot_rows: int = 1_000_000,
-    max_hot: int = 10_000,
 ) -> DataFrame:
     """Left-join ``lookup`` (one row per key) to ``rows`` when a few keys may own most rows.
 
-    ``lookup[copies]`` tells how many rows share a key. The largest keys are salted: their rows are
-    spread by ``spread_by`` over ``copies / hot_rows`` tasks and their lookup row is repeated for each.
-    Only keys and salt counts of at most ``max_hot`` keys are broadcast; all others join as they are.
+    ``lookup[copies]`` tells how many rows share a key. Every key with more than ``hot_rows`` is salted: its
+    rows are spread by ``spread_by`` over ``copies / hot_rows`` tasks and its lookup row is repeated for each.
+    Only such keys and their salt counts are broadcast: at most one for each ``hot_rows`` rows of the table.
+    The lookup is written once, since it is read three times.
     """
-    hot = (
-        lookup.where(F.col(copies) > hot_rows)
-        .orderBy(F.col(copies).desc(), *keys)
-        .limit(max_hot)
-        .select(*keys, F.ceil(F.col(copies) / hot_rows).cast("int").alias("_salts"))
-    )
+    lookup = materialize(lookup, "lookup")
+    hot = lookup.where(F.col(copies) > hot_rows).select(*keys, F.ceil(F.col(copies) / hot_rows).cast("int").alias("_salts"))
     salts = F.coalesce("_salts", F.lit(1))
     salted_rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread_by), salts.cast("bigint")).cast("int")

@@ -16,15 +16,19 @@ SLOTS_PER_TASK = 100_000
 
 
 def allocate_quota(targets: DataFrame, quota: int | Column, blocks: int | None = None) -> DataFrame:
-    """Add ``count`` per target: minimum, floor of the proportional share up to the maximum, one more for
+    """Targets that get any, with ``count``: minimum, floor of the proportional share up to the maximum, one more for
     the largest fractions (ties: input order), then what is left in input order.
 
     The one-by-one hand-out has a closed form over two running totals, both taken over blocks.
     Capacity may fall short of the quota; ``shortfall`` tells by how much.
     """
-    base = targets.withColumn("_w", F.greatest(F.lit(1), F.coalesce("quota_weight", F.lit(1))).cast("bigint"))
-    totals = base.agg(F.sum("_w").alias("w"), F.sum("min_count").alias("m"))
+    # no maximum: up to the quota; no minimum: none
     quota_col = quota if isinstance(quota, Column) else F.lit(quota)
+    bounded = targets.withColumns({
+        "max_count": F.coalesce("max_count", quota_col).cast("bigint"), "min_count": F.coalesce("min_count", F.lit(0)).cast("bigint")
+    })
+    base = bounded.withColumn("_w", F.greatest(F.lit(1), F.coalesce("quota_weight", F.lit(1))).cast("bigint"))
+    totals = base.agg(F.sum("_w").alias("w"), F.sum("min_count").alias("m"))
     remaining = quota_col - totals.select("m").scalar()
     checked = F.when(remaining < 0, F.raise_error(F.lit("sum of min_count exceeds the quota")).cast("bigint")).otherwise(remaining)
     ideal = F.col("_rem") * (F.col("_w") / totals.select("w").scalar())
@@ -49,7 +53,8 @@ def allocate_quota(targets: DataFrame, quota: int | Column, blocks: int | None =
     second = second.withColumn("_space", F.greatest(F.lit(0), F.col("max_count") - F.col("_c2")))
     filled = running_sums(id_blocks(second, "idx"), [], ["idx"], {"_space_sum": F.col("_space")})
     extra = F.greatest(F.lit(0), F.least(F.col("_space"), F.col("_left") - (F.col("_space_sum") - F.col("_space"))))
-    return filled.select(*targets.columns, (F.col("_c2") + extra).cast("bigint").alias("count"))
+    counted = filled.withColumn("count", (F.col("_c2") + extra).cast("bigint"))
+    return counted.where(F.col("count") > 0).select(*targets.columns, "count")
 
 
 def shortfall(plan: DataFrame, quota: int | Column) -> DataFrame:
@@ -84,8 +89,8 @@ def planned_counts(slots: DataFrame, slot: Sequence[str]) -> DataFrame:
     return slots.groupBy(*slot).agg(F.count("*").alias("planned"))
 
 
-def resolve_tags(tags: Column, max_families: int = 20) -> Column:
-    """Families of capability tokens, first seen first, each once, at most ``max_families``."""
+def resolve_tags(tags: Column) -> Column:
+    """Families of capability tokens, first seen first, each once."""
     clean = F.transform(tags, lambda t: F.lower(F.trim(t)))
     groups = F.transform(
         clean,
@@ -94,11 +99,15 @@ def resolve_tags(tags: Column, max_families: int = 20) -> Column:
             F.array().cast("array<string>"),
         ),
     )
-    return F.slice(F.array_distinct(F.flatten(groups)), 1, max_families)
+    return F.array_distinct(F.flatten(groups))
 
 
-def variant_fanout(families: DataFrame) -> DataFrame:
-    """Rows per family: 1, 2 from weight 2, 3 from weight 4 or for a hard mix; names go round the pool."""
+def variant_fanout(families: DataFrame, longest: int = 64) -> DataFrame:
+    """Rows per family: 1, 2 from weight 2, 3 from weight 4 or for a hard mix; names go round the pool.
+
+    A name beyond ``longest`` characters is cut in front of its suffix and gets eight digits of its hash, so
+    that variants and families stay apart.
+    """
     weight, hard_mix = F.col("slot_weight"), F.col("hard_mix")
     n = F.when((weight >= 4) | (hard_mix & (weight >= 2)), 3).when(weight >= 2, 2).otherwise(1)
     hard_pool = F.coalesce(
@@ -109,10 +118,13 @@ def variant_fanout(families: DataFrame) -> DataFrame:
     rows = families.withColumn("_n", n).withColumn("_pool", pool)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("v"), F.col("_i") + 1)).otherwise("")
-    name = F.concat(F.lit("bp_"), F.replace("family_id", F.lit("."), F.lit("_")), F.lit("_"), F.col("difficulty"), suffix)
+    stem = F.concat(F.lit("bp_"), F.replace("family_id", F.lit("."), F.lit("_")), F.lit("_"), F.col("difficulty"))
+    stem = F.replace(stem, F.lit(" "), F.lit("_"))
+    room = F.lit(longest) - F.length(suffix)
+    short = F.concat(F.left(stem, room - 9), F.lit("_"), F.left(F.sha2(stem, 256), F.lit(8)))
     return rows.select(
         *families.columns,
-        F.left(F.replace(name, F.lit(" "), F.lit("_")), F.lit(64)).alias("blueprint_id"),
+        F.concat(F.when(F.length(stem) > room, short).otherwise(stem), suffix).alias("blueprint_id"),
         F.get("_pool", F.col("_i") % F.size("_pool")).alias("scenario_subtype"),
     )
 

@@ -27,7 +27,7 @@ def normalize_judgement(raw: Column | str) -> Column:
     return F.struct(
         verdict.alias("verdict"),
         score.alias("score"),
-        F.left(F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")), F.lit(2000)).alias("reason"),
+        F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")).alias("reason"),
         F.transform(
             evidence,
             lambda e: F.struct(
@@ -112,16 +112,16 @@ def judge_evidence(j1: Column, j2: Column, arbiter: Column, agreed: Column, pass
              F.initcap(agreed.cast("string")), " arbitration=", F.when(used, "used").otherwise("no")),
     )
     reasons = F.array_compact(F.array(
-        F.when(~passed, line("judge_1_reason=", F.left(j1["reason"], F.lit(200)))),
-        F.when(~passed, line("judge_2_reason=", F.left(j2["reason"], F.lit(200)))),
-        F.when(~passed & used, line("arbiter_reason=", F.left(arbiter["reason"], F.lit(200)))),
+        F.when(~passed, line("judge_1_reason=", j1["reason"])),
+        F.when(~passed, line("judge_2_reason=", j2["reason"])),
+        F.when(~passed & used, line("arbiter_reason=", arbiter["reason"])),
     ))
     cited = F.transform(
-        F.slice(F.when(used, arbiter["evidence"]).otherwise(j1["evidence"]), 1, 10),
+        F.when(used, arbiter["evidence"]).otherwise(j1["evidence"]),
         lambda e: F.struct(F.lit(None).cast("string").alias("message"), e["rule"].alias("rule"),
                            e["observation"].alias("observation")),
     )
-    return F.slice(F.concat(head, reasons, cited), 1, 10)
+    return F.concat(head, reasons, cited)
 
 
 def judge_prompt(task_type: Column | str, prompt: Column | str, requirements: Column | str, output: Column | str,
@@ -146,13 +146,12 @@ def judge_prompt(task_type: Column | str, prompt: Column | str, requirements: Co
     )
 
 
-# fixed value: closing instruction of the judge prompt
+# fixed values: closing instructions, headings and the line on disagreement in both prompts
 JUDGE_INSTRUCTIONS = (
     "Return a JSON object with: verdict (pass|fail), score (0-1), reason (short), evidence (array of {rule, observation} "
     "for each evidence requirement). Do not rely on free text alone; every conclusion must be backed by structured "
     "evidence."
 )
-# fixed value: closing instruction of the arbiter prompt
 ARBITER_INSTRUCTIONS = (
     "Return a JSON object: verdict (pass|fail), score (0-1), reason (short), evidence (array of {rule, observation} for "
     "each rubric rule). You must provide cited rule-by-rule evidence."

@@ -31,6 +31,22 @@ def join_results(spark: SparkSession, sf: str) -> DataFrame:
     return joined(spark, sf).select("idx", "item_id", "verdict", "task_type", "difficulty", "eval_method")
 
 
+@query("join_results_last_wins", """
+    WITH i AS (SELECT item_id, arg_max(difficulty, place) AS difficulty FROM (
+            SELECT item_id, difficulty, idx AS place FROM v_result_items
+            UNION ALL SELECT item_id, 'again', idx + 1000000000 FROM v_result_items WHERE idx % 4 = 1) GROUP BY item_id)
+    SELECT r.idx, r.item_id, r.verdict, i.difficulty, o.eval_method
+    FROM v_results r JOIN i ON r.item_id = i.item_id JOIN v_result_oracles o ON r.item_id = o.item_id""", JOIN_VIEWS)
+def join_results_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth item and every oracle comes twice."""
+    items = view(spark, sf, "v_result_items").select("item_id", "difficulty", F.col("idx").alias("place"))
+    again = items.where("place % 4 = 1").select("item_id", F.lit("again").alias("difficulty"), F.col("place") + 1_000_000_000)
+    oracles = view(spark, sf, "v_result_oracles").select("item_id", "eval_method", F.col("idx").alias("place"))
+    results = view(spark, sf, "v_results").select("idx", "item_id", "verdict")
+    joined_once = metrics.join_results(results, items.union(again), oracles.union(oracles), ["place"])
+    return joined_once.select("idx", "item_id", "verdict", "difficulty", "eval_method")
+
+
 def _slice_query(column: str) -> None:
     @query(f"slice_{column}", f"WITH {JOINED} SELECT {column} AS slice_value, {_RATES} FROM j GROUP BY {column}", JOIN_VIEWS)
     def one_slice(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +123,7 @@ _N = """n AS (SELECT error_type, evidence_code, task_type, eval_method, count(*)
              WHEN evidence_code = 'TOOL_ARGS_SCHEMA_FAILED' THEN 'tooling' WHEN evidence_code = 'TOOL_BINDING_MISMATCH' THEN 'model'
              ELSE 'eval' END AS owner,
            CASE WHEN n / total >= 0.3 OR n >= 10 THEN 1 WHEN n / total >= 0.1 OR n >= 3 THEN 2 ELSE 3 END AS priority
-    FROM r, t WHERE rank <= 10""", ("v_results",))
+    FROM r, t""", ("v_results",))
 def failure_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.failure_clusters(view(spark, sf, "v_results")).select("rank", "cluster_id", "n", "owner", "priority")
 
@@ -115,8 +131,7 @@ def failure_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query("cluster_members", f"""
     WITH {_N}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_idx) AS rank FROM n)
     SELECT v.error_type || CASE WHEN v.evidence_code <> '' THEN '/' || v.evidence_code ELSE '' END || '|' || v.task_type || '|' || v.eval_method
-           AS cluster_id, v.idx, v.item_id FROM v_results v JOIN r USING (error_type, evidence_code, task_type, eval_method)
-    WHERE rank <= 10""", ("v_results",))
+           AS cluster_id, v.idx, v.item_id FROM v_results v JOIN r USING (error_type, evidence_code, task_type, eval_method)""", ("v_results",))
 def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     results = view(spark, sf, "v_results")
     return clusters.cluster_members(results, clusters.failure_clusters(results))
@@ -198,7 +213,7 @@ def cluster_representative(spark: SparkSession, sf: str) -> DataFrame:
            CASE WHEN rank % 2 = 0 THEN 'cause ' || first_idx ELSE '' END AS cause,
            CASE WHEN rank % 2 = 0 THEN 'tooling' WHEN error_type = 'EXACT_MATCH_FAILED' THEN 'model'
              WHEN evidence_code = 'TOOL_ARGS_SCHEMA_FAILED' THEN 'tooling' WHEN evidence_code = 'TOOL_BINDING_MISMATCH' THEN 'model'
-             ELSE 'eval' END AS owner FROM r WHERE rank <= 10""", ("v_results",))
+             ELSE 'eval' END AS owner FROM r""", ("v_results",))
 def enrich_clusters(spark: SparkSession, sf: str) -> DataFrame:
     found = clusters.failure_clusters(view(spark, sf, "v_results"))
     analyst = found.where(F.col("rank") % 2 == 0).select(
@@ -227,7 +242,7 @@ REQUESTS_SQL = f"""
     r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, first_idx) AS rank FROM n),
     i AS (SELECT r.run_id, r.rank, r.error_type || CASE WHEN r.evidence_code <> '' THEN '/' || r.evidence_code ELSE '' END || '|'
               || r.task_type || '|' || r.eval_method AS cluster_id, {_ISSUE.replace("error_type", "r.error_type").replace("evidence_code", "r.evidence_code")} AS issue_type
-          FROM r JOIN v_results v ON v.idx = first_idx WHERE rank <= 10),
+          FROM r JOIN v_results v ON v.idx = first_idx),
     v(issue_type, priority, owner_type, what_to_collect) AS (VALUES {_REQUEST_VALUES}),
     q AS (SELECT run_id, issue_type, min(rank) AS position, arg_max(cluster_id, rank) AS cluster_id FROM i GROUP BY ALL)"""
 

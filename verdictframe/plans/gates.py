@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions import rules
 from verdictframe.functions.hashing import dedup_fingerprint
+from verdictframe.functions.text import normalize_prompt
 from verdictframe.operators import gates
 from verdictframe.operators.ordered import id_blocks, running_rank
 from verdictframe.operators.leaks import contained_texts
@@ -29,7 +30,7 @@ _HEADER = (
     "WHEN strpos(prompt, 'input json:') > 0 THEN substr(prompt, 1, strpos(prompt, 'input json:') - 1) "
     "WHEN strpos(prompt, chr(10) || 'Input ') > 0 THEN substr(prompt, 1, strpos(prompt, chr(10) || 'Input ') - 1) "
     "WHEN strpos(prompt, chr(10) || 'input ') > 0 THEN substr(prompt, 1, strpos(prompt, chr(10) || 'input ') - 1) "
-    "ELSE left(prompt, 500) END)"
+    "ELSE prompt END)"
 )
 _HAS = lambda phrases: "(" + " OR ".join(f"contains({_HEADER}, {sql_text(p)})" for p in phrases) + ")"
 
@@ -157,6 +158,20 @@ def gate_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return gates.stat_gate(copies(spark, sf), SLOT, _copies_plan(spark, sf)).select("idx", "stat_code")
 
 
+@query("gate_distribution_split", f"""
+    WITH {COPIES_SQL}, s AS (SELECT *, idx % 3 AS split FROM reached), plan AS (SELECT difficulty, split, count(*) // 4 AS planned FROM s GROUP BY ALL),
+    firsts AS (SELECT fp, min(idx) AS first_idx, arg_min(difficulty, idx) AS difficulty, arg_min(split, idx) AS split FROM s GROUP BY fp),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY difficulty, split ORDER BY first_idx) AS slot_rank FROM firsts)
+    SELECT s.idx, CASE WHEN slot_rank > planned + 1 THEN 'DISTRIBUTION_MISMATCH' WHEN s.idx = first_idx THEN '' ELSE 'DUPLICATE_ITEM' END AS stat_code
+    FROM s JOIN ranked k USING (fp) JOIN plan p ON p.difficulty = k.difficulty AND p.split = k.split""", ("v_items",))
+def gate_distribution_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Slots by a column that the fingerprint does not know: copies lie in other slots than their first."""
+    items = copies(spark, sf).withColumn("split", F.col("idx") % 3)
+    slot = ["difficulty", "split"]
+    planned = items.groupBy(*slot).agg(F.floor(F.count("*") / 4).alias("planned"))
+    return gates.stat_gate(items, slot, planned).select("idx", "stat_code")
+
+
 _EARLY = f"""CASE WHEN {SQL["schema"]} THEN 'SCHEMA_INVALID' WHEN {SQL["domain_tag"]} THEN 'DISALLOWED_DOMAIN_TAG'
     WHEN {SQL["task_type"]} THEN 'SCHEMA_INVALID' WHEN {SQL["method"]} THEN 'SCHEMA_INVALID'
     WHEN {SQL["rubric"]} THEN 'RUBRIC_INCOMPLETE' WHEN {SQL["output_schema"]} THEN 'SCHEMA_INVALID'
@@ -218,13 +233,13 @@ def duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_audit(copies(spark, sf))
 
 
-@query("suite_dedupe", """
-    WITH k AS (SELECT min(idx) AS idx, task_type FROM v_items GROUP BY task_type, substr(prompt, 1, 200)),
+@query("suite_dedupe", r"""
+    WITH k AS (SELECT min(idx) AS idx, task_type FROM v_items GROUP BY task_type, trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g'))),
     r AS (SELECT idx, task_type, row_number() OVER (ORDER BY idx) AS place FROM k)
     SELECT idx, task_type, place FROM r WHERE place <= (SELECT count(*) * 4 // 5 FROM v_items)""", ("v_items",))
 def suite_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """First item per task and prompt key (its first 200 characters, a fixed value) until the quota is full."""
-    items = view(spark, sf, "v_items").select("idx", "task_type", F.sha2(F.left("prompt", F.lit(200)), 256).alias("key"))
+    """First item per task and whole normalised prompt until the quota is full."""
+    items = view(spark, sf, "v_items").select("idx", "task_type", F.sha2(normalize_prompt("prompt"), 256).alias("key"))
     kept = items.groupBy("task_type", "key").agg(F.min("idx").alias("idx"))
     quota = items.select(F.floor(F.count("*") * 4 / 5)).scalar()
     ranked = running_rank(id_blocks(kept.select("idx", "task_type"), "idx"), [], ["idx"], "place")

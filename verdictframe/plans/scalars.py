@@ -58,7 +58,7 @@ _BRIEF = (
              WHEN strpos(t, 'input json:') > 0 THEN substr(t, 1, strpos(t, 'input json:') - 1)
              WHEN strpos(t, chr(10) || 'Input ') > 0 THEN substr(t, 1, strpos(t, chr(10) || 'Input ') - 1)
              WHEN strpos(t, chr(10) || 'input ') > 0 THEN substr(t, 1, strpos(t, chr(10) || 'input ') - 1)
-             ELSE left(t, 500) END AS h FROM p)
+             ELSE t END AS h FROM p)
     SELECT doc_id, regexp_replace(h, '^\s+|\s+$', '', 'g') AS header FROM h""")
 def instruction_header(spark: SparkSession, sf: str) -> DataFrame:
     prompts = table(spark, sf, "documents").select("doc_id", F.expr(_BRIEF).alias("t"))
@@ -325,7 +325,7 @@ def rule_tagging(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("text_first_match", rf"""
     WITH b AS (SELECT doc_id, {_BRIEFS} AS t FROM documents),
-    n AS (SELECT *, try_cast(regexp_extract(t, '(?i)\b(\d{{1,5}})\s*(?:items?|samples?|cases?|batch)?\b', 1) AS BIGINT) AS n FROM b)
+    n AS (SELECT *, try_cast(regexp_extract(t, '(?i)\b(\d+)\s*(?:items?|samples?|cases?|batch)?\b', 1) AS BIGINT) AS n FROM b)
     SELECT doc_id,
            CASE WHEN regexp_matches(lower(t), '{rules.OBJECTIVE_PATTERNS[0][0]}') THEN 'smoke'
                 WHEN regexp_matches(lower(t), '{rules.OBJECTIVE_PATTERNS[1][0]}') THEN 'regression'
@@ -334,7 +334,7 @@ def rule_tagging(spark: SparkSession, sf: str) -> DataFrame:
                 WHEN regexp_matches(lower(t), '{rules.GROUNDING_PATTERNS[1][0]}') THEN 'image_grounded' ELSE 'synthetic' END AS grounding,
            CASE WHEN regexp_matches(t, '{rules.HARD_PATTERN}') THEN 'hard'
                 WHEN regexp_matches(t, '{rules.EASY_PATTERN}') THEN 'easy' ELSE 'even' END AS difficulty_mix,
-           CAST(greatest(1, least(10000, coalesce(n, 12))) AS BIGINT) AS batch_size
+           CAST(greatest(1, coalesce(n, 12)) AS BIGINT) AS batch_size
     FROM n""")
 def text_first_match(spark: SparkSession, sf: str) -> DataFrame:
     briefs = spread(table(spark, sf, "documents")).select("doc_id", F.expr(_BRIEFS).alias("brief"))

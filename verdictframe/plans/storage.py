@@ -65,10 +65,13 @@ def version_stamp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("snapshot_fingerprint", """
-    WITH d AS (SELECT ('0x' || substr(sha256(event_id || '|' || user_id || '|' || event_type || '|' || props), 1, 15))::BIGINT AS d FROM events)
+    WITH d AS (SELECT ('0x' || substr(sha256(concat_ws('|', coalesce(length(event_id::VARCHAR) || ':' || event_id, 'n'), coalesce(length(user_id::VARCHAR) || ':' || user_id, 'n'),
+        coalesce(length(k) || ':' || k, 'n'), coalesce(length(props) || ':' || props, 'n'))), 1, 15))::BIGINT AS d FROM (SELECT *, nullif(event_type, 'view') AS k FROM events))
     SELECT count(*) AS n_rows, bit_xor(d) AS xor_digest, CAST(sum(d % 1000003) AS BIGINT) AS sum_digest FROM d""")
 def snapshot_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprint(table(spark, sf, "events"), "event_id", "user_id", "event_type", "props")
+    """With nulls in one column, which must count."""
+    kinds = F.nullif("event_type", F.lit("view")).alias("event_type")
+    return fingerprint(table(spark, sf, "events").select("event_id", "user_id", kinds, "props"), "event_id", "user_id", "event_type", "props")
 
 
 @query("runs_upsert", """

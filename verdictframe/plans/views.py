@@ -142,8 +142,8 @@ VIEWS: dict[str, str] = {
     "v_targets": """
         SELECT p_partkey AS idx, p_partkey AS target_id, p_brand AS family_id, p_type AS task_type,
                CAST(p_size AS BIGINT) AS quota_weight,
-               CAST(CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS min_count,
-               CAST(p_partkey % 7 AS BIGINT) AS max_count
+               CAST(CASE WHEN p_partkey % 13 = 5 THEN NULL WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS min_count,
+               CAST(CASE WHEN p_partkey % 97 = 3 THEN NULL ELSE p_partkey % 7 END AS BIGINT) AS max_count
         FROM @part""",
     # multi-field extraction, one per customer
     "v_structured": """
