@@ -36,7 +36,8 @@ def _subsequence(names: Column, wanted: Column) -> Column:
 
 
 def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str) -> DataFrame:
-    """Add ``trajectory``: outcome of the first failing step. ``expected`` and ``parsed`` are VARIANT and
+    """Add ``trajectory``, outcome of the first failing step, and ``trajectory_details``, what was expected and
+    observed there (JSON texts). ``expected`` and ``parsed`` are VARIANT and
     ``trace`` is ARRAY<STRUCT<name STRING, args VARIANT, result VARIANT>> (null when it is no list)."""
     spec = F.col(expected)
 
@@ -86,10 +87,38 @@ def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str) -> DataFr
     ]
     code = F.coalesce(*[F.when(test, F.lit(c)) for test, c, _ in codes], F.lit(""))
     step = F.coalesce(*[F.when(test, F.lit(s)) for test, _, s in codes], F.lit(""))
+
+    def shown(**parts: Column) -> Column:
+        return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+    absent = F.get(F.array_except(must, names), 0)
+    over = F.get(F.filter(limits, lambda e: F.size(calls_of(e["key"])) > e["value"]), 0)
+    loose = F.get(broken, 0)
+    bound_value = F.try_parse_json(json_path(F.get(calls_of(loose["tool"]), 0)["result"], loose["tool_path"]))
+    given_value = F.try_parse_json(json_path(parsed, loose["output_path"]))
+    at_binding = (step == "binding") & (code != "TOOL_BINDING_MISSING_OUTPUT")
+    details = F.struct(
+        F.when(step == "", None).when(step == "binding", "grounding").when(step == "args", "schema").otherwise("tool_use").alias("dimension"),
+        F.when(step == "must_include", absent).when(step == "max_calls", over["key"]).when(step == "args", arg_tool)
+        .when(at_binding, loose["tool"]).alias("tool_name"),
+        F.when(step == "required_first", shown(required_first=first)).when(step == "must_include", shown(must_include=absent))
+        .when(step == "max_calls", shown(max_calls=over["value"])).when(step == "sequence", shown(required_sequence=wanted))
+        .when(code == "TOOL_ARGS_SCHEMA_FAILED", shown(schema=part("$.arg_schema.schema", "variant")))
+        .when(step == "args", shown(tool=arg_tool))
+        .when(code == "TOOL_BINDING_MISMATCH", shown(output_path=loose["output_path"], value=bound_value)).alias("expected"),
+        F.when((step == "required_first") & (F.size(names) == 0), shown(names=names))
+        .when(step == "required_first", shown(first_tool=F.get(names, 0)))
+        .when(step == "must_include", shown(count=F.lit(0))).when(step == "max_calls", shown(count=F.size(calls_of(over["key"]))))
+        .when(step == "sequence", shown(names=names))
+        .when(code == "TOOL_ARGS_SCHEMA_FAILED", shown(args=args, validation_errors=bad_args))
+        .when(code == "TOOL_BINDING_MISMATCH", shown(value=given_value)).alias("observed"),
+        F.when(at_binding, shown(tool_path=loose["tool_path"], output_path=loose["output_path"])).alias("locator"),
+    )
     message = F.when(step == "", "trajectory_check passed").otherwise(
         F.concat(F.lit("trajectory_check failed ("), step, F.lit(")"))
     )
-    return with_args.withColumn("trajectory", outcome(code == "", code, message, step)).drop("_arg_schema", "_args")
+    scored = with_args.withColumns({"trajectory": outcome(code == "", code, message, step), "trajectory_details": details})
+    return scored.drop("_arg_schema", "_args")
 
 
 def long_trace_codes(

@@ -29,11 +29,21 @@ def _entry(method: Column | str, ran: Column, passed: Column, reason: Column) ->
     return F.struct(name.alias("method"), ran.alias("ran"), passed.alias("passed"), reason.alias("reason"))
 
 
+EVIDENCE = "array<struct<kind:string,code:string,dimension:string,tool_name:string,expected:string,observed:string,locator:string,message:string>>"
+
+
+def _evidence(kind: Column | str, message: Column, code: Column | str | None = None, **more: Column) -> Column:
+    """One entry; parts that do not apply are null, a code only where something failed."""
+    given = {"kind": kind, "code": code, "message": message, **more}
+    names = ("kind", "code", "dimension", "tool_name", "expected", "observed", "locator", "message")
+    return F.struct(*[(v if isinstance(v := given.get(n), Column) else F.lit(v)).cast("string").alias(n) for n in names])
+
+
 def verify(responses: DataFrame) -> DataFrame:
     """Score every response.
 
     Needs item_id, eval_method, output_schema and raw_output; see ``OPTIONAL`` for the rest (JSON texts
-    are parsed here, once). Adds verdict, score, error_type, evidence_code, message and the
+    are parsed here, once). Adds verdict, score, error_type, evidence_code, message, the evidence and the
     verification_ladder; a scorer that cannot read a row fails that row, never the job.
     """
     given = responses.columns
@@ -97,6 +107,31 @@ def verify(responses: DataFrame) -> DataFrame:
     ladder = F.when(http_failed, F.array().cast("array<struct<method:string,ran:boolean,passed:boolean,reason:string>>")).otherwise(
         F.when((pre != "") | (method == "schema_check"), F.array(first)).otherwise(F.array(first, second))
     )
+    main_message, failing = F.col("_main.message"), F.when(code != "", code)
+    trace = F.col("trajectory_details")
+    field = F.col("_main.field")
+
+    def at_field(source: str) -> Column:
+        return F.when(field.isNotNull(), F.to_json(F.try_element_at(F.try_variant_get(source, "$", "map<string,variant>"), field)))
+
+    programmatic = _evidence(
+        "programmatic_check", main_message, failing,
+        dimension=F.when(~ok, F.when(F.col("task_type") == "json_extract_structured", "structured_extraction").otherwise("programmatic")),
+        expected=F.when(~ok, at_field("_expected")), observed=F.when(~ok, at_field("parsed")),
+        locator=F.when(~ok & field.isNotNull(), F.to_json(F.struct(field.alias("field")))),
+    )
+    trajectory_ = _evidence(
+        "trajectory_check", main_message, failing, **{n: trace[n] for n in ("dimension", "tool_name", "expected", "observed", "locator")}
+    )
+    evidence = (
+        F.when(http_failed, _evidence("transport", F.concat(F.lit("status_code="), "status_code"), "SUT_HTTP_ERROR"))
+        .when(pre != "", _evidence("schema_check", first["reason"], pre, dimension=F.lit("schema")))
+        .when(code.isin("UNKNOWN_CHECKER", "UNSUPPORTED_EVAL_METHOD"), _evidence("router", main_message, code))
+        .when(method == "programmatic_check", programmatic)
+        .when(method == "trajectory_check", trajectory_)
+        .when(method == "rubric_judge", _evidence("rubric_judge", main_message, F.when(F.col("error_type") != "", F.col("error_type"))))
+        .otherwise(_evidence(method, main_message, failing))
+    )
     return scored.select(
         *responses.columns,
         *[c for c in ("task_type",) if c not in responses.columns],
@@ -105,6 +140,7 @@ def verify(responses: DataFrame) -> DataFrame:
         failed_as.alias("error_type"),
         F.when(http_failed | (pre != ""), "").otherwise(code).alias("evidence_code"),
         F.coalesce(F.col("_main.message"), F.array_join("schema_messages", "; ")).alias("message"),
+        F.array(evidence).cast(EVIDENCE).alias("evidence"),
         ladder.alias("verification_ladder"),
     )
 

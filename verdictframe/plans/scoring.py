@@ -438,6 +438,49 @@ def verify_all(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("verify_evidence", f"""
+    WITH e AS (SELECT *, {_ROW_TRACE_CODE} AS tc, CASE event_id % 4 WHEN 0 THEN 'schema_check' WHEN 1 THEN 'unit_test' WHEN 2 THEN 'exact_match'
+                   ELSE 'trajectory_check' END AS method FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)),
+    s AS (SELECT idx, exp_name, raw_output, CASE WHEN idx % 7 = 0 THEN 'STRUCTURED_FIELD_MISSING' WHEN idx % 11 = 0 THEN 'STRUCTURED_EXTRA_FIELD_PRESENT'
+             WHEN idx % 5 = 0 THEN 'STRUCTURED_FIELD_VALUE_MISMATCH' END AS code FROM v_structured),
+    r AS (SELECT *, evidence_requirements IS NOT NULL AS asked, verdict_1 = verdict_2 AND abs(score_1 - score_2) < 0.15 AS agreed FROM v_judges),
+    o AS (SELECT item_id, CASE WHEN NOT asked THEN 'RUBRIC_JUDGE_FAILED' WHEN agreed THEN CASE WHEN verdict_1 = 'fail' THEN 'RUBRIC_JUDGE_FAILED' END
+                 WHEN verdict_3 IS NULL THEN 'JUDGE_SYSTEM_ERROR' WHEN verdict_3 = 'fail' THEN 'RUBRIC_JUDGE_FAILED' END AS code FROM r)
+    SELECT 'e' || event_id AS item_id, CASE method WHEN 'unit_test' THEN 'router' ELSE method END AS kind,
+           CASE method WHEN 'unit_test' THEN 'UNSUPPORTED_EVAL_METHOD' WHEN 'exact_match' THEN CASE WHEN k % 9 = 0 THEN 'EXACT_MATCH_FAILED' END
+                       WHEN 'trajectory_check' THEN nullif(tc, '') END AS code,
+           CASE WHEN method <> 'trajectory_check' OR tc = '' THEN NULL WHEN tc = 'TOOL_BINDING_MISMATCH' THEN 'grounding'
+                WHEN tc = 'TOOL_ARGS_SCHEMA_FAILED' THEN 'schema' ELSE 'tool_use' END AS dimension,
+           CASE WHEN method = 'trajectory_check' AND tc IN ('TOOL_MAX_CALLS_EXCEEDED', 'TOOL_ARGS_SCHEMA_FAILED', 'TOOL_BINDING_MISMATCH') THEN 'search' END AS tool_name,
+           CASE WHEN method <> 'trajectory_check' THEN NULL WHEN tc = 'TOOL_MAX_CALLS_EXCEEDED' THEN '{{"max_calls":1}}'
+                WHEN tc = 'TOOL_SEQUENCE_MISSING' AND k % 5 = 0 THEN '{{"required_first":["search"]}}'
+                WHEN tc = 'TOOL_SEQUENCE_MISSING' THEN '{{"required_sequence":["search","answer"]}}'
+                WHEN tc = 'TOOL_ARGS_SCHEMA_FAILED' THEN '{{"schema":{{"properties":{{"query":{{"minLength":5,"type":"string"}}}},"type":"object"}}}}'
+                WHEN tc = 'TOOL_BINDING_MISMATCH' THEN '{{"output_path":"$.k","value":' || (k + 1) || '}}' END AS expected,
+           CASE WHEN method <> 'trajectory_check' THEN NULL WHEN tc = 'TOOL_MAX_CALLS_EXCEEDED' THEN '{{"count":2}}'
+                WHEN tc = 'TOOL_SEQUENCE_MISSING' AND k % 5 = 0 THEN '{{"first_tool":"answer"}}'
+                WHEN tc = 'TOOL_SEQUENCE_MISSING' THEN '{{"names":["search"]}}'
+                WHEN tc = 'TOOL_ARGS_SCHEMA_FAILED' THEN '{{"args":{{"query":"' || event_type || '"}},"validation_errors":["$.query: minLength"]}}'
+                WHEN tc = 'TOOL_BINDING_MISMATCH' THEN '{{"value":' || k || '}}' END AS observed,
+           CASE WHEN method = 'trajectory_check' AND tc = 'TOOL_BINDING_MISMATCH' THEN '{{"tool_path":"$.hit.k","output_path":"$.k"}}' END AS locator FROM e
+    UNION ALL
+    SELECT 's' || idx, 'programmatic_check', code, CASE WHEN code IS NOT NULL THEN 'programmatic' END, NULL,
+           CASE WHEN code = 'STRUCTURED_FIELD_MISSING' THEN '"' || (SELECT c_mktsegment FROM customer WHERE c_custkey = idx) || '"'
+                WHEN code = 'STRUCTURED_FIELD_VALUE_MISMATCH' THEN '"' || exp_name || '"' END,
+           CASE WHEN code = 'STRUCTURED_FIELD_VALUE_MISMATCH' THEN '"' || json_extract_string(raw_output, '$.name') || '"' END,
+           CASE WHEN code = 'STRUCTURED_FIELD_MISSING' THEN '{{"field":"segment"}}' WHEN code = 'STRUCTURED_FIELD_VALUE_MISMATCH' THEN '{{"field":"name"}}' END FROM s
+    UNION ALL SELECT 'j' || item_id, 'rubric_judge', code, NULL, NULL, NULL, NULL, NULL FROM o""", ("v_structured", "v_judges"))
+def verify_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What each result rests on: code, expected, observed, locator and dimension, for tool calls, fields and judges."""
+    judges = [f"{n}_{i}" for i in (1, 2, 3) for n in ("verdict", "score")]
+    rubric = view(spark, sf, "v_judges").select(
+        F.concat(F.lit("j"), "item_id").alias("item_id"), F.lit("rubric_judge").alias("eval_method"), F.lit(ANY_OBJECT).alias("output_schema"),
+        F.lit("{}").alias("raw_output"), "evidence_requirements", *judges,
+    )
+    rows = structured_responses(spark, sf).unionByName(call_responses(spark, sf)).unionByName(rubric, allowMissingColumns=True)
+    return verify.verify(rows).select("item_id", F.inline("evidence")).drop("message")
+
+
 @query("expectation_check", f"""
     WITH {MATH_CODES}, {MIXED},
     x AS (SELECT *, CASE WHEN item_id LIKE 's%' THEN 'pass' WHEN CAST(substr(item_id, 2) AS BIGINT) % 3 <> 0 THEN 'fail' END AS want
