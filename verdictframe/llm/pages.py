@@ -76,7 +76,7 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
-    names = sorted(attributes.get("class", "").lower().split())[:2]
+    names = sorted(attributes.get("class", "").lower().split())[:2] if tag not in ("html", "body") else ()
     return ".".join([tag, *(re.sub(r"\d+", "#", x) for x in names)])
 
 
