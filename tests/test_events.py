@@ -99,11 +99,8 @@ def test_streams_over_several_batches_equal_one_batch(spark, tmp_path):
     assert {tuple(r) for r in counted.select("run_id", "stage", "starts", "ok", "fail").collect()} == {
         tuple(r) for r in live.stage_counters(whole).collect()
     }
-    kept = live.first_seen(stream().select("run_id", "event_id"), "run_id", "event_id").collect()
-    assert len(kept) == len({r[1] for r in rows})
-    first_batch_ids = {}
-    for k, r in enumerate(rows):
-        key = (r[1], k * 4 // len(rows))
-        first_batch_ids[key] = min(first_batch_ids.get(key, 1 << 30), r[0])
-    want = {run: first_batch_ids[run, min(p for q, p in first_batch_ids if q == run)] for run in {r[1] for r in rows}}
-    assert {r["run_id"]: r["event_id"] for r in kept} == want
+    kept = live.run_to_table(live.first_seen(stream().select("run_id", "event_id"), "run_id", "event_id"), "update", ["run_id"]).collect()
+    first = {}
+    for r in rows:
+        first[r[1]] = min(first.get(r[1], 1 << 30), r[0])
+    assert {r["run_id"]: r["event_id"] for r in kept} == first

@@ -51,6 +51,84 @@ ORACLE_SCHEMA = {
     },
 }
 
+_TEXT = {"type": "string"}
+_NAME = {"type": "string", "minLength": 1, "maxLength": 64}
+_OBJECT = {"type": "object"}
+# fixed values: the whole item and oracle records, closed objects with all their required fields
+ITEM_RECORD = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": [
+        "item_id", "dataset_spec_version", "domain_tags", "difficulty", "task_type", "prompt", "input", "input_schema", "output_schema",
+        "constraints", "provenance",
+    ],
+    "properties": {
+        **ITEM_SCHEMA["properties"],
+        "dataset_spec_version": _NAME,
+        "input": _OBJECT,
+        "input_schema": _OBJECT,
+        "output_schema": _OBJECT,
+        "constraints": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["no_subjective_judgement", "safety_notes", "locked_fields"],
+            "properties": {
+                "no_subjective_judgement": {"const": True},
+                "safety_notes": {"type": "string", "maxLength": 2000},
+                "locked_fields": {"type": "array", "items": _TEXT, "minItems": 1, "maxItems": 32},
+            },
+        },
+        "provenance": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["created_at", "created_by", "source"],
+            "properties": {
+                "created_at": _TEXT,
+                "created_by": {"type": "string", "minLength": 1, "maxLength": 128},
+                "source": {"type": "string", "enum": ["synthetic", "prod_log", "human_curated", "web_grounded", "image_grounded"]},
+                **{k: {"type": "array", "items": _OBJECT} for k in ("source_refs", "asset_refs", "tool_calls")},
+                **{k: {"type": "string", "maxLength": 64} for k in ("blueprint_id", "family_id", "materializer_type")},
+            },
+        },
+        "version_bundle": _OBJECT,
+        "judge_spec_id": _NAME,
+    },
+}
+ORACLE_RECORD = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["item_id", "eval_method", "expected", "method_justification", "evidence_requirements", "leak_check", "created_at"],
+    "properties": {
+        "item_id": ITEM_SCHEMA["properties"]["item_id"],
+        **ORACLE_SCHEMA["properties"],
+        "expected": {},
+        "method_justification": {"type": "string", "minLength": 1, "maxLength": 4000},
+        "evidence_requirements": {"type": ["object", "null"]},
+        "leak_check": {
+            "type": "object",
+            "additionalProperties": False,
+            "required": ["passed", "notes"],
+            "properties": {"passed": {"type": "boolean"}, "notes": {"type": "string", "maxLength": 2000}},
+        },
+        "created_at": _TEXT,
+        "checker_name": _NAME,
+        "checker_config": _OBJECT,
+        "failure_taxonomy": {"type": "array", "items": {"type": "string", "minLength": 1, "maxLength": 128}},
+        "canonicalization_rules": {"type": "array"},
+        "candidate_methods": {"type": "array", "items": _TEXT},
+        "selected_method": _TEXT,
+        "selection_rationale": _TEXT,
+        "rejected_methods": {"type": "array", "items": _OBJECT},
+        "rubric_schema_version": _TEXT,
+        "version_bundle": _OBJECT,
+    },
+}
+
+
+def record_violations(item: Column, oracle: Column) -> Column:
+    """True where a whole item or oracle record (VARIANT) is missing or breaks its schema."""
+    return item.isNull() | oracle.isNull() | violated(ITEM_RECORD, item) | violated(ORACLE_RECORD, oracle)
+
 
 def as_variant(columns: Sequence[str]) -> Column:
     return F.to_variant_object(F.struct(*columns))

@@ -178,6 +178,17 @@ def plan_membership(spark: SparkSession, sf: str) -> DataFrame:
     return plan_examples(spark, sf).join(wanted, "item_id", "left_semi").select("cluster_id", "item_id")
 
 
+@query("item_trace_events", """
+    SELECT r.idx, e.event_id, e.run_id, e.stage, e.status, e.failure_code
+    FROM v_results r JOIN v_run_events e ON e.item_id <> '' AND CAST(split_part(e.item_id, '_', 2) AS BIGINT) = r.idx""", ("v_results", "v_run_events"))
+def item_trace_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of each item as rows; an item with very many is not gathered."""
+    log = view(spark, sf, "v_run_events").where("item_id <> ''").select(
+        F.split_part("item_id", F.lit("_"), F.lit(2)).cast("bigint").alias("idx"), "event_id", "run_id", "stage", "status", "failure_code"
+    )
+    return log.join(view(spark, sf, "v_results").select("idx"), "idx")
+
+
 @query("item_trace", f"""
     WITH {_EXAMPLES},
     ev AS (SELECT CAST(split_part(item_id, '_', 2) AS BIGINT) AS k, count(*) AS n_events, min(event_id) AS first_event, arg_max(stage, event_id) AS last_stage

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictframe.functions.hashing import artifact_ref, snapshot_fingerprint as fingerprint
-from verdictframe.operators import metrics
-from verdictframe.operators.gates import ITEM_SCHEMA, ORACLE_SCHEMA
+from verdictframe.operators import clusters, metrics
+from verdictframe.operators.gates import ITEM_RECORD, ORACLE_RECORD, record_violations
+from verdictframe.plans.analytics import REQUESTS_SQL
 from verdictframe.plans.registry import query
 from verdictframe.plans.views import table, view
-from verdictframe.session import scratch_path
+from verdictframe.session import materialize, scratch_path
 from verdictframe.sources import envelope, files
 
 
@@ -33,21 +36,48 @@ def write_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_jsonl(spark, path, rows.schema)
 
 
-@query("suite_strict_load", r"""
-    SELECT idx, CASE WHEN idx % 31 = 0 THEN 'not_json' WHEN idx % 37 = 0 THEN 'missing_oracle'
-           WHEN NOT regexp_matches(item_id, '^[a-z0-9_\-]{8,64}$') OR length(prompt) NOT BETWEEN 1 AND 20000 THEN 'invalid_item'
-           ELSE '' END AS problem FROM v_items""", ("v_items",))
+_BAD_ITEM = r"(NOT regexp_matches(item_id, '^[a-z0-9_\-]{8,64}$') OR length(prompt) NOT BETWEEN 1 AND 20000 OR idx % 41 = 0 OR idx % 43 = 0)"
+
+
+def suite_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole item and oracle records as JSON lines, some broken in one way or another."""
+    idx = F.col("idx")
+    every = lambda n: idx % n == 0
+    made = F.lit("2024-01-01T00:00:00Z")
+    item = F.struct(
+        "item_id", F.lit("1.0.0").alias("dataset_spec_version"), F.array("domain_tag").alias("domain_tags"), "difficulty", "task_type", "prompt",
+        F.struct("family_id").alias("input"), F.struct(F.lit("object").alias("type")).alias("input_schema"),
+        F.struct(F.lit("object").alias("type")).alias("output_schema"),
+        F.struct(~every(41), F.lit("").alias("safety_notes"), F.array(F.lit("prompt")).alias("locked_fields")).cast(
+            "struct<no_subjective_judgement:boolean,safety_notes:string,locked_fields:array<string>>").alias("constraints"),
+        F.struct(made.alias("created_at"), F.lit("builder").alias("created_by"), F.lit("synthetic").alias("source"), "blueprint_id").alias("provenance"),
+        F.when(every(43), "unknown field").alias("remark"),  # a null is left out of the JSON text
+    )
+    oracle = F.struct(
+        "item_id", "eval_method", F.struct("domain_tag").alias("expected"), F.when(~every(47), "fixed answer").alias("method_justification"),
+        F.struct(F.lit("reasoning").alias("evidence")).alias("evidence_requirements"),
+        F.struct(F.col("leak_passed").alias("passed"), F.lit("").alias("notes")).alias("leak_check"), made.alias("created_at"),
+    )
+    row = F.to_json(F.struct("idx", item.alias("item"), F.when(~every(37), oracle).alias("oracle")))
+    return view(spark, sf, "v_items").select("idx", F.when(every(31), "{broken").otherwise(row).alias("value"))
+
+
+@query("suite_strict_load", f"""
+    SELECT idx, CASE WHEN idx % 31 = 0 THEN 'not_json' WHEN idx % 37 = 0 THEN 'missing_oracle' WHEN {_BAD_ITEM} THEN 'invalid_item'
+           WHEN idx % 47 = 0 THEN 'invalid_oracle' ELSE '' END AS problem FROM v_items""", ("v_items",))
 def suite_strict_load(spark: SparkSession, sf: str) -> DataFrame:
-    items = view(spark, sf, "v_items").withColumn("domain_tags", F.array("domain_tag"))
-    item = F.struct("item_id", "domain_tags", "difficulty", "task_type", "prompt")
-    oracle = F.when(F.col("idx") % 37 != 0, F.struct("eval_method"))
-    line = F.when(F.col("idx") % 31 == 0, "{broken").otherwise(F.to_json(F.struct("idx", item.alias("item"), oracle.alias("oracle"))))
-    lines = items.select("idx", line.alias("value"))
-    schemas = {"item": ITEM_SCHEMA, "oracle": ORACLE_SCHEMA}
-    checked = files.load_suite(lines, schemas, strict=False, keep=["idx"])
+    schemas = {"item": ITEM_RECORD, "oracle": ORACLE_RECORD}
+    checked = files.load_suite(suite_lines(spark, sf), schemas, strict=False, keep=["idx"])
     return checked.select("idx", "problem")
 
 
+@query("gate_schema_records", f"SELECT idx, idx % 31 = 0 OR idx % 37 = 0 OR idx % 47 = 0 OR {_BAD_ITEM} AS failed FROM v_items", ("v_items",))
+def gate_schema_records(spark: SparkSession, sf: str) -> DataFrame:
+    row = F.try_parse_json("value")
+    part = lambda key: F.try_variant_get(row, f"$.{key}", "variant")
+    return suite_lines(spark, sf).select("idx", record_violations(part("item"), part("oracle")).alias("failed"))
+
+
 @query("artifact_refs", "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes, 'text/plain' AS mime, doc_id || '_raw.txt' AS uri FROM documents")
 def artifact_refs(spark: SparkSession, sf: str) -> DataFrame:
     ref = artifact_ref("text", F.concat("doc_id", F.lit("_raw.txt")))
@@ -102,25 +132,50 @@ def runs_backfill(spark: SparkSession, sf: str) -> DataFrame:
     )
     broken = per_run.select(F.concat("run_id", F.lit("_bad")).alias("run_id"), F.lit('{"run_id": ').alias("value"))
     both = per_run.unionByName(broken).withColumn("dir", F.col("run_id"))
-    both.select("value", "dir").write.partitionBy("dir").text(folder)
-    records = spark.read.schema(files.RUN_RECORD).option("mode", "DROPMALFORMED").json(f"{folder}/*")
-    return files.run_rows(records).select("run_id", "dataset_name", "items_total", "eval_passed")
+    both.select("value", "dir").repartition("dir").write.partitionBy("dir").text(folder)
+    return files.backfill_runs(spark, folder, "*.txt").select("run_id", "dataset_name", "items_total", "eval_passed")
 
 
-@query("package_run", """
+@query("package_run", f"""
+    WITH {REQUESTS_SQL}
     SELECT 'eval_results' AS table_name, run_id, count(*) AS n FROM v_results GROUP BY run_id
-    UNION ALL SELECT 'failures', run_id, count(*) FROM v_results WHERE verdict = 'fail' GROUP BY run_id""", ("v_results",))
+    UNION ALL SELECT 'released_items', run_id, count(*) FROM v_results r JOIN v_result_items i ON r.item_id = i.item_id GROUP BY run_id
+    UNION ALL SELECT 'released_oracles', run_id, count(*) FROM v_results r JOIN v_result_oracles o ON r.item_id = o.item_id GROUP BY run_id
+    UNION ALL SELECT 'clusters', run_id, count(*) FROM n GROUP BY run_id
+    UNION ALL SELECT 'action_plans', run_id, count(*) FROM n GROUP BY run_id
+    UNION ALL SELECT 'data_requests', run_id, count(*) FROM q GROUP BY run_id
+    UNION ALL SELECT 'release_manifest', run_id, count(*) FROM v_results r JOIN v_result_items i ON r.item_id = i.item_id
+              JOIN v_result_oracles o ON r.item_id = o.item_id GROUP BY run_id
+    UNION ALL SELECT 'run_summary', run_id, 1 FROM v_results GROUP BY run_id
+    UNION ALL SELECT 'data_card', run_id, 1 FROM v_results GROUP BY run_id""", ("v_results", "v_result_items", "v_result_oracles"))
 def package_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables of a release, checked, written and read back."""
     folder = scratch_path(spark, "release")
-    results = view(spark, sf, "v_results").select("run_id", "item_id", "verdict", "error_type")
-    tables = {"eval_results": results, "failures": results.where("verdict = 'fail'")}
-    files.package_run(tables, folder)
-    written = [
-        spark.read.schema(results.schema).parquet(f"{folder}/{name}").groupBy("run_id").agg(F.count("*").alias("n"))
-        .select(F.lit(name).alias("table_name"), "run_id", "n")
-        for name in tables
+    results = view(spark, sf, "v_results")
+    place = results.select("run_id", "item_id")
+    items, oracles = (view(spark, sf, f"v_result_{n}").join(place, "item_id") for n in ("items", "oracles"))
+    found = materialize(clusters.failure_clusters(results, ["run_id"]), "clusters")
+    summary = metrics.run_metrics(results, ["run_id"])
+    card = place.groupBy("run_id").agg(F.concat(F.count("*"), F.lit(" items")).alias("composition"))
+    tables = {
+        "eval_results": results.select("run_id", "item_id", "verdict", "error_type"),
+        "released_items": items,
+        "released_oracles": oracles,
+        "clusters": found.drop("owner", "next_action", "priority"),
+        "action_plans": found.select("run_id", "cluster_id", "owner", "next_action", "priority"),
+        "data_requests": clusters.data_requests(clusters.representatives(found, results, ["message"]), ["run_id"]),
+        "release_manifest": manifest(spark, sf).join(place, "item_id"),
+        "run_summary": summary,
+        "data_card": card,
+    }
+    needed = {"eval_results": ["item_id", "verdict"], "clusters": ["cluster_id"], "action_plans": ["owner", "next_action"], "released_oracles": ["eval_method"]}
+    files.package_run(tables, folder, required=needed)
+    counted = [
+        spark.read.schema(df.select(*[c for c in df.columns if c != "run_id"], "run_id").schema).parquet(f"{folder}/{name}")
+        .groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "run_id", "n")
+        for name, df in tables.items()
     ]
-    return written[0].unionByName(written[1])
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("release_manifest", """
@@ -129,6 +184,10 @@ def package_run(spark: SparkSession, sf: str) -> DataFrame:
     FROM v_results r JOIN v_result_items i ON r.item_id = i.item_id JOIN v_result_oracles o ON r.item_id = o.item_id""",
        ("v_results", "v_result_items", "v_result_oracles"))
 def release_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest(spark, sf)
+
+
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
     def ref(name: str, *columns: str):
         return artifact_ref(F.concat_ws("|", *columns), F.concat("item_id", F.lit(f"_{name}.json")), "application/json").alias(name)
 

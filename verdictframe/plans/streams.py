@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from verdictframe.plans.registry import query
 from verdictframe.plans.runs import FIFO
 from verdictframe.plans.views import table
+from verdictframe.session import scratch_path
 from verdictframe.streaming import live
 
 _STAGE = "CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 'VERIFY' ELSE 'GENERATE_ITEM' END"
 _STATUS = "CASE WHEN event_type IN ('click', 'view') THEN 'start' WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END"
 
 
+BATCHES = 3
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    return live.read_stream(spark, f"{sf.rstrip('/')}/events.parquet*", schema).select(
+    """The event log as it would arrive: files in time order, each a batch of its own."""
+    log, folder = table(spark, sf, "events"), scratch_path(spark, "feed")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = log.select(F.percentile_approx(at, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < at))
+    for i in range(BATCHES):
+        log.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return live.read_stream(spark, folder, log.schema, files_per_trigger=1).select(
         "event_id", F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.expr(_STAGE).alias("stage"), F.expr(_STATUS).alias("status"),
     )
@@ -39,7 +49,7 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_dedup", "SELECT user_id AS run_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_stream(spark, sf).select("run_id", "event_id")
-    return live.first_seen(rows, "run_id", "event_id").select("run_id", "event_id")
+    return live.run_to_table(live.first_seen(rows, "run_id", "event_id"), "update", ["run_id"], "dedup").select("run_id", "event_id")
 
 
 @query("stream_fifo", f"WITH {FIFO} SELECT run_id, stage, start_id, end_id, duration_us FROM fifo", ("v_stage_events",))

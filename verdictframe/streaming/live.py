@@ -42,28 +42,15 @@ def progress(events: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(items: DataFrame, fp: str, idx: str, label: str = "dedup") -> DataFrame:
-    """First row of every fingerprint, over all batches; what was kept is the table of seen keys.
+def first_seen(items: DataFrame, fp: str, idx: str) -> DataFrame:
+    """First row by ``idx`` of every fingerprint, over all batches.
 
-    Copies inside a batch are combined before the shuffle, so a key that floods the stream is no
-    hot task, and no state outgrows memory.
+    The engine's state holds one row for each fingerprint and no batch reads history again. Copies inside a
+    batch are combined before the shuffle, so a key that floods the stream is no hot task. Run it in update
+    mode with the fingerprint as the key.
     """
-    spark = items.sparkSession
-    folder = scratch_path(spark, label)
     rest = [c for c in items.columns if c != fp]
-    schema = StructType([*items.select(fp, *rest).schema.fields, StructField("batch", LongType())])
-
-    def seen() -> DataFrame:
-        return spark.read.schema(schema).option("basePath", f"{folder}/data").parquet(f"{folder}/data")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        firsts = batch.groupBy(fp).agg(F.min_by(F.struct(*rest), idx).alias("_row")).select(fp, "_row.*")
-        if batch_id > 0:
-            firsts = firsts.join(seen().where(F.col("batch") < batch_id).select(fp), fp, "left_anti")
-        firsts.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
-
-    _drain(items, write, "append", folder)
-    return seen().drop("batch")
+    return items.groupBy(fp).agg(F.min_by(F.struct(*rest), idx).alias("_row")).select(fp, "_row.*")
 
 
 def failure_rate(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
