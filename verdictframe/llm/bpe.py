@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,24 @@ NEVER = 1 << 60
 LEAF = 48
 
 
+SHIFT = 32
+
+
+class PairCosts(dict):
+    """The rank of two neighbouring ids together, ``NEVER`` if there is none; kept for pairs that come again."""
+
+    def __init__(self, ranks: dict[bytes, int], pieces: list[bytes], limit: int = 500_000) -> None:
+        super().__init__()
+        self.ranks, self.pieces, self.limit = ranks, pieces, limit
+
+    def __missing__(self, pair: int) -> int:
+        value = self.ranks.get(self.pieces[pair >> SHIFT] + self.pieces[pair & ((1 << SHIFT) - 1)], NEVER)
+        if len(self) >= self.limit:
+            self.clear()
+        self[pair] = value
+        return value
+
+
 class Codec:
     def __init__(self, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF) -> None:
         with open(path, "rb") as file:
@@ -41,28 +60,30 @@ class Codec:
             self.pieces[rank] = piece
         self.match = regex.compile(pattern).findall
         self.leaf = leaf
-        self.words = Memo(self._word)
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.costs = PairCosts(self.ranks, self.pieces)
+        self.words = Memo(self._word, 400_000)
         self.pairs = Memo(lambda pair: self.merge(self.pieces[pair[0]] + self.pieces[pair[1]]) == list(pair))
 
     def merge(self, data: bytes) -> list[int]:
         """All merges of ``data``, lowest rank first, leftmost on ties."""
         if len(data) > 128:
             return self._merge_long(data)
-        ranks = self.ranks
-        parts = [data[i : i + 1] for i in range(len(data))]
-        costs = [ranks.get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        single, cost = self.single, self.costs
+        parts = [single[b] for b in data]
+        costs = [cost[a << SHIFT | b] for a, b in zip(parts, parts[1:])]
         while costs:
             lowest = min(costs)
             if lowest == NEVER:
                 break
             i = costs.index(lowest)
-            parts[i] += parts[i + 1]
+            parts[i] = lowest  # what a merge costs is the id it gives
             del parts[i + 1], costs[i]
             if i < len(costs):
-                costs[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+                costs[i] = cost[lowest << SHIFT | parts[i + 1]]
             if i:
-                costs[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
-        return [ranks[x] for x in parts]
+                costs[i - 1] = cost[parts[i - 1] << SHIFT | lowest]
+        return parts
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same with a heap: n log n for the wide windows that long runs need."""
@@ -109,7 +130,7 @@ class Codec:
     def _word(self, word: str) -> bytes:
         data = word.encode()
         rank = self.ranks.get(data)  # a whole match in the vocabulary is taken as it is
-        return np.array([rank] if rank is not None else self.reduce(data), dtype="<i4").tobytes()
+        return array("i", [rank] if rank is not None else self.reduce(data)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of ``text``. No merge crosses the border of a match, so there a join is a concatenation."""
@@ -150,7 +171,9 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tok
 
     def run(doc_id, ids):
         own = codec(path, pattern)
-        return doc_id, ids, pa.array([None if x is None else own.decode(x) for x in ids.to_pylist()], type=pa.binary())
+        flat, ends, there = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+        found = [own.decode(flat[a:b].tolist()) if valid else None for a, b, valid in zip(ends, ends[1:], there, strict=False)]
+        return doc_id, ids, pa.array(found, type=pa.binary())
 
     source = encoded.select("doc_id", "ids")
     return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")

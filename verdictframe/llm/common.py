@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,16 +59,26 @@ def lists(values: list, kind: pa.DataType) -> pa.Array:
 
 
 class Memo(dict):
-    """Results of ``fn`` for short keys; emptied when it holds ``limit`` of them, so memory stays bounded."""
+    """Results of ``fn`` for short keys; the older half goes when it holds ``limit`` of them, so memory stays bounded.
+
+    Workers serve one operator after the other: what others have kept goes when all hold more than ``TOGETHER``.
+    """
+
+    TOGETHER = 500_000
+    all: ClassVar[list[Memo]] = []
 
     def __init__(self, fn: Callable, limit: int = 250_000, longest: int = 48) -> None:
         super().__init__()
         self.fn, self.limit, self.longest = fn, limit, longest
+        Memo.all.append(self)
 
     def __missing__(self, key):
         value = self.fn(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
-                self.clear()
+                for old in list(islice(self, self.limit // 2)):
+                    del self[old]
             self[key] = value
+            if len(self) % 20_000 == 0 and sum(map(len, Memo.all)) > Memo.TOGETHER:
+                max((m for m in Memo.all if m is not self), key=len).clear()
         return value
