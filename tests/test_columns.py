@@ -165,12 +165,12 @@ def test_clusters_and_requests(spark):
             (3, "d", "fail", "TRAJECTORY_CHECK_FAILED", "", "t", "trajectory_check", "arg_schema failed for x"),
             (4, "e", "fail", "SUT_HTTP_ERROR", "", "t", "exact_match", ""), (5, "f", "pass", "", "", "t", "exact_match", "")]
     df = spark.createDataFrame(rows, RESULTS)
-    found = clusters.failure_clusters(df)
+    found = clusters.failure_clusters(df, carry=["message"])
     ids = [(r["cluster_id"], r["n"], r["owner"]) for r in found.orderBy("rank").collect()]
     assert ids[0] == ("EXACT_MATCH_FAILED/EXACT_MATCH_FAILED|json_extract_email|exact_match", 2, "model")
     assert ids[1] == ("TRAJECTORY_CHECK_FAILED/TOOL_BINDING_MISMATCH|trajectory_email_then_answer|trajectory_check", 1, "model")
     assert clusters.cluster_members(df, found).count() == 5
-    asked = clusters.data_requests(clusters.representatives(found, df, ["message"]))
+    asked = clusters.data_requests(found)
     assert [r["issue_type"] for r in asked.orderBy("position").collect()] == [
         "LABEL_OR_FIELD_VALUE_WRONG", "TOOL_RESULT_IGNORED_OR_HALLUCINATION", "TOOL_ARGS_BAD"]
 

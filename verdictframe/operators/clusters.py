@@ -38,23 +38,28 @@ def ranked_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     return running_rank(blocked, list(by), columns, rank).drop("_block", *columns)
 
 
-def cluster_counts(results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = KEYS, idx: str = "idx") -> DataFrame:
-    """Count, first id and last id of every failure cluster. Error types other than PASS are failures."""
+def cluster_counts(
+    results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = KEYS, idx: str = "idx", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Count, first id and last id of every failure cluster, and ``carry`` of its first result as ``rep_`` columns.
+
+    Error types other than PASS are failures."""
     failed = (F.col("error_type") != "") & (F.col("error_type") != "PASS")
     # filtered on the count: a filter on the key would move below and score every response twice
     return results.groupBy(*by, *keys).agg(
-        F.count_if(failed).alias("n"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx")
+        F.count_if(failed).alias("n"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"),
+        *[F.min_by(c, idx).alias(f"rep_{c}") for c in carry],
     ).where(F.col("n") > 0)
 
 
 def failure_clusters(
-    results: DataFrame, by: Sequence[str] = (), limit: int | None = None, idx: str = "idx"
+    results: DataFrame, by: Sequence[str] = (), limit: int | None = None, idx: str = "idx", carry: Sequence[str] = ()
 ) -> DataFrame:
     """Clusters by size (ties: first seen) with root cause, owner, action, priority and blast radius.
 
     All of them, unless ``limit`` asks for the largest of each group. Item ids are not gathered; see ``cluster_members`` and ``top_examples``.
     """
-    counts = cluster_counts(results, by, idx=idx)
+    counts = cluster_counts(results, by, idx=idx, carry=carry)
     order = [-F.col("n"), "first_idx"]
     ranked = ranked_rows(counts, by, order) if limit is None else top_rows(counts, by, order, limit)
     if by:
@@ -76,6 +81,7 @@ def failure_clusters(
         F.col("_cause.next_action").alias("next_action"),
         blast_priority(tier).alias("priority"),
         F.concat(tier, F.lit(" ("), F.col("n"), F.lit(" items in run)")).alias("blast_radius"),
+        *[f"rep_{c}" for c in carry],
     )
 
 
@@ -165,12 +171,6 @@ def enrich_clusters(clusters: DataFrame, analyst: DataFrame, key: Sequence[str]
     ).drop("_cause", "_owner")
 
 
-def representatives(clusters: DataFrame, results: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Each cluster with columns of its first result; missing ones stay null."""
-    first = results.select(F.col("idx").alias("first_idx"), *[F.col(c).alias(f"rep_{c}") for c in columns])
-    return clusters.join(first, "first_idx", "left")
-
-
 def data_requests(clusters: DataFrame, by: Sequence[str] = (), message: str = "rep_message") -> DataFrame:
     """One request per issue type: position of its first cluster, content of its last."""
     routed = (

@@ -13,6 +13,7 @@ from verdictframe.functions.schema import violations, violations_by_schema
 from verdictframe.functions.text import col
 from verdictframe.operators.ordered import attach
 from verdictframe.operators.scoring import outcome
+from verdictframe.session import materialize
 
 STEPS = ("type", "required_first", "must_include", "max_calls", "sequence", "args", "binding")
 
@@ -151,9 +152,12 @@ def long_trace_codes(
         F.count_if(n == bind_tool).alias("bind_calls"),
         F.min(F.when(n == wanted[0], s)).alias("reached"),
     )
+    # written once: however long the sequence, the calls are scanned twice
+    state = materialize(state, "trace")
+    steps = materialize(calls.where(n.isin(*wanted[1:])).select(item, s, n), "steps") if wanted[1:] else calls
     for tool in wanted[1:]:
         position = attach(
-            calls.where(n == tool).select(item, s),
+            steps.where(n == tool).select(item, s),
             state.select(item, "n_calls", "reached"),
             [item],
             spread_by=seq,

@@ -203,8 +203,7 @@ def top_examples(spark: SparkSession, sf: str) -> DataFrame:
     SELECT n.*, v.item_id AS rep_item_id, v.message AS rep_message FROM n JOIN v_results v ON first_idx = v.idx""", ("v_results",))
 def cluster_representative(spark: SparkSession, sf: str) -> DataFrame:
     results = view(spark, sf, "v_results")
-    counts = clusters.cluster_counts(results, ["run_id"]).drop("last_idx")
-    return clusters.representatives(counts, results, ["item_id", "message"])
+    return clusters.cluster_counts(results, ["run_id"], carry=["item_id", "message"]).drop("last_idx")
 
 
 @query("enrich_clusters", f"""
@@ -249,8 +248,7 @@ REQUESTS_SQL = f"""
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     results = view(spark, sf, "v_results")
-    found = clusters.failure_clusters(results, ["run_id"])
-    return clusters.data_requests(clusters.representatives(found, results, ["message"]), ["run_id"])
+    return clusters.data_requests(clusters.failure_clusters(results, ["run_id"], carry=["message"]), ["run_id"])
 
 
 @query("data_requests", f"""

@@ -154,7 +154,7 @@ def package_run(spark: SparkSession, sf: str) -> DataFrame:
     results = view(spark, sf, "v_results")
     place = results.select("run_id", "item_id")
     items, oracles = (view(spark, sf, f"v_result_{n}").join(place, "item_id") for n in ("items", "oracles"))
-    found = materialize(clusters.failure_clusters(results, ["run_id"]), "clusters")
+    found = materialize(clusters.failure_clusters(results, ["run_id"], carry=["message"]), "clusters")
     summary = metrics.run_metrics(results, ["run_id"])
     card = place.groupBy("run_id").agg(F.concat(F.count("*"), F.lit(" items")).alias("composition"))
     tables = {
@@ -163,7 +163,7 @@ def package_run(spark: SparkSession, sf: str) -> DataFrame:
         "released_oracles": oracles,
         "clusters": found.drop("owner", "next_action", "priority"),
         "action_plans": found.select("run_id", "cluster_id", "owner", "next_action", "priority"),
-        "data_requests": clusters.data_requests(clusters.representatives(found, results, ["message"]), ["run_id"]),
+        "data_requests": clusters.data_requests(found, ["run_id"]),
         "release_manifest": manifest(spark, sf).join(place, "item_id"),
         "run_summary": summary,
         "data_card": card,
