@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +36,16 @@ FEATURES, DIMENSIONS, BITS = 256, 4, 8
 SAMPLE_PER_RANGE = 100
 RANGE_BYTES = 64 << 20
 
-#: In lower-case text of these characters, words can be tokenized one by one: the tokenizer's own pattern cuts there.
+#: A word of these characters can be cut by the tokenizer's own pattern and put in lower case before it is tokenized.
 _simple = re.compile("[\x20-\x7f\xa1-įĲ-ɏ]*").fullmatch
 _word_parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+_STOPS = ",.;:!?"
+#: Bytes of Latin-1 text as letters and digits, stops, white space and all else.
+_classes = bytes(
+    ord("a" if regex.match(r"[\p{L}\p{N}]", chr(b)) else "." if chr(b) in _STOPS else " " if chr(b).isspace() else "x") for b in range(256)
+)
+#: How byte-level vocabularies write bytes that are not printable: characters from 256 on, in order.
+_byte_names = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
 class Words:
@@ -47,19 +55,36 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Memo(self._encode)
-        self.words = Memo(self._word)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.parts = Memo(self._part, 60_000)
+        self.words = Memo(self._word, 400_000)
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _part(self, part: str) -> bytes:
+        """Ids of one match of the pattern, in lower case: the model reads its bytes as characters."""
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(_byte_names)
+        return array("I", [t.id for t in self.tokenize(written)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or _simple(word)):
+            return self._part(word.lower())
         if not _simple(word) or any(x in word for x in self.special):
-            return self._encode(word)
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.parts.__getitem__, _word_parts(word.lower())))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        try:
+            marked = text.encode("latin-1").translate(_classes) + b" "
+        except UnicodeEncodeError:
+            marked = None
+        # Latin-1 can be put in lower case at once, and a stop between a letter or digit and a space can be
+        # cut off, as the pattern does. Neither is done where special tokens may be meant.
+        if marked and "<|" not in text:
+            text = text.lower() + " "
+            if b".. " not in marked and b"x. " not in marked:
+                for stop in _STOPS:
+                    text = text.replace(f"{stop} ", f" {stop} ")
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
 
 @lru_cache(maxsize=2)
