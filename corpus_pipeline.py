@@ -11,8 +11,9 @@ from verdictframe.session import scratch_path
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Rejected are null texts and texts without a letter."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.where(found["lang_pred"] != langid.UNKNOWN).select(docs.columns)
+    names = "_predicted_language", "_language_score"
+    found = langid.identify(docs, langid.learn(docs), names)
+    return found.where(found[names[0]] != langid.UNKNOWN).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,13 +107,13 @@ def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     return Model(languages, ranks)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the whole text alone.
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (0 to 1) under ``names``, from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0, as are all where nothing was learned.
-    All columns are kept; ``lang_pred`` and ``score`` are replaced where they exist.
+    All columns are kept; those of ``names`` are replaced where they exist.
     """
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(*names)
     at = kept.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.ranks.astype(np.int16)))
 
@@ -123,4 +123,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return *columns, pa.array([x for x, _ in pairs], type=pa.string()), pa.array([x for _, x in pairs], type=pa.float64())
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return by_batch(kept, run, f"{schema}, lang_pred string, score double")
+    return by_batch(kept, run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
