@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,6 +74,37 @@ def test_near_duplicates_against_all_pairs(spark, sample):
     assert len({got[i] for i, _ in chain}) == 1 and len({got[i] for i, _ in near}) == 1
 
 
+def test_open_buckets_in_small_blocks(spark, monkeypatch):
+    """A group of copies of copies, of likeness on both sides of the bound, compared in many small blocks."""
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
+    draw = random.Random(11)
+    texts = [[f"w{i % 90}" for i in range(140)]]
+    while len(texts) < 70:
+        copy = list(draw.choice(texts))
+        for _ in range(draw.randint(1, 4)):
+            copy[draw.randrange(len(copy))] = f"x{draw.randrange(5)}"
+        texts.append(copy)
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert 1 < len(set(got.values())) < 70
+
+
+def test_overlaps_are_those_of_multisets(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 3)
+    draw = np.random.default_rng(8)
+    bags = []
+    for _ in range(12):
+        names = np.unique(draw.integers(0, 30, draw.integers(0, 20)).astype(np.uint64))
+        bags.append((names, draw.integers(1, 4, len(names)).astype("<u4")))
+    sets = [neardup._elements(h.tobytes(), c.tobytes()) for h, c in bags]
+    found = neardup._overlaps(sets[:5], sets[5:])
+    plain = [Counter(dict(zip(h.tolist(), c.tolist(), strict=True))) for h, c in bags]
+    assert (found == [[(a & b).total() for b in plain[5:]] for a in plain[:5]]).all()
+
+
 def test_signature_estimates_weighted_likeness():
     draw = np.random.default_rng(5)
     names = draw.integers(0, 1 << 63, 400, dtype=np.uint64)
