@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions.rules import RELEASE_TEXTS
 from verdictframe.operators.ordered import previous_row, range_blocks
+from verdictframe.session import materialize
 
 COMPARABLE = ("dataset_name", "model_version")
 
@@ -25,7 +26,8 @@ def cluster_diff(runs: DataFrame, clusters: DataFrame) -> DataFrame:
 
     ``runs`` has run_id and prev_run_id (null when there is none).
     """
-    types = clusters.select("run_id", "error_type").distinct()
+    # of the largest table; written once, since a run's types are read for it and for the run after it
+    types = materialize(clusters.select("run_id", "error_type").distinct(), "types")
     now = runs.select("run_id").join(types, "run_id").withColumn("in_current", F.lit(True))
     before = (
         runs.where(F.col("prev_run_id").isNotNull())
@@ -43,7 +45,7 @@ def cluster_diff(runs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def release_decision(runs: DataFrame, clusters: DataFrame, blocks: int | None = None) -> DataFrame:
     """Gate PASS, WATCH or BLOCKED per run, pass-rate delta, counts of recovered and introduced types."""
-    paired = previous_run(runs, blocks=blocks)
+    paired = materialize(previous_run(runs, blocks=blocks), "paired")
     changes = cluster_diff(paired.select("run_id", "prev_run_id"), clusters).groupBy("run_id").agg(
         F.count_if(F.col("change") == "recovered").alias("n_recovered"),
         F.count_if(F.col("change") == "introduced").alias("n_introduced"),

@@ -15,7 +15,7 @@ from verdictframe.operators.metrics import duplicate_audit
 from verdictframe.plans.registry import query
 from verdictframe.plans.scalars import sql_case, sql_text
 from verdictframe.plans.views import table, view
-from verdictframe.session import spread
+from verdictframe.session import materialize, spread
 
 ALLOWED_TAGS = ["en", "fr", "de"]
 ALLOWED_TASKS = ["json_extract_email", "json_classify_sentiment", "trajectory_email_then_answer"]
@@ -142,20 +142,27 @@ def dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return gates.first_seen(copies(spark, sf)).select("fp", "first_idx", "n_copies")
 
 
-def _copies_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return copies(spark, sf).groupBy(*SLOT).agg(F.floor(F.count("*") * 3 / 4).alias("planned"))
+def narrow_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids, slots and hashes, written once: the texts are read a single time."""
+    return materialize(copies(spark, sf), "fingerprints")
+
+
+def _copies_plan(items: DataFrame) -> DataFrame:
+    return items.groupBy(*SLOT).agg(F.floor(F.count("*") * 3 / 4).alias("planned"))
 
 
 @query("slot_overflow", f"""
     WITH {COPIES_SQL}, {COPIES_PLAN}, {STAT_SQL}
     SELECT fp, first_idx, slot_rank, slot_rank <= planned + 1 AS accepted FROM ranked JOIN plan USING (difficulty)""", ("v_items",))
 def slot_overflow(spark: SparkSession, sf: str) -> DataFrame:
-    return gates.slot_ranks(copies(spark, sf), SLOT, _copies_plan(spark, sf)).select("fp", "first_idx", "slot_rank", "accepted")
+    items = narrow_copies(spark, sf)
+    return gates.slot_ranks(items, SLOT, _copies_plan(items)).select("fp", "first_idx", "slot_rank", "accepted")
 
 
 @query("gate_distribution", f"WITH {COPIES_SQL}, {COPIES_PLAN}, {STAT_SQL} SELECT idx, stat_code FROM stat", ("v_items",))
 def gate_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return gates.stat_gate(copies(spark, sf), SLOT, _copies_plan(spark, sf)).select("idx", "stat_code")
+    items = narrow_copies(spark, sf)
+    return gates.stat_gate(items, SLOT, _copies_plan(items)).select("idx", "stat_code")
 
 
 @query("gate_distribution_split", f"""
@@ -166,7 +173,7 @@ def gate_distribution(spark: SparkSession, sf: str) -> DataFrame:
     FROM s JOIN ranked k USING (fp) JOIN plan p ON p.difficulty = k.difficulty AND p.split = k.split""", ("v_items",))
 def gate_distribution_split(spark: SparkSession, sf: str) -> DataFrame:
     """Slots by a column that the fingerprint does not know: copies lie in other slots than their first."""
-    items = copies(spark, sf).withColumn("split", F.col("idx") % 3)
+    items = narrow_copies(spark, sf).withColumn("split", F.col("idx") % 3)
     slot = ["difficulty", "split"]
     planned = items.groupBy(*slot).agg(F.floor(F.count("*") / 4).alias("planned"))
     return gates.stat_gate(items, slot, planned).select("idx", "stat_code")
