@@ -66,6 +66,16 @@ def test_pages_odd_rows(spark, odd):
     assert pages.extract(odd.limit(0)).count() == 0
 
 
+def test_broken_markup():
+    text = lambda page: pages.main_text(page, [])[0]
+    assert text('<p>one <a href="x>two</a> three</p><p title="a>b">four</p>') == "one two three\nfour"
+    assert text("<p>one</p><div class=") == "one" and text("<p>one<!-- two") == "one"
+    assert text("<ul><li>a<li>b</ul></ul></p>c") == "a\nb\nc"
+    assert text("<article><h1>t</h1><ul><li>" + "long " * 50 + "</ul></article>").startswith("t\nlong")
+    assert text('<p title="1 < 2">x</p>') in ("x", '2">x')
+    assert text("<p>" + '<b title="' * 2000 + "end") is not None
+
+
 def expected(rows):
     groups = defaultdict(list)
     for page_id, _, page, *_ in rows:

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from verdictframe.llm.common import by_batch
 from verdictframe.session import materialize
 
+#: Comments and declarations, tags with their quotes in order, tags with a quote too many (to the next >), a tag cut off at the end.
 _markup = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^<\"]*\"|'[^<']*')*+>|[^>]*(?:>|\Z))",
     re.DOTALL,
 )
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -147,7 +148,7 @@ def read(page: str) -> Iterator[Block]:
             close = page.find(">", at)
             at = close + 1 if close >= 0 else len(page)
             continue
-        if tag in VOID or m["rest"].endswith("/") and tag in ("svg", "path", "use"):
+        if tag in VOID or m["rest"].endswith("/>") and tag in ("svg", "path", "use"):
             continue
         if tag in IMPLIED or tag in BLOCKS:
             # a block ends an open paragraph; a list item or cell ends the one before
@@ -158,7 +159,7 @@ def read(page: str) -> Iterator[Block]:
                     break
                 if stack[i][0] in stop or stack[i][0] in CONTAINERS and stack[i][0] not in ends and not stop:
                     break
-        attributes = _attributes(m["rest"])
+        attributes = _attributes(m["rest"].rstrip("/>"))
         _, path, furniture, in_article, in_link = stack[-1]
         now = furniture or _is_furniture(tag, attributes, in_article)
         if now != furniture:
@@ -179,6 +180,14 @@ def clean(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if not b.furniture]
 
 
+def _may_lead(path: tuple[str, ...]) -> bool:
+    """Whether a container may be the main one: parts of a text, as lists, may not, and tables only outside articles."""
+    tags = [step.split(".")[0] for step in path]
+    if tags[-1] in ("table", "tbody", "thead", "tfoot", "tr", "td", "th"):
+        return not {"article", "main"} & set(tags)
+    return tags[-1] in ("html", "body", "main", "article", "section", "div", "center")
+
+
 def best_path(blocks: list[Block]) -> tuple[str, float]:
     """The path of the best container and its score: the free text it holds.
 
@@ -191,7 +200,7 @@ def best_path(blocks: list[Block]) -> tuple[str, float]:
             held[b.path[:depth]] = held.get(b.path[:depth], 0.0) + free
     here: tuple[str, ...] = ()
     while True:
-        parts = [p for p in held if len(p) == len(here) + 1 and p[:-1] == here]
+        parts = [p for p in held if len(p) == len(here) + 1 and p[:-1] == here and _may_lead(p)]
         weigh = lambda p: held[p] * (2.0 if p[-1].split(".")[0] in ("article", "main") else 1.0)
         top = max(parts, key=lambda p: (weigh(p), p), default=None)
         if top is None or weigh(top) < SHARE * held[here] or not held[top]:
