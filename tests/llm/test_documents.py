@@ -92,6 +92,21 @@ def test_open_buckets_in_small_blocks(spark, monkeypatch):
     assert 1 < len(set(got.values())) < 70
 
 
+def test_components_of_stars_chains_and_rings(spark):
+    draw = random.Random(4)
+    names = draw.sample(range(10_000), 400)
+    star = [(names[0], n) for n in names[1:100]]
+    chain = list(zip(sorted(names[100:200]), sorted(names[100:200])[1:], strict=False))
+    ring = [*zip(names[200:300], names[201:300], strict=False), (names[299], names[200])]
+    clique = list(itertools.combinations(names[300:310], 2))
+    edges = star + chain + ring + clique + [(names[350], names[350])]
+    draw.shuffle(edges)
+    got = {r["id"]: r["class"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = (names[:100], names[100:200], names[200:300], names[300:310])
+    assert got == {n: min(g) for g in groups for n in g}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_overlaps_are_those_of_multisets(monkeypatch):
     monkeypatch.setattr(neardup, "COLUMNS", 3)
     draw = np.random.default_rng(8)

@@ -7,37 +7,42 @@ components. Points at a level not below the weight are passed over. The componen
 point, so two bags agree there with probability sum of minima by sum of maxima. Processes run until their
 time passes the latest component, so a large weight costs its logarithm.
 
-Signatures are cut into bands. Texts of one bucket are compared with its leader first, and only where a
-bucket still holds texts of several classes with others. Likeness is always computed on the whole bags.
+Bands take their components from the whole signature by a fixed draw, so a component serves in several. Texts
+of one bucket are compared with its leader first: the text that meets most others over all bands, which an
+original does whose copies differ from each other more than from it. Where buckets still hold texts of
+several classes after that, all their texts are compared across classes, in pairs of blocks of bounded size:
+one product of matrices gives all overlaps of two blocks, so pairs are never rows. Likeness is always
+computed on the whole bags.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import Memo, by_batch, texts
+from verdictframe.llm.common import by_batch, texts
+from verdictframe.operators.prefilter import only
 from verdictframe.session import materialize
 
 WORDS = 5
 LIKENESS = 0.8
-BANDS, ROWS = 32, 4
-COMPONENTS = BANDS * ROWS
-#: Rounds with one leader for each bucket before all pairs across classes of a bucket are compared.
-ROUNDS = 3
+#: Two bags of likeness 0.8 miss all bands about once in 30,000 times; two that share a tenth meet once in 20,000.
+COMPONENTS, BANDS, ROWS = 128, 48, 6
+#: Rounds with one leader for each bucket before all texts of open buckets are compared in blocks.
+ROUNDS = 2
+#: Texts and bytes of bags in a block; elements that two blocks are compared by at a time.
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 #: Elements of bags that are drawn at a time, whatever the number and length of texts.
 AT_ONCE = 1 << 18
-#: Bits of the filter on document ids; 16 MB whatever the number of documents.
-FILTER_BITS = 1 << 27
-
 _words = re.compile(r"\w+").findall
-_word_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
 U = np.uint64
 
 
@@ -56,7 +61,7 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     found = _words(lower) or lower.split()
     if not found:
         return np.empty(0, U), np.empty(0, np.int64)
-    word = np.fromiter(map(_word_hash.__getitem__, found), dtype=U, count=len(found))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=U, count=len(found))
     size = min(WORDS, len(word))
     run = np.zeros(len(word) - size + 1, U)
     for i in range(size):
@@ -109,9 +114,16 @@ def _draw(out: np.ndarray, owner: np.ndarray, element: np.ndarray, weight: np.nd
         owner, element, weight = owner[more], element[more], weight[more]
 
 
+def _drawn() -> np.ndarray:
+    """Components of each band: shuffled again and again, so that each serves as often."""
+    rounds = -(-BANDS * ROWS // COMPONENTS)
+    order = [np.argsort(mixed(np.arange(COMPONENTS, dtype=U) + U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(rounds)]
+    return np.concatenate(order)[: BANDS * ROWS].reshape(BANDS, ROWS)
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """A hash of the components of each band and its number, so that equal values are equal buckets."""
-    bits = signature.view(U).reshape(len(signature), BANDS, ROWS)
+    bits = signature.view(U)[:, _drawn()]
     out = np.broadcast_to(np.arange(BANDS, dtype=U), bits.shape[:2]).copy()
     for i in range(ROWS):
         out = mixed(out * U(0x9E3779B97F4A7C15) + bits[:, :, i])
@@ -144,20 +156,6 @@ def bags_of(docs: DataFrame) -> DataFrame:
     return by_batch(source, run, f"id {source.schema['doc_id'].dataType.simpleString()}, hashes binary, counts binary")
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is in ``ids`` (one column, ``id``).
-
-    A filter of fixed size goes to the scan first, so that hardly any other text is shuffled.
-    """
-    bit = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FILTER_BITS)).alias("bit")
-    marks = ids.select(bit).groupBy(F.expr("bitmap_bucket_number(bit)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
-    kept = docs.withColumn("bit", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS)))
-    kept = kept.withColumns({"block": F.expr("bitmap_bucket_number(bit)"), "at": F.expr("bitmap_bit_position(bit)")})
-    # at most FILTER_BITS / 32768 rows of 4 kB
-    kept = kept.join(F.broadcast(marks), "block").where(F.expr("shiftright(conv(hex(substring(map, cast(at div 8 + 1 as int), 1)), 16, 10), cast(at % 8 as int)) % 2 = 1"))
-    return kept.select(docs.columns).join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-
 def likeness(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
     """Sum of minima by sum of maxima of two bags."""
     ha, hb, ca, cb = np.frombuffer(a[0], U), np.frombuffer(b[0], U), np.frombuffer(a[1], "<u4").astype(np.int64), np.frombuffer(b[1], "<u4").astype(np.int64)
@@ -185,18 +183,33 @@ def linked(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id`` and ``class``, the least id that links lead to, for all ids of ``edges``."""
-    both = materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select("b", "a")), "links")
-    labels = materialize(both.groupBy("id").agg(F.least("id", F.min("near")).alias("class")), "labels")
-    while True:
-        # the least class next door, then the class of that class
-        seen = both.join(labels.select(F.col("id").alias("near"), "class"), "near").groupBy("id").agg(F.min("class").alias("next"))
-        step = materialize(labels.join(seen, "id").select("id", F.least("class", "next").alias("class"), F.col("class").alias("old")), "labels")
-        jump = step.select(F.col("id").alias("class"), F.col("class").alias("root"))
-        labels = materialize(step.join(jump, "class").select("id", F.col("root").alias("class"), "old"), "labels")
-        if labels.where(F.col("class") != F.col("old")).isEmpty():
-            return labels.select("id", "class")
-        labels = labels.select("id", "class")
+    """``id`` and ``class``, the least id that links lead to, for all ids of ``edges``.
+
+    In each turn every id follows its neighbour with most neighbours, if that has more than itself (ties by a
+    hash that changes with the turn), and links are drawn anew between what their ends follow. Stars vanish in
+    one turn and chains shrink by a share, so all turns together move little more than the first.
+    """
+    links = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "links")
+    label = links.select(F.col("u").alias("id"), F.col("u").alias("root")).limit(0)
+    for turn in itertools.count():
+        if links.isEmpty():
+            break
+        both = links.select(F.col("u").alias("id"), F.col("v").alias("near")).union(links.select("v", "u"))
+        weight = F.count("*") * (1 << 20) + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20))
+        own = materialize(both.groupBy("id").agg(weight.alias("own")), "weights")
+        beside = both.join(own.select(F.col("id").alias("near"), F.col("own").alias("weight")), "near")
+        best = beside.groupBy("id").agg(F.max("weight").alias("weight"), F.max_by("near", "weight").alias("near"))
+        follows = F.when(F.col("weight") > F.col("own"), F.col("near")).otherwise(F.col("id"))
+        step = materialize(best.join(own, "id").select("id", follows.alias("next")), "step")
+        if turn == 0:
+            label = step.select("id", F.col("next").alias("root"))
+        else:
+            moved = label.join(step.select(F.col("id").alias("root"), "next"), "root", "left")
+            label = materialize(moved.select("id", F.coalesce("next", "root").alias("root")), "labels")
+        ends = links.join(step.select(F.col("id").alias("u"), F.col("next").alias("x")), "u").join(step.select(F.col("id").alias("v"), F.col("next").alias("y")), "v")
+        links = materialize(ends.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
+    least = materialize(label.groupBy("root").agg(F.min("id").alias("class")), "roots")
+    return materialize(label.join(least, "root").select("id", "class"), "classes")
 
 
 def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
@@ -212,33 +225,115 @@ def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     leaders = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("id")), "copies")
     member = materialize(rows.join(leaders, "key").select("doc_id", "id", F.when(F.col("doc_id") == F.col("id"), F.col("bands")).alias("bands")), "members")
     band = materialize(member.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
-    shared = materialize(band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"), "buckets")
-    inside = materialize(band.join(shared, "bucket").select("bucket", "id", "leader"), "inside")
+    shared = materialize(band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    inside = materialize(band.join(shared, "bucket"), "inside")
     if inside.isEmpty():
         return member.select("doc_id", F.col("id").alias("class_id"))
-    bags = materialize(bags_of(only(source, inside.select("id").distinct())).dropDuplicates(["id"]), "bags")
-
-    pairs = materialize(_pairs(inside.select("id", F.col("leader").alias("other"))), "pairs")
-    done, edges = pairs, materialize(linked(pairs, bags, least), "edges")
-    for turn in range(1, ROUNDS + 1):
+    bags = materialize(bags_of(only(source, inside.select(F.col("id").alias("doc_id")), "doc_id")).dropDuplicates(["id"]), "bags")
+
+    met = materialize(inside.groupBy("id").agg(F.sum("n").alias("met")), "met")
+    inside = materialize(inside.join(met, "id").select("bucket", "id", "met", F.col("id").alias("class")), "inside")
+    done = edges = None
+    for turn in range(ROUNDS):
+        # a leader for each bucket: the text that meets most, of those not yet in the bucket's least class
+        apart = F.lit(turn == 0) | (F.col("class") > F.col("low"))
+        order = F.when(apart, 1 << 62).otherwise(0) + _weight()
+        low = materialize(inside.groupBy("bucket").agg(F.min("class").alias("low")), "low")
+        leader = materialize(inside.join(low, "bucket").groupBy("bucket").agg(F.max_by("id", order).alias("other")), "leaders")
+        pairs = _pairs(inside.join(leader, "bucket").select("id", "other"))
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti") if done else pairs, "pairs")
+        found = linked(pairs, bags, least)
+        done, edges = done.union(pairs) if done else pairs, materialize(edges.union(found) if edges else found, "edges")
         label = components(edges)
-        named = materialize(inside.join(label, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class")), "named")
-        mixed_ = materialize(named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("id", F.xxhash64("id", "bucket", F.lit(turn))).alias("other")).where("low < high").select("bucket", "other"), "open")
-        if mixed_.isEmpty():
+        named = materialize(inside.select("bucket", "id", "met").join(label, "id", "left").select("bucket", "id", "met", F.coalesce("class", "id").alias("class")), "named")
+        still = materialize(named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket"), "open")
+        if still.isEmpty():
             break
-        inside = materialize(named.join(mixed_, "bucket"), "inside")
-        if turn < ROUNDS:  # another leader for each bucket
-            fresh = inside.where(F.col("id") != F.col("other")).select("id", "other")
-        else:  # all that is left: every pair across classes of a bucket
-            one = inside.select("bucket", "id", "class")
-            fresh = one.join(one.select("bucket", F.col("id").alias("other"), F.col("class").alias("theirs")), "bucket").where("class < theirs").select("id", "other")
-        inside = inside.select("bucket", "id")
-        pairs = materialize(_pairs(fresh).join(done, ["a", "b"], "left_anti"), "pairs")
-        done, edges = done.union(pairs), materialize(edges.union(linked(pairs, bags, least)), "edges")
-    label = components(edges)
+        inside = materialize(named.join(still, "bucket"), "inside")
+    else:
+        label = components(edges.union(across(inside, bags, least)))
     return member.join(label, "id", "left").select("doc_id", F.coalesce("class", "id").alias("class_id"))
 
 
+def _weight():
+    """How much a text meets, ties by a hash of its id."""
+    return F.least("met", F.lit((1 << 42) - 1)) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+
+
+def across(inside: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Links between texts of different classes that meet in a bucket: one for each two classes and pair of blocks.
+
+    Texts that buckets join, however far, form a heap; a heap is cut into blocks by a hash, and each two blocks
+    are one group of bounded size, so a heap of any size is spread over many tasks.
+    """
+    # each bucket as a star around the text that meets most, so that large heaps are few stars
+    centre = materialize(inside.groupBy("bucket").agg(F.max_by("id", _weight()).alias("other")), "centres")
+    heap = components(_pairs(inside.join(centre, "bucket").select("id", "other"))).withColumnRenamed("class", "heap")
+    text = inside.select("id", "class").distinct().join(bags, "id").join(heap, "id")
+    text = materialize(text.withColumn("size", F.octet_length("hashes") + F.octet_length("counts")), "heaps")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    sizes = materialize(text.groupBy("heap").agg(blocks.alias("blocks")), "sizes")
+    own = text.join(sizes, "heap").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = own.select("heap", "id", "class", "hashes", "counts", "block", other)
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    kind = inside.schema["id"].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        if pc.count_distinct(group.column("class")).as_py() < 2:
+            return pa.table({"a": pa.array([], type=pa.int64()), "b": pa.array([], type=pa.int64())})
+        block, ids, named = group.column("block").to_numpy(), group.column("id").to_numpy(), group.column("class").to_numpy()
+        elements = [_elements(h, c) for h, c in zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist(), strict=True)]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = _overlaps([elements[k] for k in left], [elements[k] for k in right])
+        size = np.array([len(e) for e in elements], dtype=np.float64)
+        union = size[left][:, None] + size[right][None, :] - common
+        x, y = np.nonzero((common >= least * union) & (named[left][:, None] != named[right][None, :]))
+        links: dict[tuple, tuple] = {}
+        for a, b in zip(left[x], right[y], strict=True):
+            links.setdefault((min(named[a], named[b]), max(named[a], named[b])), (min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pa.table({"a": pa.array([a for a, _ in links.values()], type=pa.int64()), "b": pa.array([b for _, b in links.values()], type=pa.int64())})
+
+    found = met.groupBy("heap", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return materialize(found.select(F.col("a").cast(kind), F.col("b").cast(kind)), "across")
+
+
+def _elements(hashes: bytes, counts: bytes) -> np.ndarray:
+    """A bag as a set: the second, third, ... time that an element comes is an element of its own."""
+    h, c = np.frombuffer(hashes, U), np.frombuffer(counts, "<u4").astype(np.int64)
+    if not len(h) or c.max() == 1:
+        return h
+    again = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    return np.where(again > 0, mixed(np.repeat(h, c) + again.astype(U) * U(0xA0761D6478BD642F)), np.repeat(h, c))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each two sets."""
+    out = np.zeros((len(left), len(right)))
+    keys = np.intersect1d(np.concatenate(left or [np.empty(0, U)]), np.concatenate(right or [np.empty(0, U)]))
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, key = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        there = keys[at] == key
+        order = np.argsort(at[there], kind="stable")
+        return row[there][order], at[there][order]
+
+    if not len(keys):
+        return out
+    (row_l, at_l), (row_r, at_r) = placed(left), placed(right)
+    for start in range(0, len(keys), COLUMNS):
+        tables = []
+        for n, row, at in ((len(left), row_l, at_l), (len(right), row_r, at_r)):
+            a, b = np.searchsorted(at, [start, start + COLUMNS])
+            table = np.zeros((n, min(COLUMNS, len(keys) - start)), np.float32)
+            table[row[a:b], at[a:b] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     return found.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
