@@ -33,7 +33,7 @@ END = 1
 #: Size of the hashed vector, dimensions and bits of the curve. Dimensions times bits is at most 32.
 FEATURES, DIMENSIONS, BITS = 256, 4, 8
 #: Documents that the bounds of the ranges are drawn from, for each range. They affect balance, not completeness.
-SAMPLE_PER_RANGE = 100
+SAMPLE_PER_RANGE = 40
 RANGE_BYTES = 64 << 20
 
 #: A word of these characters can be cut by the tokenizer's own pattern and put in lower case before it is tokenized.
@@ -48,6 +48,19 @@ _classes = bytes(
 _byte_names = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
+class _Words(Memo):
+    """Ids of words; one of letters only, as most are, goes straight to the model."""
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            if word.isascii():
+                return self.keep(word, array("I", [t.id for t in self.tokenize(word.lower())]).tobytes())
+            if _simple(word):
+                written = word.lower().encode().decode("latin-1").translate(_byte_names)
+                return self.keep(word, array("I", [t.id for t in self.tokenize(written)]).tobytes())
+        return self.keep(word, self.fn(word))
+
+
 class Words:
     """Ids of texts, kept for words that come again. Cutting at spaces changes no id: no token holds white space."""
 
@@ -56,8 +69,9 @@ class Words:
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
-        self.parts = Memo(self._part, 60_000)
-        self.words = Memo(self._word, 400_000)
+        self.parts = Memo(self._part, 40_000, owner="packing")
+        self.words = _Words(self._word, 300_000, owner="packing")
+        self.words.tokenize = self.tokenize
 
     def _part(self, part: str) -> bytes:
         """Ids of one match of the pattern, in lower case: the model reads its bytes as characters."""
@@ -65,8 +79,6 @@ class Words:
         return array("I", [t.id for t in self.tokenize(written)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isalpha() and (word.isascii() or _simple(word)):
-            return self._part(word.lower())
         if not _simple(word) or any(x in word for x in self.special):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.parts.__getitem__, _word_parts(word.lower())))
@@ -160,7 +172,7 @@ def tokens(docs: DataFrame, path: str = VOCABULARY, bounds: list[int] | None = N
         return doc_id, pa.array(ids, type=pa.binary()), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(position), pa.array(part)
 
     source = texts(docs)
-    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary, n long, position long, part long")
+    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary, n long, position long, part long", "packing")
 
 
 def range_bounds(docs: DataFrame, path: str = VOCABULARY) -> list[int]:
