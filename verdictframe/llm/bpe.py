@@ -62,8 +62,8 @@ class Codec:
         self.leaf = leaf
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.costs = PairCosts(self.ranks, self.pieces)
-        self.words = Memo(self._word, 400_000)
-        self.pairs = Memo(lambda pair: self.merge(self.pieces[pair[0]] + self.pieces[pair[1]]) == list(pair))
+        self.words = Memo(self._word, 400_000, owner="bpe")
+        self.pairs = Memo(lambda pair: self.merge(self.pieces[pair[0]] + self.pieces[pair[1]]) == list(pair), owner="bpe")
 
     def merge(self, data: bytes) -> list[int]:
         """All merges of ``data``, lowest rank first, leftmost on ties."""
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
         return doc_id, lists([own.encode(x) for x in text.to_pylist()], pa.int32())
 
     source = texts(docs)
-    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>", "bpe")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -176,7 +176,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tok
         return doc_id, ids, pa.array(found, type=pa.binary())
 
     source = encoded.select("doc_id", "ids")
-    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary", "bpe")
 
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -31,11 +31,15 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def by_batch(df: DataFrame, columns: Callable[..., Iterable], schema: str) -> DataFrame:
-    """Apply ``columns`` to the Arrow columns of parts of batches; it gives the output columns in order of ``schema``."""
+def by_batch(df: DataFrame, columns: Callable[..., Iterable], schema: str, owner: str = "") -> DataFrame:
+    """Apply ``columns`` to the Arrow columns of parts of batches; it gives the output columns in order of ``schema``.
+
+    ``owner`` names the operator whose memos it uses; those that others left in the worker are emptied first.
+    """
     names = [f.name for f in _fields(df, schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.begin(owner)
         for whole in batches:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns(*batch.columns)], names=names)
@@ -61,24 +65,29 @@ def lists(values: list, kind: pa.DataType) -> pa.Array:
 class Memo(dict):
     """Results of ``fn`` for short keys; the older half goes when it holds ``limit`` of them, so memory stays bounded.
 
-    Workers serve one operator after the other: what others have kept goes when all hold more than ``TOGETHER``.
+    Workers serve one operator after the other; ``begin`` empties what operators other than ``owner`` have kept.
     """
 
-    TOGETHER = 500_000
     all: ClassVar[list[Memo]] = []
 
-    def __init__(self, fn: Callable, limit: int = 250_000, longest: int = 48) -> None:
+    def __init__(self, fn: Callable, limit: int = 200_000, longest: int = 48, owner: str = "") -> None:
         super().__init__()
-        self.fn, self.limit, self.longest = fn, limit, longest
+        self.fn, self.limit, self.longest, self.owner = fn, limit, longest, owner
         Memo.all.append(self)
 
+    @classmethod
+    def begin(cls, owner: str) -> None:
+        for memo in cls.all:
+            if memo.owner != owner:
+                memo.clear()
+
     def __missing__(self, key):
-        value = self.fn(key)
+        return self.keep(key, self.fn(key))
+
+    def keep(self, key, value):
         if len(key) <= self.longest:
             if len(self) >= self.limit:
                 for old in list(islice(self, self.limit // 2)):
                     del self[old]
             self[key] = value
-            if len(self) % 20_000 == 0 and sum(map(len, Memo.all)) > Memo.TOGETHER:
-                max((m for m in Memo.all if m is not self), key=len).clear()
         return value

@@ -41,7 +41,7 @@ class Counter:
         exact = all(float(x).is_integer() for x in pieces.values())
         whole = any("\n" in x and len(x) > 1 or re.search(f"[^{SPACE}]{SPACE}", x) for x in pieces)
         self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall if exact and not whole and byte_fallback else None
-        self.parts = Memo(self.best)
+        self.parts = Memo(self.best, 250_000, owner="counts")
 
     def best(self, text: str) -> int:
         size = len(text)
@@ -104,4 +104,4 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         return doc_id, pa.array(np.array([own.count(x) for x in text.to_pylist()], dtype=np.int64))
 
     source = texts(docs)
-    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long", "counts")

@@ -33,7 +33,7 @@ def _grams(word: str) -> bytes:
     return np.array([zlib.crc32(padded[i : i + n].encode()) % BUCKETS for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1)], dtype="<i4").tobytes()
 
 
-_words = Memo(_grams)
+_words = Memo(_grams, owner="langid")
 
 
 def counts(text: str) -> np.ndarray:
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
             pa.array(np.concatenate([total[k][at] for k, at in there.items()]), type=pa.int64()),
         )
 
-    grams = by_batch(labelled.where(drawn).select("lang", "text"), run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    grams = by_batch(labelled.where(drawn).select("lang", "text"), run, "lang string, bucket int, n long", "langid").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "bucket")
     top = grams.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE).collect()
     languages = sorted(sizes)
@@ -123,4 +123,4 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
         return *columns, pa.array([x for x, _ in pairs], type=pa.string()), pa.array([x for _, x in pairs], type=pa.float64())
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return by_batch(kept, run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return by_batch(kept, run, f"{schema}, `{names[0]}` string, `{names[1]}` double", "langid")
