@@ -18,7 +18,7 @@ from verdictframe.functions.decide import (
     normalize_owner,
     root_cause,
 )
-from verdictframe.operators.ordered import attach, range_blocks, running_rank
+from verdictframe.operators.ordered import attach
 
 KEYS = ("error_type", "evidence_code", "task_type", "eval_method")
 
@@ -31,11 +31,10 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k:
 
 
 def ranked_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], rank: str = "rank") -> DataFrame:
-    """All rows with their place in their group, by blocks, so that no group needs one task."""
-    columns = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns({c: F.col(o) if isinstance(o, str) else o for c, o in zip(columns, order)})
-    blocked = range_blocks(keyed, list(by), columns)
-    return running_rank(blocked, list(by), columns, rank).drop("_block", *columns)
+    """All rows with their place in their group. For clusters: their number follows the vocabularies of codes, tasks
+    and methods, not the number of results, so a window over all of them is small."""
+    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
 
 
 def cluster_counts(
