@@ -76,6 +76,19 @@ def test_broken_markup():
     assert text("<p>" + '<b title="' * 2000 + "end") is not None
 
 
+def test_all_parts_of_the_main_text_are_kept():
+    def text(page, paths=()):
+        return pages.main_text(page, list(paths))[0]
+
+    body = "<p>" + "Body text. " * 40 + "</p>"
+    assert text(f"<body><article><header><h1>Title</h1></header><div class=entry-content>{body}</div></article>").startswith("Title\nBody")
+    assert text(f"<body><div><div class=lead><p>{'Lead text. ' * 15}</div><div class=body>{body}</div></div>").startswith("Lead text.")
+    assert "Second" in text(f"<body><main><section class=a>{body}</section><section class=b><p>{'Second. ' * 30}</section></main>")
+    assert text(f"<body><div class=intro>{'Beside. ' * 30}</div><article>{body}</article>").startswith("Beside.")
+    # pages without a lead decide for the host, and the lead of the others stays
+    assert text(f"<body><div><div class=lead><p>Lead.</div><div class=body>{body}</div></div>", ["body/div/div.body"]).startswith("Lead.\nBody")
+
+
 def expected(rows):
     groups = defaultdict(list)
     for page_id, _, page, *_ in rows:

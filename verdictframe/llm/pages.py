@@ -2,7 +2,7 @@
 
 Each page is read once into blocks of text under generalised paths of containers (tag and first classes,
 digits folded). Its containers are scored by the text they hold that is neither link nor page furniture,
-and the page votes for the best path. Votes are summed for each host and path in Spark; pages are then
+and the page votes for the deepest path that holds all of it. Votes are summed for each host and path in Spark; pages are then
 extracted from the paths that their host has chosen, and only pages without any of these fall back to
 their own best container.
 """
@@ -58,8 +58,6 @@ FURNITURE_BEGINS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter",
 _about = re.compile(r"(?:has|with|no|without|is)[-_]")
 #: These only outside an article: inside, they hold its own heading.
 HEADING = frozenset("header masthead topbar".split())
-#: A container is preferred to its parts while no part holds this share of its text.
-SHARE = 0.6
 #: Share of a host's votes that a path needs besides the one with most votes.
 LEAST_VOTES = 0.1
 
@@ -191,21 +189,36 @@ def _may_lead(path: tuple[str, ...]) -> bool:
 def best_path(blocks: list[Block]) -> tuple[str, float]:
     """The path of the best container and its score: the free text it holds.
 
-    From the whole page downwards, as long as one part holds most of the free text; articles need less.
+    From the whole page downwards, as long as one part holds all of its free text, down to the first article or main.
     """
-    held: dict[tuple[str, ...], float] = {}
+    held: dict[tuple[str, ...], int] = {}
     for b in clean(blocks):
-        free = max(0.0, len(b.text) - 2.0 * b.linked)
         for depth in range(len(b.path) + 1):
-            held[b.path[:depth]] = held.get(b.path[:depth], 0.0) + free
+            held[b.path[:depth]] = held.get(b.path[:depth], 0) + _free(b)
+    below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for p in held:
+        below.setdefault(p[:-1], []).append(p) if p else None
     here: tuple[str, ...] = ()
-    while True:
-        parts = [p for p in held if len(p) == len(here) + 1 and p[:-1] == here and _may_lead(p)]
-        weigh = lambda p: held[p] * (2.0 if p[-1].split(".")[0] in ("article", "main") else 1.0)
-        top = max(parts, key=lambda p: (weigh(p), p), default=None)
-        if top is None or weigh(top) < SHARE * held[here] or not held[top]:
-            return "/".join(here), held.get(here, 0.0)
-        here = top
+    while held.get(here) and not _is_article(here):
+        part = next((p for p in below.get(here, ()) if held[p] == held[here] and _may_lead(p)), None)
+        if part is None:
+            break
+        here = part
+    return "/".join(here), float(held.get(here, 0))
+
+
+def _free(block: Block) -> int:
+    return max(0, len(block.text) - 2 * block.linked)
+
+
+def _is_article(path: tuple[str, ...]) -> bool:
+    return bool(path) and path[-1].split(".")[0] in ("article", "main")
+
+
+def _with_siblings(path: str) -> str:
+    """The container around the main one, whose other parts (heading, lead, further sections) belong to the text; articles stand alone."""
+    steps = tuple(path.split("/")) if path else ()
+    return path if _is_article(steps) else "/".join(steps[:-1])
 
 
 def main_text(page: str, paths: list[str]) -> tuple[str, str]:
@@ -218,8 +231,10 @@ def main_text(page: str, paths: list[str]) -> tuple[str, str]:
             own = path
             break
     if own is None:
-        own = best_path(blocks)[0]
-    return "\n".join(b.text for b in kept if _under(b, own)), own
+        own = around = best_path(blocks)[0]
+    else:
+        around = _with_siblings(own)
+    return "\n".join(b.text for b in kept if _under(b, around)), own
 
 
 def _under(block: Block, path: str) -> bool:
