@@ -89,6 +89,18 @@ def test_all_parts_of_the_main_text_are_kept():
     assert text(f"<body><div><div class=lead><p>Lead.</div><div class=body>{body}</div></div>", ["body/div/div.body"]).startswith("Lead.\nBody")
 
 
+def test_rare_templates_and_pages_without_host_use_their_own_path(spark):
+    often = "<body><div><p>" + "Common text. " * 30 + "</p></div></body>"
+    rare = "<body><div><p>A caption.</p></div><article><h1>Own</h1><p>" + "Rare article. " * 60 + "</p></article></body>"
+    rows = [(n, f"http://h.example/{n}", often) for n in range(20)] + [(20, "http://h.example/20", rare)]
+    rows += [(n, None, often) for n in range(30, 50)] + [(50, None, rare), (51, "no url", rare)]
+    got = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in (20, 50, 51):
+        assert got[n].text.startswith("A caption.\nOwn\nRare article.")
+    assert got[3].text.startswith("Common text.") and got[3].path == "body/div"
+    assert {r.host for r in pages.votes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"h.example"}
+
+
 def expected(rows):
     groups = defaultdict(list)
     for page_id, _, page, *_ in rows:

@@ -3,8 +3,8 @@
 Each page is read once into blocks of text under generalised paths of containers (tag and first classes,
 digits folded). Its containers are scored by the text they hold that is neither link nor page furniture,
 and the page votes for the deepest path that holds all of it. Votes are summed for each host and path in Spark; pages are then
-extracted from the paths that their host has chosen, and only pages without any of these fall back to
-their own best container.
+extracted from the paths that their host has chosen, and pages whose text these do not cover fall back to
+their own best container, as do pages without a host.
 """
 
 from __future__ import annotations
@@ -60,6 +60,10 @@ _about = re.compile(r"(?:has|with|no|without|is)[-_]")
 HEADING = frozenset("header masthead topbar".split())
 #: Share of a host's votes that a path needs besides the one with most votes.
 LEAST_VOTES = 0.1
+#: Share of a page's free text that a host's path must cover; less for a template's own container with several blocks.
+LEAST_COVERED = 0.9
+LEAST_OF_TEMPLATE = 0.05
+LEAST_BLOCKS = 3
 
 
 @dataclass
@@ -222,21 +226,47 @@ def _with_siblings(path: str) -> str:
 
 
 def main_text(page: str, paths: list[str]) -> tuple[str, str]:
-    """Text of the blocks under the first of ``paths`` that holds any, and that path; else of the page's own best."""
+    """Text of the main container of a page and its path: of the host's ``paths`` the one that fits, else the page's own best.
+
+    The host's first path of a template (it names a class, and several blocks are under it) decides, also against
+    longer text elsewhere, but not against an article. Of other paths the one that covers the page's free text best
+    is taken if it covers LEAST_COVERED of it.
+    """
     blocks = list(read(page))
     kept = clean(blocks)
+    best = best_path(blocks)[0]
+    all_free = sum(map(_free, kept))
+    fits: list[tuple[float, int, str]] = []
     own = None
-    for path in paths:
-        if path and any(_under(b, path) for b in kept):
+    for path in filter(None, paths):
+        # what the path would bring along counts as covered
+        under = [b for b in kept if _under(b, path)]
+        if not under:
+            continue
+        covered = sum(_free(b) for b in kept if _under(b, _with_siblings(path))) / all_free if all_free else 1.0
+        if not fits and _is_template(path) and len(under) >= LEAST_BLOCKS and sum(map(_free, under)) >= LEAST_OF_TEMPLATE * all_free and not _has_article_outside(kept, path):
             own = path
             break
+        fits.append((covered, path.count("/"), path))
     if own is None:
-        own = around = best_path(blocks)[0]
-    else:
-        around = _with_siblings(own)
+        covered, _, own = max(fits, default=(0.0, 0, best))
+        if covered < LEAST_COVERED:
+            own = best
+    around = own if own == best else _with_siblings(own)
     return "\n".join(b.text for b in kept if _under(b, around)), own
 
 
+def _is_template(path: str) -> bool:
+    return "." in path.rsplit("/", 1)[-1]
+
+
+def _has_article_outside(blocks: list[Block], path: str) -> bool:
+    """Whether an article or main that does not hold ``path`` has more free text outside of it than is under it."""
+    under = sum(_free(b) for b in blocks if _under(b, path))
+    inner = [b for b in blocks if not _under(b, path) and any(_is_article(b.path[: i + 1]) for i in range(len(b.path)))]
+    return sum(map(_free, inner)) > under
+
+
 def _under(block: Block, path: str) -> bool:
     here = "/".join(block.path)
     return not path or here == path or here.startswith(path + "/")
@@ -256,7 +286,7 @@ def votes(pages: DataFrame) -> DataFrame:
         found = [best_path(list(read(x))) for x in page.to_pylist()]
         return host, pa.array([x for x, _ in found]), pa.array([s for _, s in found])
 
-    source = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    source = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
     cast = by_batch(source, run, "host string, path string, score double").where("score > 0")
     counted = cast.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
@@ -268,7 +298,7 @@ def votes(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` and ``path`` (where the text was found) of every page.
 
-    Null and empty pages have an empty text. Pages without a host in their url vote together. Repeated rows
+    Null and empty pages have an empty text. Pages without a host in their url use their own path. Repeated rows
     stay repeated. Columns other than ``page_id``, ``url`` and ``html`` are not carried.
     """
     chosen = materialize(votes(pages), "paths")
