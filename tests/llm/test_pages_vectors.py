@@ -101,6 +101,20 @@ def test_rare_templates_and_pages_without_host_use_their_own_path(spark):
     assert {r.host for r in pages.votes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"h.example"}
 
 
+def test_names_of_subjects_are_not_furniture():
+    def text(page):
+        return pages.main_text(page, [])[0]
+
+    long = "Words of the text that are no links at all. " * 5
+    for part in (f"<h2 id=related-work>Kept</h2><p>{long}", f"<section id=search><p>Kept {long}</section>", f"<div class='social-history'><p>Kept {long}</div>", "<p class=notice>Kept", "<div class=commentary><p>Kept</div>"):
+        assert "Kept" in text(f"<body><article><h1>Title</h1><p>{long}</p>{part}</article></body>")
+        assert "Kept" in text(f"<body><div><h1>Title</h1><p>{long}</p>{part}</div></body>") or "id=search" in part
+    for part in ("<div class=comments><p>Gone</div>", "<div class=share><a>Gone</a> <a>Gone</a></div>", f"<div class=related>{'<a>Gone and more</a> ' * 20}</div>", "<form><label>Gone</label><input></form>", "<nav>Gone</nav>"):
+        assert text(f"<body><article><h1>Title</h1><p>{long}</p>{part}</article></body>") == f"Title\n{long.strip()}"
+    page = f"<body><form id=aspnetForm><div id=page><h1>Title</h1><p>{long}</p><select><option>Gone</select><button>Gone</button></div></form></body>"
+    assert text(page) == f"Title\n{long.strip()}"
+
+
 def expected(rows):
     groups = defaultdict(list)
     for page_id, _, page, *_ in rows:

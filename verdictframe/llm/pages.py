@@ -34,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is not markup: it ends only at the closing tag.
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 #: Elements whose text is never part of an article.
-DROPPED = RAW | frozenset("head nav footer aside form select button template svg math dialog menu object canvas audio video datalist".split())
+DROPPED = RAW | frozenset("head nav footer aside select button template svg math dialog menu object canvas audio video datalist".split())
 CONTAINERS = frozenset("body main article section div td th tr table tbody thead tfoot ul ol dl blockquote header center fieldset details figure html".split())
 BLOCKS = CONTAINERS | frozenset("nav footer aside form menu dialog p h1 h2 h3 h4 h5 h6 li dt dd pre address hr figcaption caption summary hgroup legend".split())
 #: What an opening tag closes if it is open, up to the nearest of the second set.
@@ -55,6 +55,17 @@ FURNITURE = frozenset(
     " recommendations comment comments respond disqus reply replies pagination pager search login toolbar skip complementary contentinfo".split()
 )
 FURNITURE_BEGINS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter", "cookie")
+#: Words that begin like these but name texts.
+TEXTS = ("commentar", "commentat", "advertor")
+#: Words that also name subjects: a container of theirs with text that is not links stays (all in articles, elsewhere those with the word in a longer name).
+SUBJECTS = frozenset(
+    "menu widget promo banner consent notice notices alert subscribe signup popup modal overlay share sharing social related recommended recommendations respond reply replies pager"
+    " search login toolbar skip navigation sponsor sponsored complementary contentinfo newsletter newsletters header masthead topbar".split()
+)
+#: Free characters and share of links that tell text from furniture.
+LEAST_TEXT = 100
+MOST_LINKED = 0.3
+_headings = frozenset("h1 h2 h3 h4 h5 h6".split())
 _about = re.compile(r"(?:has|with|no|without|is)[-_]")
 #: These only outside an article: inside, they hold its own heading.
 HEADING = frozenset("header masthead topbar".split())
@@ -83,35 +94,74 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *(re.sub(r"\d+", "#", x) for x in names)])
 
 
-def _is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """``always``, ``unless text`` (decided by what the element holds), ``unless most`` (if it does not wrap the page's text) or nothing."""
     if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return "always"
     if not in_article and tag == "header":
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    names = [x for key in ("class", "id", "role") for x in attributes.get(key, "").split() if not _about.match(x)]
-    words = {w.lower() for x in names for w in _word.findall(x)}
-    if words & FURNITURE or any(w.startswith(FURNITURE_BEGINS) for w in words):
-        return True
-    return not in_article and bool(words & HEADING)
-
-
-def read(page: str) -> Iterator[Block]:
+        return "always"
+    if tag == "form":
+        return "unless most"
+    if tag in ("body", "html", "article", "main") or tag in _headings:
+        return ""
+    tokens = [x for key in ("class", "role") for x in attributes.get(key, "").split() if not _about.match(x)]
+    if in_article:
+        # only whole names, and never of the paragraphs
+        marks = {x.lower() for x in tokens if _marks(x.lower())} if tag != "p" else set()
+        return "" if not marks else "unless text" if tag in BLOCKS and marks <= SUBJECTS else "always"
+    names = [*tokens, *(x for x in attributes.get("id", "").split() if not _about.match(x))]
+    whole = {x.lower() for x in names}
+    marks = {w for x in names for w in map(str.lower, _word.findall(x)) if _marks(w) or w in HEADING}
+    if tag == "p":
+        marks &= whole - SUBJECTS
+    return "" if not marks else "unless text" if tag in BLOCKS and marks <= SUBJECTS and not marks & whole else "always"
+
+
+def _marks(word: str) -> bool:
+    return word in FURNITURE or word.startswith(FURNITURE_BEGINS) and word.isalpha() and not word.startswith(TEXTS)
+
+
+def read(page: str) -> list[Block]:
     """Blocks of a page in order, with white space folded and character references decoded."""
-    # open elements: tag, path, furniture, within an article, within a link
-    stack: list[tuple[str, tuple[str, ...], bool, bool, bool]] = [("", (), False, False, False)]
+    kinds: list[str] = []
+    found = list(_blocks(page, kinds))
+    if kinds:
+        _decide(found, kinds)
+    return [b for b, _ in found]
+
+
+def _decide(found: list[tuple[Block, tuple[int, ...]]], kinds: list[str]) -> None:
+    """Marks the blocks of those elements that are furniture by what they hold."""
+    total, linked, free = [0] * len(kinds), [0] * len(kinds), [0] * len(kinds)
+    for b, within in found:
+        if not b.furniture:
+            for i in within:
+                total[i], linked[i], free[i] = total[i] + len(b.text), linked[i] + b.linked, free[i] + _free(b)
+    everything = sum(_free(b) for b, _ in found if not b.furniture)
+    dropped = {
+        i
+        for i, kind in enumerate(kinds)
+        if (2 * free[i] < everything if kind == "unless most" else free[i] < LEAST_TEXT or linked[i] > MOST_LINKED * total[i])
+    }
+    for b, within in found:
+        b.furniture = b.furniture or not dropped.isdisjoint(within)
+
+
+def _blocks(page: str, kinds: list[str]) -> Iterator[tuple[Block, tuple[int, ...]]]:
+    """Blocks, each with the elements around it that are furniture or not by what they hold; their kinds are added to ``kinds``."""
+    # open elements: tag, path, furniture, within an article, within a link, within elements to be decided
+    stack: list[tuple[str, tuple[str, ...], bool, bool, bool, tuple[int, ...]]] = [("", (), False, False, False, ())]
     text: list[str] = []
     linked = 0
     at = 0
 
-    def block() -> Iterator[Block]:
+    def block() -> Iterator[tuple[Block, tuple[int, ...]]]:
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                yield Block(stack[-1][1], joined, min(linked, len(joined)), stack[-1][2])
+                yield Block(stack[-1][1], joined, min(linked, len(joined)), stack[-1][2]), stack[-1][5]
         linked = 0
 
     def add(piece: str) -> None:
@@ -162,8 +212,12 @@ def read(page: str) -> Iterator[Block]:
                 if stack[i][0] in stop or stack[i][0] in CONTAINERS and stack[i][0] not in ends and not stop:
                     break
         attributes = _attributes(m["rest"].rstrip("/>"))
-        _, path, furniture, in_article, in_link = stack[-1]
-        now = furniture or _is_furniture(tag, attributes, in_article)
+        _, path, furniture, in_article, in_link, within = stack[-1]
+        kind = "" if furniture else _is_furniture(tag, attributes, in_article)
+        now = furniture or kind == "always"
+        if kind.startswith("unless"):
+            kinds.append(kind)
+            within = (*within, len(kinds) - 1)
         if now != furniture:
             yield from block()
         stack.append((
@@ -172,6 +226,7 @@ def read(page: str) -> Iterator[Block]:
             now,
             in_article or tag in ("article", "main") or attributes.get("role") == "main",
             in_link or tag == "a",
+            within,
         ))
     if at < len(page):
         add(page[at:])
@@ -232,7 +287,7 @@ def main_text(page: str, paths: list[str]) -> tuple[str, str]:
     longer text elsewhere, but not against an article. Of other paths the one that covers the page's free text best
     is taken if it covers LEAST_COVERED of it.
     """
-    blocks = list(read(page))
+    blocks = read(page)
     kept = clean(blocks)
     best = best_path(blocks)[0]
     all_free = sum(map(_free, kept))
@@ -283,7 +338,7 @@ def votes(pages: DataFrame) -> DataFrame:
     """
 
     def run(host, page):
-        found = [best_path(list(read(x))) for x in page.to_pylist()]
+        found = [best_path(read(x)) for x in page.to_pylist()]
         return host, pa.array([x for x, _ in found]), pa.array([s for _, s in found])
 
     source = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
