@@ -4,6 +4,8 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -88,6 +90,36 @@ def test_bomb_is_counted_not_opened():
     assert secrets.secrets_of(bomb).unread == 0
 
 
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+
+
+def test_large_layers_are_read_to_their_end():
+    data = base64.b64encode(gzip.compress(b"some text \n" * 7_000_000 + SECRET.encode()))
+    found = secrets.secrets_of(b"a " + data + b" b")
+    assert (2, 0, 2 + len(data.rstrip(b"="))) in found.spans and found.unread == 0
+
+
+@pytest.mark.parametrize("pack", PACKERS.values(), ids=PACKERS)
+def test_layers_over_many_windows(monkeypatch, pack):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 13)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 9)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 10)
+    noise = random.Random(3)
+    text = b" ".join(b"%d" % noise.randrange(10**9) for _ in range(20_000))
+    inner = pack(text + b" password" + b" " * 30_000 + b"= abcdefghijklmnop")
+    lines = base64.encodebytes(inner)
+    for held in (inner, base64.b64encode(inner), lines, b"x=" + urllib.parse.quote(inner, safe="").encode()):
+        code = base64.b64encode(gzip.compress(b"first " + held + b"\n last"))
+        assert (1, 0, 1 + len(code.rstrip(b"="))) in secrets.secrets_of(b" " + code).spans
+
+
+def test_redact_replaces_what_is_not_read(spark):
+    code = base64.b64encode(gzip.compress(b"a " * 10_000 + SECRET.encode())).decode()
+    docs = spark.createDataFrame([(1, f"one {code} two")], "doc_id long, text string")
+    for most in (1000, None):
+        assert re.fullmatch(r"one \[secret\]=* two", secrets.redact(docs, max_expanded=most).first().text)
+
+
 def test_redact_keeps_rows_and_columns(docs):
     more = docs.union(docs.limit(1).selectExpr("77L", "'é token=abcdefghijklmnop1234 end'", *(f"`{c}`" for c in docs.columns[2:])))
     out = secrets.redact(more)

@@ -40,8 +40,16 @@ UNICODE = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-
 #: A run of base64, over several lines if all but the last are of the usual widths.
 BASE64 = re.compile(rb"(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = {b"\x1f\x8b": "gzip", b"\x78": "zlib", b"BZh": "bz2", b"\xfd7zXZ": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
-#: Bytes that the compressed layers of one text may grow to together; layers beyond it are counted as unread.
-MAX_EXPANDED = 64 << 20
+#: Expanded layers of more bytes are read in windows, each with the end of the one before; output of one step of a decompressor.
+WINDOW = 4 << 20
+OVERLAP = 1 << 16
+PIECE = 1 << 20
+#: Compressed layers within each other; what is deeper (archives that hold larger ones of themselves have no end) is counted as unread.
+DEPTH = 100
+CODE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+#: Where something compressed may begin, also in percent escapes.
+INNER = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|(?<![A-Za-z0-9])x[\x01\x5e\x9c\xda]")
+INNER_PERCENT = re.compile(rb"(?i:%1f%8b%08|(?:%42|B)(?:%5a|Z)(?:%68|h)[1-9]|%fd(?:%37|7)(?:%7a|z)(?:%58|X)(?:%5a|Z)|(?:%28|\()%b5(?:%2f|/)%fd|(?<![a-z0-9])(?:%78|x)%(?:01|5e|9c|da))")
 
 _HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _CODE = bytes(104 if i < 128 and (chr(i).isalnum() or chr(i) in "+/_-") else 32 for i in range(256))
@@ -98,6 +106,7 @@ class Layer:
 class Found:
     spans: dict[tuple[int, int, int], str] = field(default_factory=dict)  # start, kind, end: the way to it
     unread: int = 0
+    unread_at: list[tuple[int, int]] = field(default_factory=list)  # start and end of each layer not read to its end
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decoded, via: str) -> Layer | None:
@@ -150,18 +159,57 @@ def compression(data: bytes) -> str | None:
     return next((name for magic, name in MAGIC.items() if data.startswith(magic)), None)
 
 
-def expanded(data: bytes, how: str, most: int) -> tuple[bytes | None, bool]:
-    """What ``data`` holds (None if it is not of that kind), and whether it is more than ``most`` bytes."""
-    try:
+class Expander:
+    """Expands what is fed to it, in pieces and in memory that does not grow."""
+
+    def __init__(self, how: str):
+        self.start(how)
+        self.done = self.failed = self.got = self.too_large = False
+
+    def start(self, how: str) -> None:
+        self.how = how
         if how == "zstd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
-        elif how in ("gzip", "zlib"):
-            out = zlib.decompressobj(47).decompress(data, most + 1)
+            self.engine = zstandard.ZstdDecompressor().decompressobj()
         else:
-            out = (bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()).decompress(data, most + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None, False
-    return (None, True) if len(out) > most else (out or None, False)
+            self.engine = zlib.decompressobj(47) if how in ("gzip", "zlib") else bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        for i in range(0, len(data), OVERLAP):
+            if not self.done:
+                yield from self._feed(data[i : i + OVERLAP])
+
+    def _feed(self, data: bytes) -> Iterator[bytes]:
+        more = bool(data)
+        while more:
+            try:
+                out, data, more = self.step(data)
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError) as error:
+                self.done = self.failed = True
+                self.too_large = "memory" in str(error)
+                return
+            if out:
+                self.got = True
+                yield out
+            if self.engine.eof:
+                self.done = True
+                return
+
+    def step(self, data: bytes) -> tuple[bytes, bytes, bool]:
+        """Some output, the input left, and whether there is more to do."""
+        e = self.engine
+        if self.how == "zstd":
+            out = e.decompress(data[:256])  # a byte may stand for 32 KB
+            rest = (e.unused_data if e.eof else b"") + data[256:]
+            return out, rest, bool(rest)
+        out = e.decompress(data, PIECE)
+        if e.eof:
+            return out, e.unused_data, bool(e.unused_data)
+        if self.how in ("gzip", "zlib"):
+            return out, e.unconsumed_tail, bool(e.unconsumed_tail) or len(out) == PIECE
+        return out, b"", not e.needs_input
+
+    def end(self) -> Iterator[bytes]:
+        yield from ()
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -187,31 +235,181 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
                 yield Layer(inner, layer.first[kept[i * 8 // 6]], layer.end[kept[(i * 8 + 7) // 6]], f"{layer.via}>base64")
 
 
-def secrets_of(data: bytes, max_expanded: int = MAX_EXPANDED) -> Found:
+class Search:
+    """Scans layers and all below them. ``left``: bytes that compressed layers may still grow to, without a bound if None."""
+
+    def __init__(self, found: Found, left: int | None):
+        self.found, self.left = found, left
+
+    def run(self, todo: list[Layer]) -> None:
+        seen = set()
+        while todo:
+            layer = todo.pop()
+            if not layer.data or (key := layer.key()) in seen:
+                continue
+            seen.add(key)
+            if how := compression(layer.data):
+                below = self.expand(layer, how)
+                if below is not None:
+                    todo += below
+                    continue
+                if not readable(layer.data):
+                    continue
+            for kind, start, end in scan(layer.data):
+                span = int(layer.first[start:end].min()), KINDS.index(kind), int(layer.end[start:end].max())
+                self.found.spans.setdefault(span, layer.via[1:])
+            todo += unwrap(layer)
+
+    def expand(self, layer: Layer, how: str) -> list[Layer] | None:
+        """What the compressed ``layer`` holds, but for its windows that are read already; None if it is not of that kind."""
+        below = Expanding(self, layer, how)
+        below.feed(layer.data)
+        rest = below.close()
+        return rest if below.expander.got or below.unread else None
+
+
+class Expanding:
+    """Expands what is fed to it and searches that: windows as soon as they are full, what is left when it is closed.
+
+    All of it stands at the place of ``layer``. Compressed data that goes on beyond a window is handed on as it comes.
+    """
+
+    def __init__(self, search: Search, layer: Layer, how: str):
+        self.search, self.via, self.expander = search, f"{layer.via}>{how}", Expander(how)
+        self.first, self.end = layer.first.min(), layer.end.max()
+        self.buffer, self.open, self.unread = bytearray(), [], False
+        if sum(x in MAGIC.values() for x in self.via.split(">")) > DEPTH:
+            self.leave()
+
+    def leave(self) -> None:
+        self.unread = self.expander.done = True
+        self.search.found.unread += 1
+        self.search.found.unread_at.append((int(self.first), int(self.end)))
+
+    def feed(self, data: bytes) -> None:
+        if not self.unread:
+            for piece in self.expander.feed(data):
+                self.take(piece)
+                if self.unread:
+                    return
+            if self.expander.too_large:
+                self.leave()
+
+    def take(self, piece: bytes) -> None:
+        left = self.search.left
+        if left is not None:
+            self.search.left = max(0, left - len(piece))
+            if len(piece) > left:
+                piece = piece[:left]
+                self.leave()
+        done = 0
+        while done < len(piece):
+            part = piece[done : done + WINDOW - len(self.buffer)]
+            done += len(part)
+            self.buffer += part
+            for tail in self.open:
+                tail.feed(part)
+            self.open = [x for x in self.open if not x.over()]
+            if len(self.buffer) >= WINDOW:
+                self.window()
+
+    def layer(self) -> Layer:
+        data = bytes(self.buffer)
+        return Layer(data, np.broadcast_to(self.first, len(data)), np.broadcast_to(self.end, len(data)), self.via)
+
+    def window(self) -> None:
+        layer = self.layer()
+        self.search.run([layer])
+        self.open += [tail for tail in tails(self.search, layer) if not tail.over()]
+        kept = layer.data[-OVERLAP:]
+        # patterns allow any number of spaces in their middle
+        spaces = len(layer.data[:-OVERLAP]) - len(layer.data[:-OVERLAP].rstrip(b" ")) if kept[:1] == b" " else 0
+        if spaces:
+            before = layer.data[: -OVERLAP - spaces][-OVERLAP:]
+            kept = before + b" " + kept.lstrip(b" ")
+        self.buffer = bytearray(kept)
+
+    def close(self) -> list[Layer]:
+        if not self.unread:
+            for piece in self.expander.end():
+                self.take(piece)
+        for tail in self.open:
+            tail.close()
+        return [self.layer()] if self.buffer else []
+
+
+class Tail:
+    """Compressed data, plain or in a code, that goes on beyond a window."""
+
+    def __init__(self, search: Search, layer: Layer, how: str, code: str, skip: int = 0):
+        self.below = Expanding(search, Layer(b"", layer.first[:1], layer.end[:1], f"{layer.via}{code and '>' + code}"), how)
+        self.code, self.skip, self.rest, self.ended = code, skip, b"", False
+
+    def feed(self, data: bytes) -> None:
+        if self.ended:
+            return
+        if self.code == "base64":
+            if m := re.search(rb"[^A-Za-z0-9+/_\r\n-]", data):
+                data, self.ended = data[: m.start()], True
+            body = self.rest + data.translate(None, b"\r\n")
+            whole = len(body) - (len(body) % 4 if not self.ended else len(body) % 4 == 1)
+            body, self.rest = body[:whole], body[whole:]
+            data = from_base64(body) or b""
+        elif self.code == "url":
+            if (end := data.find(b"\n")) >= 0:
+                data, self.ended = data[:end], True
+            data = self.rest + data
+            cut = at if not self.ended and (at := data.rfind(b"%", max(0, len(data) - 2))) >= 0 else len(data)
+            data, self.rest = PERCENT.sub(lambda m: from_percent(m[0]), data[:cut]), data[cut:]
+        data, self.skip = data[self.skip :], max(0, self.skip - len(data))
+        self.below.feed(data)
+
+    def over(self) -> bool:
+        """Whether no more can come; what has come is searched then."""
+        if not (self.ended or self.below.expander.done):
+            return False
+        self.close()
+        return True
+
+    def close(self) -> None:
+        if not self.ended:
+            self.ended = True
+            if self.rest and self.code == "base64" and len(self.rest) > 1:
+                self.below.feed(from_base64(self.rest) or b"")
+        self.below.search.run(self.below.close())
+
+
+def tails(search: Search, layer: Layer) -> Iterator[Tail]:
+    """The compressed data that begins in a window, before what the next window repeats, each fed with the window's rest."""
+    data, most = layer.data, len(layer.data) - OVERLAP
+
+    def tail(start: int, how: str | None, code: str, skip: int = 0) -> Iterator[Tail]:
+        if how and start < most:
+            (new := Tail(search, layer, how, code, skip)).feed(data[start:])
+            yield new
+
+    for m in INNER.finditer(data, 0, most + 8):
+        yield from tail(m.start(), compression(m[0]), "")
+    line = data.rfind(b"\n") + 1
+    if most - line > 0:
+        for m in INNER_PERCENT.finditer(data, line, most + 24):
+            yield from tail(m.start(), compression(PERCENT.sub(lambda x: from_percent(x[0]), m[0])), "url")
+    run = len(data.rstrip(CODE + b"\r\n"))
+    if run < most:
+        kept = np.flatnonzero(~np.isin(np.frombuffer(data[run:], np.uint8), np.frombuffer(b"\r\n", np.uint8))) + run
+        code = data[run:].translate(None, b"\r\n")
+        for offset in range(4):
+            inner = from_base64(code[offset : offset + (len(code) - offset) // 4 * 4]) or b""
+            for m in INNER.finditer(inner):
+                yield from tail(int(kept[offset + m.start() // 3 * 4]), compression(m[0]), "base64", m.start() % 3)
+
+
+def secrets_of(data: bytes, max_expanded: int | None = None) -> Found:
     found = Found({(start, KINDS.index(kind), end): "" for kind, start, end in scan(data)})
     if not (b"%" in data or b"\\" in data or next(runs(data, _CODE, 16), None)):
         return found
     at = np.arange(len(data) + 1, dtype=np.int64)
-    todo, seen, left = list(unwrap(Layer(data, at[:-1], at[1:], ""))), set(), max_expanded
-    while todo:
-        layer = todo.pop()
-        if not layer.data or (key := layer.key()) in seen:
-            continue
-        seen.add(key)
-        if how := compression(layer.data):
-            inner, too_large = expanded(layer.data, how, left)
-            found.unread += too_large
-            if inner:
-                left -= len(inner)
-                first, end = layer.first.min(), layer.end.max()
-                todo.append(Layer(inner, np.broadcast_to(first, len(inner)), np.broadcast_to(end, len(inner)), f"{layer.via}>{how}"))
-                continue
-            if not readable(layer.data):
-                continue
-        for kind, start, end in scan(layer.data):
-            span = int(layer.first[start:end].min()), KINDS.index(kind), int(layer.end[start:end].max())
-            found.spans.setdefault(span, layer.via[1:])
-        todo += unwrap(layer)
+    Search(found, max_expanded).run(list(unwrap(Layer(data, at[:-1], at[1:], ""))))
     return found
 
 
@@ -227,9 +425,10 @@ def in_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int,
 SECRETS = "array<struct<kind:string,start:bigint,end:bigint,via:string>>"
 
 
-def find_secrets(docs: DataFrame, max_expanded: int = MAX_EXPANDED) -> DataFrame:
+def find_secrets(docs: DataFrame, max_expanded: int | None = None) -> DataFrame:
     """``doc_id``, ``secrets`` (kind, start, end in code points, via: layers passed, empty for the text itself)
-    by start, kind and end, and ``unread_layers`` (compressed layers beyond ``max_expanded`` bytes).
+    by start, kind and end, and ``unread_layers`` (compressed layers not read to their end, as those beyond
+    ``max_expanded`` bytes if that is given).
 
     Null and empty texts have none. Repeated rows stay repeated; other columns are not carried.
     """
@@ -265,8 +464,9 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", max_expanded: int = MAX_EXPANDED) -> DataFrame:
-    """``docs`` with every secret replaced by ``mark`` (overlapping ones by one) and ``n_chars`` counted anew.
+def redact(docs: DataFrame, mark: str = "[secret]", max_expanded: int | None = None) -> DataFrame:
+    """``docs`` with every secret, and the code of every layer not read to its end, replaced by ``mark``
+    (overlapping ones by one) and ``n_chars`` counted anew.
 
     All columns are kept. Null texts stay null; texts without secrets stay as they are.
     """
@@ -278,7 +478,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_expanded: int = MAX_EXPA
             return text
         out, done, reach = [], 0, 0
         data = text.encode()
-        for start, _, end in sorted(secrets_of(data, max_expanded).spans):
+        found = secrets_of(data, max_expanded)
+        for start, _, end in sorted([*found.spans, *((a, -1, b) for a, b in found.unread_at)]):
             if start >= reach:
                 out += [data[done:start], mark.encode()]
             done = reach = max(reach, end)
