@@ -120,6 +120,18 @@ def test_redact_replaces_what_is_not_read(spark):
         assert re.fullmatch(r"one \[secret\]=* two", secrets.redact(docs, max_expanded=most).first().text)
 
 
+@pytest.mark.parametrize("pack", PACKERS.values(), ids=PACKERS)
+def test_members_and_prefixes(pack):
+    one, two = pack(b"nothing here " * 3), pack(SECRET.encode())
+    skipped = b"\x50\x2a\x4d\x18\x04\0\0\0abcd" if pack is zstandard.compress else b""
+    for packed in (one + two, one * 300 + b"\0" * 8 + two, one + SECRET.encode(), skipped + one + skipped + two, b"\x00\xffhead=" + two):
+        code = base64.b64encode(packed)
+        assert any(kind == 0 and 1 <= a < b <= 1 + len(code) for a, kind, b in secrets.secrets_of(b" " + code + b" ").spans), packed[:20]
+    escaped = urllib.parse.quote(one + two, safe="").encode()
+    spans = secrets.secrets_of(b"a blob=" + escaped + b" & more").spans
+    assert (7, 0, 7 + len(escaped)) in spans
+
+
 def test_redact_keeps_rows_and_columns(docs):
     more = docs.union(docs.limit(1).selectExpr("77L", "'é token=abcdefghijklmnop1234 end'", *(f"`{c}`" for c in docs.columns[2:])))
     out = secrets.redact(more)

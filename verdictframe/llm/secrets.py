@@ -36,6 +36,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
+#: Escapes and the characters that need none.
+PERCENT_RUN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/*!'()-])+")
 UNICODE = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 #: A run of base64, over several lines if all but the last are of the usual widths.
 BASE64 = re.compile(rb"(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -94,9 +96,10 @@ class Layer:
     first: np.ndarray
     end: np.ndarray
     via: str
+    line: bool = False  # a whole line, of which the escaped runs are layers of their own
 
     def key(self) -> bytes:
-        return blake2b(self.data + self.first[:1].tobytes() + self.end[-1:].tobytes(), digest_size=16).digest()
+        return blake2b(bytes([self.line]) + self.data + self.first[:1].tobytes() + self.end[-1:].tobytes(), digest_size=16).digest()
 
     def part(self, start: int, stop: int) -> Layer:
         return Layer(self.data[start:stop], self.first[start:stop], self.end[start:stop], self.via)
@@ -156,18 +159,21 @@ def readable(data: bytes) -> bool:
 
 
 def compression(data: bytes) -> str | None:
+    if data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5:  # a frame of zstd to be skipped
+        return "zstd"
     return next((name for magic, name in MAGIC.items() if data.startswith(magic)), None)
 
 
 class Expander:
-    """Expands what is fed to it, in pieces and in memory that does not grow."""
+    """Expands what is fed to it, in pieces and in memory that does not grow: members one after another, and what follows as it is."""
 
     def __init__(self, how: str):
         self.start(how)
+        self.members, self.plain, self.head = 0, False, b""
         self.done = self.failed = self.got = self.too_large = False
 
     def start(self, how: str) -> None:
-        self.how = how
+        self.how, self.in_member = how, False
         if how == "zstd":
             self.engine = zstandard.ZstdDecompressor().decompressobj()
         else:
@@ -179,21 +185,48 @@ class Expander:
                 yield from self._feed(data[i : i + OVERLAP])
 
     def _feed(self, data: bytes) -> Iterator[bytes]:
-        more = bool(data)
+        if self.plain:
+            yield data
+            return
+        if self.engine is None:
+            yield from self.next_member(data)
+            return
+        more, given = bool(data), data
         while more:
             try:
                 out, data, more = self.step(data)
             except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError) as error:
+                if self.members and not self.in_member:  # what follows only looked like a member
+                    self.plain = True
+                    yield given
+                    return
                 self.done = self.failed = True
                 self.too_large = "memory" in str(error)
                 return
             if out:
-                self.got = True
+                self.got = self.in_member = True
                 yield out
             if self.engine.eof:
-                self.done = True
+                self.engine, self.members = None, self.members + 1
+                yield from self.next_member(data)
                 return
 
+    def next_member(self, data: bytes, last: bool = False) -> Iterator[bytes]:
+        """Begins the member that ``data`` holds; zeros between members are padding."""
+        data = (self.head + data).lstrip(b"\0")
+        self.head = b""
+        if not data:
+            return
+        if len(data) < 6 and not last:
+            self.head = data
+            return
+        if how := compression(data):
+            self.start(how)
+            yield from self._feed(data)
+        else:
+            self.plain = True
+            yield data
+
     def step(self, data: bytes) -> tuple[bytes, bytes, bool]:
         """Some output, the input left, and whether there is more to do."""
         e = self.engine
@@ -209,7 +242,8 @@ class Expander:
         return out, b"", not e.needs_input
 
     def end(self) -> Iterator[bytes]:
-        yield from ()
+        if self.engine is None and not self.plain and not self.done:
+            yield from self.next_member(b"", last=True)
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -222,14 +256,19 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
                 a = data.rfind(b"\n", 0, m.start()) + 1
                 done = b if (b := data.find(b"\n", m.end())) >= 0 else len(data)
                 if below := replaced(layer.part(a, done), pattern, decoded, via):
+                    below.line = via == "url"
                     yield below
+                    if via == "url":
+                        for run in PERCENT_RUN.finditer(data, a, done):
+                            if INNER_PERCENT.search(run[0]) and (below := replaced(layer.part(*run.span()), pattern, decoded, via)):
+                                yield below
             else:
                 break
     done = 0
     for start, _ in runs(data, _CODE, 16):
         if start >= done and (m := BASE64.match(data, start)):
             done = m.end()
-            if (inner := from_base64(m[0])) and (compression(inner) or readable(inner)):
+            if (inner := from_base64(m[0])) and (compression(inner) or readable(inner) or INNER.search(inner)):
                 kept = np.flatnonzero(~np.isin(np.frombuffer(m[0], np.uint8), np.frombuffer(b"\r\n=", np.uint8))) + start
                 i = np.arange(len(inner))  # byte i comes from the code characters of its bits
                 yield Layer(inner, layer.first[kept[i * 8 // 6]], layer.end[kept[(i * 8 + 7) // 6]], f"{layer.via}>base64")
@@ -253,13 +292,32 @@ class Search:
                 if below is not None:
                     todo += below
                     continue
+                todo += self.inside(layer)
                 if not readable(layer.data):
                     continue
+            else:
+                todo += self.inside(layer)
             for kind, start, end in scan(layer.data):
                 span = int(layer.first[start:end].min()), KINDS.index(kind), int(layer.end[start:end].max())
                 self.found.spans.setdefault(span, layer.via[1:])
             todo += unwrap(layer)
 
+    def inside(self, layer: Layer) -> list[Layer]:
+        """What compressed data after the beginning of ``layer`` holds; data that goes on to its end is taken once."""
+        if layer.line:
+            return []
+        todo = []
+        for m in INNER.finditer(layer.data, 1):
+            part = layer.part(m.start(), len(layer.data))
+            below = Expanding(self, part, compression(m[0]))
+            below.feed(part.data)
+            rest = below.close()
+            if below.expander.got or below.unread:
+                todo += rest
+                if not below.expander.failed:
+                    break
+        return todo
+
     def expand(self, layer: Layer, how: str) -> list[Layer] | None:
         """What the compressed ``layer`` holds, but for its windows that are read already; None if it is not of that kind."""
         below = Expanding(self, layer, how)
