@@ -132,6 +132,28 @@ def test_members_and_prefixes(pack):
     assert (7, 0, 7 + len(escaped)) in spans
 
 
+def glued():
+    code = base64.b64encode(SECRET.encode() + b" end").decode().rstrip("=")
+    for before in ("https://api.example.com/cb/", "user_", "id-", "k", "ke", "key", "a/b-c_d/"):
+        yield before + code
+    yield base64.b64encode(b"\x00\xff\x01" + SECRET.encode() + b"\xfe").decode()  # not readable as a whole
+    yield code + "x" * (1 + -len(code) % 4)  # a length of 1 mod 4
+    yield "user_" + base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    yield "user_" + base64.b64encode(zlib.compress(SECRET.encode())).decode()
+    long = base64.b64encode(b"x" * 100 + b" " + SECRET.encode() + b" " + b"y" * 60).decode()
+    for width in (8, 17, 40, 72, 100):
+        for end in ("\n", "\r\n", "\n  "):
+            yield f"key: {end.join(long[i : i + width] for i in range(0, len(long), width))}"
+
+
+@pytest.mark.parametrize("text", list(glued()))
+def test_base64_at_any_place(text):
+    found = secrets.secrets_of(f"é {text} end".encode())
+    assert any(kind == 0 and "base64" in via for (_, kind, _), via in found.spans.items())
+    exact = [(a, b) for (a, kind, b), via in found.spans.items() if via == "base64"]
+    assert all(3 <= a < b <= 3 + len(text.encode()) for a, b in exact)
+
+
 def test_redact_keeps_rows_and_columns(docs):
     more = docs.union(docs.limit(1).selectExpr("77L", "'é token=abcdefghijklmnop1234 end'", *(f"`{c}`" for c in docs.columns[2:])))
     out = secrets.redact(more)

@@ -39,8 +39,9 @@ PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
 #: Escapes and the characters that need none.
 PERCENT_RUN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/*!'()-])+")
 UNICODE = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
-#: A run of base64, over several lines if all but the last are of the usual widths.
-BASE64 = re.compile(rb"(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 at the beginning of a line, and least characters of a run over one or several lines.
+LINE = re.compile(rb"[ \t]*([A-Za-z0-9+/_-]+)(={0,2})(\r?\n)?")
+LEAST_CODE = 16
 MAGIC = {b"\x1f\x8b": "gzip", b"\x78": "zlib", b"BZh": "bz2", b"\xfd7zXZ": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 #: Expanded layers of more bytes are read in windows, each with the end of the one before; output of one step of a decompressor.
 WINDOW = 4 << 20
@@ -51,6 +52,7 @@ DEPTH = 100
 CODE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 #: Where something compressed may begin, also in percent escapes.
 INNER = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|(?<![A-Za-z0-9])x[\x01\x5e\x9c\xda]")
+ZLIB_CODE = re.compile(rb"(?<=[/+_-])e[AFJN](?=[A-Za-z0-9+/_-])")
 INNER_PERCENT = re.compile(rb"(?i:%1f%8b%08|(?:%42|B)(?:%5a|Z)(?:%68|h)[1-9]|%fd(?:%37|7)(?:%7a|z)(?:%58|X)(?:%5a|Z)|(?:%28|\()%b5(?:%2f|/)%fd|(?<![a-z0-9])(?:%78|x)%(?:01|5e|9c|da))")
 
 _HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -150,14 +152,6 @@ def from_base64(run: bytes) -> bytes | None:
     return base64.b64decode(body.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(body) % 4))
 
 
-def readable(data: bytes) -> bool:
-    """UTF-8 without control characters other than white space."""
-    try:
-        return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", data.decode())
-    except UnicodeDecodeError:
-        return False
-
-
 def compression(data: bytes) -> str | None:
     if data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5:  # a frame of zstd to be skipped
         return "zstd"
@@ -264,14 +258,53 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
                                 yield below
             else:
                 break
-    done = 0
-    for start, _ in runs(data, _CODE, 16):
-        if start >= done and (m := BASE64.match(data, start)):
-            done = m.end()
-            if (inner := from_base64(m[0])) and (compression(inner) or readable(inner) or INNER.search(inner)):
-                kept = np.flatnonzero(~np.isin(np.frombuffer(m[0], np.uint8), np.frombuffer(b"\r\n=", np.uint8))) + start
-                i = np.arange(len(inner))  # byte i comes from the code characters of its bits
-                yield Layer(inner, layer.first[kept[i * 8 // 6]], layer.end[kept[(i * 8 + 7) // 6]], f"{layer.via}>base64")
+    for start, stop in runs(data, _CODE, LEAST_CODE):
+        yield from decoded_runs(layer, np.arange(start, stop), data[start:stop])
+    for lines in over_lines(data):
+        yield from decoded_runs(layer, np.concatenate([np.arange(a, b) for a, b in lines]), b"".join(data[a:b] for a, b in lines))
+
+
+def over_lines(data: bytes) -> Iterator[list[tuple[int, int]]]:
+    """Base64 over several lines: what ends the first line, lines of one width, and what begins the last."""
+    i = data.find(b"\n")
+    while i >= 0:
+        stop = i - (data[i - 1 : i] == b"\r")
+        line = data[data.rfind(b"\n", 0, i) + 1 : stop]
+        parts, at, width = [(stop - len(line) + len(line.rstrip(CODE)), stop)], i + 1, None
+        while parts[0][0] < stop and (m := LINE.match(data, at)):
+            n = m.end(1) - m.start(1)
+            if width and n > width:
+                break
+            parts.append(m.span(1))
+            if m[2] or not m[3] or width and n < width:
+                break
+            at, width = m.end(), n
+        if len(parts) > 1 and sum(b - a for a, b in parts) >= LEAST_CODE:
+            yield parts
+        i = data.find(b"\n", max(i + 1, parts[-1][1] if len(parts) > 1 else 0))
+
+
+def decoded_runs(layer: Layer, kept: np.ndarray, code: bytes) -> Iterator[Layer]:
+    """What base64 at ``kept`` stands for, from each of its first four characters, as what is glued before it is of any length."""
+    for offset in range(4):
+        body = code[offset:]
+        if len(body) % 4 == 1:
+            body = body[:-1]
+        inner = from_base64(body)
+        if inner and worth_reading(inner):
+            i = np.arange(len(inner)) * 8 + 6 * offset  # byte i comes from the code characters of its bits
+            yield Layer(inner, layer.first[kept[i // 6]], layer.end[kept[(i + 7) // 6]], f"{layer.via}>base64")
+    for m in ZLIB_CODE.finditer(code):  # too short a mark to be looked for within other bytes
+        if m.start() and len(code) - m.start() >= LEAST_CODE:
+            body = code[m.start() :]
+            inner = from_base64(body[: len(body) - (len(body) % 4 == 1)])
+            i = np.arange(len(inner)) * 8 + 6 * m.start()
+            yield Layer(inner, layer.first[kept[i // 6]], layer.end[kept[(i + 7) // 6]], f"{layer.via}>base64")
+
+
+def worth_reading(data: bytes) -> bool:
+    """Whether bytes, most of which may be noise of another alignment, hold secrets or further layers."""
+    return bool(compression(data) or INNER.search(data) or PERCENT.search(data) or UNICODE.search(data) or next(runs(data, _CODE, LEAST_CODE), None) or next(scan(data), None) or next(over_lines(data), None))
 
 
 class Search:
@@ -292,11 +325,7 @@ class Search:
                 if below is not None:
                     todo += below
                     continue
-                todo += self.inside(layer)
-                if not readable(layer.data):
-                    continue
-            else:
-                todo += self.inside(layer)
+            todo += self.inside(layer)
             for kind, start, end in scan(layer.data):
                 span = int(layer.first[start:end].min()), KINDS.index(kind), int(layer.end[start:end].max())
                 self.found.spans.setdefault(span, layer.via[1:])
@@ -464,7 +493,7 @@ def tails(search: Search, layer: Layer) -> Iterator[Tail]:
 
 def secrets_of(data: bytes, max_expanded: int | None = None) -> Found:
     found = Found({(start, KINDS.index(kind), end): "" for kind, start, end in scan(data)})
-    if not (b"%" in data or b"\\" in data or next(runs(data, _CODE, 16), None)):
+    if not (b"%" in data or b"\\" in data or next(runs(data, _CODE, LEAST_CODE), None) or next(over_lines(data), None)):
         return found
     at = np.arange(len(data) + 1, dtype=np.int64)
     Search(found, max_expanded).run(list(unwrap(Layer(data, at[:-1], at[1:], ""))))
