@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from typing import ClassVar
@@ -62,6 +63,15 @@ def lists(values: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=kind))
 
 
+def pieces(text, gap: re.Pattern, size: int = 1 << 20) -> Iterator:
+    """Parts of a str or bytes ``text`` of about ``size``, cut where ``gap`` matches, so that its lists of words stay small."""
+    start = 0
+    while len(text) - start > size and (cut := gap.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:] if start else text
+
+
 class Memo(dict):
     """Results of ``fn`` for short keys; the older half goes when it holds ``limit`` of them, so memory stays bounded.
 
