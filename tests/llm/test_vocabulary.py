@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -186,6 +187,7 @@ def random_terms(seed):
 def test_divergence_of_random_terms(spark, monkeypatch):
     monkeypatch.setattr(divergence, "KEPT", 40)
     monkeypatch.setattr(divergence, "BLOCK", 50)
+    monkeypatch.setattr(divergence, "SLICE", 500)
     rows = random_terms(5)
     docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
     assert rows_of(divergence.divergence(docs)) == brute_divergence(rows)
@@ -201,7 +203,7 @@ def test_divergence_of_sample_and_odd_rows(docs, nothing, sample):
 def test_prefixes_count_documents_once(spark):
     """Two terms of one prefix in one document are one document; prefixes of few documents are discarded."""
     rows = [("commander communal", "en", "a"), ("community", "en", "a"), ("commute", "en", "b"), ("rare rarely", "en", "b"), ("rarest", "en", "b")]
-    docs = divergence.source_rows(spark.createDataFrame(rows, "text string, lang string, source string"))
+    docs = divergence.postings(spark.createDataFrame(rows, "text string, lang string, source string"))
     found = {(bytes(r.key), r.complete, r.docs) for r in divergence.prefixes(docs, 4, 0, None).collect()}
     assert found == {(b"comm", False, 3)}
     kept = divergence.prefixes(docs, 4, 0, None).select("lang", "key")
@@ -211,11 +213,17 @@ def test_prefixes_count_documents_once(spark):
 def test_bitmap_holds_what_it_was_made_of(spark):
     keys = [(g, bytes([k % 256, k // 256])) for k in range(3000) for g in ("en", "", "日")]
     bitmap = divergence.bitmap_of(spark.createDataFrame(keys, "lang string, key binary"))
-    import pyarrow as pa
-
     names = ["en", "", "日", "other"]
-    assert divergence.marked(bitmap, names, np.array([names.index(g) for g, _ in keys]), pa.array([k for _, k in keys], type=pa.binary())).all()
-    assert divergence.marked(bitmap, names, np.full(len(keys), 3), pa.array([k for _, k in keys], type=pa.binary())).mean() < 0.01
+    hashes, lang = divergence.slots(pa.array([k for _, k in keys], type=pa.binary())), np.array([names.index(g) for g, _ in keys])
+    assert divergence.marked(bitmap, hashes, lang, names).all()
+    assert divergence.marked(bitmap, hashes, np.full(len(keys), 3), names).mean() < 0.01
+
+
+def test_hash_does_not_depend_on_other_keys():
+    keys = [b"", b"a", b"ab\0", b"abcdefgh", b"abcdefghi", b"x" * 100]
+    alone = [int(divergence.slots(pa.array([k], type=pa.binary()))[0]) for k in keys]
+    assert divergence.slots(pa.array(keys, type=pa.binary())).tolist() == alone
+    assert len(set(alone)) == len(keys)
 
 
 def test_shares_are_exact_beyond_64_bits(spark):

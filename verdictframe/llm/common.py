@@ -25,9 +25,9 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 SLICE = 2 << 20
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` of about ``SLICE`` bytes, so that memory does not follow the length of texts."""
-    rows = max(1, int(SLICE * batch.num_rows / max(1, batch.nbytes)))
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of about ``size`` bytes, so that memory does not follow the length of texts."""
+    rows = max(1, int(size * batch.num_rows / max(1, batch.nbytes)))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 

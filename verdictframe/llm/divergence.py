@@ -1,8 +1,9 @@
 """How the sources of a language differ in the words they use, on terms found by iceberg prefix refinement.
 
-Terms are refined by prefixes of 4, 8, 16, ... bytes. At each level the documents that hold a prefix are counted,
+Terms are refined by prefixes of 4, 8, 16, ... bytes. Texts are read once; the terms of each
+document are written as numbers (postings). At each level the documents that hold a prefix are counted,
 once each; prefixes in fewer documents than asked for are discarded with all that begins with them, complete
-terms that reach it are kept. A bitmap of fixed size tells the next pass over the texts which prefixes were
+terms that reach it are kept. A bitmap of fixed size tells the next pass over the postings which prefixes were
 kept; what it lets through by chance is counted like all else and falls at its own level. From the third level
 on what is left is refined from a table of the terms that still go on.
 
@@ -26,20 +27,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.llm.common import Memo, pieces, slices
+from verdictframe.llm.neardup import mixed
 from verdictframe.session import materialize
 
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
-#: Bytes of the prefixes of the passes over the texts; later levels double.
+#: Bytes of the prefixes of the passes over all postings; later levels double.
 LEVELS = (4, 8, 16)
 #: Bits of the map of kept prefixes: 16 MB whatever their number.
 BITS = 1 << 27
-#: Rows that a task adds up before it passes them on.
-KEPT = 1 << 19
+#: Rows that a task adds up before it passes them on; bytes of texts in a row of postings.
+KEPT, SLICE = 1 << 19, 8 << 20
 #: Terms times sources of a block whose pairs of sources are summed together; copies of a language's sources, for its rows to meet.
 BLOCK, SALTS = 1 << 17, 16
 _terms = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+").findall
 _gap = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]")
 GROUP = ("lang", "source")
+U = np.uint64
 
 
 def terms(text: str) -> Counter:
@@ -50,9 +53,55 @@ def terms(text: str) -> Counter:
     return out
 
 
-def source_rows(docs: DataFrame) -> DataFrame:
-    """Text, language and source of each row, null read as empty, and a number for the row."""
-    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", *GROUP)]).withColumn("doc", F.monotonically_increasing_id())
+def postings(docs: DataFrame) -> DataFrame:
+    """The terms of all texts, a row for each few documents, so that each level reads numbers and not texts.
+
+    ``lang`` and ``source`` of the documents, how many ``terms`` there are and which; ``ends``, ``at`` and ``n`` (32-bit): where the
+    terms of each document end, which terms they are, once each, and how often each comes. ``row`` numbers the rows.
+    """
+    read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", *GROUP)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.begin("divergence")
+        for whole in batches:
+            for batch in slices(whole, SLICE):
+                flat: list[str] = []
+                often: list[int] = []
+                ends = []
+                for text in batch.column("text").to_pylist():
+                    found = terms(text)
+                    flat += found
+                    often += found.values()
+                    ends.append(len(flat))
+                term = pa.array(flat, type=pa.string()).dictionary_encode()
+                numbers = (np.array(ends), term.indices.to_numpy(zero_copy_only=False), np.array(often))
+                row = [[batch.column(c).to_pylist()] for c in GROUP]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(r, type=pa.list_(pa.string())) for r in row), pa.array([term.dictionary.cast(pa.binary())], type=pa.list_(pa.binary())), *(pa.array([x.astype("<i4").tobytes()], type=pa.binary()) for x in numbers)],
+                    names=[*GROUP, "terms", "ends", "at", "n"],
+                )
+
+    found = read.mapInArrow(run, "lang array<string>, source array<string>, terms array<binary>, ends binary, at binary, n binary")
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "postings")
+
+
+class Postings:
+    """One row of ``postings``: of each pair of document and term, the term, the document and how often."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int) -> None:
+        self.names, self.source, self.terms = (batch.column(c)[row].values for c in (*GROUP, "terms"))
+        ends, self.at, self.n = (np.frombuffer(batch.column(c)[row].as_py(), "<i4") for c in ("ends", "at", "n"))
+        self.row = batch.column("row")[row].as_py()
+        self.doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        self.length = pc.binary_length(self.terms).to_numpy(zero_copy_only=False)
+        code = self.names.dictionary_encode()
+        self.langs, self.lang = code.dictionary.to_pylist(), code.indices.to_numpy()
+
+    @staticmethod
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Postings]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield Postings(batch, row)
 
 
 def summed(parts: Iterator[pa.Table], by: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
@@ -77,166 +126,146 @@ def summed(parts: Iterator[pa.Table], by: list[str], sums: list[str]) -> Iterato
         yield from added().to_batches()
 
 
-def counted(rows: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """The distinct terms of each document of a batch, the document's place in the batch, how often each comes."""
-    flat: list[str] = []
-    often: list[int] = []
-    ends = []
-    for text in rows.column("text").to_pylist():
-        found = terms(text)
-        flat += found
-        often += found.values()
-        ends.append(len(flat))
-    doc = np.repeat(np.arange(rows.num_rows), np.diff(ends, prepend=0))
-    return pa.array(flat, type=pa.string()).dictionary_encode(), doc, np.array(often, dtype=np.int64)
+def slots(keys: pa.Array) -> np.ndarray:
+    """A hash of each key, of its length and first 64 bytes."""
+    size = np.minimum(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64), 64)
+    width = -(-int(size.max(initial=1)) // 8) * 8
+    table = np.array(pc.binary_slice(keys, 0, 64).to_pylist(), dtype=f"S{width}").view(U).reshape(len(keys), width // 8)
+    out = mixed(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(U))
+    for k in range(width // 8):  # words beyond a key's end leave the hash as it is
+        out = np.where(8 * k < size, mixed(out * U(0x9E3779B97F4A7C15) + table[:, k]), out)
+    return out
 
 
-def languages(rows: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
-    column = rows.column("lang").dictionary_encode()
-    return column.indices.to_numpy(), column.dictionary.to_pylist()
+def slot_of(hashes: np.ndarray, lang: np.ndarray, langs: list[str]) -> np.ndarray:
+    seed = np.array([xxhash.xxh64_intdigest(name.encode()) for name in langs], dtype=U)
+    return (mixed(hashes ^ seed[lang]) & U(BITS - 1)).astype(np.int64)
 
 
-def marked(bitmap: np.ndarray, langs: list[str], lang: np.ndarray, keys: pa.Array) -> np.ndarray:
+def marked(bitmap: np.ndarray, hashes: np.ndarray, lang: np.ndarray, langs: list[str]) -> np.ndarray:
     """Whether each key of a language may be among those that the bitmap was made of."""
-    seed = [xxhash.xxh64_intdigest(name.encode(), 42) for name in langs]
-    slot = np.fromiter((xxhash.xxh64_intdigest(k, seed[g]) for g, k in zip(lang, keys.to_pylist(), strict=True)), np.uint64, len(keys)) % BITS
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    slot = slot_of(hashes, lang, langs)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
     """Bits of ``lang`` and ``key``: at most ``BITS / 32768`` rows of 4 kB on the driver."""
-    bit = F.xxhash64("lang", "key").bitwiseAND(F.lit(BITS - 1)) + 1  # Spark's functions count bits from 1
-    maps = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column("lang").dictionary_encode()
+            slot = slot_of(slots(batch.column("key")), code.indices.to_numpy(), code.dictionary.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(slot + 1)], names=["bit"])  # Spark's functions count bits from 1
+
+    maps = keys.select("lang", "key").mapInArrow(run, "bit long").groupBy(F.expr("bitmap_bucket_number(bit)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
     out = np.zeros(BITS // 8, np.uint8)
     for row in maps.toLocalIterator():
         out[(row["block"] - 1) * 4096 :][: len(row["map"])] = np.frombuffer(bytes(row["map"]), np.uint8)
     return out
 
 
-def prefixes(docs: DataFrame, level: int, before: int, kept: DataFrame | None) -> DataFrame:
+def prefixes(held: DataFrame, level: int, before: int, kept: DataFrame | None) -> DataFrame:
     """``lang``, ``key``, ``complete``, ``docs``: the documents of each prefix of ``level`` bytes, and of each term that ends by then.
 
-    Only terms of more than ``before`` bytes are counted, whose first ``before`` bytes are among ``kept``.
+    ``held`` are postings. Only terms of more than ``before`` bytes are counted, whose first ``before`` bytes are among ``kept``.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bitmap_of(kept)) if kept is not None else None
+    sent = held.sparkSession.sparkContext.broadcast(bitmap_of(kept)) if kept is not None else None
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        Memo.begin("divergence")
-        for whole in batches:
-            for batch in slices(whole):
-                term, doc, _ = counted(batch)
-                lang, names = languages(batch)
-                values = term.dictionary.cast(pa.binary())
-                length = pc.binary_length(values).to_numpy(zero_copy_only=False)
-                prefix = pc.binary_slice(values, 0, level).dictionary_encode()
-                # a key is a prefix, and whether it is a whole term
-                key = 2 * prefix.indices.to_numpy(zero_copy_only=False).astype(np.int64) + (length <= level)
-                at = term.indices.to_numpy(zero_copy_only=False)
-                there = length[at] > before
+        for own in Postings.each(batches):
+            prefix = pc.binary_slice(own.terms, 0, level).dictionary_encode()
+            # a key is a prefix, and whether it is a whole term
+            key = 2 * prefix.indices.to_numpy(zero_copy_only=False).astype(np.int64) + (own.length <= level)
+            at, doc = own.at, own.doc
+            if sent is not None:
+                there = own.length[at] > before
                 at, doc = at[there], doc[there]
-                if sent is not None:
-                    pair, inverse = np.unique(lang[doc].astype(np.int64) * len(values) + at, return_inverse=True)
-                    fine = marked(sent.value, names, pair // max(1, len(values)), pc.binary_slice(values.take(pa.array(pair % max(1, len(values)))), 0, before))
-                    at, doc = at[fine[inverse]], doc[fine[inverse]]
-                width = 2 * max(1, len(prefix.dictionary))
-                once = np.unique(doc * width + key[at])
-                group, n = np.unique(lang[once // width].astype(np.int64) * width + once % width, return_counts=True)
-                yield pa.table({
-                    "lang": pa.array(names, type=pa.string()).take(pa.array(group // width)),
-                    "key": prefix.dictionary.take(pa.array(group % width // 2)),
-                    "complete": pa.array(group % 2 == 1),
-                    "docs": pa.array(n, type=pa.int64()),
-                })
-
-    found = docs.mapInArrow(lambda batches: summed(tables(batches), ["lang", "key", "complete"], ["docs"]), "lang string, key binary, complete boolean, docs long")
+                fine = marked(sent.value, slots(pc.binary_slice(own.terms, 0, before))[at], own.lang[doc], own.langs)
+                at, doc = at[fine], doc[fine]
+            width = 2 * max(1, len(prefix.dictionary))
+            once = np.unique(doc * width + key[at])
+            group, n = np.unique(own.lang[once // width].astype(np.int64) * width + once % width, return_counts=True)
+            yield pa.table({
+                "lang": pa.array(own.langs, type=pa.string()).take(pa.array(group // width)),
+                "key": prefix.dictionary.take(pa.array(group % width // 2)),
+                "complete": pa.array(group % 2 == 1),
+                "docs": pa.array(n, type=pa.int64()),
+            })
+
+    found = held.mapInArrow(lambda batches: summed(tables(batches), ["lang", "key", "complete"], ["docs"]), "lang string, key binary, complete boolean, docs long")
     return found.groupBy("lang", "key", "complete").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST)
 
 
-def going_on(docs: DataFrame, level: int, kept: DataFrame) -> DataFrame:
-    """``lang``, ``doc``, ``term``: the terms of more than ``level`` bytes whose first ``level`` bytes may be among ``kept``."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(kept))
+def going_on(held: DataFrame, level: int, kept: DataFrame) -> DataFrame:
+    """``lang``, ``row`` and ``doc`` (the document), ``term``: the terms of more than ``level`` bytes whose first ``level`` bytes may be among ``kept``."""
+    sent = held.sparkSession.sparkContext.broadcast(bitmap_of(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                term, doc, _ = counted(batch)
-                lang, names = languages(batch)
-                values = term.dictionary.cast(pa.binary())
-                at = term.indices.to_numpy(zero_copy_only=False)
-                there = pc.binary_length(values).to_numpy(zero_copy_only=False)[at] > level
-                at, doc = at[there], doc[there]
-                found = values.take(pa.array(at))
-                fine = marked(sent.value, names, lang[doc], pc.binary_slice(found, 0, level))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, type=pa.string()).take(pa.array(lang[doc][fine])), batch.column("doc").take(pa.array(doc[fine])), found.filter(pa.array(fine))], names=["lang", "doc", "term"]
-                )
+        for own in Postings.each(batches):
+            there = own.length[own.at] > level
+            at, doc = own.at[there], own.doc[there]
+            fine = marked(sent.value, slots(pc.binary_slice(own.terms, 0, level))[at], own.lang[doc], own.langs)
+            at, doc = at[fine], doc[fine]
+            yield pa.RecordBatch.from_arrays([own.names.take(pa.array(doc)), pa.array(np.full(len(doc), own.row)), pa.array(doc), own.terms.take(pa.array(at))], names=["lang", "row", "doc", "term"])
 
-    return docs.mapInArrow(run, "lang string, doc long, term binary")
+    return held.mapInArrow(run, "lang string, row long, doc long, term binary")
 
 
-def kept_terms(docs: DataFrame) -> DataFrame:
+def kept_terms(held: DataFrame) -> DataFrame:
     """``lang`` and ``term`` (bytes) of all terms that at least ``LEAST`` documents of the language hold."""
     whole, kept, before = [], None, 0
     for level in LEVELS:
-        found = materialize(prefixes(docs, level, before, kept), f"prefixes-{level}")
+        found = materialize(prefixes(held, level, before, kept), f"prefixes-{level}")
         whole.append(found.where("complete").select("lang", F.col("key").alias("term")))
         kept, before = found.where(~F.col("complete")).select("lang", "key"), level
     if not kept.isEmpty():
-        rest = materialize(going_on(docs, before, kept), "long-terms")
+        rest = materialize(going_on(held, before, kept), "long-terms")
         for doubled in itertools.count(1):
             level = before << doubled
             key, complete = F.substring("term", 1, level), F.octet_length("term") <= level
-            there = rest.groupBy("lang", key.alias("key"), complete.alias("complete"), "doc").agg(F.lit(1).alias("one"))
+            there = rest.groupBy("lang", key.alias("key"), complete.alias("complete"), "row", "doc").agg(F.lit(1).alias("one"))
             found = materialize(there.groupBy("lang", "key", "complete").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST), f"prefixes-{level}")
             whole.append(found.where("complete").select("lang", F.col("key").alias("term")))
             more = found.where(~F.col("complete")).select("lang", "key")
             if more.isEmpty():
                 break
-            rest = materialize(rest.withColumn("key", key).where(~complete).join(more, ["lang", "key"], "left_semi").select("lang", "doc", "term"), "long-terms")
+            rest = materialize(rest.withColumn("key", key).where(~complete).join(more, ["lang", "key"], "left_semi").select("lang", "row", "doc", "term"), "long-terms")
     out = whole[0]
     for part in whole[1:]:
         out = out.unionByName(part)
     return materialize(out, "terms")
 
 
-def occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def occurrences(held: DataFrame, kept: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``term``, ``n``: how often each kept term comes in each group that holds it."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(kept.select("lang", F.col("term").alias("key"))))
+    sent = held.sparkSession.sparkContext.broadcast(bitmap_of(kept.select("lang", F.col("term").alias("key"))))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for whole in batches:
-            for batch in slices(whole):
-                term, doc, often = counted(batch)
-                lang, names = languages(batch)
-                group = _dense(batch)
-                values = term.dictionary.cast(pa.binary())
-                at = term.indices.to_numpy(zero_copy_only=False)
-                width = max(1, len(values))
-                pair, inverse = np.unique(group[doc] * width + at, return_inverse=True)
-                n = np.bincount(inverse, weights=often, minlength=len(pair)).astype(np.int64)
-                head = np.unique(group, return_index=True)[1]
-                found, of = values.take(pa.array(pair % width)), head[pair // width]
-                fine = marked(sent.value, names, lang[of], found)
-                own = pa.array(of[fine])
-                yield pa.table({"lang": batch.column("lang").take(own), "source": batch.column("source").take(own), "term": found.filter(pa.array(fine)), "n": pa.array(n[fine])})
-
-    found = docs.mapInArrow(lambda batches: summed(tables(batches), ["lang", "source", "term"], ["n"]), "lang string, source string, term binary, n long")
+        for own in Postings.each(batches):
+            code = own.source.dictionary_encode()
+            group = own.lang.astype(np.int64) * max(1, len(code.dictionary)) + code.indices.to_numpy()
+            fine = marked(sent.value, slots(own.terms)[own.at], own.lang[own.doc], own.langs)
+            at, doc, often = own.at[fine], own.doc[fine], own.n[fine]
+            width = max(1, len(own.terms))
+            pair = group[doc] * width + at
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            n = np.add.reduceat(often[order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+            of = pa.array(doc[order][first])
+            yield pa.table({"lang": own.names.take(of), "source": own.source.take(of), "term": own.terms.take(pa.array(pair[first] % width)), "n": pa.array(n)})
+
+    found = held.mapInArrow(lambda batches: summed(tables(batches), ["lang", "source", "term"], ["n"]), "lang string, source string, term binary, n long")
     # dealt by language and term, so that sums, the check and the language's counts need no further shuffle
     dealt = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
     return dealt.join(kept, ["lang", "term"], "left_semi")
 
 
-def _dense(batch: pa.RecordBatch) -> np.ndarray:
-    """A number for the language and source of each row of a batch."""
-    a, b = (batch.column(c).dictionary_encode().indices.to_numpy().astype(np.int64) for c in GROUP)
-    return np.unique(a * (1 << 32) + b, return_inverse=True)[1]
-
-
 def share(count: Column, total: Column, terms_: Column) -> Column:
-    """``1 + floor(SCALE * (count + 1) / (total + terms))`` in exact decimals."""
+    """``1 + floor(SCALE * (count + 1) / (total + terms))``, exact: in decimals where 64 bits do not hold the product."""
     long = "decimal(20,0)"
-    return 1 + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast(long), (total + terms_).cast(long))
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast(long), (total + terms_).cast(long))
+    return 1 + F.when(count < (1 << 63) // SCALE - 1, F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), total + terms_)).otherwise(wide)
 
 
 def divergence(docs: DataFrame, top: int = TOP) -> DataFrame:
@@ -248,10 +277,10 @@ def divergence(docs: DataFrame, top: int = TOP) -> DataFrame:
     other. Each row is a document, repeated ones as well. A language without a kept term has values 0 in ``pair`` and no
     ``term``. Texts are read whole, long ones piece by piece. Other columns are not read. An empty table gives no rows.
     """
-    rows = source_rows(docs)
-    groups = materialize(rows.groupBy(*GROUP).agg(F.lit(1).alias("one")).select(*GROUP), "groups")
-    kept = kept_terms(rows)
-    found = materialize(occurrences(rows, kept), "occurrences")
+    held = postings(docs)
+    groups = held.select(F.explode(F.arrays_zip(*GROUP)).alias("group")).select("group.*").groupBy(*GROUP).agg(F.lit(1).alias("one")).select(*GROUP)
+    kept = kept_terms(held)
+    found = materialize(occurrences(held, kept), "occurrences")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = found.groupBy(*GROUP).agg(F.sum("n").alias("total"))
     each = groups.join(totals, list(GROUP), "left").join(sizes, "lang", "left").select(*GROUP, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"))
