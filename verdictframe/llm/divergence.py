@@ -1,10 +1,10 @@
 """How the sources of a language differ in the words they use, on terms found by iceberg prefix refinement.
 
-Terms are refined by prefixes of 4, 8, 16, ... bytes. Texts are read once; the terms of each
+Terms are refined by prefixes of 8, 16, 32, ... bytes. Texts are read once; the terms of each
 document are written as numbers (postings). At each level the documents that hold a prefix are counted,
 once each; prefixes in fewer documents than asked for are discarded with all that begins with them, complete
 terms that reach it are kept. A bitmap of fixed size tells the next pass over the postings which prefixes were
-kept; what it lets through by chance is counted like all else and falls at its own level. From the third level
+kept; what it lets through by chance is counted like all else and falls at its own level. From the second level
 on what is left is refined from a table of the terms that still go on.
 
 The divergence of two sources is a sum over all kept terms, most of which neither has. Terms that a source lacks all
@@ -32,11 +32,11 @@ from verdictframe.session import materialize
 
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of the prefixes of the passes over all postings; later levels double.
-LEVELS = (4, 8, 16)
+LEVELS = (8, 16)
 #: Bits of the map of kept prefixes: 16 MB whatever their number.
 BITS = 1 << 27
 #: Rows that a task adds up before it passes them on; bytes of texts in a row of postings.
-KEPT, SLICE = 1 << 19, 8 << 20
+KEPT, SLICE = 1 << 19, 4 << 20
 #: Terms times sources of a block whose pairs of sources are summed together; copies of a language's sources, for its rows to meet.
 BLOCK, SALTS = 1 << 17, 16
 _terms = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+").findall
@@ -164,6 +164,15 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def tally(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``size`` numbers there are, and how often each."""
+    if size > 8 * len(codes) + 1000:
+        return np.unique(codes, return_counts=True)
+    n = np.bincount(codes, minlength=size)
+    there = np.flatnonzero(n)
+    return there, n[there]
+
+
 def prefixes(held: DataFrame, level: int, before: int, kept: DataFrame | None) -> DataFrame:
     """``lang``, ``key``, ``complete``, ``docs``: the documents of each prefix of ``level`` bytes, and of each term that ends by then.
 
@@ -173,24 +182,26 @@ def prefixes(held: DataFrame, level: int, before: int, kept: DataFrame | None) -
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for own in Postings.each(batches):
-            prefix = pc.binary_slice(own.terms, 0, level).dictionary_encode()
-            # a key is a prefix, and whether it is a whole term
-            key = 2 * prefix.indices.to_numpy(zero_copy_only=False).astype(np.int64) + (own.length <= level)
             at, doc = own.at, own.doc
             if sent is not None:
                 there = own.length[at] > before
                 at, doc = at[there], doc[there]
                 fine = marked(sent.value, slots(pc.binary_slice(own.terms, 0, before))[at], own.lang[doc], own.langs)
                 at, doc = at[fine], doc[fine]
-            width = 2 * max(1, len(prefix.dictionary))
-            once = np.unique(doc * width + key[at])
-            group, n = np.unique(own.lang[once // width].astype(np.int64) * width + once % width, return_counts=True)
-            yield pa.table({
-                "lang": pa.array(own.langs, type=pa.string()).take(pa.array(group // width)),
-                "key": prefix.dictionary.take(pa.array(group % width // 2)),
-                "complete": pa.array(group % 2 == 1),
-                "docs": pa.array(n, type=pa.int64()),
-            })
+            whole = own.length[at] <= level  # terms come once for each document, prefixes may come again
+            prefix = pc.binary_slice(own.terms, 0, level).dictionary_encode()
+            width = max(1, len(prefix.dictionary))
+            key = prefix.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            once = np.unique(doc[~whole] * width + key[at[~whole]])
+            for complete, names, of, code in ((True, own.terms, doc[whole], at[whole]), (False, prefix.dictionary, once // width, once % width)):
+                width = max(1, len(names))
+                group, n = tally(own.lang[of].astype(np.int64) * width + code, len(own.langs) * width)
+                yield pa.table({
+                    "lang": pa.array(own.langs, type=pa.string()).take(pa.array(group // width)),
+                    "key": names.take(pa.array(group % width)),
+                    "complete": pa.array(np.full(len(group), complete)),
+                    "docs": pa.array(n, type=pa.int64()),
+                })
 
     found = held.mapInArrow(lambda batches: summed(tables(batches), ["lang", "key", "complete"], ["docs"]), "lang string, key binary, complete boolean, docs long")
     return found.groupBy("lang", "key", "complete").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST)
@@ -237,7 +248,7 @@ def kept_terms(held: DataFrame) -> DataFrame:
 
 
 def occurrences(held: DataFrame, kept: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``term``, ``n``: how often each kept term comes in each group that holds it."""
+    """``lang``, ``source``, ``term``, ``n``, ``lang_n``: how often each kept term comes in each group that holds it, and in the language."""
     sent = held.sparkSession.sparkContext.broadcast(bitmap_of(kept.select("lang", F.col("term").alias("key"))))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -258,7 +269,7 @@ def occurrences(held: DataFrame, kept: DataFrame) -> DataFrame:
     found = held.mapInArrow(lambda batches: summed(tables(batches), ["lang", "source", "term"], ["n"]), "lang string, source string, term binary, n long")
     # dealt by language and term, so that sums, the check and the language's counts need no further shuffle
     dealt = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    return dealt.join(kept, ["lang", "term"], "left_semi")
+    return dealt.join(kept, ["lang", "term"], "left_semi").withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term")))
 
 
 def share(count: Column, total: Column, terms_: Column) -> Column:
@@ -288,9 +299,8 @@ def divergence(docs: DataFrame, top: int = TOP) -> DataFrame:
     lang = Window.partitionBy("lang")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("terms") * F.count("*").over(lang) / F.lit(BLOCK))).cast("int")
     each = materialize(each.withColumns({"zero": zero, "lang_total": F.sum("total").over(lang), "blocks": blocks}), "sources")
-    by_term = found.join(found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), ["lang", "term"])
     shared = materialize(
-        by_term.join(each, list(GROUP)).select(
+        found.join(each, list(GROUP)).select(
             *GROUP, "term", "zero", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q")
         ),
         "shares",
