@@ -202,12 +202,17 @@ def test_divergence_of_sample_and_odd_rows(docs, nothing, sample):
 
 def test_prefixes_count_documents_once(spark):
     """Two terms of one prefix in one document are one document; prefixes of few documents are discarded."""
-    rows = [("commander communal", "en", "a"), ("community", "en", "a"), ("commute", "en", "b"), ("rare rarely", "en", "b"), ("rarest", "en", "b")]
+    rows = [("commandeer commandeers", "en", "a"), ("commander", "en", "a"), ("commandos", "en", "b"), ("rarefied rarefieds", "en", "b"), ("rarefieds", "en", "b")]
     docs = divergence.postings(spark.createDataFrame(rows, "text string, lang string, source string"))
-    found = {(bytes(r.key), r.complete, r.docs) for r in divergence.prefixes(docs, 4, 0, None).collect()}
-    assert found == {(b"comm", False, 3)}
-    kept = divergence.prefixes(docs, 4, 0, None).select("lang", "key")
-    assert {(bytes(r.key), r.docs) for r in divergence.prefixes(docs, 5, 4, kept).collect()} == {(b"commu", 3)}
+    found = {(bytes(r.key), r.complete, r.docs) for r in divergence.prefixes(docs, 8, 0, None).collect()}
+    assert found == set()
+    rows.append(("commanders", "de", "a"))
+    rows.append(("commanders", "en", "a"))
+    docs = divergence.postings(spark.createDataFrame(rows, "text string, lang string, source string"))
+    assert {(r.lang, bytes(r.key), r.complete, r.docs) for r in divergence.prefixes(docs, 8, 0, None).collect()} == {("en", b"commande", False, 3)}
+    kept = divergence.prefixes(docs, 8, 0, None).select("lang", "key")
+    assert divergence.prefixes(docs, 9, 8, kept).count() == 0
+    assert {r.term for r in divergence.going_on(docs, 8, kept).collect()} == {b"commandeer", b"commandeers", b"commander", b"commanders"}
 
 
 def test_bitmap_holds_what_it_was_made_of(spark):

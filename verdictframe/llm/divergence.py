@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.llm.common import Memo, pieces, slices
 from verdictframe.llm.neardup import mixed
-from verdictframe.session import materialize
+from verdictframe.session import materialize, scratch_path
 
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of the prefixes of the passes over all postings; later levels double.
@@ -54,12 +54,16 @@ def terms(text: str) -> Counter:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """The terms of all texts, a row for each few documents, so that each level reads numbers and not texts.
+    """The terms of all texts, two rows for each few documents, so that each level reads numbers and not texts.
 
-    ``lang`` and ``source`` of the documents, how many ``terms`` there are and which; ``ends``, ``at`` and ``n`` (32-bit): where the
-    terms of each document end, which terms they are, once each, and how often each comes. ``row`` numbers the rows.
+    Terms of more than ``LEVELS[0]`` bytes are in rows of their own (``long``), since later levels read no others. ``lang``
+    and ``source`` of the documents; ``bytes`` of the terms one after the other, the ``size`` of each; ``ends``, ``at`` and ``n``: where the
+    terms of each document end, which terms they are, once each, and how often each comes (32-bit numbers). ``row``
+    numbers the rows.
     """
+    spark = docs.sparkSession
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", *GROUP)])
+    names = [*GROUP, "long", "bytes", "size", "ends", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Memo.begin("divergence")
@@ -74,26 +78,38 @@ def postings(docs: DataFrame) -> DataFrame:
                     often += found.values()
                     ends.append(len(flat))
                 term = pa.array(flat, type=pa.string()).dictionary_encode()
-                numbers = (np.array(ends), term.indices.to_numpy(zero_copy_only=False), np.array(often))
-                row = [[batch.column(c).to_pylist()] for c in GROUP]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(r, type=pa.list_(pa.string())) for r in row), pa.array([term.dictionary.cast(pa.binary())], type=pa.list_(pa.binary())), *(pa.array([x.astype("<i4").tobytes()], type=pa.binary()) for x in numbers)],
-                    names=[*GROUP, "terms", "ends", "at", "n"],
-                )
-
-    found = read.mapInArrow(run, "lang array<string>, source array<string>, terms array<binary>, ends binary, at binary, n binary")
-    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "postings")
+                values, at, n = term.dictionary.cast(pa.binary()), term.indices.to_numpy(zero_copy_only=False), np.array(often, dtype=np.int64)
+                size = pc.binary_length(values).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                groups_ = [pa.array([batch.column(c).to_pylist()], type=pa.list_(pa.string())) for c in GROUP]
+                for long in (False, True):
+                    own = (size > LEVELS[0]) == long
+                    there = own[at]
+                    numbers = (size[own], np.bincount(doc[there], minlength=len(ends)).cumsum(), (np.cumsum(own) - 1)[at[there]], n[there])
+                    joined = b"".join(values.filter(pa.array(own)).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [*groups_, pa.array([long]), pa.array([joined], type=pa.binary()), *(pa.array([x.astype("<i4").tobytes()], type=pa.binary()) for x in numbers)], names=names
+                    )
+
+    found = read.mapInArrow(run, "lang array<string>, source array<string>, long boolean, bytes binary, size binary, ends binary, at binary, n binary")
+    found = found.withColumn("row", F.monotonically_increasing_id())
+    path = scratch_path(spark, "postings")
+    found.write.partitionBy("long").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 class Postings:
     """One row of ``postings``: of each pair of document and term, the term, the document and how often."""
 
     def __init__(self, batch: pa.RecordBatch, row: int) -> None:
-        self.names, self.source, self.terms = (batch.column(c)[row].values for c in (*GROUP, "terms"))
+        self.names, self.source = (batch.column(c)[row].values for c in GROUP)
+        self.length = np.frombuffer(batch.column("size")[row].as_py(), "<i4")
+        start = np.zeros(len(self.length) + 1, np.int32)
+        np.cumsum(self.length, out=start[1:])
+        self.terms = pa.BinaryArray.from_buffers(pa.binary(), len(self.length), [None, pa.py_buffer(start), pa.py_buffer(batch.column("bytes")[row].as_py())])
         ends, self.at, self.n = (np.frombuffer(batch.column(c)[row].as_py(), "<i4") for c in ("ends", "at", "n"))
         self.row = batch.column("row")[row].as_py()
         self.doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        self.length = pc.binary_length(self.terms).to_numpy(zero_copy_only=False)
         code = self.names.dictionary_encode()
         self.langs, self.lang = code.dictionary.to_pylist(), code.indices.to_numpy()
 
@@ -176,9 +192,10 @@ def tally(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def prefixes(held: DataFrame, level: int, before: int, kept: DataFrame | None) -> DataFrame:
     """``lang``, ``key``, ``complete``, ``docs``: the documents of each prefix of ``level`` bytes, and of each term that ends by then.
 
-    ``held`` are postings. Only terms of more than ``before`` bytes are counted, whose first ``before`` bytes are among ``kept``.
+    ``held`` are postings, ``level`` is ``LEVELS[0]`` at least. Only terms of more than ``before`` bytes are counted, whose first ``before`` bytes are among ``kept``.
     """
     sent = held.sparkSession.sparkContext.broadcast(bitmap_of(kept)) if kept is not None else None
+    held = held.where("long") if before >= LEVELS[0] else held
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for own in Postings.each(batches):
@@ -219,7 +236,7 @@ def going_on(held: DataFrame, level: int, kept: DataFrame) -> DataFrame:
             at, doc = at[fine], doc[fine]
             yield pa.RecordBatch.from_arrays([own.names.take(pa.array(doc)), pa.array(np.full(len(doc), own.row)), pa.array(doc), own.terms.take(pa.array(at))], names=["lang", "row", "doc", "term"])
 
-    return held.mapInArrow(run, "lang string, row long, doc long, term binary")
+    return held.where("long").mapInArrow(run, "lang string, row long, doc long, term binary")
 
 
 def kept_terms(held: DataFrame) -> DataFrame:
@@ -289,7 +306,7 @@ def divergence(docs: DataFrame, top: int = TOP) -> DataFrame:
     ``term``. Texts are read whole, long ones piece by piece. Other columns are not read. An empty table gives no rows.
     """
     held = postings(docs)
-    groups = held.select(F.explode(F.arrays_zip(*GROUP)).alias("group")).select("group.*").groupBy(*GROUP).agg(F.lit(1).alias("one")).select(*GROUP)
+    groups = held.where("not long").select(F.explode(F.arrays_zip(*GROUP)).alias("group")).select("group.*").groupBy(*GROUP).agg(F.lit(1).alias("one")).select(*GROUP)
     kept = kept_terms(held)
     found = materialize(occurrences(held, kept), "occurrences")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"))
