@@ -35,8 +35,8 @@ LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 LEVELS = (8, 16)
 #: Bits of the map of kept prefixes: 16 MB whatever their number.
 BITS = 1 << 27
-#: Rows that a task adds up before it passes them on; bytes of texts in a row of postings.
-KEPT, SLICE = 1 << 19, 4 << 20
+#: Rows that a task adds up before it passes them on; bytes of texts in a row of postings; rows passed on at a time.
+KEPT, SLICE, ROWS = 1 << 19, 4 << 20, 1 << 14
 #: Terms times sources of a block whose pairs of sources are summed together; copies of a language's sources, for its rows to meet.
 BLOCK, SALTS = 1 << 17, 16
 _terms = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+").findall
@@ -136,10 +136,10 @@ def summed(parts: Iterator[pa.Table], by: list[str], sums: list[str]) -> Iterato
             held = [added()]
             size = last = held[0].num_rows
             if size > KEPT:
-                yield from held[0].to_batches()
+                yield from held[0].to_batches(ROWS)
                 held, size, last = [], 0, 0
     if held:
-        yield from added().to_batches()
+        yield from added().to_batches(ROWS)
 
 
 def slots(keys: pa.Array) -> np.ndarray:
