@@ -36,7 +36,7 @@ LEVELS = (8, 16)
 #: Bits of the map of kept prefixes: 16 MB whatever their number.
 BITS = 1 << 27
 #: Rows that a task adds up before it passes them on; bytes of texts in a row of postings; rows passed on at a time.
-KEPT, SLICE, ROWS = 1 << 19, 4 << 20, 1 << 14
+KEPT, SLICE, ROWS = 1 << 18, 2 << 20, 1 << 14
 #: Terms times sources of a block whose pairs of sources are summed together; copies of a language's sources, for its rows to meet.
 BLOCK, SALTS = 1 << 17, 16
 _terms = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+").findall
@@ -122,6 +122,7 @@ class Postings:
 
 def summed(parts: Iterator[pa.Table], by: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of the same ``by`` added up, as far as ``KEPT`` rows go."""
+    pa.default_memory_pool().release_unused()  # what earlier tasks of the worker have left
     held: list[pa.Table] = []
     size = last = 0
 
