@@ -86,3 +86,30 @@ def test_ids_far_apart_do_not_give_a_block_each(spark):
     for i, g in rows:
         seen[g] = seen.get(g, 0) + 1
         assert got[i] == seen[g]
+
+
+def test_blocks_of_ids_that_lie_unevenly(spark):
+    """A dense run of ids, one id far away, ids that double: no block has more than twice the mean."""
+    dense = spark.range(1_000_000).select("id")
+    ids = dense.unionByName(spark.createDataFrame([(1 << 62,), (-(1 << 40),), *[((1 << 30) + (1 << k),) for k in range(21, 60)]], "id bigint"))
+    sizes = [r["count"] for r in ordered.id_blocks(ids, "id", 50_000).groupBy("_block").count().collect()]
+    assert 20 <= len(sizes) <= 22
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    order = ordered.id_blocks(ids, "id", 50_000).groupBy("_block").agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("_block").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(order, order[1:], strict=False))
+
+
+def test_more_blocks_than_one_sketch_has_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CUTS", 8)
+    monkeypatch.setattr(ordered, "PRECISION", 1000)
+    ids = spark.range(3000).select((F.col("id") * F.col("id")).alias("id"))
+    blocked = ordered.id_blocks(ids, "id", 50)
+    sizes = [r["count"] for r in blocked.groupBy("_block").count().collect()]
+    assert len(sizes) >= 55
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    ranks = {r["id"]: r["rank"] for r in ordered.running_rank(blocked, [], ["id"]).collect()}
+    assert ranks == {k * k: k + 1 for k in range(3000)}
+
+
+def test_blocks_of_nothing(spark):
+    assert ordered.id_blocks(spark.range(0), "id", 5).count() == 0

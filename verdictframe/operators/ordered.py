@@ -7,6 +7,7 @@ a block is added to its rows. A group that holds a third of the table is spread
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +19,45 @@ BLOCK = "_block"
 ROWS_PER_BLOCK = 1 << 20
 
 
+#: Quantiles that one sketch gives, and the sketch's precision: a rank is off by a 16th of a quantile's rows at most.
+CUTS, PRECISION = 1024, 16 * 1024
+
+
+def _place(cuts: Sequence[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` are not above ``value``; each row looks at a part of them only."""
+    step = max(1, math.isqrt(len(cuts)))
+    below = lambda bounds: F.size(F.filter(bounds, lambda cut: cut <= value))
+    literal = lambda values: F.expr(f"array({', '.join(f'{v}L' for v in values)})") if values else F.array().cast("array<bigint>")
+    parts = [list(cuts[i : i + step]) for i in range(0, len(cuts), step)]
+    part = F.greatest(below(literal([p[0] for p in parts])) - 1, F.lit(0))
+    inside = F.get(F.array(*[literal(p) for p in parts]), part) if parts else literal([])
+    return F.when(value.isNull() | F.lit(not parts), F.lit(0)).otherwise(part * step + below(inside)).cast("bigint")
+
+
+def _cuts(quantiles: Sequence[int] | None, parts: int) -> list[int]:
+    """Bounds of ``parts`` equal shares, out of the bounds of more of them."""
+    given = quantiles or []
+    return sorted({given[i * (len(given) + 1) // parts - 1] for i in range(1, parts)})
+
+
 def id_blocks(df: DataFrame, id_col: str, rows: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Blocks of a unique integer order column, of about ``rows`` rows.
+    """Blocks of a unique integer order column, of about ``rows`` rows each, however the ids lie.
 
-    The span of the ids is cut evenly into as many blocks as the number of rows asks for, so ids that lie
-    far apart do not give a block each.
+    A sketch of quantiles gives splitters of equal depth: one pass counts the rows and finds the splitters. Where the table
+    asks for more blocks than a sketch has quantiles, a second pass finds splitters inside each of the first ones, so a
+    block stays near ``rows`` rows. The driver gets splitters only, one for each block. Null ids go to block 0.
     """
-    id_ = F.col(id_col).cast("double")
-    spread_ = df.agg(F.struct(F.min(id_).alias("low"), F.max(id_).alias("high"), F.ceil(F.count("*") / F.lit(rows)).alias("n")).alias("s"))
-    spread_ = spread_.scalar()
-    width = F.greatest(F.lit(1.0), (spread_["high"] - spread_["low"] + 1) / F.greatest(F.lit(1), spread_["n"]))
-    return df.withColumn(BLOCK, F.floor((id_ - spread_["low"]) / width).cast("bigint"))
+    id_ = F.col(id_col).cast("bigint")
+    shares = lambda n: [i / n for i in range(1, n)]
+    found = df.agg(F.count("*").alias("n"), F.percentile_approx(id_, shares(CUTS), PRECISION).alias("cuts")).first()
+    wanted = -(-found["n"] // rows)
+    if wanted <= CUTS:
+        return df.withColumn(BLOCK, _place(_cuts(found["cuts"], wanted), id_) if wanted > 1 else F.lit(0).cast("bigint"))
+    first = sorted(set(found["cuts"] or []))
+    inner = -(-wanted // (len(first) + 1))
+    fine = df.groupBy(_place(first, id_).alias("part")).agg(F.percentile_approx(id_, shares(inner), 16 * inner).alias("cuts"))
+    cuts = set(first).union(*(r["cuts"] or [] for r in fine.toLocalIterator())) if inner > 1 else first
+    return df.withColumn(BLOCK, _place(sorted(cuts), id_))
 
 
 def range_blocks(
