@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.functions.schema import violations, violations_by_schema
 from verdictframe.functions.text import col
-from verdictframe.operators.ordered import attach
 from verdictframe.operators.scoring import outcome
-from verdictframe.session import materialize
 
 STEPS = ("type", "required_first", "must_include", "max_calls", "sequence", "args", "binding")
 
@@ -122,79 +120,99 @@ def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str) -> DataFr
     return scored.drop("_arg_schema", "_args")
 
 
+#: Calls of an item whose order is worked out together, by their sequence numbers.
+CALLS = 1 << 16
+
+
+def matched(calls: Column, wanted: Sequence[str]) -> Column:
+    """For a sorted array of calls (``name``), how far a search for ``wanted`` in order gets from each place where it may begin.
+
+    Such an array of ends is a function on places, so those of blocks that follow each other are put together by
+    looking one up in the other.
+    """
+    tools = F.array(*map(F.lit, wanted))
+    go = lambda start: F.aggregate(calls, start, lambda at, call: F.when(F.get(tools, at) == call["name"], at + 1).otherwise(at))
+    return F.transform(F.sequence(F.lit(0), F.lit(len(wanted))), go)
+
+
 def long_trace_codes(
     calls: DataFrame,
     spec: Mapping[str, Any],
+    outputs: DataFrame,
     item: str = "item_id",
     seq: str = "seq",
     name: str = "name",
     payload: str = "payload",
+    result: str = "result",
+    output: str = "output",
 ) -> DataFrame:
-    """One row per item of a long table of calls: a flag per step and the code of the first failing one.
+    """One row per item of a long table of calls: a flag per step, the code and step of the first failing one, its message.
 
-    Only bounded state is kept per item (first calls, counts, positions), all with partial
-    aggregation, so an item with very many calls is not gathered in one task. The required sequence
-    is matched by one pass per element: the earliest call of that tool after the previous element.
+    ``calls`` hold the text that a tool was called with (``payload``) and what it gave (``result``, JSON text); sequence numbers are
+    unique integers of an item. ``outputs`` hold the items' outputs (JSON text). ``bindings`` of ``spec`` say which value of a tool's first
+    result has to be which value of the output.
+
+    Calls are combined in blocks of bounded length, then the blocks of an item: counts add up, first calls stay, and each
+    block maps every place in the required sequence to the place it gets to. So the table is read once however long
+    the sequence, and an item with very many calls is many tasks.
     """
-    n, s, p = F.col(name), F.col(seq), F.col(payload)
-    arg_tool = spec["arg_schema"]["tool"]
-    bind_tool = spec["binding"]["tool"]
-    wanted = spec["required_sequence"]
-    state = calls.groupBy(item).agg(
+    n, s = F.col(name), F.col(seq)
+    arg_tool, wanted, bindings = spec["arg_schema"]["tool"], spec["required_sequence"], spec["bindings"]
+    bound = sorted({b["tool"] for b in bindings})
+    counted = {f"has_{i}": t for i, t in enumerate(spec["must_include"])} | {f"used_{i}": t for i, t in enumerate(spec["max_calls"])} | {"arg_calls": arg_tool}
+    first_of = lambda tool, value: F.min(F.when(n == tool, F.struct(s.alias("seq"), F.col(value).alias("value"))))
+    steps = F.sort_array(F.collect_list(F.when(n.isin(*wanted), F.struct(s.alias("seq"), n.alias("name")))))
+    block = F.floor(s / CALLS).alias("_block")
+    part = calls.groupBy(item, block).agg(
         F.count("*").alias("n_calls"),
-        F.min_by(n, s).alias("first_tool"),
-        *[F.count_if(n == t).alias(f"has_{i}") for i, t in enumerate(spec["must_include"])],
-        *[F.count_if(n == t).alias(f"used_{i}") for i, t in enumerate(spec["max_calls"])],
-        F.min_by(F.when(n == arg_tool, p), F.when(n == arg_tool, s)).alias("arg_text"),
-        F.count_if(n == arg_tool).alias("arg_calls"),
-        F.min_by(F.when(n == bind_tool, p), F.when(n == bind_tool, s)).alias("bound_first"),
-        F.max_by(F.when(n == bind_tool, p), F.when(n == bind_tool, s)).alias("bound_last"),
-        F.count_if(n == bind_tool).alias("bind_calls"),
-        F.min(F.when(n == wanted[0], s)).alias("reached"),
+        F.min(F.struct(s.alias("seq"), n.alias("value"))).alias("first_tool"),
+        *[F.count_if(n == t).alias(k) for k, t in counted.items()],
+        first_of(arg_tool, payload).alias("arg_first"),
+        *[first_of(t, result).alias(f"bound_{i}") for i, t in enumerate(bound)],
+        steps.alias("_steps"),
+    )
+    part = part.withColumn("_ends", matched(F.col("_steps"), wanted)).drop("_steps")
+    follow = F.aggregate(F.sort_array(F.collect_list(F.struct("_block", "_ends"))), F.lit(0), lambda at, b: F.get(b["_ends"], at))
+    state = part.groupBy(item).agg(
+        *[F.sum(c).alias(c) for c in ("n_calls", *counted)],
+        *[F.min(c)["value"].alias(c) for c in ("first_tool", "arg_first", *(f"bound_{i}" for i in range(len(bound))))],
+        follow.alias("reached"),
     )
-    # written once: however long the sequence, the calls are scanned twice
-    state = materialize(state, "trace")
-    steps = materialize(calls.where(n.isin(*wanted[1:])).select(item, s, n), "steps") if wanted[1:] else calls
-    for tool in wanted[1:]:
-        position = attach(
-            steps.where(n == tool).select(item, s),
-            state.select(item, "n_calls", "reached"),
-            [item],
-            spread_by=seq,
-            copies="n_calls",
-        )
-        later = position.where(F.col(seq) > F.col("reached")).groupBy(item).agg(F.min(seq).alias("next_reached"))
-        state = state.join(later, item, "left").withColumn("reached", F.col("next_reached")).drop("next_reached")
-
-    arg_value = F.to_variant_object(F.struct(F.col("arg_text").alias("text")))
+    state = state.join(outputs.select(item, F.try_parse_json(output).alias("_output")), item, "left")
+
+    results = F.create_map(*[x for i, t in enumerate(bound) for x in (F.lit(t), F.try_parse_json(f"bound_{i}"))]) if bound else None
+    there = F.create_map(*[x for i, t in enumerate(bound) for x in (F.lit(t), F.col(f"bound_{i}").isNotNull())]) if bound else None
+    pairs = F.array(*[F.struct(*[F.lit(b[k]).alias(k) for k in ("tool", "tool_path", "output_path")]) for b in bindings])
+    differs = lambda b: ~json_path(results[b["tool"]], b["tool_path"]).eqNullSafe(json_path("_output", b["output_path"]))
+    broken = F.get(F.filter(pairs, lambda b: ~there[b["tool"]] | differs(b)), 0) if bound else F.lit(None)
+    bad = F.lit(bool(bound)) & F.col("_output").isNotNull() & broken.isNotNull() if bound else F.lit(False)
+    missing = ~there[broken["tool"]] if bound else F.lit(False)
+
+    state = state.withColumn("_args", F.to_variant_object(F.struct(F.col("arg_first").alias("text"))))
+    text = lambda *parts: F.concat(*[F.coalesce(p, F.lit("null")) if isinstance(p, Column) else F.lit(p) for p in parts])
+    said = lambda value: json.dumps(value)
+    lacking = F.get(F.filter(F.array(*[F.when(F.col(f"has_{i}") == 0, F.lit(t)) for i, t in enumerate(spec["must_include"])]), lambda t: t.isNotNull()), 0)
+    over = F.get(F.filter(F.array(*[F.when(F.col(f"used_{i}") > m, F.lit(f"{t}: at most {m}")) for i, (t, m) in enumerate(spec["max_calls"].items())]), lambda t: t.isNotNull()), 0)
     checks = {
-        "required_first": (~F.col("first_tool").isin(*spec["required_first"]), "TOOL_SEQUENCE_MISSING"),
-        "must_include": (
-            F.least(*[F.col(f"has_{i}") for i in range(len(spec["must_include"]))], F.lit(1)) < 1,
-            "TOOL_SEQUENCE_MISSING",
-        ),
-        "max_calls": (
-            F.greatest(*[F.col(f"used_{i}") - F.lit(m) for i, m in enumerate(spec["max_calls"].values())], F.lit(0)) > 0,
-            "TOOL_MAX_CALLS_EXCEEDED",
-        ),
-        "sequence": (F.col("reached").isNull(), "TOOL_SEQUENCE_MISSING"),
-        "args_missing": (F.col("arg_calls") == 0, "TOOL_SEQUENCE_MISSING"),
-        "args": (
-            (F.col("arg_calls") > 0) & (F.size(violations(spec["arg_schema"]["schema"], arg_value)) > 0),
-            "TOOL_ARGS_SCHEMA_FAILED",
-        ),
-        "binding_missing": (F.col("bind_calls") == 0, "TOOL_BINDING_MISSING_TOOL"),
-        "binding": (
-            (F.col("bind_calls") > 0) & ~F.col("bound_first").eqNullSafe(F.col("bound_last")),
-            "TOOL_BINDING_MISMATCH",
-        ),
+        "required_first": (~F.col("first_tool").isin(*spec["required_first"]), "TOOL_SEQUENCE_MISSING", text(f"first call must be one of {said(spec['required_first'])}, was ", F.col("first_tool"))),
+        "must_include": (lacking.isNotNull(), "TOOL_SEQUENCE_MISSING", text("never called: ", lacking)),
+        "max_calls": (over.isNotNull(), "TOOL_MAX_CALLS_EXCEEDED", text("called too often: ", over)),
+        "sequence": (F.col("reached") < len(wanted), "TOOL_SEQUENCE_MISSING", text(f"of the sequence {said(wanted)} only the first ", F.col("reached").cast("string"), " came in order")),
+        "args_missing": (F.col("arg_calls") == 0, "TOOL_SEQUENCE_MISSING", text(f"never called: {arg_tool}")),
+        "args": ((F.col("arg_calls") > 0) & (F.size(violations(spec["arg_schema"]["schema"], F.col("_args"))) > 0), "TOOL_ARGS_SCHEMA_FAILED", text(f"arguments of {arg_tool} break their schema")),
+        "binding_output": (F.lit(bool(bound)) & F.col("_output").isNull(), "TOOL_BINDING_MISSING_OUTPUT", text("the output is no JSON")),
+        "binding_missing": (bad & missing, "TOOL_BINDING_MISSING_TOOL", text("never called: ", broken["tool"]) if bound else text("")),
+        "binding": (bad & ~missing, "TOOL_BINDING_MISMATCH", text(broken["tool"], " at ", broken["tool_path"], " differs from the output at ", broken["output_path"]) if bound else text("")),
     }
-    code = F.coalesce(*[F.when(test, F.lit(c)) for test, c in checks.values()], F.lit(""))
+    flags = {k: F.coalesce(test, F.lit(False)) for k, (test, _, _) in checks.items()}
+    named = lambda values: F.coalesce(*[F.when(flags[k], v) for k, v in values.items()], F.lit(""))
     return state.select(
         item,
         "n_calls",
-        *[F.coalesce(test, F.lit(False)).alias(f"bad_{k}") for k, (test, _) in checks.items()],
-        code.alias("code"),
+        *[test.alias(f"bad_{k}") for k, test in flags.items()],
+        named({k: F.lit(c) for k, (_, c, _) in checks.items()}).alias("code"),
+        named({k: F.lit(k) for k in checks}).alias("step"),
+        named({k: m for k, (_, _, m) in checks.items()}).alias("message"),
     )
 
 

@@ -176,7 +176,7 @@ TRACE_SPEC = {
     "required_first": ["user"],
     "must_include": ["assistant"],
     "max_calls": {"user": 3},
-    "required_sequence": ["user", "assistant", "user"],
+    "required_sequence": ["user", "assistant", "user", "assistant", "user"],
     "arg_schema": {
         "tool": "user",
         "schema": {
@@ -185,48 +185,66 @@ TRACE_SPEC = {
             "properties": {"text": {"type": "string", "minLength": 3, "maxLength": 300}},
         },
     },
-    "binding": {"tool": "assistant"},
+    "bindings": [
+        {"tool": "assistant", "tool_path": "$.text", "output_path": "$.final"},
+        {"tool": "user", "tool_path": "$.size", "output_path": "$.asked"},
+    ],
 }
 
 TRACE_FLAGS = """
-    f AS (SELECT item_id, count(*) AS n_calls, arg_min(name, seq) <> 'user' AS bad_required_first,
+    g AS (SELECT item_id, count(*) AS n_calls, arg_min(name, seq) <> 'user' AS bad_required_first,
              count(*) FILTER (WHERE name = 'assistant') = 0 AS bad_must_include, count(*) FILTER (WHERE name = 'user') > 3 AS bad_max_calls,
-             NOT string_agg('[' || name || ']', '' ORDER BY seq) LIKE '%[user]%[assistant]%[user]%' AS bad_sequence,
+             NOT string_agg('[' || name || ']', '' ORDER BY seq) LIKE '%[user]%[assistant]%[user]%[assistant]%[user]%' AS bad_sequence,
              count(*) FILTER (WHERE name = 'user') = 0 AS bad_args_missing,
              coalesce(length(arg_min(payload, seq) FILTER (name = 'user')) NOT BETWEEN 3 AND 300, false) AS bad_args,
-             count(*) FILTER (WHERE name = 'assistant') = 0 AS bad_binding_missing,
-             coalesce(arg_min(payload, seq) FILTER (name = 'assistant') <> arg_max(payload, seq) FILTER (name = 'assistant'), false)
-                 AS bad_binding
-          FROM v_traces GROUP BY item_id)"""
+             item_id % 10 = 3 AS bad_binding_output, count(*) FILTER (WHERE name = 'assistant') > 0 AS told, count(*) FILTER (WHERE name = 'user') > 0 AS asked,
+             coalesce(arg_min(payload, seq) FILTER (name = 'assistant') <> arg_max(payload, seq) FILTER (name = 'assistant'), false) AS other
+          FROM v_traces GROUP BY item_id),
+    f AS (SELECT *, NOT bad_binding_output AND (NOT told OR (NOT other AND NOT asked)) AS bad_binding_missing,
+             NOT bad_binding_output AND told AND (other OR (asked AND item_id % 7 = 0)) AS bad_binding FROM g)"""
+
+
+def long_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as calls, each with a result, against outputs that quote the last answer and the length of the first question."""
+    calls = view(spark, sf, "v_traces").withColumn("result", F.to_json(F.struct(F.col("payload").alias("text"), F.length("payload").alias("size"))))
+    last = lambda who, by: by(F.when(F.col("name") == who, F.col("payload")), F.when(F.col("name") == who, F.col("seq")))
+    outputs = calls.groupBy("item_id").agg(last("assistant", F.max_by).alias("final"), last("user", F.min_by).alias("first"))
+    asked = F.length("first") + F.when(F.col("item_id") % 7 == 0, 1).otherwise(0)
+    text = F.when(F.col("item_id") % 10 == 3, "no JSON {").otherwise(F.to_json(F.struct("final", asked.alias("asked"))))
+    return trajectory.long_trace_codes(calls, TRACE_SPEC, outputs.select("item_id", text.alias("output")))
+
 
 _TRACE_QUERIES = {
-    "traj_required_first": "bad_required_first",
-    "traj_must_include": "bad_must_include",
-    "traj_max_calls": "bad_max_calls",
-    "traj_sequence": "bad_sequence",
-    "traj_args": "bad_args",
-    "traj_binding": "bad_binding",
+    "traj_required_first": ("bad_required_first",),
+    "traj_must_include": ("bad_must_include",),
+    "traj_max_calls": ("bad_max_calls",),
+    "traj_sequence": ("bad_sequence",),
+    "traj_args": ("bad_args",),
+    "traj_binding": ("bad_binding_output", "bad_binding_missing", "bad_binding"),
 }
 
 
-def _trace_query(name: str, flag: str) -> None:
-    @query(name, f"WITH {TRACE_FLAGS} SELECT item_id, n_calls, {flag} FROM f", ("v_traces",))
+def _trace_query(name: str, flags: tuple[str, ...]) -> None:
+    @query(name, f"WITH {TRACE_FLAGS} SELECT item_id, n_calls, {', '.join(flags)} FROM f", ("v_traces",))
     def one_step(spark: SparkSession, sf: str) -> DataFrame:
-        return trajectory.long_trace_codes(view(spark, sf, "v_traces"), TRACE_SPEC).select("item_id", "n_calls", flag)
+        return long_traces(spark, sf).select("item_id", "n_calls", *flags)
 
 
-for _name, _flag in _TRACE_QUERIES.items():
-    _trace_query(_name, _flag)
+for _name, _flags in _TRACE_QUERIES.items():
+    _trace_query(_name, _flags)
 
 
 @query("verify_trajectory", f"""
     WITH {TRACE_FLAGS}
     SELECT item_id, CASE WHEN bad_required_first OR bad_must_include THEN 'TOOL_SEQUENCE_MISSING'
         WHEN bad_max_calls THEN 'TOOL_MAX_CALLS_EXCEEDED' WHEN bad_sequence OR bad_args_missing THEN 'TOOL_SEQUENCE_MISSING'
-        WHEN bad_args THEN 'TOOL_ARGS_SCHEMA_FAILED' WHEN bad_binding_missing THEN 'TOOL_BINDING_MISSING_TOOL'
-        WHEN bad_binding THEN 'TOOL_BINDING_MISMATCH' ELSE '' END AS code FROM f""", ("v_traces",))
+        WHEN bad_args THEN 'TOOL_ARGS_SCHEMA_FAILED' WHEN bad_binding_output THEN 'TOOL_BINDING_MISSING_OUTPUT' WHEN bad_binding_missing THEN 'TOOL_BINDING_MISSING_TOOL'
+        WHEN bad_binding THEN 'TOOL_BINDING_MISMATCH' ELSE '' END AS code,
+        CASE WHEN bad_required_first THEN 'required_first' WHEN bad_must_include THEN 'must_include' WHEN bad_max_calls THEN 'max_calls' WHEN bad_sequence THEN 'sequence'
+        WHEN bad_args_missing THEN 'args_missing' WHEN bad_args THEN 'args' WHEN bad_binding_output THEN 'binding_output' WHEN bad_binding_missing THEN 'binding_missing'
+        WHEN bad_binding THEN 'binding' ELSE '' END AS step FROM f""", ("v_traces",))
 def verify_trajectory(spark: SparkSession, sf: str) -> DataFrame:
-    return trajectory.long_trace_codes(view(spark, sf, "v_traces"), TRACE_SPEC).select("item_id", "code")
+    return long_traces(spark, sf).select("item_id", "code", "step")
 
 
 ROW_TRACE_SPEC = {
