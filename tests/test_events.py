@@ -104,3 +104,45 @@ def test_streams_over_several_batches_equal_one_batch(spark, tmp_path):
     for r in rows:
         first[r[1]] = min(first.get(r[1], 1 << 30), r[0])
     assert {r["run_id"]: r["event_id"] for r in kept} == first
+
+
+def write_log(spark, folder, rows):
+    spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(folder)
+
+
+def pairs_of(spark, log, folder, **more):
+    found = live.fifo_stream(live.read_stream(spark, log, spark.read.parquet(log).schema, files_per_trigger=1), folder=folder, **more)
+    return sorted(((r["run_id"], r["k"], r["start_id"], r["end_id"], r["late"]) for r in found.collect()), key=str)
+
+
+def at(seconds):
+    return START + timedelta(seconds=seconds)
+
+
+def test_pairing_goes_on_from_its_checkpoint(spark, tmp_path):
+    """A second query on the same folder finds the starts that the first left open, and writes no pair again."""
+    log, folder = str(tmp_path / "log"), str(tmp_path / "state")
+    write_log(spark, log, [(1, 1, "VERIFY", "start", at(0), ""), (2, 1, "VERIFY", "start", at(1), ""), (3, 1, "VERIFY", "ok", at(2), "")])
+    assert pairs_of(spark, log, folder) == [(1, 1, 1, 3, False)]
+    write_log(spark, log, [(4, 1, "VERIFY", "fail", at(5), ""), (5, 1, "VERIFY", "ok", at(6), ""), (6, 2, "VERIFY", "ok", at(6), "")])
+    assert pairs_of(spark, log, folder) == [(1, 1, 1, 3, False), (1, 2, 2, 4, False)]
+
+
+def test_late_rows_are_given_out_without_a_pair(spark, tmp_path):
+    """A row that its key has passed is marked late; one beyond the watermark is dropped by the engine."""
+    log, folder = str(tmp_path / "log"), str(tmp_path / "state")
+    write_log(spark, log, [(1, 1, "VERIFY", "start", at(0), ""), (2, 1, "VERIFY", "start", at(3600), "")])
+    assert pairs_of(spark, log, folder) == []
+    write_log(spark, log, [(3, 1, "VERIFY", "ok", at(3500), ""), (4, 1, "VERIFY", "ok", at(10), ""), (5, 1, "VERIFY", "ok", at(3700), "")])
+    assert pairs_of(spark, log, folder) == [(1, 1, 1, 5, False), (1, None, None, 3, True)]
+
+
+def test_keys_that_rest_are_forgotten(spark, tmp_path):
+    log, folder = str(tmp_path / "log"), str(tmp_path / "state")
+    day = 86_400
+    write_log(spark, log, [(1, 1, "VERIFY", "start", at(0), ""), (2, 2, "VERIFY", "start", at(0), "")])
+    write_log(spark, log, [(3, 2, "VERIFY", "start", at(day), ""), (4, 3, "VERIFY", "start", at(3 * day), "")])
+    assert pairs_of(spark, log, folder, expiry=timedelta(days=2)) == []
+    write_log(spark, log, [(5, 1, "VERIFY", "ok", at(3 * day + 1), ""), (6, 2, "VERIFY", "ok", at(3 * day + 1), ""), (7, 3, "VERIFY", "ok", at(3 * day + 1), "")])
+    found = pairs_of(spark, log, folder, expiry=timedelta(days=2))
+    assert (3, 1, 4, 7, False) in found and not [r for r in found if r[0] == 1]

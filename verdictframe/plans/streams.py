@@ -19,14 +19,16 @@ BATCHES = 3
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event log as it would arrive: files in time order, each a batch of its own."""
+    """The event log as it would arrive: parts in time order, each a batch of its own."""
     log, folder = table(spark, sf, "events"), scratch_path(spark, "feed")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     bounds = log.select(F.percentile_approx(at, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
     part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < at))
+    # each part is as many files as the log has partitions, and a batch takes as many: a part is a batch, and spread
+    files = log.rdd.getNumPartitions()
     for i in range(BATCHES):
-        log.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return live.read_stream(spark, folder, log.schema, files_per_trigger=1).select(
+        log.where(part == i).repartition(files).write.parquet(f"{folder}/part={i}")
+    return live.read_stream(spark, f"{folder}/part=*", log.schema, files_per_trigger=files).select(
         "event_id", F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.expr(_STAGE).alias("stage"), F.expr(_STATUS).alias("status"),
     )

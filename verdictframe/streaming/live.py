@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from verdictframe.operators.events import STAGE_KEY, fifo_durations
+from verdictframe.operators.events import STAGE_KEY
 from verdictframe.operators.metrics import latest_by_key
 from verdictframe.session import scratch_path
 
@@ -65,13 +69,14 @@ def failure_rate(events: DataFrame, width: str = "1 hour", late: str = "10 minut
     )
 
 
-def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None, label: str = "stream") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None, label: str = "stream", folder: str | None = None) -> DataFrame:
     """Run all available input through ``stream`` into a written table and read the result.
 
-    In update mode each batch adds the rows it changed, and the last one per key counts.
+    In update mode each batch adds the rows it changed, and the last one per key counts. With a ``folder`` of an earlier run
+    the stream goes on where that ended, also where it was broken off.
     """
     spark = stream.sparkSession
-    folder = scratch_path(spark, label)
+    folder = folder or scratch_path(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a batch that is run again replaces what it wrote before
@@ -85,42 +90,97 @@ def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None,
     return latest_by_key(rows, key, ["batch"]).drop("batch")
 
 
+#: The state store that arbitrary state needs: it spills to disk and is kept in the checkpoint as changes.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, folder: str) -> None:
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
 
 
-def fifo_stream(events: DataFrame, key: Sequence[str] = STAGE_KEY, label: str = "fifo") -> DataFrame:
-    """Durations of a stream that arrives in time order.
+class Pairing(StatefulProcessor):
+    """Pairs ends with open starts, first in, first out, for one key; its state is the queue of open starts and what came last.
 
-    The starts still open after a batch are a written table; each batch pairs them and its own
-    events with the batch operator, so a run with very many events is not held in one task.
+    A row that comes in a later batch but lies before what its key has seen is late: it is not paired but given out with ``late``
+    set. A key that rests for ``expiry`` of event time is forgotten with its open starts.
     """
-    spark = events.sparkSession
-    folder = scratch_path(spark, label)
-    columns = [*key, "event_id", "status", "ts"]
-    rows = events.select(*columns)
-    open_schema = rows.schema
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        now = batch
-        if batch_id > 0:
-            now = batch.unionByName(spark.read.schema(open_schema).parquet(f"{folder}/open/{batch_id - 1}"))
-        pairs = fifo_durations(now, key)
-        pairs.write.mode("overwrite").parquet(f"{folder}/pairs/batch={batch_id}")
-        done = spark.read.schema(pairs.schema).parquet(f"{folder}/pairs/batch={batch_id}").select(
-            F.col("start_id").alias("event_id")
-        )
-        left = now.where(F.col("status") == "start").join(done, "event_id", "left_anti").select(*columns)
-        left.write.mode("overwrite").parquet(f"{folder}/open/{batch_id}")
-
-    _drain(rows, write, "append", folder)
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", k bigint, start_id bigint, end_id bigint, duration_us bigint"
-    return spark.read.schema(schema).option("basePath", f"{folder}/pairs").parquet(f"{folder}/pairs")
+    def __init__(self, names: Sequence[str], expiry_ms: int) -> None:
+        self.names, self.expiry_ms = list(names), expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "at long, event_id long")
+        self.last = handle.getValueState("last", "at long, event_id long, k long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by the engine
+        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        at, event_id, k, timer = self.last.get() if self.last.exists() else (None, None, 0, None)
+        queue = deque(self.open.get()) if self.last.exists() else deque()
+        changed, out = len(queue), []
+        for now, event, status in zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["status"].tolist(), strict=True):
+            if at is not None and (now, event) <= (at, event_id):
+                out.append((None, event, None, None, True) if status == "start" else (None, None, event, None, True))
+                continue
+            at, event_id = now, event
+            if status == "start":
+                queue.append((now, event))
+            elif queue:
+                started, start = queue.popleft()
+                k += 1
+                out.append((k, start, event, now - started, False))
+        if queue:
+            self.open.put(list(queue))
+        elif changed:
+            self.open.clear()
+        due = at // 1000 + self.expiry_ms
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.last.update((at, event_id, k, due))
+        if out:
+            table = pd.DataFrame(out, columns=["k", "start_id", "end_id", "duration_us", "late"])
+            numbers = {c: "Int64" for c in ("k", "start_id", "end_id", "duration_us")}
+            yield table.astype(numbers).assign(**dict(zip(self.names, key, strict=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.open.clear()
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
+def fifo_stream(
+    events: DataFrame, key: Sequence[str] = STAGE_KEY, late: str = "10 minutes", expiry: timedelta = timedelta(days=3650), label: str = "fifo", folder: str | None = None
+) -> DataFrame:
+    """Durations as ``fifo_durations`` gives them, of a stream that arrives in time order: in a batch any order will do.
+
+    Open starts are keyed state of the engine, so a run that is broken off goes on from its checkpoint (``folder``). Rows older
+    than ``late`` before the newest one are dropped by the watermark; rows between, that their key has passed, come out with
+    ``late`` set and no pair. A key's rows of one batch are one task: bound batches by files per trigger.
+    """
+    kinds = dict(events.dtypes)
+    timed = events.where(F.col("ts").isNotNull() & F.col("status").isin("start", "ok", "fail")).withWatermark("ts", late)
+    rows = timed.select(*key, F.col("event_id").cast("long").alias("event_id"), "status", "ts", F.unix_micros("ts").alias("at"))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", k bigint, start_id bigint, end_id bigint, duration_us bigint, late boolean"
+    pairs = rows.groupBy(*key).transformWithStateInPandas(
+        statefulProcessor=Pairing(key, int(expiry.total_seconds() * 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+    return run_to_table(pairs, "append", label=label, folder=folder)
