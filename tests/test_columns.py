@@ -236,3 +236,49 @@ def test_contained_texts_equal_brute_force(spark):
     want = {(d, n) for d, t in docs for n, s in needles if s.lower() in t.lower()}
     assert {tuple(r) for r in got.collect()} == want
     assert got.count() == len(want)
+
+
+@pytest.mark.parametrize(("one", "good", "bad"), [
+    ({"properties": {"a": {}}, "unevaluatedProperties": False}, [{"a": 1}, {}, 5], [{"a": 1, "b": 2}]),
+    ({"allOf": [{"properties": {"a": {}}}], "anyOf": [{"properties": {"b": {"type": "string"}}}, {"properties": {"c": {"const": 1}}, "required": ["c"]}], "unevaluatedProperties": False},
+     [{"a": 1, "b": "x"}, {"a": 1, "c": 1}], [{"a": 1, "b": "x", "d": 1}, {"b": 3, "c": 1}]),
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"properties": {"x": {}}}, "else": {"properties": {"k": {}, "y": {}}}, "unevaluatedProperties": False},
+     [{"k": 1, "x": 2}, {"k": 2, "y": 1}], [{"k": 1, "y": 1}, {"k": 2, "x": 1}]),
+    ({"$ref": "#/$defs/n", "$defs": {"n": {"properties": {"a": {}}}}, "unevaluatedProperties": {"type": "integer"}}, [{"a": "x", "b": 1}], [{"a": "x", "b": "y"}]),
+    ({"prefixItems": [{"type": "string"}], "unevaluatedItems": False}, [["x"], []], [["x", 1]]),
+    ({"contains": {"type": "string"}, "unevaluatedItems": {"type": "integer"}}, [["x", 1, "y"]], [["x", 1.5]]),
+    ({"properties": {"a": {"$ref": "#num"}}, "$defs": {"n": {"$anchor": "num", "type": "integer"}}}, [{"a": 1}], [{"a": "x"}]),
+    ({"$id": "https://example.com/root", "properties": {"a": {"$ref": "item"}, "b": {"$ref": "item#/$defs/s"}}, "$defs": {"i": {"$id": "item", "type": "integer", "$defs": {"s": {"type": "string"}}}}},
+     [{"a": 1, "b": "x"}], [{"a": "x"}, {"b": 1}]),
+    # a tree that is closed by the schema that uses it
+    ({"$id": "https://example.com/strict", "$dynamicAnchor": "node", "$ref": "tree", "unevaluatedProperties": False,
+      "$defs": {"t": {"$id": "tree", "$dynamicAnchor": "node", "properties": {"data": True, "children": {"type": "array", "items": {"$dynamicRef": "#node"}}}}}},
+     [{"data": 1, "children": [{"data": 2}]}], [{"children": [{"daat": 2}]}, {"daat": 1}]),
+    ({"uniqueItems": True}, [[1, True, "1", [1], {"a": 1}, None, False, 0]], [[1, 1.0], [{"a": [1]}, {"a": [1.0]}]]),
+])
+def test_references_and_unevaluated_parts(one, good, bad):
+    assert [schema.python_violations(one, v) for v in good] == [[]] * len(good)
+    assert all(schema.python_violations(one, v) not in ([], schema.UNUSABLE) for v in bad)
+
+
+@pytest.mark.parametrize("one", [
+    {"properties": []}, {"required": "abc"}, {"required": [1]}, {"type": "text"}, {"type": []}, {"allOf": []}, {"minLength": -1}, {"maximum": "9"}, {"multipleOf": 0},
+    {"items": [{}]}, {"properties": {"a": 5}}, {"$ref": "#/nowhere"}, {"$ref": "#nowhere"}, {"$ref": "https://example.com/other"}, {"not": {"uniqueItems": 1}}, 5, [], "x",
+])
+def test_texts_that_are_no_schema_fail_every_value(one):
+    assert schema.python_violations(one, {"a": 1}) == schema.UNUSABLE
+    assert schema._ready(json.dumps(one))({"a": 1}) == schema.UNUSABLE
+
+
+def test_quick_test_equals_full_check():
+    import random
+
+    draw = random.Random(4)
+    values = [None, True, 0, 1, 1.0, 2.5, 7, "", "ab", "abcdef", [], {}]
+    for _ in range(400):
+        members = {n: {k: v for k, v in (("type", draw.choice(["string", "integer", "number", "null", "object"])), ("minimum", 1), ("maximum", 6), ("minLength", 1), ("maxLength", 4)) if draw.random() < 0.5} for n in "abc" if draw.random() < 0.7}
+        one = {"type": "object", "properties": members, "required": draw.sample("abc", draw.randrange(3)), "additionalProperties": draw.random() < 0.5}
+        quick = schema._plain(one)
+        for _ in range(10):
+            value = {n: draw.choice(values) for n in "abcd" if draw.random() < 0.6}
+            assert quick(value) == (schema.python_violations(one, value) == [])

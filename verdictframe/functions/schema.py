@@ -5,8 +5,9 @@ enum, const, required, properties, additionalProperties (false), items, pattern,
 minimum, maximum, minItems and maxItems, and any other keyword is an error while the plan is built.
 
 Schemas that come as data, one text in each row, are checked by one vectorised function however many there
-are, so the verdict of a row never depends on other rows. It knows the validation keywords of draft 2020-12.
-A text that is no schema fails its own rows with the message ``$: unusable schema`` and no others.
+are, so the verdict of a row never depends on other rows. It knows the validation keywords of draft 2020-12, references
+by name and by ``$id`` within the text, dynamic ones and unevaluated parts as well; other words are notes. A text that is
+no schema, or gives a keyword an argument of the wrong kind, fails its own rows with the message ``$: unusable schema`` and no others.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 import re
 from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
+from urllib.parse import unquote, urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -200,17 +202,95 @@ def _multiple(value: float, step: float) -> bool:
     return math.isfinite(ratio) and abs(ratio - round(ratio)) < 1e-9 * max(1.0, abs(ratio))
 
 
+#: What the argument of each keyword has to be. Keywords that are not here are notes.
+KINDS: dict[str, str] = {
+    **dict.fromkeys("properties patternProperties $defs definitions dependentSchemas".split(), "schemas by name"),
+    **dict.fromkeys("additionalProperties items contains propertyNames not if then else unevaluatedProperties unevaluatedItems".split(), "schema"),
+    **dict.fromkeys("allOf anyOf oneOf prefixItems".split(), "schemas"),
+    **dict.fromkeys("minLength maxLength minItems maxItems minProperties maxProperties minContains maxContains".split(), "count"),
+    **dict.fromkeys("minimum maximum exclusiveMinimum exclusiveMaximum".split(), "number"),
+    **dict.fromkeys("pattern $ref $dynamicRef $anchor $dynamicAnchor $id".split(), "text"),
+    "multipleOf": "step", "uniqueItems": "flag", "required": "names", "dependentRequired": "names by name", "type": "types", "enum": "values",
+}
+
+
+def _names(v: object) -> bool:
+    return isinstance(v, list) and all(isinstance(x, str) for x in v)
+
+
+FITS_KIND: dict[str, Callable[[object], bool]] = {
+    "schema": lambda v: isinstance(v, (bool, dict)),
+    "schemas": lambda v: isinstance(v, list) and bool(v),
+    "schemas by name": lambda v: isinstance(v, dict),
+    "count": lambda v: _is_number(v) and v >= 0 and v == int(v),
+    "number": _is_number,
+    "step": lambda v: _is_number(v) and v > 0,
+    "text": lambda v: isinstance(v, str),
+    "flag": lambda v: isinstance(v, bool),
+    "names": _names,
+    "names by name": lambda v: isinstance(v, dict) and all(map(_names, v.values())),
+    "types": lambda v: (v in TYPES) if isinstance(v, str) else _names(v) and bool(v) and all(k in TYPES for k in v),
+    "values": lambda v: isinstance(v, list),
+}
+
+
+def _distinct(value: object) -> object:
+    """A key that is equal for equal JSON values only."""
+    if isinstance(value, bool) or value is None:
+        return (type(value).__name__, value)
+    if isinstance(value, list):
+        return ("list", *map(_distinct, value))
+    if isinstance(value, dict):
+        return ("dict", frozenset((k, _distinct(v)) for k, v in value.items()))
+    return ("text", value) if isinstance(value, str) else ("number", value)
+
+
 class _Check:
-    """Violations of a value, path by path; ``root`` is where references start."""
+    """Violations of a value, path by path; ``root`` is the whole schema, whose parts and names are looked through once."""
 
     def __init__(self, root: object) -> None:
+        self.resources: dict[str, object] = {}
+        self.anchors: dict[tuple[str, str], object] = {}
+        self.dynamic: dict[tuple[str, str], object] = {}
+        self.base: dict[int, str] = {}
+        self.scope: list[str] = []
         self.root = root
+        self._look(root, "", True)
 
-    def target(self, ref: str) -> object:
-        if not ref.startswith("#"):
+    def _look(self, schema: object, base: str, whole: bool = False) -> None:
+        if isinstance(schema, bool):
+            return
+        if not isinstance(schema, Mapping):
+            raise UnusableSchema(str(schema))
+        for word, kind in KINDS.items():
+            if word in schema and not FITS_KIND[kind](schema[word]):
+                raise UnusableSchema(word)
+        if "$id" in schema or whole:
+            base = urldefrag(urljoin(base, schema.get("$id", ""))).url
+            self.resources[base] = schema
+            if whole:
+                self.resources.setdefault("", schema)
+        self.base[id(schema)] = base
+        for word, names in (("$anchor", self.anchors), ("$dynamicAnchor", self.anchors), ("$dynamicAnchor", self.dynamic)):
+            if word in schema:
+                names[base, schema[word]] = schema
+        for word, kind in KINDS.items():
+            if word in schema:
+                parts = {"schema": lambda v: [v], "schemas": list, "schemas by name": lambda v: list(v.values())}.get(kind)
+                for part in parts(schema[word]) if parts else []:
+                    self._look(part, base)
+
+    def target(self, ref: str, schema: Mapping[str, object]) -> object:
+        base = self.base.get(id(schema), "")
+        url, fragment = urldefrag(urljoin(base, ref)) if not ref.startswith("#") else (base, ref[1:])
+        if url not in self.resources:
             raise UnusableSchema(ref)
-        at = self.root
-        for part in filter(None, ref[1:].split("/")):
+        if fragment and not fragment.startswith("/"):
+            if (url, fragment) not in self.anchors:
+                raise UnusableSchema(ref)
+            return self.anchors[url, fragment]
+        at = self.resources[url]
+        for part in unquote(fragment).split("/")[1:]:
             part = part.replace("~1", "/").replace("~0", "~")
             try:
                 at = at[int(part)] if isinstance(at, list) else at[part]
@@ -218,8 +298,19 @@ class _Check:
                 raise UnusableSchema(ref) from fault
         return at
 
+    def dynamic_target(self, ref: str, schema: Mapping[str, object]) -> object:
+        """As a plain reference, unless it leads to a dynamic anchor: then the outermost resource in use that has one of that name."""
+        found, name = self.target(ref, schema), ref.partition("#")[2]
+        if isinstance(found, Mapping) and found.get("$dynamicAnchor") == name:
+            return next((self.dynamic[base, name] for base in self.scope if (base, name) in self.dynamic), found)
+        return found
+
     def fits(self, schema: object, value: object) -> bool:
-        return next(self.all(schema, value, "$"), None) is None
+        found = self.all(schema, value, "$")
+        try:
+            return next(found, None) is None
+        finally:
+            found.close()
 
     def all(self, schema: object, value: object, path: str) -> Iterator[str]:
         if schema is True:
@@ -229,18 +320,61 @@ class _Check:
             return
         if not isinstance(schema, Mapping):
             raise UnusableSchema(str(schema))
-        for message in self.own(schema, value):
-            yield f"{path}: {message}"
-        if isinstance(value, dict):
-            yield from self.members(schema, value, path)
+        self.scope.append(self.base.get(id(schema), ""))
+        try:
+            for message in self.own(schema, value):
+                yield f"{path}: {message}"
+            if isinstance(value, dict):
+                yield from self.members(schema, value, path)
+            for part in self.beside(schema, value):
+                yield from self.all(part, value, path)
+            yield from self.unevaluated(schema, value, path)
+        finally:
+            self.scope.pop()
+
+    def beside(self, schema: Mapping[str, object], value: object) -> Iterator[object]:
+        """Schemas that the value itself has to fit as well."""
         if "$ref" in schema:
-            yield from self.all(self.target(schema["$ref"]), value, path)
-        for part in schema.get("allOf", []):
-            yield from self.all(part, value, path)
+            yield self.target(schema["$ref"], schema)
+        if "$dynamicRef" in schema:
+            yield self.dynamic_target(schema["$dynamicRef"], schema)
+        yield from schema.get("allOf", [])
         if "if" in schema:
             branch = "then" if self.fits(schema["if"], value) else "else"
             if branch in schema:
-                yield from self.all(schema[branch], value, path)
+                yield schema[branch]
+        if isinstance(value, dict):
+            yield from (part for name, part in schema.get("dependentSchemas", {}).items() if name in value)
+
+    def unevaluated(self, schema: Mapping[str, object], value: object, path: str) -> Iterator[str]:
+        for word, kind in (("unevaluatedProperties", dict), ("unevaluatedItems", list)):
+            if word in schema and isinstance(value, kind):
+                seen = self.seen({k: v for k, v in schema.items() if k != word}, value, schema)
+                rest = [value[k] for k in (value if kind is dict else range(len(value))) if k not in seen]
+                if not all(self.fits(schema[word], v) for v in rest):
+                    yield f"{path}: {word}"
+
+    def seen(self, schema: object, value: dict | list, place: Mapping[str, object] | None = None) -> set:
+        """Names or numbers of the parts of ``value`` that the schema, or one that it applies with success, says something of."""
+        if not isinstance(schema, Mapping):
+            return set()
+        self.base.setdefault(id(schema), self.base.get(id(place), ""))
+        own: set = set()
+        if isinstance(value, dict):
+            known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+            own = {n for n in value if n in known or any(_pattern(p).search(n) for p in patterns)}
+            if "additionalProperties" in schema or "unevaluatedProperties" in schema:
+                own = set(value)
+        else:
+            own = set(range(len(schema.get("prefixItems", []))))
+            if "items" in schema or "unevaluatedItems" in schema:
+                own = set(range(len(value)))
+            elif "contains" in schema:
+                own |= {i for i, v in enumerate(value) if self.fits(schema["contains"], v)}
+        parts = [*self.beside(schema, value), *(x for word in ("anyOf", "oneOf") for x in schema.get(word, []) if self.fits(x, value))]
+        if "if" in schema and self.fits(schema["if"], value):
+            parts.append(schema["if"])
+        return own.union(*(self.seen(x, value) for x in parts if x is not False))
 
     def own(self, schema: Mapping[str, object], value: object) -> Iterator[str]:
         if "type" in schema:
@@ -288,7 +422,7 @@ class _Check:
             yield "prefixItems"
         if "items" in schema and not all(self.fits(schema["items"], v) for v in value[len(first) :]):
             yield "items"
-        if schema.get("uniqueItems") and any(_same(a, b) for i, a in enumerate(value) for b in value[:i]):
+        if schema.get("uniqueItems") and len({_distinct(v) for v in value}) < len(value):
             yield "uniqueItems"
         if "contains" in schema:
             n = sum(self.fits(schema["contains"], v) for v in value)
@@ -313,9 +447,6 @@ class _Check:
         for name, needed in schema.get("dependentRequired", {}).items():
             if name in value and not set(needed) <= value.keys():
                 yield f"{path}: dependentRequired {name}"
-        for name, part in schema.get("dependentSchemas", {}).items():
-            if name in value:
-                yield from self.all(part, value, path)
         for name in sorted(known):
             if name in value:
                 yield from self.all(known[name], value[name], f"{path}.{name}")
@@ -328,27 +459,66 @@ class _Check:
 UNUSABLE = ["$: unusable schema"]
 
 
-def python_violations(schema: object, value: object) -> list[str]:
+FAULTS = (UnusableSchema, RecursionError, TypeError, KeyError, AttributeError, ZeroDivisionError, ValueError, OverflowError)
+
+
+def python_violations(schema: object, value: object, check: _Check | None = None) -> list[str]:
     """Messages for one parsed value, in path order; a schema that cannot be used is a violation."""
     try:
-        return list(_Check(schema).all(schema, value, "$"))
-    except (UnusableSchema, RecursionError, TypeError, KeyError, AttributeError, ZeroDivisionError, ValueError):
+        return list((check or _Check(schema)).all(schema, value, "$"))
+    except FAULTS:
         return UNUSABLE
 
 
+def _plain(schema: object) -> Callable[[object], bool] | None:
+    """For an object of typed and bounded members, a quick test whether a value fits; None for schemas that ask for more."""
+    bounds = {"type", "minimum", "maximum", "minLength", "maxLength"}
+    if not isinstance(schema, dict) or schema.get("type") != "object" or schema.keys() - NOTES - {"type", "required", "properties", "additionalProperties"}:
+        return None
+    known, closed = schema.get("properties", {}), schema.get("additionalProperties", True)
+    if not isinstance(closed, bool) or not all(isinstance(k, dict) and isinstance(k.get("type", "string"), str) and not k.keys() - bounds - NOTES for k in known.values()):
+        return None
+    members = [(n, TYPES[k["type"]] if "type" in k else None, k.get("minimum"), k.get("maximum"), k.get("minLength"), k.get("maxLength")) for n, k in known.items()]
+    required = schema.get("required", [])
+
+    def fits(value: object) -> bool:
+        if type(value) is not dict or any(n not in value for n in required) or not closed and any(n not in known for n in value):
+            return False
+        for name, kind, low, high, short, long in members:
+            if name in value:
+                own = value[name]
+                if kind and not kind(own):
+                    return False
+                if (low is not None or high is not None) and _is_number(own) and not (own if low is None else low) <= own <= (own if high is None else high):
+                    return False
+                if (short is not None or long is not None) and isinstance(own, str) and not (short or 0) <= len(own) <= (len(own) if long is None else long):
+                    return False
+        return True
+
+    return fits
+
+
 @lru_cache(maxsize=4096)
-def _parsed(text: str) -> object:
+def _ready(text: str) -> Callable[[object], list[str]]:
+    """What a schema text says of a value; the text is parsed and looked through once."""
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return text  # no mapping, so no schema
+        schema = json.loads(text)
+        check = _Check(schema)
+    except FAULTS:
+        return lambda value: UNUSABLE
+    quick = _plain(schema)
+    if quick is None:
+        return lambda value: python_violations(schema, value, check)
+    return lambda value: [] if quick(value) else python_violations(schema, value, check)
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _violations_by_row(schemas: pd.Series, values: pd.Series) -> pd.Series:
-    return pd.Series([[] if s is None or v is None else python_violations(_parsed(s), json.loads(v)) for s, v in zip(schemas, values)])
+    return pd.Series([[] if s is None or v is None else _ready(s)(json.loads(v)) for s, v in zip(schemas, values)])
 
 
 def violations_by_schema(schema: Column | str, value: Column) -> Column:
     """Violations of each row's own schema text; empty without a schema or a value."""
-    return _violations_by_row(F.col(schema) if isinstance(schema, str) else schema, F.to_json(value))
+    text = F.col(schema) if isinstance(schema, str) else schema
+    # a row without a schema sends no value to Python
+    return _violations_by_row(text, F.when(text.isNotNull(), F.to_json(value)))
