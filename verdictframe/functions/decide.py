@@ -184,3 +184,12 @@ def leak_check(prompt: Column | str, expected: Column | str) -> Column:
     empty = F.array().cast("array<string>")
     notes = F.concat(F.coalesce(whole, empty), F.coalesce(each, empty))
     return F.struct((F.size(notes) == 0).alias("passed"), F.array_join(notes, "; ").alias("notes"))
+
+
+def context_oracle(context: str, image_description: str) -> Column:
+    """``field`` and ``expected`` of an item that is grounded in a text: a description only where there is no context."""
+    described = F.col(context).isNull() & F.col(image_description).isNotNull()
+    return F.struct(
+        F.when(described, "description").otherwise("answer").alias("field"),
+        F.coalesce(context, image_description, F.lit("")).alias("expected"),
+    )

@@ -95,3 +95,11 @@ def batch_size(c: Column | str, default: int = 12, top: int | None = None) -> Co
 def iso_to_millis(c: Column | str) -> Column:
     """Epoch milliseconds of an ISO-8601 text, null when it is not one."""
     return F.unix_millis(F.try_to_timestamp(col(c)))
+
+
+def plain_text(html: Column | str) -> Column:
+    """Whole text of a page without scripts, styles and tags, runs of white space as one space."""
+    bare = col(html)
+    for gone in ("(?is)<script.*?</script>", "(?is)<style.*?</style>", "<[^>]*>", "[ \\t\\r\\n]+"):
+        bare = F.regexp_replace(bare, gone, " ")
+    return F.trim(bare)

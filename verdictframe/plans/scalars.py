@@ -136,21 +136,21 @@ def numeric_oracle(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("context_oracle", """
-    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'answer' WHEN 1 THEN 'description' ELSE 'answer' END AS field,
-           CASE page_id % 3 WHEN 2 THEN '' ELSE url END AS expected FROM pages""")
+_PAGE_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'),
+    '(?is)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+
+
+@query("context_oracle", f"""
+    SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'description' ELSE 'answer' END AS field,
+           coalesce(CASE page_id % 3 WHEN 0 THEN {_PAGE_TEXT} WHEN 1 THEN regexp_extract(html, '(?is)<title>(.*?)</title>', 1) END, '') AS expected FROM pages""")
 def context_oracle(spark: SparkSession, sf: str) -> DataFrame:
+    """Grounding answers from whole pages: the text of the page, or its title as the description of a picture."""
+    third = F.col("page_id") % 3
     given = table(spark, sf, "pages").select(
-        "page_id",
-        F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("context"),
-        F.when(F.col("page_id") % 3 == 1, F.col("url")).alias("image_description"),
-    )
-    has_description = F.col("context").isNull() & F.col("image_description").isNotNull()
-    return given.select(
-        "page_id",
-        F.when(has_description, "description").otherwise("answer").alias("field"),
-        F.coalesce("context", "image_description", F.lit("")).alias("expected"),
+        "page_id", F.when(third == 0, text.plain_text("html")).alias("context"),
+        F.when(third == 1, F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("image_description"),
     )
+    return given.select("page_id", F.inline(F.array(decide.context_oracle("context", "image_description"))))
 
 
 _METHOD_OF = {k: v[0] for k, v in rules.TASKS.items()}

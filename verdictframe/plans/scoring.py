@@ -501,18 +501,21 @@ def verify_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("expectation_check", f"""
     WITH {MATH_CODES}, {MIXED},
-    x AS (SELECT *, CASE WHEN item_id LIKE 's%' THEN 'pass' WHEN CAST(substr(item_id, 2) AS BIGINT) % 3 <> 0 THEN 'fail' END AS want
-          FROM mixed WHERE item_id NOT LIKE 'm%')
+    x AS (SELECT *, CASE WHEN item_id LIKE 's%' THEN 'pass'
+              WHEN item_id LIKE 'm%' THEN CASE WHEN (TRY_CAST(split_part(substr(item_id, 2), '_', 1) AS BIGINT) + TRY_CAST(split_part(item_id, '_', 2) AS BIGINT)) % 17 = 0 THEN 'fail' ELSE 'pass' END
+              WHEN TRY_CAST(substr(item_id, 2) AS BIGINT) % 3 <> 0 THEN 'fail' END AS want FROM mixed)
     SELECT item_id, want AS expected_verdict, error_type,
-           CASE WHEN want = 'pass' THEN error_type = '' ELSE error_type = 'EXACT_MATCH_FAILED' END AS met FROM x""", ("v_math", "v_structured"))
+           CASE WHEN want = 'pass' THEN error_type = '' WHEN item_id LIKE 'm%' THEN error_type = 'MODEL_OUTPUT_NOT_JSON' ELSE error_type = 'EXACT_MATCH_FAILED' END AS met FROM x""", ("v_math", "v_structured"))
 def expectation_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenarios are told apart by id, so only the responses with unique ids take part."""
-    rows = structured_responses(spark, sf).unionByName(call_responses(spark, sf))
-    number = F.substring("item_id", 2, 20).cast("bigint")
-    wanted = rows.select(
+    """Every response against what is expected of its id; an id is expected once, however many responses it has."""
+    rows = mixed_responses(spark, sf)
+    kind, parts = F.substring("item_id", 1, 1), F.split(F.expr("substring(item_id, 2)"), "_")
+    number = F.get(parts, 0).cast("bigint")
+    broken = F.when((number + F.get(parts, 1).cast("bigint")) % 17 == 0, "fail").otherwise("pass")
+    wanted = rows.select("item_id").distinct().select(
         "item_id",
-        F.when(F.col("item_id").startswith("s"), "pass").when(number % 3 != 0, "fail").alias("expected_verdict"),
-        F.lit("EXACT_MATCH_FAILED").alias("expected_error_type"),
+        F.when(kind == "s", "pass").when(kind == "m", broken).when(number % 3 != 0, "fail").alias("expected_verdict"),
+        F.when(kind == "m", "MODEL_OUTPUT_NOT_JSON").otherwise("EXACT_MATCH_FAILED").alias("expected_error_type"),
         F.lit(None).cast("string").alias("expected_evidence_code"),
     )
     return verify.expectation_check(_verify_mixed(rows), wanted, "item_id").select(
