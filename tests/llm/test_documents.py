@@ -232,3 +232,23 @@ def test_pipeline_stages_on_odd_rows(spark, docs, nothing):
         if name != "packing":
             assert out.columns == docs.columns
         assert stage(spark, nothing, "").count() == 0
+
+
+def test_texts_without_a_letter_have_no_language(sample):
+    model = langid.learn(sample)
+    for text in ("½ ² ①", "Ⅷ ⅓", "１２３ ٣", "①②③ 2", "²³¹ %", "_ __"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("½ und der Tag")[0] != "und"
+
+
+def test_unlike_texts_of_one_id_keep_their_own_class(spark):
+    draw = random.Random(11)
+    one, two = (" ".join(draw.choices([f"w{k}" for k in range(300)], k=200)) for _ in range(2))
+    near = two.rsplit(" ", 1)[0] + " other"
+    docs = spark.createDataFrame([(5, one), (5, two), (6, near), (7, one), (8, "something else entirely here now")], "doc_id long, text string")
+    found = {(r["doc_id"], r["content"]): (r["class"], r["class_id"]) for r in neardup.members(docs).collect()}
+    number = {t: r[0] for t, r in zip((one, two, near), docs.where("doc_id in (5, 6)").select(F.xxhash64("text")).collect(), strict=False)}
+    assert found[5, number[one]][1] == found[5, number[two]][1] == 5
+    assert found[5, number[one]][0] != found[5, number[two]][0] == found[6, number[near]][0]
+    assert sorted(r["class_id"] for r in neardup.classes(docs).collect()) == [5, 5, 5, 5, 8]
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(docs).collect()) == sorted([(5, one), (5, two), (8, "something else entirely here now")])

@@ -143,3 +143,14 @@ def test_hilbert_is_a_walk_through_the_grid():
 
 def test_empty_tables(nothing):
     assert bpe.round_trip(nothing).count() == counts.token_counts(nothing).count() == 0
+
+
+def test_word_ids_of_random_characters():
+    """Controls, white space of all kinds, stops, combining characters and Latin-1, as the library has them."""
+    draw, own, library = random.Random(17), packing.words(), Tokenizer.from_file(packing.VOCABULARY)
+    kinds = ["".join(map(chr, range(0x20))) + " .?", "".join(map(chr, range(0x7F, 0x100))) + " .,", "aé.,;:!? \x1c\x1d\x1e\x1f\x85\xa0\x0b", "éä ‍.", "E|_03\"\x1c. '\n", "İıſKK ß. 　x"]
+    for _ in range(20):
+        texts = ["".join(draw.choices(draw.choice(kinds) + draw.choice(kinds), k=draw.randrange(1, 14))) for _ in range(5000)]
+        ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        wrong = [t for t, i in zip(texts, ids, strict=True) if np.frombuffer(own.encode(t), np.uint32).tolist() != i]
+        assert not wrong, wrong[:5]

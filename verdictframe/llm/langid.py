@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ ROWS_PER_LANGUAGE = 5_000
 UNKNOWN = "und"
 
 _letters = re.compile(r"[^\W\d_]+").findall
+#: The words above also hold numerals that are no digits; a text of such alone has no letter.
+_letter = regex.compile(r"\p{L}").search
 
 
 def _grams(word: str) -> bytes:
@@ -60,7 +63,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and 1 less the distance as a share of the largest possible; ties go to the first name."""
-        if not text or not self.languages:
+        if not text or not self.languages or not _letter(text):
             return UNKNOWN, 0.0
         own = ranked(counts(text))
         if not len(own):

@@ -130,30 +130,33 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _key(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    return blake2b(hashes.tobytes() + counts.tobytes(), digest_size=16).digest()
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` (equal for texts with equal bags) and ``bands`` (null for texts without a word)."""
+    """``doc_id``, ``content`` (a hash of the text), ``key`` (equal for texts with equal bags) and ``bands`` (null for texts without a word)."""
 
-    def run(doc_id, text):
+    def run(doc_id, text, content):
         values = text.to_pylist()
         bags = [bag(x) for x in values]
-        keys = [blake2b(h.tobytes() + c.tobytes(), digest_size=16).digest() for h, c in bags]
+        keys = [_key(h, c) for h, c in bags]
         rows = bands(signatures(bags))
         where = np.arange(0, rows.size + 1, BANDS, dtype=np.int32)
-        return doc_id, pa.array(keys, type=pa.binary()), pa.ListArray.from_arrays(pa.array(where), pa.array(rows.reshape(-1)), mask=pa.array([not len(h) for h, _ in bags]))
+        return doc_id, content, pa.array(keys, type=pa.binary()), pa.ListArray.from_arrays(pa.array(where), pa.array(rows.reshape(-1)), mask=pa.array([not len(h) for h, _ in bags]))
 
-    source = texts(docs)
-    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
+    source = texts(docs).withColumn("content", F.xxhash64("text"))
+    return by_batch(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, content long, key binary, bands array<long>")
 
 
 def bags_of(docs: DataFrame) -> DataFrame:
-    """``id``, ``hashes`` (64-bit, sorted) and ``counts`` (32-bit) of the whole texts."""
+    """``key``, ``hashes`` (64-bit, sorted) and ``counts`` (32-bit) of the whole texts."""
 
     def run(doc_id, text):
         found = [bag(x) for x in text.to_pylist()]
-        return doc_id, pa.array([h.tobytes() for h, _ in found], type=pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], type=pa.binary())
+        return pa.array([_key(h, c) for h, c in found], type=pa.binary()), pa.array([h.tobytes() for h, _ in found], type=pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], type=pa.binary())
 
-    source = texts(docs)
-    return by_batch(source, run, f"id {source.schema['doc_id'].dataType.simpleString()}, hashes binary, counts binary")
+    return by_batch(texts(docs), run, "key binary, hashes binary, counts binary")
 
 
 def likeness(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
@@ -216,20 +219,27 @@ def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """``doc_id`` and ``class_id`` of each row: the least id among the documents that links of at least ``least`` lead to.
 
     Texts with equal bags are one class; so are texts without a word. Null texts count as empty. Rows of one
-    id are judged each by their own text. Rows without an id get no class (null). Columns other than
-    ``doc_id`` and ``text`` are not carried. An empty table gives no rows.
+    id are judged each by their own text. Rows without an id take no part in links; they get the class of their
+    equal bags, or none (null). Columns other than ``doc_id`` and ``text`` are not carried. An empty table gives no rows.
     """
+    return members(docs, least).select("doc_id", "class_id")
+
+
+def members(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``doc_id``, ``content`` (a hash of the text), ``class`` (a number) and ``class_id`` (its least id) of each row."""
     source = texts(docs)
     rows = materialize(signed(source), "signatures")
-    # copies first: one row for each bag goes on
-    leaders = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("id")), "copies")
-    member = materialize(rows.join(leaders, "key").select("doc_id", "id", F.when(F.col("doc_id") == F.col("id"), F.col("bands")).alias("bands")), "members")
+    # copies first: a number for each bag, which stands for it from here on
+    leaders = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()), "copies")
+    member = materialize(rows.join(leaders, "key").select("doc_id", "content", "id", "first", F.when(F.col("doc_id") == F.col("first"), F.col("bands")).alias("bands")), "members")
     band = materialize(member.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
     shared = materialize(band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = materialize(band.join(shared, "bucket"), "inside")
     if inside.isEmpty():
-        return member.select("doc_id", F.col("id").alias("class_id"))
-    bags = materialize(bags_of(only(source, inside.select(F.col("id").alias("doc_id")), "doc_id")).dropDuplicates(["id"]), "bags")
+        return member.select("doc_id", "content", F.col("id").alias("class"), F.col("first").alias("class_id"))
+    wanted = materialize(leaders.join(inside.select("id").distinct(), "id", "left_semi"), "wanted")
+    found = bags_of(only(source, wanted.select(F.col("first").alias("doc_id")), "doc_id")).join(wanted.select("key", "id"), "key")
+    bags = materialize(found.dropDuplicates(["id"]).select("id", "hashes", "counts"), "bags")
 
     met = materialize(inside.groupBy("id").agg(F.sum("n").alias("met")), "met")
     inside = materialize(inside.join(met, "id").select("bucket", "id", "met", F.col("id").alias("class")), "inside")
@@ -252,7 +262,9 @@ def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
         inside = materialize(named.join(still, "bucket"), "inside")
     else:
         label = components(edges.union(across(inside, bags, least)))
-    return member.join(label, "id", "left").select("doc_id", F.coalesce("class", "id").alias("class_id"))
+    own = label.join(leaders.select("id", "first"), "id")
+    named = own.join(own.groupBy("class").agg(F.min("first").alias("class_id")), "class").select("id", "class", "class_id")
+    return member.join(named, "id", "left").select("doc_id", "content", F.coalesce("class", "id").alias("class"), F.coalesce("class_id", "first").alias("class_id"))
 
 
 def _weight():
@@ -339,10 +351,13 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """One document of each class, the one with the least id, as it is; rows without an id stay.
+    """One document of each class, one with the least id, as it is; rows without an id stay.
 
-    Of repeated rows of that id one stays.
+    Of rows of that id and class, one text stays, once. Unlike texts of one id are classes of their own, and stay.
     """
-    kept = classes(docs, least).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("id"))
-    one = docs.join(kept.distinct().withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    least_of = members(docs, least).where(F.col("doc_id") == F.col("class_id")).groupBy("class").agg(F.min(F.struct("doc_id", "content")).alias("one"))
+    kept = least_of.select(F.col("one.doc_id").alias("_id"), F.col("one.content").alias("_content")).distinct()
+    content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_id"), content.alias("_content"))
+    one = marked.join(kept, ["_id", "_content"], "left_semi").dropDuplicates(["_id", "_content"]).select("row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)

@@ -37,12 +37,13 @@ SAMPLE_PER_RANGE = 40
 RANGE_BYTES = 64 << 20
 
 #: A word of these characters can be cut by the tokenizer's own pattern and put in lower case before it is tokenized.
-_simple = re.compile("[\x20-\x7f\xa1-įĲ-ɏ]*").fullmatch
+_simple = re.compile("[\x20-\x7e\xa1-įĲ-ɏ]*").fullmatch
 _word_parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 _STOPS = ",.;:!?"
-#: Bytes of Latin-1 text as letters and digits, stops, white space and all else.
+#: Bytes of Latin-1 text as letters and digits, stops, white space (of Unicode, which has no separators from U+001C on) and all else.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 _classes = bytes(
-    ord("a" if regex.match(r"[\p{L}\p{N}]", chr(b)) else "." if chr(b) in _STOPS else " " if chr(b).isspace() else "x") for b in range(256)
+    ord("a" if regex.match(r"[\p{L}\p{N}]", chr(b)) else "." if chr(b) in _STOPS else " " if chr(b) in _SPACES else "x") for b in range(256)
 )
 #: How byte-level vocabularies write bytes that are not printable: characters from 256 on, in order.
 _byte_names = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
