@@ -115,6 +115,44 @@ def test_names_of_subjects_are_not_furniture():
     assert text(page) == f"Title\n{long.strip()}"
 
 
+MARKS = ("id=comments", "class=comments-area", "class=comment-list", "class=related-posts", "class=share-buttons", "class=ad-slot", "class=ad-banner", "class=cookie-notice", "class=newsletter-signup",
+         "class=sidebar-right", "id=sidebar", "class=notice", "class=replies", "id=share-buttons-2", 'class="box advert"')
+
+
+@pytest.mark.parametrize("wrap", ["article", "main", "div role=main"])
+@pytest.mark.parametrize("mark", MARKS)
+def test_furniture_inside_articles(wrap, mark):
+    """Comments, adverts, notices and bars go whatever their length; what is around them stays."""
+    long = "<p>" + "Words of the text that are no links at all. " * 12 + "</p>"
+    gone = "<p>" + "Gone is this sentence of many words. " * 4 + "</p>"
+    page = f"<body><{wrap}><h1>Title</h1>{long}<div {mark}>{gone}</div>{long}</{wrap.split()[0]}></body>"
+    assert pages.main_text(page, [])[0] == "\n".join(["Title", *[re.sub("<.*?>", "", long).strip()] * 2])
+
+
+def test_names_that_only_hold_a_word_of_furniture_stay():
+    long = "Words of the text that are no links at all. " * 12
+    for mark in ("class=ad-hoc-methods", "class=cookie-recipe", "id=notice", "class=social-history", "id=search", "class=related-work", "class=has-sidebar"):
+        assert "Kept" in pages.main_text(f"<body><article><p>{long}</p><div {mark}><p>Kept sentence.</p></div></article></body>", [])[0]
+    # what holds most of an article is its text
+    assert "Kept" in pages.main_text(f"<body><article><h1>Title</h1><div class=notice><p>Kept {long}</p></div></article></body>", [])[0]
+
+
+def test_teasers_under_the_path_of_the_host_do_not_hide_the_story():
+    story = "<p>" + "The story goes on and on. " * 60 + "</p>"
+    teasers = "".join(f"<div class=entry><p>Teaser number {k} of three for other pages.</p></div>" for k in range(3))
+    text, path = pages.main_text(f"<body><div class=wrap>{teasers}</div><div class=story>{story}</div></body>", ["body/div.wrap/div.entry"])
+    assert "The story goes on" in text and path == "body"
+
+
+def test_unclosed_containers_take_time_in_proportion():
+    import time
+
+    for page in ("<div>t" * 5000, "<div class=notice>t" * 5000, "<article><div class=share>t" * 2500, "<div><p>t</div>" * 5000):
+        start = time.perf_counter()
+        pages.main_text(page, ["div/div/div"])
+        assert time.perf_counter() - start < 1.5
+
+
 def expected(rows):
     groups = defaultdict(list)
     for page_id, _, page, *_ in rows:

@@ -52,7 +52,7 @@ IMPLIED = {
 FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo"
     " banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal overlay share sharing social related recommended"
-    " recommendations comment comments respond disqus reply replies pagination pager search login toolbar skip complementary contentinfo".split()
+    " recommendations comment comments respond disqus reply replies pagination pager search login toolbar skip complementary contentinfo copyright colophon".split()
 )
 FURNITURE_BEGINS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter", "cookie")
 #: Words that begin like these but name texts.
@@ -62,6 +62,11 @@ SUBJECTS = frozenset(
     "menu widget promo banner consent notice notices alert subscribe signup popup modal overlay share sharing social related recommended recommendations respond reply replies pager"
     " search login toolbar skip navigation sponsor sponsored complementary contentinfo newsletter newsletters header masthead topbar".split()
 )
+#: Words that add nothing to a name of furniture: share-buttons, related-posts, ad-slot-2, but not social-history or ad-hoc.
+FILLERS = frozenset(
+    "area list lists post posts button buttons slot box block section container wrapper wrap link links bar articles stories form thread count feed unit zone top bottom left right header"
+    " footer icon icons panel sticky sign up main primary secondary items item module inner outer group row site page global mobile desktop message policy section sections".split()
+)
 #: Free characters and share of links that tell text from furniture.
 LEAST_TEXT = 100
 MOST_LINKED = 0.3
@@ -79,12 +84,76 @@ LEAST_BLOCKS = 3
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """A run of text: the container it stands in and the innermost element around it that is furniture or not by what it holds (-1: none)."""
+
+    place: int
+    within: int
     text: str
     linked: int
     furniture: bool
 
 
+class Places:
+    """The containers of a page as a tree of steps, so that no path is ever written for each of them.
+
+    ``kind`` numbers paths: containers of one path have one kind. Parents come before their children in both lists.
+    """
+
+    def __init__(self) -> None:
+        self.kind, self.known = [0], {}
+        self.above, self.step = [-1], [""]
+
+    def open(self, parent: int, step: str) -> int:
+        key = (self.kind[parent], step)
+        if key not in self.known:
+            self.known[key] = len(self.step)
+            self.above.append(key[0])
+            self.step.append(step)
+        self.kind.append(self.known[key])
+        return len(self.kind) - 1
+
+    def path(self, kind: int) -> str:
+        steps = []
+        while kind:
+            steps.append(self.step[kind])
+            kind = self.above[kind]
+        return "/".join(reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        kind: int | None = 0
+        for step in path.split("/") if path else []:
+            kind = self.known.get((kind, step)) if kind is not None else None
+        return kind
+
+    def under(self, kind: int | None) -> list[bool]:
+        """For each kind whether it is ``kind`` or below it."""
+        out = [k == kind for k in range(len(self.step))]
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.above[k]]
+        return out
+
+    def is_article(self, kind: int | None) -> bool:
+        return bool(kind) and self.step[kind].split(".")[0] in ("article", "main")
+
+    def sums(self, blocks: list[Block]) -> list[int]:
+        """Free text that is in each kind, with all below it."""
+        held = [0] * len(self.step)
+        for b in blocks:
+            held[self.kind[b.place]] += _free(b)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.above[k]] += held[k]
+        return held
+
+
+@dataclass
+class Part:
+    """An element that is furniture or not by what it holds, or an article: which rule decides, the parts around it, its article."""
+
+    rule: str
+    up: int
+    article: int
+
+
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(rest)} if rest and not rest.isspace() else {}
 
@@ -94,21 +163,48 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *(re.sub(r"\d+", "#", x) for x in names)])
 
 
+def _words(name: str) -> list[str]:
+    return [w for w in map(str.lower, _word.findall(name)) if not w.isdigit()]
+
+
+def _names_furniture(name: str) -> bool:
+    """Whether all that a name says is furniture."""
+    words = _words(name)
+    return any(map(_marks, words)) and all(_marks(w) or w in FILLERS for w in words)
+
+
+def _in_article(tag: str, attributes: dict[str, str]) -> str:
+    """As ``_is_furniture``, for elements inside an article or main.
+
+    Names of furniture alone mark it, whatever is in it: comments, adverts, sidebars, also in longer names (related-posts). A single
+    word that also names subjects (notice, share) marks what holds less than half of the article, as a class or role; as an
+    id it is a place to jump to. Paragraphs stay.
+    """
+    if tag == "p":
+        return ""
+    named = {key: [x for x in attributes.get(key, "").split() if not _about.match(x) and _names_furniture(x)] for key in ("class", "role", "id")}
+    single = lambda x: len(_words(x)) == 1 and x.lower() in SUBJECTS
+    found = [x for names in named.values() for x in names]
+    if any(not single(x) for x in found):
+        return "always"
+    return "" if not named["class"] + named["role"] else "unless half" if tag in BLOCKS else "always"
+
+
 def _is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> str:
-    """``always``, ``unless text`` (decided by what the element holds), ``unless most`` (if it does not wrap the page's text) or nothing."""
+    """``always``, ``unless text`` or ``unless half`` (by what the element holds), ``unless most`` (if it does not wrap the page's text) or nothing."""
     if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return "always"
     if not in_article and tag == "header":
         return "always"
     if tag == "form":
         return "unless most"
+    if tag == "article" and "teaser" in _words(attributes.get("class", "")):
+        return "unless most"
     if tag in ("body", "html", "article", "main") or tag in _headings:
         return ""
-    tokens = [x for key in ("class", "role") for x in attributes.get(key, "").split() if not _about.match(x)]
     if in_article:
-        # only whole names, and never of the paragraphs
-        marks = {x.lower() for x in tokens if _marks(x.lower())} if tag != "p" else set()
-        return "" if not marks else "unless text" if tag in BLOCKS and marks <= SUBJECTS else "always"
+        return _in_article(tag, attributes)
+    tokens = [x for key in ("class", "role") for x in attributes.get(key, "").split() if not _about.match(x)]
     names = [*tokens, *(x for x in attributes.get("id", "").split() if not _about.match(x))]
     whole = {x.lower() for x in names}
     marks = {w for x in names for w in map(str.lower, _word.findall(x)) if _marks(w) or w in HEADING}
@@ -121,47 +217,55 @@ def _marks(word: str) -> bool:
     return word in FURNITURE or word.startswith(FURNITURE_BEGINS) and word.isalpha() and not word.startswith(TEXTS)
 
 
-def read(page: str) -> list[Block]:
-    """Blocks of a page in order, with white space folded and character references decoded."""
-    kinds: list[str] = []
-    found = list(_blocks(page, kinds))
-    if kinds:
-        _decide(found, kinds)
-    return [b for b, _ in found]
+def read(page: str) -> tuple[list[Block], Places]:
+    """Blocks of a page in order, with white space folded and character references decoded, and its containers."""
+    places, parts = Places(), []
+    found = list(_blocks(page, places, parts))
+    if parts:
+        _decide(found, parts)
+    return found, places
 
 
-def _decide(found: list[tuple[Block, tuple[int, ...]]], kinds: list[str]) -> None:
+def _decide(found: list[Block], parts: list[Part]) -> None:
     """Marks the blocks of those elements that are furniture by what they hold."""
-    total, linked, free = [0] * len(kinds), [0] * len(kinds), [0] * len(kinds)
-    for b, within in found:
-        if not b.furniture:
-            for i in within:
-                total[i], linked[i], free[i] = total[i] + len(b.text), linked[i] + b.linked, free[i] + _free(b)
-    everything = sum(_free(b) for b, _ in found if not b.furniture)
-    dropped = {
-        i
-        for i, kind in enumerate(kinds)
-        if (2 * free[i] < everything if kind == "unless most" else free[i] < LEAST_TEXT or linked[i] > MOST_LINKED * total[i])
-    }
-    for b, within in found:
-        b.furniture = b.furniture or not dropped.isdisjoint(within)
-
-
-def _blocks(page: str, kinds: list[str]) -> Iterator[tuple[Block, tuple[int, ...]]]:
-    """Blocks, each with the elements around it that are furniture or not by what they hold; their kinds are added to ``kinds``."""
-    # open elements: tag, path, furniture, within an article, within a link, within elements to be decided
-    stack: list[tuple[str, tuple[str, ...], bool, bool, bool, tuple[int, ...]]] = [("", (), False, False, False, ())]
+    total, linked, free = ([0] * len(parts) for _ in range(3))
+    for b in found:
+        if not b.furniture and b.within >= 0:
+            i = b.within
+            total[i], linked[i], free[i] = total[i] + len(b.text), linked[i] + b.linked, free[i] + _free(b)
+    for i in range(len(parts) - 1, -1, -1):
+        up = parts[i].up
+        if up >= 0:
+            total[up], linked[up], free[up] = total[up] + total[i], linked[up] + linked[i], free[up] + free[i]
+    everything = sum(_free(b) for b in found if not b.furniture)
+    dropped = [False] * len(parts)
+    for i, part in enumerate(parts):
+        dropped[i] = part.up >= 0 and dropped[part.up]
+        if part.rule == "unless most":
+            dropped[i] |= 2 * free[i] < everything
+        elif part.rule == "unless half":
+            dropped[i] |= 2 * free[i] < (free[part.article] if part.article >= 0 else everything)
+        elif part.rule == "unless text":
+            dropped[i] |= free[i] < LEAST_TEXT or linked[i] > MOST_LINKED * total[i]
+    for b in found:
+        b.furniture = b.furniture or b.within >= 0 and dropped[b.within]
+
+
+def _blocks(page: str, places: Places, parts: list[Part]) -> Iterator[Block]:
+    """Blocks of the page; containers are added to ``places``, elements that are furniture by what they hold to ``parts``."""
+    # open elements: tag, container, furniture, the article's part (-1: in none), within a link, innermost part
+    stack: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, -1, False, -1)]
     text: list[str] = []
     linked = 0
     at = 0
 
-    def block() -> Iterator[tuple[Block, tuple[int, ...]]]:
+    def block() -> Iterator[Block]:
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                yield Block(stack[-1][1], joined, min(linked, len(joined)), stack[-1][2]), stack[-1][5]
+                yield Block(stack[-1][1], stack[-1][5], joined, min(linked, len(joined)), stack[-1][2])
         linked = 0
 
     def add(piece: str) -> None:
@@ -212,22 +316,18 @@ def _blocks(page: str, kinds: list[str]) -> Iterator[tuple[Block, tuple[int, ...
                 if stack[i][0] in stop or stack[i][0] in CONTAINERS and stack[i][0] not in ends and not stop:
                     break
         attributes = _attributes(m["rest"].rstrip("/>"))
-        _, path, furniture, in_article, in_link, within = stack[-1]
-        kind = "" if furniture else _is_furniture(tag, attributes, in_article)
-        now = furniture or kind == "always"
-        if kind.startswith("unless"):
-            kinds.append(kind)
-            within = (*within, len(kinds) - 1)
+        _, place, furniture, article, in_link, within = stack[-1]
+        rule = "" if furniture else _is_furniture(tag, attributes, article >= 0)
+        now = furniture or rule == "always"
+        if rule.startswith("unless"):
+            parts.append(Part(rule, within, article))
+            within = len(parts) - 1
+        if not now and (tag in ("article", "main") or attributes.get("role") == "main"):
+            parts.append(Part("article", within, article))
+            within = article = len(parts) - 1
         if now != furniture:
             yield from block()
-        stack.append((
-            tag,
-            (*path, _step(tag, attributes)) if tag in CONTAINERS and not now else path,
-            now,
-            in_article or tag in ("article", "main") or attributes.get("role") == "main",
-            in_link or tag == "a",
-            within,
-        ))
+        stack.append((tag, places.open(place, _step(tag, attributes)) if tag in CONTAINERS and not now else place, now, article, in_link or tag == "a", within))
     if at < len(page):
         add(page[at:])
     yield from block()
@@ -237,94 +337,74 @@ def clean(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if not b.furniture]
 
 
-def _may_lead(path: tuple[str, ...]) -> bool:
-    """Whether a container may be the main one: parts of a text, as lists, may not, and tables only outside articles."""
-    tags = [step.split(".")[0] for step in path]
-    if tags[-1] in ("table", "tbody", "thead", "tfoot", "tr", "td", "th"):
-        return not {"article", "main"} & set(tags)
-    return tags[-1] in ("html", "body", "main", "article", "section", "div", "center")
-
-
-def best_path(blocks: list[Block]) -> tuple[str, float]:
-    """The path of the best container and its score: the free text it holds.
+def best_path(blocks: list[Block], places: Places) -> tuple[int, float]:
+    """The kind of the best container and its score: the free text it holds.
 
     From the whole page downwards, as long as one part holds all of its free text, down to the first article or main.
+    Parts of a text, as lists, are not gone into.
     """
-    held: dict[tuple[str, ...], int] = {}
-    for b in clean(blocks):
-        for depth in range(len(b.path) + 1):
-            held[b.path[:depth]] = held.get(b.path[:depth], 0) + _free(b)
-    below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-    for p in held:
-        below.setdefault(p[:-1], []).append(p) if p else None
-    here: tuple[str, ...] = ()
-    while held.get(here) and not _is_article(here):
-        part = next((p for p in below.get(here, ()) if held[p] == held[here] and _may_lead(p)), None)
-        if part is None:
-            break
-        here = part
-    return "/".join(here), float(held.get(here, 0))
+    held = places.sums(clean(blocks))
+    whole = {}  # of each kind, the first part that holds all of it
+    for k in range(len(held) - 1, 0, -1):
+        if held[k] == held[places.above[k]] and places.step[k].split(".")[0] in LEADING:
+            whole[places.above[k]] = k
+    here = 0
+    while held[here] and here in whole and not places.is_article(here):
+        here = whole[here]
+    return here, float(held[here])
 
 
-def _free(block: Block) -> int:
-    return max(0, len(block.text) - 2 * block.linked)
+#: Containers that may be the main one.
+LEADING = frozenset("html body main article section div center table tbody thead tfoot tr td th".split())
 
 
-def _is_article(path: tuple[str, ...]) -> bool:
-    return bool(path) and path[-1].split(".")[0] in ("article", "main")
-
-
-def _with_siblings(path: str) -> str:
-    """The container around the main one, whose other parts (heading, lead, further sections) belong to the text; articles stand alone."""
-    steps = tuple(path.split("/")) if path else ()
-    return path if _is_article(steps) else "/".join(steps[:-1])
+def _free(block: Block) -> int:
+    return max(0, len(block.text) - 2 * block.linked)
 
 
 def main_text(page: str, paths: list[str]) -> tuple[str, str]:
     """Text of the main container of a page and its path: of the host's ``paths`` the one that fits, else the page's own best.
 
-    The host's first path of a template (it names a class, and several blocks are under it) decides, also against
-    longer text elsewhere, but not against an article. Of other paths the one that covers the page's free text best
-    is taken if it covers LEAST_COVERED of it.
+    The host's first path of a template (it names a class, one container of the page has it and several blocks are in
+    it) decides, but not against an article, and not where several containers have it, as teasers do. Of other paths the one
+    that covers the page's free text best is taken if it covers LEAST_COVERED of it. Whatever its length, a page is read once
+    and its containers are gone through a fixed number of times.
     """
-    blocks = read(page)
+    blocks, places = read(page)
     kept = clean(blocks)
-    best = best_path(blocks)[0]
-    all_free = sum(map(_free, kept))
-    fits: list[tuple[float, int, str]] = []
+    best = best_path(blocks, places)[0]
+    held = places.sums(kept)
+    # main text belongs to the container around the main one, whose other parts (heading, lead, further sections) go with it; articles stand alone
+    around = lambda kind: kind if not kind or places.is_article(kind) else places.above[kind]
+    fits: list[tuple[float, int, int]] = []
     own = None
     for path in filter(None, paths):
-        # what the path would bring along counts as covered
-        under = [b for b in kept if _under(b, path)]
+        kind = places.find(path)
+        if kind is None:
+            continue
+        below = places.under(kind)
+        under = [b for b in kept if below[places.kind[b.place]]]
         if not under:
             continue
-        covered = sum(_free(b) for b in kept if _under(b, _with_siblings(path))) / all_free if all_free else 1.0
-        if not fits and _is_template(path) and len(under) >= LEAST_BLOCKS and sum(map(_free, under)) >= LEAST_OF_TEMPLATE * all_free and not _has_article_outside(kept, path):
-            own = path
+        template = "." in path.rsplit("/", 1)[-1] and places.kind.count(kind) == 1 and len(under) >= LEAST_BLOCKS
+        if not fits and template and held[kind] >= LEAST_OF_TEMPLATE * held[0] and not _has_article_outside(kept, places, below, held[kind]):
+            own = kind
             break
-        fits.append((covered, path.count("/"), path))
+        fits.append((held[around(kind)] / held[0] if held[0] else 1.0, path.count("/"), kind))
     if own is None:
         covered, _, own = max(fits, default=(0.0, 0, best))
         if covered < LEAST_COVERED:
             own = best
-    around = own if own == best else _with_siblings(own)
-    return "\n".join(b.text for b in kept if _under(b, around)), own
-
-
-def _is_template(path: str) -> bool:
-    return "." in path.rsplit("/", 1)[-1]
-
-
-def _has_article_outside(blocks: list[Block], path: str) -> bool:
-    """Whether an article or main that does not hold ``path`` has more free text outside of it than is under it."""
-    under = sum(_free(b) for b in blocks if _under(b, path))
-    inner = [b for b in blocks if not _under(b, path) and any(_is_article(b.path[: i + 1]) for i in range(len(b.path)))]
-    return sum(map(_free, inner)) > under
+    inside = places.under(own if own == best else around(own))
+    return "\n".join(b.text for b in kept if inside[places.kind[b.place]]), places.path(own)
 
 
-def _under(block: Block, path: str) -> bool:
-    here = "/".join(block.path)
-    return not path or here == path or here.startswith(path + "/")
+def _has_article_outside(blocks: list[Block], places: Places, below: list[bool], there: int) -> bool:
+    """Whether articles or mains have more free text outside of a container (the kinds ``below``) than is in it (``there``)."""
+    inner = [places.is_article(k) for k in range(len(places.step))]
+    for k in range(1, len(inner)):
+        inner[k] = inner[k] or inner[places.above[k]]
+    return sum(_free(b) for b in blocks if inner[places.kind[b.place]] and not below[places.kind[b.place]]) > there
 
 
 def host_of(url: str):
@@ -338,8 +418,8 @@ def votes(pages: DataFrame) -> DataFrame:
     """
 
     def run(host, page):
-        found = [best_path(read(x)) for x in page.to_pylist()]
-        return host, pa.array([x for x, _ in found]), pa.array([s for _, s in found])
+        found = [(read_, *best_path(*read_)) for read_ in map(read, page.to_pylist())]
+        return host, pa.array([read_[1].path(kind) for read_, kind, _ in found], type=pa.string()), pa.array([s for *_, s in found], type=pa.float64())
 
     source = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
     cast = by_batch(source, run, "host string, path string, score double").where("score > 0")
