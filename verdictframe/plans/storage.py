@@ -14,7 +14,7 @@ from verdictframe.plans.analytics import REQUESTS_SQL
 from verdictframe.plans.registry import query
 from verdictframe.plans.views import table, view
 from verdictframe.session import materialize, scratch_path
-from verdictframe.sources import envelope, files
+from verdictframe.sources import envelope, files, stored
 
 
 @query("scan_jsonl", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
@@ -109,10 +109,11 @@ def snapshot_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     SELECT run_id, model_version, items_total, eval_passed,
            CASE WHEN items_total > 0 THEN round(eval_passed / items_total, 6) ELSE 0.0::DOUBLE END AS pass_rate FROM r WHERE rn = 1""", ("v_run_log",))
 def runs_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Earlier index and newly arrived records merged by run id; the last record wins."""
-    log = view(spark, sf, "v_run_log")
-    index, arrived = log.where("seq % 3 = 0"), log.where("seq % 3 <> 0")
-    merged = metrics.latest_by_key(index.unionByName(arrived), ["run_id"], ["ended_at", "seq"])
+    """Two arrivals of records merged into a stored table by run id; the last record wins."""
+    log, folder = view(spark, sf, "v_run_log"), scratch_path(spark, "run-index")
+    for arrived in (log.where("seq % 3 = 0"), log.where("seq % 3 <> 0")):
+        stored.upsert(folder, arrived, ["run_id"], ["ended_at", "seq"])
+    merged = stored.read_upserted(spark, folder, log.schema)
     rate = F.when(F.col("items_total") > 0, F.round(F.col("eval_passed") / F.col("items_total"), 6)).otherwise(F.lit(0.0))
     return merged.select("run_id", "model_version", "items_total", "eval_passed", rate.alias("pass_rate"))
 
@@ -169,9 +170,16 @@ def package_run(spark: SparkSession, sf: str) -> DataFrame:
         "data_card": card,
     }
     needed = {"eval_results": ["item_id", "verdict"], "clusters": ["cluster_id"], "action_plans": ["owner", "next_action"], "released_oracles": ["eval_method"]}
-    files.package_run(tables, folder, required=needed)
+    one = ["run_id", "item_id"]
+    # results whose item or oracle is gone are told, but not in the manifest, which points at released records only
+    references = [
+        ("release_manifest", "eval_results", one), ("release_manifest", "released_items", one), ("release_manifest", "released_oracles", one),
+        ("released_items", "eval_results", one), ("released_oracles", "eval_results", one), ("action_plans", "clusters", ["run_id", "cluster_id"]),
+        ("clusters", "action_plans", ["run_id", "cluster_id"]), ("eval_results", "run_summary", ["run_id"]), ("eval_results", "data_card", ["run_id"]),
+    ]
+    stored.package_release(tables, folder, required=needed, references=references)
     counted = [
-        spark.read.schema(df.select(*[c for c in df.columns if c != "run_id"], "run_id").schema).parquet(f"{folder}/{name}")
+        stored.read_release(spark, folder, name, stored.release_schema(df, "run_id"))
         .groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "run_id", "n")
         for name, df in tables.items()
     ]

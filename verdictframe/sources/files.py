@@ -82,29 +82,6 @@ def list_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("dataset_name").isNotNull() & (F.col("items_total") != 0))
 
 
-#: Files that a run's rows of one table are written to at most.
-FILES_PER_RUN = 8
-
-
-def package_run(tables: Mapping[str, DataFrame], folder: str, by: str = "run_id", required: Mapping[str, Sequence[str]] | None = None) -> None:
-    """Write each table of a release under ``folder``, one partition per run.
-
-    All tables are checked first: a null in a column that ``required`` names for its table stops the release
-    before anything is written. Rows are dealt out by run and a salt, so a run has few files and a very large
-    run is not one task.
-    """
-    checks = [
-        df.where(F.greatest(*[F.col(c).isNull() for c in [by, *(required or {}).get(name, [])]], F.lit(False))).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
-        for name, df in tables.items()
-    ]
-    bad = [f"{r['table']}: {r['n']} rows" for check in checks for r in check.where("n > 0").collect()]
-    if bad:
-        raise ValueError("incomplete records in " + ", ".join(bad))
-    for name, df in tables.items():
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_RUN))
-        df.repartition(F.col(by), salt).write.mode("append").partitionBy(by).parquet(f"{folder}/{name}")
-
-
 def version_bundle(
     spec_version: Column, model_version: Column, snapshot_hash: Column, seed: int,
     rubric: str = "v1", script: str = "v1", judge_prompt: str = "", judges: list[str] | None = None,
