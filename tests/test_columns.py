@@ -1,6 +1,7 @@
 """Column functions: schema compiler, decisions, judges, envelopes, clusters."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,32 @@ def test_latency_rounding(spark):
     assert tuple(metrics.latency_percentiles(df, rounding="bankers").first()) == (26, 41)
 
 
+def test_percentiles_by_parts_equal_the_aggregate(spark):
+    """Groups with null keys, far values, ties and halves, found by parts and as one aggregate."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else i % 3, rng.choice([rng.randrange(50), rng.randrange(10**6), -rng.randrange(10**15)])) for i in range(6000)]
+    rows += [(7, 5)] * 40 + [(8, 1), (8, 2), (9, None)]
+    df = spark.createDataFrame(rows, "k bigint, latency_ms bigint")
+    for rounding in ("trunc", "bankers"):
+        whole = {tuple(r) for r in metrics.latency_percentiles(df, ["k"], rounding=rounding).collect()}
+        assert {tuple(r) for r in metrics.latency_percentiles(df, ["k"], rounding=rounding, large=1).collect()} == whole
+        assert len(whole) == 5
+        assert metrics.latency_percentiles(df, rounding=rounding, large=1).collect() == metrics.latency_percentiles(df, rounding=rounding).collect()
+    assert metrics.latency_percentiles(df.limit(0)).collect() == [(None, None)]
+    assert metrics.latency_percentiles(df.limit(0), ["k"]).collect() == []
+
+
+def test_no_task_sorts_a_large_group(spark):
+    """Values are sorted inside parts of a group; the windows over whole groups see one row a part."""
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_021).alias("latency_ms"))
+    plan = metrics.latency_percentiles(df, large=1000)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_part" in line for line in windows)
+    values = sorted(r[0] for r in df.collect())
+    low, high = (values[24_999], values[25_000])
+    assert metrics.latency_percentiles(df, large=1000).first()["p50"] == (low + high) // 2
+
+
 def test_empty_suite_fails_the_gate(spark):
     empty = spark.createDataFrame([], "verdict string, error_type string")
     row = metrics.regression_gate(empty).first()

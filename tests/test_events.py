@@ -119,6 +119,42 @@ def at(seconds):
     return START + timedelta(seconds=seconds)
 
 
+def test_state_of_closed_windows_is_dropped(spark, tmp_path):
+    """Results over windows equal those of the whole log; at the end the state holds the open windows alone."""
+    log, day = str(tmp_path / "log"), 86_400
+    rows = [(100 * d + k, k % 20, "VERIFY", ("start", "ok", "fail")[k % 3], at(d * day + k), "") for d in range(5) for k in range(60)]
+    for d in range(5):
+        write_log(spark, log, rows[60 * d : 60 * d + 60])
+    whole = spark.createDataFrame(rows, DDL)
+
+    def stream():
+        return live.read_stream(spark, log, spark.read.parquet(log).schema, files_per_trigger=1)
+
+    report = {}
+    counts = live.run_to_table(live.stage_counters(stream(), width="1 hour"), "update", ["run_id", "stage", live.WINDOW], report=report)
+    assert {tuple(r) for r in live.merge_counters(counts).collect()} == {tuple(r) for r in live.stage_counters(whole).collect()}
+    assert report == {"state_rows": 20, "late_rows": 0}
+    latest = live.run_to_table(live.progress(stream(), width="1 hour"), "update", ["run_id", live.WINDOW], report=report)
+    assert {tuple(r) for r in live.merge_progress(latest).collect()} == {tuple(r) for r in live.progress(whole).collect()}
+    assert report["state_rows"] == 20
+    seen = live.first_seen(stream().select("run_id", "event_id", "ts"), "run_id", "event_id", width="1 hour")
+    first = live.merge_first_seen(live.run_to_table(seen, "update", ["run_id", live.WINDOW], report=report), "run_id", "event_id")
+    assert {(r["run_id"], r["event_id"]) for r in first.collect()} == {(k, k) for k in range(20)} and report["state_rows"] == 20
+
+
+def test_rows_too_late_are_counted(spark, tmp_path):
+    """The engine goes by the watermark of one batch earlier: a row is too late from the second batch on."""
+    log = str(tmp_path / "log")
+    write_log(spark, log, [(1, 1, "VERIFY", "start", at(0), ""), (2, 1, "VERIFY", "ok", at(86_400), "")])
+    write_log(spark, log, [(5, 3, "GENERATE_ITEM", "start", at(86_400), "")])
+    write_log(spark, log, [(3, 2, "VERIFY", "start", at(5), ""), (4, 1, "VERIFY", "ok", at(86_300), "")])
+    report = {}
+    stream = live.read_stream(spark, log, spark.read.parquet(log).schema, files_per_trigger=1)
+    counts = live.run_to_table(live.stage_counters(stream, width="1 hour"), "update", ["run_id", "stage", live.WINDOW], report=report)
+    assert [tuple(r) for r in live.merge_counters(counts).collect() if r["run_id"] != 3] == [(1, "VERIFY", 1, 2, 0)]
+    assert report["late_rows"] == 1
+
+
 def test_pairing_goes_on_from_its_checkpoint(spark, tmp_path):
     """A second query on the same folder finds the starts that the first left open, and writes no pair again."""
     log, folder = str(tmp_path / "log"), str(tmp_path / "state")

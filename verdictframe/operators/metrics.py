@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions import rules
+from verdictframe.operators.ordered import attach
+from verdictframe.session import materialize
 
 
 def latest_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -50,17 +54,69 @@ def slice_all(joined: DataFrame, columns: Sequence[str], tags: str = "domain_tag
     return joined.select("verdict", F.inline(pairs)).groupBy("slice", "slice_value").agg(*_rates())
 
 
-def latency_percentiles(results: DataFrame, by: Sequence[str] = (), latency: str = "latency_ms", rounding: str = "trunc") -> DataFrame:
+#: Groups of more distinct values are searched by parts, of which each holds about a thousandth of them.
+LARGE_GROUP = 1_000_000
+PARTS, STEP = 1024, 32
+SHARES = {"p50": 0.5, "p90": 0.9}
+
+
+def latency_percentiles(
+    results: DataFrame, by: Sequence[str] = (), latency: str = "latency_ms", rounding: str = "trunc", large: int = LARGE_GROUP
+) -> DataFrame:
     """p50 and p90 by linear interpolation, truncated or rounded half to even; null without samples.
 
-    Equal latencies are counted before the percentile, so its state is one entry per distinct value.
+    Equal latencies are counted first. A group of up to ``large`` distinct ones is one percentile aggregate, whose state is an
+    entry per distinct value; a larger group is searched by parts, so no task gets all its values. Both are exact.
     """
-    counted = results.where(F.col(latency).isNotNull()).groupBy(*by, latency).agg(F.count("*").alias("_n"))
+    group = F.struct(F.lit(0).alias("all"), *by).alias("_g")
+    counted = results.where(F.col(latency).isNotNull()).groupBy(group, F.col(latency).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = materialize(counted, "latencies")
+    sizes = counted.groupBy("_g").agg(F.count("*").alias("_d"), F.sum("_n").alias("_total")).where(F.col("_d") > large)
+    # at most one row for each `large` rows
+    sizes = materialize(sizes, "large")
+    small = counted.join(F.broadcast(sizes), "_g", "left_anti").groupBy("_g").agg(
+        *[F.percentile("_v", p, F.col("_n")).alias(name) for name, p in SHARES.items()]
+    )
+    found = small.unionByName(_by_parts(counted, sizes)) if not sizes.isEmpty() else small
+    if not by:  # a row also for no samples
+        found = found.groupBy().agg(*[F.max(name).alias(name) for name in SHARES])
     cut = (lambda c: F.floor(c)) if rounding == "trunc" else (lambda c: F.bround(c, 0))
-    return counted.groupBy(*by).agg(
-        *[cut(F.percentile(latency, p, F.col("_n"))).cast("bigint").alias(f"p{int(p * 100)}") for p in (0.5, 0.9)]
+    return found.select(*[F.col("_g")[c].alias(c) for c in by], *[cut(F.col(name)).cast("bigint").alias(name) for name in SHARES])
+
+
+def _by_parts(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Exact percentiles of the groups in ``sizes``: a sketch cuts a group's values into parts, the parts are counted anew, and
+    only those that hold a wanted rank are sorted."""
+    mine = counted.join(F.broadcast(sizes.select("_g")), "_g", "left_semi")
+    cuts = mine.groupBy("_g").agg(F.array_distinct(F.percentile_approx("_v", [i / PARTS for i in range(1, PARTS)], 16 * PARTS)).alias("_cuts"))
+    heads = F.filter("_cuts", lambda c, i: i % STEP == 0)
+    placed = attach(mine, sizes.join(cuts, "_g").withColumn("_heads", heads), ["_g"], "_v", "_d")
+    row = F.greatest(F.size(F.filter("_heads", lambda c: c <= F.col("_v"))) - 1, F.lit(0)) * STEP
+    inside = F.size(F.filter(F.slice("_cuts", F.col("_row") + 1, STEP), lambda c: c <= F.col("_v")))
+    placed = placed.withColumn("_row", row).select("_g", "_v", "_n", "_total", (F.col("_row") + inside).alias("_part"))
+    placed = materialize(placed, "placed")
+
+    order = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("_rows").over(order)
+    parts = placed.groupBy("_g", "_total", "_part").agg(F.sum("_n").alias("_rows")).withColumn("_before", upto - F.col("_rows"))
+    at = {name: F.lit(p) * (F.col("_total") - 1) for name, p in SHARES.items()}
+    ranks = [end(at[name]) for name in SHARES for end in (F.floor, F.ceil)]
+    holds = lambda rank, before, n: (before <= rank) & (rank < before + n)
+    hit = reduce(or_, [holds(r, F.col("_before"), F.col("_rows")) for r in ranks])
+    # at most four rows a group
+    chosen = parts.where(hit).select("_g", "_part", "_before")
+    values = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = placed.join(F.broadcast(chosen), ["_g", "_part"]).withColumn("_at", F.col("_before") + F.sum("_n").over(values) - F.col("_n"))
+    picked = exact.groupBy("_g", "_total").agg(
+        *[F.max(F.when(holds(r, F.col("_at"), F.col("_n")), F.col("_v").cast("double"))).alias(f"_r{i}") for i, r in enumerate(ranks)]
     )
 
+    def between(i: int, name: str) -> Column:
+        low, high, x = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}"), at[name]
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+
+    return picked.select("_g", *[between(i, name).alias(name) for i, name in enumerate(SHARES)])
+
 
 def run_metrics(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return results.groupBy(*by).agg(

@@ -16,6 +16,8 @@ _STATUS = "CASE WHEN event_type IN ('click', 'view') THEN 'start' WHEN event_typ
 
 
 BATCHES = 3
+#: Windows of event time that state is held for.
+WIDTH = "1 day"
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,20 +40,24 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     SELECT run_id, stage, count(*) FILTER (WHERE status = 'start') AS starts, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'fail') AS fail
     FROM v_stage_events GROUP BY ALL""", ("v_stage_events",))
 def stream_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_table(live.stage_counters(event_stream(spark, sf)), "update", ["run_id", "stage"], "counts")
+    counts = live.stage_counters(event_stream(spark, sf), width=WIDTH)
+    return live.merge_counters(live.run_to_table(counts, "update", ["run_id", "stage", live.WINDOW], "counts"))
 
 
 @query("stream_progress", """
     SELECT run_id, arg_max(stage, (ts, event_id)) AS stage, arg_max(status, (ts, event_id)) AS status,
            arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM v_stage_events GROUP BY run_id""", ("v_stage_events",))
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_table(live.progress(event_stream(spark, sf)), "update", ["run_id"], "progress")
+    latest = live.progress(event_stream(spark, sf), width=WIDTH)
+    return live.merge_progress(live.run_to_table(latest, "update", ["run_id", live.WINDOW], "progress"))
 
 
 @query("stream_dedup", "SELECT user_id AS run_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = event_stream(spark, sf).select("run_id", "event_id")
-    return live.run_to_table(live.first_seen(rows, "run_id", "event_id"), "update", ["run_id"], "dedup").select("run_id", "event_id")
+    rows = event_stream(spark, sf).select("run_id", "event_id", "ts")
+    first = live.first_seen(rows, "run_id", "event_id", width=WIDTH)
+    found = live.run_to_table(first, "update", ["run_id", live.WINDOW], "dedup")
+    return live.merge_first_seen(found, "run_id", "event_id").select("run_id", "event_id")
 
 
 @query("stream_fifo", f"WITH {FIFO} SELECT run_id, stage, start_id, end_id, duration_us FROM fifo", ("v_stage_events",))

@@ -24,40 +24,77 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def stage_counters(events: DataFrame, key: Sequence[str] = STAGE_KEY) -> DataFrame:
+#: How far event time may lag behind the newest row.
+LATE = "10 minutes"
+
+
+def _windows(events: DataFrame, width: str | None, late: str) -> tuple[DataFrame, list]:
+    """Rows and the window to group them by. State of windows that the watermark has passed is dropped; what comes for them later
+    is left out and counted. Rows without a time belong to no window."""
+    if width is None:
+        return events, []
+    return events.withWatermark("ts", late), [F.window("ts", width).alias("_w")]
+
+
+def _start(grouped: DataFrame) -> DataFrame:
+    if "_w" not in grouped.columns:
+        return grouped
+    return grouped.select(*[c for c in grouped.columns if c != "_w"], F.col("_w.start").alias(WINDOW))
+
+
+#: The column that tells the window of a partial result.
+WINDOW = "window_start"
+
+
+def stage_counters(events: DataFrame, key: Sequence[str] = STAGE_KEY, width: str | None = None, late: str = LATE) -> DataFrame:
+    """Starts, good and failed ends of each stage; with ``width`` for each window of event time, see ``merge_counters``."""
     status = F.col("status")
-    return events.groupBy(*key).agg(
+    rows, window = _windows(events, width, late)
+    return _start(rows.groupBy(*window, *key).agg(
         F.count_if(status == "start").alias("starts"),
         F.count_if(status == "ok").alias("ok"),
         F.count_if(status == "fail").alias("fail"),
-    )
+    ))
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """Latest stage and status of every run, and how many events it has written."""
+def merge_counters(partial: DataFrame, key: Sequence[str] = STAGE_KEY) -> DataFrame:
+    return partial.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("starts", "ok", "fail")])
+
+
+def progress(events: DataFrame, width: str | None = None, late: str = LATE) -> DataFrame:
+    """Latest stage and status of every run, and how many events it has written; with ``width`` for each window."""
     at = F.struct("ts", "event_id")
     last = F.struct("stage", "status", "event_id")
-    return events.groupBy("run_id").agg(F.max_by(last, at).alias("_last"), F.count("*").alias("n_events")).select(
-        "run_id",
-        F.col("_last.stage").alias("stage"),
-        F.col("_last.status").alias("status"),
-        F.col("_last.event_id").alias("event_id"),
-        "n_events",
-    )
+    rows, window = _windows(events, width, late)
+    grouped = _start(rows.groupBy(*window, "run_id").agg(F.max_by(last, at).alias("_last"), F.count("*").alias("n_events")))
+    return grouped.select("run_id", "_last.*", "n_events", *[c for c in grouped.columns if c == WINDOW])
+
 
+def merge_progress(partial: DataFrame) -> DataFrame:
+    """The run's last window has its last event."""
+    last = F.max_by(F.struct("stage", "status", "event_id"), WINDOW).alias("_last")
+    return partial.groupBy("run_id").agg(last, F.sum("n_events").alias("n_events")).select("run_id", "_last.*", "n_events")
 
-def first_seen(items: DataFrame, fp: str, idx: str) -> DataFrame:
+
+def first_seen(items: DataFrame, fp: str, idx: str, width: str | None = None, late: str = LATE) -> DataFrame:
     """First row by ``idx`` of every fingerprint, over all batches.
 
-    The engine's state holds one row for each fingerprint and no batch reads history again. Copies inside a
-    batch are combined before the shuffle, so a key that floods the stream is no hot task. Run it in update
-    mode with the fingerprint as the key.
+    The engine's state holds one row for each fingerprint (with ``width``: of the windows that are open) and no batch reads
+    history again. Copies inside a batch are combined before the shuffle, so a key that floods the stream is no hot task. Run it
+    in update mode with the fingerprint (and the window) as the key.
     """
     rest = [c for c in items.columns if c != fp]
-    return items.groupBy(fp).agg(F.min_by(F.struct(*rest), idx).alias("_row")).select(fp, "_row.*")
+    rows, window = _windows(items, width, late)
+    grouped = _start(rows.groupBy(*window, fp).agg(F.min_by(F.struct(*rest), idx).alias("_row")))
+    return grouped.select(fp, "_row.*", *[c for c in grouped.columns if c == WINDOW])
+
 
+def merge_first_seen(partial: DataFrame, fp: str, idx: str) -> DataFrame:
+    rest = [c for c in partial.columns if c not in (fp, WINDOW)]
+    return partial.groupBy(fp).agg(F.min_by(F.struct(*rest), idx).alias("_row")).select(fp, "_row.*")
 
-def failure_rate(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+
+def failure_rate(events: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
     """Ended events and failures per window of event time."""
     ended = F.col("status").isin("ok", "fail")
     return (
@@ -69,11 +106,15 @@ def failure_rate(events: DataFrame, width: str = "1 hour", late: str = "10 minut
     )
 
 
-def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None, label: str = "stream", folder: str | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, mode: str, key: Sequence[str] | None = None, label: str = "stream", folder: str | None = None, report: dict | None = None
+) -> DataFrame:
     """Run all available input through ``stream`` into a written table and read the result.
 
     In update mode each batch adds the rows it changed, and the last one per key counts. With a ``folder`` of an earlier run
-    the stream goes on where that ended, also where it was broken off.
+    the stream goes on where that ended, also where it was broken off. ``report`` is told the rows that the state holds at the
+    end, and the rows that were too late for it: rows as they reach the state, copies within a task's part of a batch
+    already combined.
     """
     spark = stream.sparkSession
     folder = folder or scratch_path(spark, label)
@@ -82,7 +123,9 @@ def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None,
         # a batch that is run again replaces what it wrote before
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
 
-    _drain(stream, write, mode, folder)
+    seen = _drain(stream, write, mode, folder)
+    if report is not None:
+        report.update(state_rows=seen[-1][0] if seen else 0, late_rows=sum(late for _, late in seen))
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     rows = spark.read.schema(schema).option("basePath", f"{folder}/data").parquet(f"{folder}/data")
     if key is None:
@@ -90,16 +133,21 @@ def run_to_table(stream: DataFrame, mode: str, key: Sequence[str] | None = None,
     return latest_by_key(rows, key, ["batch"]).drop("batch")
 
 
-#: The state store that arbitrary state needs: it spills to disk and is kept in the checkpoint as changes.
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of a run. The state store spills to disk and is kept in the checkpoint as changes; what is told of each batch is kept
+#: for so many of them.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.numRecentProgressUpdates": "10000",
+}
 
 
-def _drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, folder: str) -> None:
+def _drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, folder: str) -> list[tuple[int, int]]:
+    """Runs the stream; rows in its state after each batch, and rows that came too late in it."""
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name) for name in SETTINGS}
     try:
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
         query = (
             stream.writeStream.outputMode(mode)
             .foreachBatch(write)
@@ -107,9 +155,12 @@ def _drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str
             .trigger(availableNow=True)
             .start()
         )
+        query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
-    query.awaitTermination()
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    batches = [batch.stateOperators for batch in query.recentProgress]
+    return [(sum(s.numRowsTotal for s in states), sum(s.numRowsDroppedByWatermark for s in states)) for states in batches]
 
 
 class Pairing(StatefulProcessor):
@@ -168,7 +219,7 @@ class Pairing(StatefulProcessor):
 
 
 def fifo_stream(
-    events: DataFrame, key: Sequence[str] = STAGE_KEY, late: str = "10 minutes", expiry: timedelta = timedelta(days=3650), label: str = "fifo", folder: str | None = None
+    events: DataFrame, key: Sequence[str] = STAGE_KEY, late: str = LATE, expiry: timedelta = timedelta(days=3650), label: str = "fifo", folder: str | None = None
 ) -> DataFrame:
     """Durations as ``fifo_durations`` gives them, of a stream that arrives in time order: in a batch any order will do.
 
