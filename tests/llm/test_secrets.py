@@ -7,6 +7,8 @@ import hashlib
 import lzma
 import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -154,6 +156,42 @@ def test_base64_at_any_place(text):
     assert all(3 <= a < b <= 3 + len(text.encode()) for a, b in exact)
 
 
+@pytest.mark.parametrize("hard", ["noise", "marks", "no marks"])
+def test_hard_texts_take_linear_time_and_little_memory(hard):
+    """A long text of random base64, and texts full of what looks like the beginning of compressed data, with a secret at the end."""
+    text = {"noise": base64.b64encode(random.Random(1).randbytes(3_000_000)), "marks": b"/eJw" * 60_000, "no marks": b"/eJ" * 300_000}[hard]
+    tracemalloc.start()
+    began = time.monotonic()
+    found = secrets.secrets_of(text + b" password=abcdefghijkl")
+    assert time.monotonic() - began < 30
+    assert tracemalloc.get_traced_memory()[1] < 10 * len(text) + (20 << 20)
+    tracemalloc.stop()
+    assert (len(text) + 1, 0, len(text) + 22) in found.spans
+
+
+def test_random_layers_in_each_other():
+    """A secret in up to five layers, with other text before and after each, is found at the place of its outermost code."""
+    rng = random.Random(7)
+    wraps = {
+        "base64": base64.b64encode,
+        "url-safe": lambda d: base64.urlsafe_b64encode(d).rstrip(b"="),
+        "lines": base64.encodebytes,
+        "zlib": lambda d: base64.b64encode(zlib.compress(d)),
+        "gzip": lambda d: base64.b64encode(gzip.compress(d)),
+        "url": lambda d: "".join(f"%{c:02x}" for c in d).encode(),
+        "unicode": lambda d: "".join(f"\\u{c:04x}" for c in d).encode(),
+    }
+    for _ in range(150):
+        code, way = b"secret: abcdefghijklmnop", []
+        for _ in range(rng.randrange(1, 6)):
+            way.append(rng.choice(sorted(wraps)))
+            code = wraps[way[-1]](b" " * rng.randrange(3) + code + b". " * rng.randrange(3))
+        text = "é ".encode() * rng.randrange(3) + b"see " + code
+        start = len(text) - len(code)
+        inside = [span for span in secrets.secrets_of(text).spans if span[1] == 0]
+        assert inside and all(start <= a < b <= len(text) for a, _, b in inside), way
+
+
 def test_redact_keeps_rows_and_columns(docs):
     more = docs.union(docs.limit(1).selectExpr("77L", "'é token=abcdefghijklmnop1234 end'", *(f"`{c}`" for c in docs.columns[2:])))
     out = secrets.redact(more)

@@ -16,7 +16,7 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -52,7 +52,7 @@ DEPTH = 100
 CODE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 #: Where something compressed may begin, also in percent escapes.
 INNER = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|(?<![A-Za-z0-9])x[\x01\x5e\x9c\xda]")
-ZLIB_CODE = re.compile(rb"(?<=[/+_-])e[AFJN](?=[A-Za-z0-9+/_-])")
+ZLIB_CODE = re.compile(rb"(?<=[/+_-])e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
 INNER_PERCENT = re.compile(rb"(?i:%1f%8b%08|(?:%42|B)(?:%5a|Z)(?:%68|h)[1-9]|%fd(?:%37|7)(?:%7a|z)(?:%58|X)(?:%5a|Z)|(?:%28|\()%b5(?:%2f|/)%fd|(?<![a-z0-9])(?:%78|x)%(?:01|5e|9c|da))")
 
 _HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -90,21 +90,68 @@ def runs(data: bytes, classes: bytes, least: int) -> Iterator[tuple[int, int]]:
         i = marked.find(b"h" * least, end)
 
 
+#: Where bytes of a layer stand in the text: the first and the end offset of what bytes ``a`` to ``b`` come from. Later bytes never
+#: come from earlier places, so the ends of a span are those of its outer bytes. Numbers or arrays of them.
+Place = Callable[[int, int], tuple[int, int]]
+#: Places that go through so many others are written out.
+STEPS = 50
+
+
+def shifted(place: Place, by: int) -> Place:
+    return lambda a, b: place(a + by, b + by)
+
+
+def fixed(first: int, end: int) -> Place:
+    return lambda a, b: (a * 0 + first, b * 0 + end)
+
+
+def coded(place: Place, offset: int) -> Place:
+    """Of base64 from its character ``offset``: a byte comes from the characters of its bits."""
+    return lambda a, b: place(a * 8 // 6 + offset, (b * 8 - 1) // 6 + 1 + offset)
+
+
+def joined(place: Place, pieces: list[tuple[int, int, int, bool]]) -> Place:
+    """Of pieces one after another: their length, the bytes that they come from, and whether as a whole."""
+    lengths, sources, stops, whole = map(np.array, zip(*pieces, strict=True))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+    def span(a, b):
+        i, j = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b - 1, "right") - 1
+        first = np.where(whole[i], sources[i], sources[i] + a - starts[i])
+        end = np.where(whole[j], stops[j], sources[j] + b - starts[j])
+        return place(first, end)
+
+    return span
+
+
 @dataclass
 class Layer:
-    """Bytes with the first and the end offset in the text of what each stands for."""
+    """Bytes, where they stand in the text, and the layers passed."""
 
     data: bytes
-    first: np.ndarray
-    end: np.ndarray
+    place: Place
     via: str
     line: bool = False  # a whole line, of which the escaped runs are layers of their own
+    marks: tuple[int, ...] = ()  # where zlib data may begin, known from the code
+    steps: int = 0
+
+    def span(self, start: int, stop: int) -> tuple[int, int]:
+        first, end = self.place(start, stop)
+        return int(first), int(end)
 
     def key(self) -> bytes:
-        return blake2b(bytes([self.line]) + self.data + self.first[:1].tobytes() + self.end[-1:].tobytes(), digest_size=16).digest()
+        return blake2b(bytes([self.line]) + repr(self.span(0, len(self.data))).encode() + self.data, digest_size=16).digest()
 
     def part(self, start: int, stop: int) -> Layer:
-        return Layer(self.data[start:stop], self.first[start:stop], self.end[start:stop], self.via)
+        return Layer(self.data[start:stop], shifted(self.place, start), self.via, steps=self.steps + 1)
+
+    def below(self, data: bytes, place: Place, via: str, marks: tuple[int, ...] = ()) -> Layer:
+        steps = self.steps + 1
+        if steps > STEPS:
+            at = np.arange(len(data) + 1)
+            first, end = place(at[:-1], at[1:])
+            steps, place = 0, lambda a, b: (first[a], end[b - 1])
+        return Layer(data, place, f"{self.via}>{via}", marks=marks, steps=steps)
 
 
 @dataclass
@@ -116,18 +163,23 @@ class Found:
 
 def replaced(layer: Layer, pattern: re.Pattern, decoded, via: str) -> Layer | None:
     """The layer with each match replaced by what it stands for."""
-    data, first, end, done = [], [], [], 0
+    data, pieces, done = [], [], 0
+
+    def kept(stop: int) -> None:
+        if stop > done:
+            data.append(layer.data[done:stop])
+            pieces.append((stop - done, done, stop, False))
+
     for m in pattern.finditer(layer.data):
-        a, b = m.span()
-        if not (new := decoded(m[0])):
-            continue
-        data += [layer.data[done:a], new]
-        first += [layer.first[done:a], np.full(len(new), layer.first[a:b].min())]
-        end += [layer.end[done:a], np.full(len(new), layer.end[a:b].max())]
-        done = b
+        if new := decoded(m[0]):
+            kept(m.start())
+            data.append(new)
+            pieces.append((len(new), *m.span(), True))
+            done = m.end()
     if not done:
         return None
-    return Layer(b"".join([*data, layer.data[done:]]), np.concatenate([*first, layer.first[done:]]), np.concatenate([*end, layer.end[done:]]), f"{layer.via}>{via}")
+    kept(len(layer.data))
+    return layer.below(b"".join(data), joined(layer.place, pieces), via)
 
 
 def from_percent(code: bytes) -> bytes:
@@ -174,9 +226,10 @@ class Expander:
             self.engine = zlib.decompressobj(47) if how in ("gzip", "zlib") else bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()
 
     def feed(self, data: bytes) -> Iterator[bytes]:
-        for i in range(0, len(data), OVERLAP):
-            if not self.done:
-                yield from self._feed(data[i : i + OVERLAP])
+        i, n = 0, 256  # most of what only looks compressed fails at its beginning
+        while i < len(data) and not self.done:
+            yield from self._feed(bytes(data[i : i + n]))
+            i, n = i + n, min(2 * n, OVERLAP)
 
     def _feed(self, data: bytes) -> Iterator[bytes]:
         if self.plain:
@@ -240,7 +293,7 @@ class Expander:
             yield from self.next_member(b"", last=True)
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
+def unwrap(layer: Layer) -> Iterator[Layer | Code]:
     """The next layers below ``layer``, compressed ones still compressed."""
     data = layer.data
     for mark, pattern, decoded, via in ((b"%", PERCENT, from_percent, "url"), (b"\\", UNICODE, from_unicode, "unicode")):
@@ -259,9 +312,10 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             else:
                 break
     for start, stop in runs(data, _CODE, LEAST_CODE):
-        yield from decoded_runs(layer, np.arange(start, stop), data[start:stop])
+        yield from alignments(layer.part(start, stop))
     for lines in over_lines(data):
-        yield from decoded_runs(layer, np.concatenate([np.arange(a, b) for a, b in lines]), b"".join(data[a:b] for a, b in lines))
+        place = joined(layer.place, [(b - a, a, b, False) for a, b in lines])
+        yield from alignments(Layer(b"".join(data[a:b] for a, b in lines), place, layer.via, steps=layer.steps + 1))
 
 
 def over_lines(data: bytes) -> Iterator[list[tuple[int, int]]]:
@@ -284,22 +338,32 @@ def over_lines(data: bytes) -> Iterator[list[tuple[int, int]]]:
         i = data.find(b"\n", max(i + 1, parts[-1][1] if len(parts) > 1 else 0))
 
 
-def decoded_runs(layer: Layer, kept: np.ndarray, code: bytes) -> Iterator[Layer]:
-    """What base64 at ``kept`` stands for, from each of its first four characters, as what is glued before it is of any length."""
+@dataclass
+class Code:
+    """Base64 that is decoded from one of its first characters when its turn comes."""
+
+    layer: Layer
+    offset: int
+    marks: tuple[int, ...]
+
+    def decoded(self) -> Layer | None:
+        body = self.layer.data[self.offset :]
+        inner = from_base64(body[: len(body) - (len(body) % 4 == 1)])
+        if inner and (self.marks or worth_reading(inner)):
+            return self.layer.below(inner, coded(self.layer.place, self.offset), "base64", self.marks)
+        return None
+
+
+def alignments(code: Layer) -> Iterator[Code]:
+    """What ``code`` stands for from each of its first four characters, as what is glued before it is of any length.
+
+    Marks too short to be looked for within other bytes are looked for in the code; what begins there is the end of one of the four.
+    """
+    marks = [[], [], [], []]
+    for m in ZLIB_CODE.finditer(code.data, 1, len(code.data) - LEAST_CODE + 3):
+        marks[m.start() % 4].append(m.start() // 4 * 3)
     for offset in range(4):
-        body = code[offset:]
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        inner = from_base64(body)
-        if inner and worth_reading(inner):
-            i = np.arange(len(inner)) * 8 + 6 * offset  # byte i comes from the code characters of its bits
-            yield Layer(inner, layer.first[kept[i // 6]], layer.end[kept[(i + 7) // 6]], f"{layer.via}>base64")
-    for m in ZLIB_CODE.finditer(code):  # too short a mark to be looked for within other bytes
-        if m.start() and len(code) - m.start() >= LEAST_CODE:
-            body = code[m.start() :]
-            inner = from_base64(body[: len(body) - (len(body) % 4 == 1)])
-            i = np.arange(len(inner)) * 8 + 6 * m.start()
-            yield Layer(inner, layer.first[kept[i // 6]], layer.end[kept[(i + 7) // 6]], f"{layer.via}>base64")
+        yield Code(code, offset, tuple(marks[offset]))
 
 
 def worth_reading(data: bytes) -> bool:
@@ -313,10 +377,12 @@ class Search:
     def __init__(self, found: Found, left: int | None):
         self.found, self.left = found, left
 
-    def run(self, todo: list[Layer]) -> None:
+    def run(self, todo: list[Layer | Code]) -> None:
         seen = set()
         while todo:
             layer = todo.pop()
+            if isinstance(layer, Code) and (layer := layer.decoded()) is None:
+                continue
             if not layer.data or (key := layer.key()) in seen:
                 continue
             seen.add(key)
@@ -327,7 +393,8 @@ class Search:
                     continue
             todo += self.inside(layer)
             for kind, start, end in scan(layer.data):
-                span = int(layer.first[start:end].min()), KINDS.index(kind), int(layer.end[start:end].max())
+                first, last = layer.span(start, end)
+                span = first, KINDS.index(kind), last
                 self.found.spans.setdefault(span, layer.via[1:])
             todo += unwrap(layer)
 
@@ -335,16 +402,22 @@ class Search:
         """What compressed data after the beginning of ``layer`` holds; data that goes on to its end is taken once."""
         if layer.line:
             return []
-        todo = []
-        for m in INNER.finditer(layer.data, 1):
-            part = layer.part(m.start(), len(layer.data))
-            below = Expanding(self, part, compression(m[0]))
-            below.feed(part.data)
-            rest = below.close()
+        todo, rest = [], memoryview(layer.data)
+
+        def found(start: int, how: str) -> Expander | None:
+            below = Expanding(self, layer, how, start)
+            below.feed(rest[start:])
+            left = below.close()
             if below.expander.got or below.unread:
-                todo += rest
-                if not below.expander.failed:
-                    break
+                todo.extend(left)
+                return below.expander
+            return None
+
+        for start in layer.marks:
+            found(start, "zlib")
+        for m in INNER.finditer(layer.data, 1):
+            if (expander := found(m.start(), compression(m[0]))) and not expander.failed:
+                break
         return todo
 
     def expand(self, layer: Layer, how: str) -> list[Layer] | None:
@@ -361,9 +434,9 @@ class Expanding:
     All of it stands at the place of ``layer``. Compressed data that goes on beyond a window is handed on as it comes.
     """
 
-    def __init__(self, search: Search, layer: Layer, how: str):
+    def __init__(self, search: Search, layer: Layer, how: str, start: int = 0):
         self.search, self.via, self.expander = search, f"{layer.via}>{how}", Expander(how)
-        self.first, self.end = layer.first.min(), layer.end.max()
+        self.first, self.end = layer.span(start, max(start + 1, len(layer.data)))
         self.buffer, self.open, self.unread = bytearray(), [], False
         if sum(x in MAGIC.values() for x in self.via.split(">")) > DEPTH:
             self.leave()
@@ -371,7 +444,7 @@ class Expanding:
     def leave(self) -> None:
         self.unread = self.expander.done = True
         self.search.found.unread += 1
-        self.search.found.unread_at.append((int(self.first), int(self.end)))
+        self.search.found.unread_at.append((self.first, self.end))
 
     def feed(self, data: bytes) -> None:
         if not self.unread:
@@ -401,8 +474,7 @@ class Expanding:
                 self.window()
 
     def layer(self) -> Layer:
-        data = bytes(self.buffer)
-        return Layer(data, np.broadcast_to(self.first, len(data)), np.broadcast_to(self.end, len(data)), self.via)
+        return Layer(bytes(self.buffer), fixed(self.first, self.end), self.via)
 
     def window(self) -> None:
         layer = self.layer()
@@ -429,7 +501,7 @@ class Tail:
     """Compressed data, plain or in a code, that goes on beyond a window."""
 
     def __init__(self, search: Search, layer: Layer, how: str, code: str, skip: int = 0):
-        self.below = Expanding(search, Layer(b"", layer.first[:1], layer.end[:1], f"{layer.via}{code and '>' + code}"), how)
+        self.below = Expanding(search, Layer(b"", layer.place, f"{layer.via}{code and '>' + code}"), how)
         self.code, self.skip, self.rest, self.ended = code, skip, b"", False
 
     def feed(self, data: bytes) -> None:
@@ -495,8 +567,7 @@ def secrets_of(data: bytes, max_expanded: int | None = None) -> Found:
     found = Found({(start, KINDS.index(kind), end): "" for kind, start, end in scan(data)})
     if not (b"%" in data or b"\\" in data or next(runs(data, _CODE, LEAST_CODE), None) or next(over_lines(data), None)):
         return found
-    at = np.arange(len(data) + 1, dtype=np.int64)
-    Search(found, max_expanded).run(list(unwrap(Layer(data, at[:-1], at[1:], ""))))
+    Search(found, max_expanded).run(list(unwrap(Layer(data, lambda a, b: (a, b), ""))))
     return found
 
 
