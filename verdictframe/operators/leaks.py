@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,34 +21,33 @@ def _tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+")
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` tokens. The array is bound once; inside the inner lambda it would be
+#: Kinds of runs, the most telling first: runs of words and runs of characters, and their length.
+WORD_RUNS = {0: WORDS, 1: 1}
+CHAR_RUNS = {2 + CHARS - n: n for n in range(CHARS, 0, -1)}
+
+
+def _grams(tokens: Column, kinds: Mapping[int, int]) -> Column:
+    """Hashes of all runs of tokens of the given kinds and lengths. The array is bound once; inside the inner lambda it would be
     split again for every position."""
 
-    def runs(words: Column) -> Column:
+    def runs(words: Column, kind: int, n: int) -> Column:
         last = F.size(words) - n
         spots = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+        return F.transform(spots, lambda i: F.xxhash64(F.lit(kind), *[F.get(words, i + k) for k in range(n)]))
 
-    return F.array_distinct(F.flatten(F.transform(F.array(tokens), runs)))
+    each = lambda words: F.array_distinct(F.concat(*[runs(words, kind, n) for kind, n in kinds.items()]))
+    return F.flatten(F.transform(F.array(tokens), each))
 
 
-def _word_grams(text: Column, n: int) -> Column:
-    return _grams(_tokens(text), n)
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), ""), lambda c: c != "")
 
 
-def _inner_grams(text: Column, n: int) -> Column:
-    """Grams of the tokens between the first and the last one: these two may be cut inside a word of the
+def _inner(text: Column) -> Column:
+    """The tokens between the first and the last one: these two may be cut inside a word of the
     containing text, all others must appear there as whole tokens, in a row."""
-    inner = F.transform(
-        F.array(_tokens(text)), lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))
-    )
-    return _grams(F.get(inner, 0), n)
-
-
-def _char_grams(text: Column, n: int) -> Column:
-    chars = F.split(F.lower(text), "")
-    return _grams(F.filter(chars, lambda c: c != ""), n)
+    between = F.transform(F.array(_tokens(text)), lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))))
+    return F.get(between, 0)
 
 
 def contained_texts(
@@ -66,23 +67,22 @@ def contained_texts(
     source = needles.select(F.col(needle_id), F.col(needle_text).alias("_needle")).where(F.length("_needle") > 0)
     texts = docs.select(doc_id, F.col(doc_text).alias("_text"))
 
-    grams = [_inner_grams(F.col("_needle"), WORDS), _inner_grams(F.col("_needle"), 1)]
-    grams += [_char_grams(F.col("_needle"), n) for n in range(CHARS, 0, -1)]
-    kind = F.coalesce(*[F.when(F.size(g) > 0, i) for i, g in enumerate(grams)])
-    sorted_out = source.withColumn("_kind", kind)
-
-    pairs = []
-    for i in sorted(r[0] for r in sorted_out.select("_kind").distinct().collect()):
-        anchored = sorted_out.where(F.col("_kind") == i).select(needle_id, F.explode(grams[i]).alias("_anchor"))
-        n = (WORDS, 1, 3, 2, 1)[i]
-        outer = _word_grams(F.col("_text"), n) if i < 2 else _char_grams(F.col("_text"), n)
-        pairs.append(_candidates(texts.select(doc_id, F.explode(outer).alias("_anchor")), anchored, doc_id, needle_id))
-    if not pairs:
+    needle = F.col("_needle")
+    grams = {kind: _grams(_inner(needle), {kind: n}) for kind, n in WORD_RUNS.items()}
+    grams |= {kind: _grams(_chars(needle), {kind: n}) for kind, n in CHAR_RUNS.items()}
+    kind = F.coalesce(*[F.when(F.size(g) > 0, k) for k, g in grams.items()])
+    anchors = F.coalesce(*[F.when(F.size(g) > 0, g) for g in grams.values()])
+    anchored = materialize(source.select(needle_id, kind.alias("_kind"), F.explode(anchors).alias("_anchor")), "anchors")
+
+    # a scan gives the runs of all kinds that are asked for; words are told apart once for runs of any length
+    asked = {r[0] for r in anchored.select("_kind").distinct().collect()}
+    given = [(_tokens(F.col("_text")), WORD_RUNS), (_chars(F.col("_text")), CHAR_RUNS)]
+    wanted = [(tokens, {k: n for k, n in kinds.items() if k in asked}) for tokens, kinds in given]
+    runs = [_grams(tokens, kinds) for tokens, kinds in wanted if kinds]
+    if not runs:
         return docs.select(doc_id).limit(0).join(needles.select(needle_id).limit(0), F.lit(False))
-    candidates = pairs[0]
-    for more in pairs[1:]:
-        candidates = candidates.unionByName(more)
-    candidates = materialize(candidates, "candidates")
+    outer = texts.where(F.col("_text").isNotNull()).select(doc_id, F.explode(F.concat(*runs)).alias("_anchor"))
+    candidates = materialize(_candidates(outer, anchored.drop("_kind"), doc_id, needle_id), "candidates")
     per_needle = candidates.groupBy(needle_id).agg(F.count("*").alias("_copies"))
     named = attach(candidates, source.join(per_needle, needle_id), [needle_id], doc_id, "_copies")
     # texts of candidates only: the others are left out where they are scanned
