@@ -118,20 +118,31 @@ def _by_parts(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     return picked.select("_g", *[between(i, name).alias(name) for i, name in enumerate(SHARES)])
 
 
-def run_metrics(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return results.groupBy(*by).agg(
+def run_metrics(results: DataFrame, by: Sequence[str] = (), log: DataFrame | None = None) -> DataFrame:
+    """Items, passes and failures of each run; with the event ``log`` also attempts, failed gates and aborted items (0 without events).
+
+    Runs that are in the log alone have no results and are left out.
+    """
+    counted = results.groupBy(*by).agg(
         F.count("*").alias("items_total"),
         F.count_if(F.col("verdict") == "pass").alias("eval_passed"),
         F.count_if(F.col("verdict") == "fail").alias("failures_total"),
     )
+    if log is None:
+        return counted
+    added = ("attempted", "qa_failed", "aborted")
+    seen = qa_throughput(log, by).select(*by, *added)
+    both = counted.join(seen, list(by), "left") if by else counted.join(seen, F.lit(True))  # one row each
+    return both.withColumns({name: F.coalesce(name, F.lit(0).cast("bigint")) for name in added})
 
 
 def qa_throughput(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Attempted, evaluated and aborted items. An overfull slot ends without counting as aborted."""
+    """Attempted and evaluated items, failed gates and aborted items. An overfull slot ends without counting as aborted."""
     stage, status = F.col("stage"), F.col("status")
     return events.groupBy(*by).agg(
         F.count_if((stage == "GENERATE_ITEM") & (status == "start")).alias("attempted"),
         F.count_if((stage == "VERIFY") & (status == "ok")).alias("evaluated"),
+        F.count_if((stage == "QA_GATE") & (status == "fail")).alias("qa_failed"),
         F.count_if((stage == "QA_GATE") & (status == "fail") & (F.col("failure_code") != "DISTRIBUTION_MISMATCH")).alias("aborted"),
     )
 

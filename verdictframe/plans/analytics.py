@@ -92,14 +92,26 @@ def latency_round(spark: SparkSession, sf: str) -> DataFrame:
            count(*) FILTER (WHERE stage = 'QA_GATE' AND status = 'fail' AND failure_code <> 'DISTRIBUTION_MISMATCH') AS aborted FROM v_run_events""",
        ("v_run_events",))
 def qa_throughput(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.qa_throughput(view(spark, sf, "v_run_events"))
+    return metrics.qa_throughput(view(spark, sf, "v_run_events")).drop("qa_failed")
 
 
 @query("run_metrics", """
-    SELECT run_id, count(*) AS items_total, count(*) FILTER (WHERE verdict = 'pass') AS eval_passed, count(*) FILTER (WHERE verdict = 'fail') AS failures_total
-    FROM v_results GROUP BY run_id""", ("v_results",))
+    WITH e AS (SELECT CAST(split_part(item_id, '_', 2) AS BIGINT) AS idx, stage, status, failure_code FROM v_run_events WHERE item_id <> ''),
+    q AS (SELECT r.run_id, count(*) FILTER (WHERE stage = 'GENERATE_ITEM' AND status = 'start') AS attempted,
+                 count(*) FILTER (WHERE stage = 'QA_GATE' AND status = 'fail') AS qa_failed,
+                 count(*) FILTER (WHERE stage = 'QA_GATE' AND status = 'fail' AND failure_code <> 'DISTRIBUTION_MISMATCH') AS aborted
+          FROM e JOIN v_results r ON r.idx = e.idx GROUP BY ALL),
+    m AS (SELECT run_id, count(*) AS items_total, count(*) FILTER (WHERE verdict = 'pass') AS eval_passed, count(*) FILTER (WHERE verdict = 'fail') AS failures_total
+          FROM v_results GROUP BY run_id)
+    SELECT run_id, items_total, eval_passed, failures_total, coalesce(attempted, 0) AS attempted, coalesce(qa_failed, 0) AS qa_failed, coalesce(aborted, 0) AS aborted
+    FROM m LEFT JOIN q USING (run_id)""", ("v_results", "v_run_events"))
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.run_metrics(view(spark, sf, "v_results"), ["run_id"])
+    """Events count for the run that their item's result belongs to."""
+    results = view(spark, sf, "v_results").select("idx", "run_id", "verdict")
+    log = view(spark, sf, "v_run_events").where("item_id <> ''").select(
+        F.split_part("item_id", F.lit("_"), F.lit(2)).cast("bigint").alias("idx"), "stage", "status", "failure_code"
+    )
+    return metrics.run_metrics(results, ["run_id"], log.join(results.select("idx", "run_id"), "idx"))
 
 
 @query("model_versions", """

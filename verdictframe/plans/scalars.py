@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictframe.functions import decide, hashing, rules, text
@@ -468,6 +468,30 @@ def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_items").select("idx", F.sha2(prompt, 256).alias("prompt_digest"))
 
 
+@query("arbiter_prompts", f"""
+    SELECT item_id, sha256('# Arbiter (rubric_schema_version=v1)' || chr(10) || chr(10) || '## Task' || chr(10) || '- task_type: open_rubric' || chr(10)
+        || '- You are resolving disagreement between two judges. Your output must cite rule-by-rule evidence.' || chr(10) || chr(10)
+        || '## Evidence requirements' || chr(10) || coalesce(evidence_requirements, '{{}}') || chr(10) || chr(10)
+        || '## Judge 1' || chr(10) || '{{"verdict":"' || verdict_1 || '","score":' || score_1 || ',"reason":"length ' || n_chars || '","evidence":[{{"rule":"reasoning","observation":"' || verdict_1 || '"}}]}}' || chr(10) || chr(10)
+        || '## Judge 2' || chr(10) || '{{"verdict":"' || verdict_2 || '","score":' || score_2 || ',"reason":"length ' || n_chars || '","evidence":[{{"rule":"reasoning","observation":"' || verdict_2 || '"}}]}}' || chr(10) || chr(10)
+        || '## Model output' || chr(10) || '{{"n_chars":' || n_chars || '}}' || chr(10) || chr(10)
+        || '## Instructions' || chr(10) || {sql_text(rubric.ARBITER_INSTRUCTIONS)}) AS prompt_digest
+    FROM v_judges WHERE verdict_1 <> verdict_2""", ("v_judges",))
+def arbiter_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the arbiter is asked where the two judges disagree."""
+
+    def judge(n: int) -> Column:
+        verdict = F.col(f"verdict_{n}")
+        cited = F.array(F.struct(F.lit("reasoning").alias("rule"), verdict.alias("observation")))
+        reason = F.concat(F.lit("length "), F.col("n_chars").cast("string"))
+        return F.struct(verdict.alias("verdict"), F.col(f"score_{n}").alias("score"), reason.alias("reason"), cited.alias("evidence"))
+
+    prompt = rubric.arbiter_prompt(
+        F.lit("open_rubric"), F.coalesce("evidence_requirements", F.lit("{}")), judge(1), judge(2), F.to_json(F.struct("n_chars")), F.lit("v1")
+    )
+    return view(spark, sf, "v_judges").where("verdict_1 <> verdict_2").select("item_id", F.sha2(prompt, 256).alias("prompt_digest"))
+
+
 @query("iso_to_millis", """
     SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE epoch_us(ts) // 1000 END AS ms FROM events""")
 def iso_to_millis(spark: SparkSession, sf: str) -> DataFrame:
