@@ -11,7 +11,7 @@ from verdictframe.functions import rules
 from verdictframe.functions.decide import lookup
 from verdictframe.functions.hashing import dedup_fingerprint
 from verdictframe.functions.schema import violated
-from verdictframe.functions.text import contains_any, instruction_header
+from verdictframe.functions.text import contains_any, instruction_header, normalize_prompt
 from verdictframe.operators.ordered import attach, id_blocks, running_rank
 from verdictframe.session import materialize
 
@@ -258,6 +258,23 @@ def flag_first(items: DataFrame, key: str = "fp", idx: str = "idx") -> DataFrame
     return items.join(firsts, idx, "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
 
 
+#: Characters of a duplicate's normalised prompt that its report shows.
+PREVIEW = 500
+
+
+def duplicate_report(items: DataFrame, keep: Sequence[str] = (), key: str = "fp", idx: str = "idx", prompt: str = "prompt") -> DataFrame:
+    """What each item that is not the first of its fingerprint repeats: the first item, the number of copies, the
+    beginning of the normalised prompt, and the ``keep`` columns (family, blueprint, task type).
+
+    Prompts are read once; a fingerprint that a third of all items share is spread over tasks.
+    """
+    preview = F.substring(normalize_prompt(prompt), 1, PREVIEW).alias("prompt_preview")
+    narrow = materialize(items.select(idx, key, *keep, preview), "previews")
+    repeated = first_seen(narrow, key, idx).where(F.col("n_copies") > 1)
+    found = attach(narrow, repeated, [key], idx, "n_copies")
+    return found.where(F.col(idx) > F.col("first_idx"))
+
+
 def slot_ranks(
     items: DataFrame, slot: Sequence[str], planned: DataFrame, key: str = "fp", idx: str = "idx"
 ) -> DataFrame:

@@ -137,6 +137,17 @@ def gate_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     return gates.flag_first(copies(spark, sf)).select("idx", "fp", (~F.col("is_first")).alias("duplicate"))
 
 
+@query("duplicate_report", r"""
+    WITH r AS (SELECT idx, task_type, family_id, blueprint_id, difficulty, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS p FROM v_items),
+    h AS (SELECT *, sha256(p || chr(1) || 'any' || chr(1) || difficulty) AS fp FROM r),
+    w AS (SELECT *, min(idx) OVER (PARTITION BY fp) AS first_idx, count(*) OVER (PARTITION BY fp) AS n_copies FROM h)
+    SELECT idx, fp, task_type, family_id, blueprint_id, substring(p, 1, 500) AS prompt_preview, first_idx, n_copies FROM w WHERE idx > first_idx""", ("v_items",))
+def duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The duplicates of ``gate_duplicate`` with what they repeat."""
+    fp = dedup_fingerprint("prompt", F.lit("any"), "difficulty")
+    return gates.duplicate_report(view(spark, sf, "v_items", wide=True).withColumn("fp", fp), ["task_type", "family_id", "blueprint_id"])
+
+
 @query("dedup_first_seen", f"WITH {COPIES_SQL} SELECT fp, min(idx) AS first_idx, count(*) AS n_copies FROM reached GROUP BY fp", ("v_items",))
 def dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return gates.first_seen(copies(spark, sf)).select("fp", "first_idx", "n_copies")
