@@ -44,55 +44,63 @@ def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str) -> DataFr
         return F.try_variant_get(spec, path, kind)
 
     calls = F.col(trace)
-    names = F.transform(calls, lambda t: t["name"])
-    first = part("$.required_first", "array<string>")
-    must = part("$.must_include", "array<string>")
-    limits = F.map_entries(part("$.max_calls", "map<string,int>"))
-    wanted = part("$.required_sequence", "array<string>")
-    bindings = part("$.bindings", "array<struct<tool string,tool_path string,output_path string>>")
-    arg_tool = part("$.arg_schema.tool", "string")
+    # each step is a column of its own that the next ones name, so that nothing is worked out, or planned, more than once
+    read = df.withColumns({
+        "_names": F.transform(calls, lambda t: t["name"]),
+        "_first": part("$.required_first", "array<string>"),
+        "_must": part("$.must_include", "array<string>"),
+        "_limits": F.map_entries(part("$.max_calls", "map<string,int>")),
+        "_wanted": part("$.required_sequence", "array<string>"),
+        "_bindings": part("$.bindings", "array<struct<tool string,tool_path string,output_path string>>"),
+        "_arg_tool": part("$.arg_schema.tool", "string"),
+        "_arg_schema": F.to_json(part("$.arg_schema.schema", "variant")),
+    })
+    names, first, must, limits, wanted, bindings, arg_tool = (F.col(f"_{n}") for n in ("names", "first", "must", "limits", "wanted", "bindings", "arg_tool"))
 
     def calls_of(name: Column) -> Column:
         return F.filter(calls, lambda t: t["name"] == name)
 
-    empty_object = F.parse_json(F.lit("{}"))
-    args = F.coalesce(F.get(calls_of(arg_tool), 0)["args"], empty_object)
-    with_args = df.withColumn("_arg_schema", F.to_json(part("$.arg_schema.schema", "variant"))).withColumn("_args", args)
-    bad_args = violations_by_schema("_arg_schema", F.col("_args"))
-
     def unbound(b: Column) -> Column:
         result = F.get(calls_of(b["tool"]), 0)["result"]
         return ~json_path(result, b["tool_path"]).eqNullSafe(json_path(parsed, b["output_path"]))
 
-    missing_tool = F.filter(bindings, lambda b: F.size(calls_of(b["tool"])) == 0)
-    unequal = F.filter(bindings, unbound)
-    broken = F.filter(bindings, lambda b: (F.size(calls_of(b["tool"])) == 0) | unbound(b))
+    found = read.withColumns({
+        "_args": F.coalesce(F.get(calls_of(arg_tool), 0)["args"], F.parse_json(F.lit("{}"))),
+        "_arg_calls": F.size(calls_of(arg_tool)),
+        "_absent": F.array_except(must, names),
+        "_over": F.filter(limits, lambda e: F.size(calls_of(e["key"])) > e["value"]),
+        "_broken": F.filter(bindings, lambda b: (F.size(calls_of(b["tool"])) == 0) | unbound(b)),
+    })
+    checked = found.withColumn("_bad_args", violations_by_schema("_arg_schema", F.col("_args")))
+    args, arg_calls, bad_args, broken = F.col("_args"), F.col("_arg_calls"), F.col("_bad_args"), F.col("_broken")
+    absent, over, loose = F.get("_absent", 0), F.get("_over", 0), F.get(broken, 0)
 
     def some(c: Column) -> Column:
         return F.coalesce(F.size(c) > 0, F.lit(False))
 
-    codes = [
+    tests = [
         (calls.isNull(), "TOOL_TRACE_NOT_LIST", "type"),
         (some(first) & ~F.coalesce(F.array_contains(first, F.get(names, 0)), F.lit(False)), "TOOL_SEQUENCE_MISSING", "required_first"),
-        (some(F.array_except(must, names)), "TOOL_SEQUENCE_MISSING", "must_include"),
-        (some(F.filter(limits, lambda e: F.size(calls_of(e["key"])) > e["value"])), "TOOL_MAX_CALLS_EXCEEDED", "max_calls"),
+        (some(F.col("_absent")), "TOOL_SEQUENCE_MISSING", "must_include"),
+        (some(F.col("_over")), "TOOL_MAX_CALLS_EXCEEDED", "max_calls"),
         (some(wanted) & ~_subsequence(names, wanted), "TOOL_SEQUENCE_MISSING", "sequence"),
-        (arg_tool.isNotNull() & (F.size(calls_of(arg_tool)) == 0), "TOOL_SEQUENCE_MISSING", "args"),
+        (arg_tool.isNotNull() & (arg_calls == 0), "TOOL_SEQUENCE_MISSING", "args"),
         (arg_tool.isNotNull() & some(bad_args), "TOOL_ARGS_SCHEMA_FAILED", "args"),
         (some(bindings) & F.col(parsed).isNull(), "TOOL_BINDING_MISSING_OUTPUT", "binding"),
         # the first broken binding decides between the two codes
-        (some(missing_tool) & (F.size(calls_of(F.get(broken, 0)["tool"])) == 0), "TOOL_BINDING_MISSING_TOOL", "binding"),
-        (some(unequal), "TOOL_BINDING_MISMATCH", "binding"),
+        (some(broken) & (F.size(calls_of(loose["tool"])) == 0), "TOOL_BINDING_MISSING_TOOL", "binding"),
+        (some(broken), "TOOL_BINDING_MISMATCH", "binding"),
     ]
-    code = F.coalesce(*[F.when(test, F.lit(c)) for test, c, _ in codes], F.lit(""))
-    step = F.coalesce(*[F.when(test, F.lit(s)) for test, _, s in codes], F.lit(""))
+    failing = F.coalesce(*[F.when(test, F.lit(i)) for i, (test, _, _) in enumerate(tests)])
+    decided = checked.withColumn("_failing", failing).withColumns({
+        "_code": F.coalesce(F.get(F.array(*[F.lit(c) for _, c, _ in tests]), F.col("_failing")), F.lit("")),
+        "_step": F.coalesce(F.get(F.array(*[F.lit(s) for _, _, s in tests]), F.col("_failing")), F.lit("")),
+    })
+    code, step = F.col("_code"), F.col("_step")
 
     def shown(**parts: Column) -> Column:
         return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]))
 
-    absent = F.get(F.array_except(must, names), 0)
-    over = F.get(F.filter(limits, lambda e: F.size(calls_of(e["key"])) > e["value"]), 0)
-    loose = F.get(broken, 0)
     bound_value = F.try_parse_json(json_path(F.get(calls_of(loose["tool"]), 0)["result"], loose["tool_path"]))
     given_value = F.try_parse_json(json_path(parsed, loose["output_path"]))
     at_binding = (step == "binding") & (code != "TOOL_BINDING_MISSING_OUTPUT")
@@ -116,8 +124,8 @@ def trace_codes(df: DataFrame, expected: str, trace: str, parsed: str) -> DataFr
     message = F.when(step == "", "trajectory_check passed").otherwise(
         F.concat(F.lit("trajectory_check failed ("), step, F.lit(")"))
     )
-    scored = with_args.withColumns({"trajectory": outcome(code == "", code, message, step), "trajectory_details": details})
-    return scored.drop("_arg_schema", "_args")
+    scored = decided.withColumns({"trajectory": outcome(code == "", code, message, step), "trajectory_details": details})
+    return scored.select(*df.columns, "trajectory", "trajectory_details")
 
 
 #: Calls of an item whose order is worked out together, by their sequence numbers.
