@@ -1,6 +1,7 @@
 """Work that is done once: plans without copies of heavy expressions, in the session's default settings."""
 
 import __spark_entry__ as driver
+from verdictframe.functions import schema
 from verdictframe.operators import trajectory
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,13 @@ def test_trace_steps_are_worked_out_once(spark):
     assert plan_of(scored).count("$.bindings") == 1
     row = scored.first()
     assert (row.trajectory.code, row.trajectory_details.observed) == ("TOOL_BINDING_MISMATCH", '{"value":1}')
+
+
+def test_schemas_without_ids_resolve_no_addresses(monkeypatch):
+    """A schema of its own in nearly every row: looking it through cost most of the check."""
+    def never(*_):
+        raise AssertionError("address resolved")
+
+    monkeypatch.setattr(schema, "urljoin", never)
+    check = schema._ready('{"$defs":{"n":{"type":"integer","exclusiveMaximum":60061}},"properties":{"answer":{"anyOf":[{"$ref":"#/$defs/n"},{"const":"x"}]}}}')
+    assert (check({"answer": 60060}), check({"answer": 60061}), check({"answer": "x"})) == ([], ["$.answer: anyOf"], [])
