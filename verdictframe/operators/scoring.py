@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.functions.schema import violations_by_schema
-from verdictframe.functions.text import NORMALIZERS, col
+from verdictframe.functions.text import NORMALIZERS, bound, col
 
 PROGRAMMATIC_FAILED = "PROGRAMMATIC_CHECK_FAILED"
 
@@ -76,38 +76,64 @@ def structured_fields(expected: Column, observed: Column, required: Column, norm
     ``expected`` and ``observed`` are MAP<STRING,VARIANT>, ``normalize`` MAP<STRING,STRING> names a
     normaliser per field.
     """
-    fields = F.coalesce(required, F.map_keys(expected))
-    normalize = F.coalesce(normalize, F.create_map().cast("map<string,string>"))
-    missing = F.filter(fields, lambda f: ~F.map_contains_key(observed, f))
-    extra = F.array_except(F.map_keys(observed), fields)
-
-    def compared(source: Column, f: Column) -> Column:
-        value = F.try_element_at(source, f)
-        text = F.when(F.is_variant_null(value), F.lit(None)).otherwise(F.try_variant_get(value, "$", "string"))
-        out = F.to_json(value)
-        for name, fn in NORMALIZERS.items():
-            out = F.when(F.try_element_at(normalize, f) == name, fn(text)).otherwise(out)
-        return out
-
-    wrong = F.filter(fields, lambda f: ~compared(expected, f).eqNullSafe(compared(observed, f)))
+    given = F.struct(
+        expected.alias("expected"), observed.alias("observed"),
+        F.coalesce(required, F.map_keys(expected)).alias("fields"),
+        F.coalesce(normalize, F.create_map().cast("map<string,string>")).alias("normalize"),
+    )
+    return bound(given, lambda g: bound(_field_faults(g), _field_outcome))
+
+
+def _field_faults(given: Column) -> Column:
+    """Names of the fields that are missing, too many or of another value."""
+    expected, observed, fields, normalize = (given[n] for n in ("expected", "observed", "fields", "normalize"))
+
+    def compared(source: Column, f: Column, norm: Column) -> Column:
+        def one(value: Column) -> Column:
+            text = F.when(F.is_variant_null(value), F.lit(None)).otherwise(F.try_variant_get(value, "$", "string"))
+            out = F.to_json(value)
+            for name, fn in NORMALIZERS.items():
+                out = F.when(norm == name, fn(text)).otherwise(out)
+            return out
+
+        return bound(F.try_element_at(source, f), one)
+
+    def differs(f: Column) -> Column:
+        norm = F.try_element_at(normalize, f)
+        return ~compared(expected, f, norm).eqNullSafe(compared(observed, f, norm))
+
+    return F.struct(
+        expected.isNull().alias("no_dict"),
+        F.filter(fields, lambda f: ~F.map_contains_key(observed, f)).alias("missing"),
+        F.array_except(F.map_keys(observed), fields).alias("extra"),
+        F.filter(fields, differs).alias("wrong"),
+    )
+
+
+def _field_outcome(faults: Column) -> Column:
+    missing, extra, wrong = faults["missing"], faults["extra"], faults["wrong"]
     code = (
-        F.when(expected.isNull(), "STRUCTURED_CHECK_CONFIG_ERROR")
+        F.when(faults["no_dict"], "STRUCTURED_CHECK_CONFIG_ERROR")
         .when(F.size(missing) > 0, "STRUCTURED_FIELD_MISSING")
         .when(F.size(extra) > 0, "STRUCTURED_EXTRA_FIELD_PRESENT")
         .when(F.size(wrong) > 0, "STRUCTURED_FIELD_VALUE_MISMATCH")
         .otherwise("")
     )
-    field = F.when(code == "STRUCTURED_FIELD_MISSING", F.get(missing, 0)).when(
-        code == "STRUCTURED_FIELD_VALUE_MISMATCH", F.get(wrong, 0)
-    )
-    message = (
-        F.when(code == "", "structured extraction check passed")
-        .when(code == "STRUCTURED_CHECK_CONFIG_ERROR", "structured_extraction expected must be a dict")
-        .when(code == "STRUCTURED_FIELD_MISSING", F.concat(F.lit("missing required field: "), field))
-        .when(code == "STRUCTURED_EXTRA_FIELD_PRESENT", F.concat(F.lit("unexpected extra field(s): "), F.array_join(extra, ", ")))
-        .otherwise(F.concat(F.lit("value mismatch for field '"), field, F.lit("'")))
-    )
-    return outcome(code == "", code, message, field)
+
+    def told(code: Column) -> Column:
+        field = F.when(code == "STRUCTURED_FIELD_MISSING", F.get(missing, 0)).when(
+            code == "STRUCTURED_FIELD_VALUE_MISMATCH", F.get(wrong, 0)
+        )
+        message = (
+            F.when(code == "", "structured extraction check passed")
+            .when(code == "STRUCTURED_CHECK_CONFIG_ERROR", "structured_extraction expected must be a dict")
+            .when(code == "STRUCTURED_FIELD_MISSING", F.concat(F.lit("missing required field: "), field))
+            .when(code == "STRUCTURED_EXTRA_FIELD_PRESENT", F.concat(F.lit("unexpected extra field(s): "), F.array_join(extra, ", ")))
+            .otherwise(F.concat(F.lit("value mismatch for field '"), field, F.lit("'")))
+        )
+        return outcome(code == "", code, message, field)
+
+    return bound(code, told)
 
 
 def _structured_checker(row: dict[str, Column]) -> Column:
