@@ -182,3 +182,14 @@ def test_keys_that_rest_are_forgotten(spark, tmp_path):
     write_log(spark, log, [(5, 1, "VERIFY", "ok", at(3 * day + 1), ""), (6, 2, "VERIFY", "ok", at(3 * day + 1), ""), (7, 3, "VERIFY", "ok", at(3 * day + 1), "")])
     found = pairs_of(spark, log, folder, expiry=timedelta(days=2))
     assert (3, 1, 4, 7, False) in found and not [r for r in found if r[0] == 1]
+
+
+def test_keys_of_one_bucket_are_paired_and_forgotten_one_by_one(spark, tmp_path):
+    """State is held by bucket, with keys as they are: null, beyond 2**53, quoted; a key at rest goes, its neighbours stay."""
+    log, folder, day, large = str(tmp_path / "log"), str(tmp_path / "state"), 86_400, (1 << 53) + 1
+    write_log(spark, log, [(1, None, "a", "start", at(0), ""), (2, large, 'b"', "start", at(1), ""), (3, large + 1, 'b"', "start", at(2), "")])
+    write_log(spark, log, [(4, large, 'b"', "ok", at(day), ""), (5, None, "a", "start", at(day), ""), (6, 7, None, "start", at(3 * day), "")])
+    assert pairs_of(spark, log, folder, expiry=timedelta(days=2), buckets=1) == [(large, 1, 2, 4, False)]
+    write_log(spark, log, [(7, large + 1, 'b"', "ok", at(3 * day + 1), ""), (8, 7, None, "ok", at(3 * day + 1), "")])
+    found = pairs_of(spark, log, folder, expiry=timedelta(days=2), buckets=1)
+    assert sorted(found, key=str) == [(7, 1, 6, 8, False), (large, 1, 2, 4, False)]

@@ -164,74 +164,109 @@ def _drain(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str
 
 
 class Pairing(StatefulProcessor):
-    """Pairs ends with open starts, first in, first out, for one key; its state is the queue of open starts and what came last.
+    """Pairs ends with open starts, first in, first out, for the keys of one bucket; its state is what came last of each key and the
+    queues of open starts.
 
     A row that comes in a later batch but lies before what its key has seen is late: it is not paired but given out with ``late``
-    set. A key that rests for ``expiry`` of event time is forgotten with its open starts.
+    set. A key that rests for ``expiry`` of event time is forgotten with its open starts. Calls into the state cost far more than
+    rows, so a bucket's state is read once and written once in a batch, however many keys it has.
     """
 
-    def __init__(self, names: Sequence[str], expiry_ms: int) -> None:
-        self.names, self.expiry_ms = list(names), expiry_ms
+    def __init__(self, expiry_ms: int) -> None:
+        self.expiry_ms = expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "at long, event_id long")
-        self.last = handle.getValueState("last", "at long, event_id long, k long, timer long")
+        self.open = handle.getListState("open", "key string, at long, event_id long")
+        self.last = handle.getListState("last", "key string, at long, event_id long, k long")
+        self.timer = handle.getValueState("timer", "due long")
+
+    def _read(self) -> tuple[dict, dict]:
+        """What came last of each key, and its open starts in order."""
+        last = {key: tuple(seen) for key, *seen in self.last.get()} if self.last.exists() else {}
+        queues: dict[str, deque] = {}
+        if self.open.exists():
+            for key, at, event in self.open.get():
+                queues.setdefault(key, deque()).append((at, event))
+        return last, queues
+
+    def _write(self, last: dict, queues: dict, fired: int | None = None) -> None:
+        for state, rows in (
+            (self.last, [(key, *seen) for key, seen in last.items()]),
+            (self.open, [(key, *start) for key, queue in queues.items() for start in queue]),
+        ):
+            state.put(rows) if rows else state.clear()
+        due = min((at for at, _, _ in last.values()), default=None)
+        due = None if due is None else due // 1000 + self.expiry_ms
+        timer = self.timer.get()[0] if self.timer.exists() else None
+        if due != timer:
+            if timer not in (None, fired):
+                self.handle.deleteTimer(timer)
+            if due is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by the engine
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        at, event_id, k, timer = self.last.get() if self.last.exists() else (None, None, 0, None)
-        queue = deque(self.open.get()) if self.last.exists() else deque()
-        changed, out = len(queue), []
-        for now, event, status in zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["status"].tolist(), strict=True):
+        batch, (last, queues), out = pd.concat(list(rows)).sort_values(["at", "event_id"]), self._read(), []
+        for name, now, event, status in zip(*(batch[c].tolist() for c in ("key", "at", "event_id", "status")), strict=True):
+            at, event_id, k = last.get(name, (None, None, 0))
             if at is not None and (now, event) <= (at, event_id):
-                out.append((None, event, None, None, True) if status == "start" else (None, None, event, None, True))
+                out.append((name, None, event, None, None, True) if status == "start" else (name, None, None, event, None, True))
                 continue
-            at, event_id = now, event
             if status == "start":
-                queue.append((now, event))
-            elif queue:
+                queues.setdefault(name, deque()).append((now, event))
+            elif queue := queues.get(name):
                 started, start = queue.popleft()
                 k += 1
-                out.append((k, start, event, now - started, False))
-        if queue:
-            self.open.put(list(queue))
-        elif changed:
-            self.open.clear()
-        due = at // 1000 + self.expiry_ms
-        if due != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.last.update((at, event_id, k, due))
+                out.append((name, k, start, event, now - started, False))
+            last[name] = now, event, k
+        self._write(last, queues)
         if out:
-            table = pd.DataFrame(out, columns=["k", "start_id", "end_id", "duration_us", "late"])
-            numbers = {c: "Int64" for c in ("k", "start_id", "end_id", "duration_us")}
-            yield table.astype(numbers).assign(**dict(zip(self.names, key, strict=True)))
+            table = pd.DataFrame(out, columns=["key", "k", "start_id", "end_id", "duration_us", "late"])
+            yield table.astype({c: "Int64" for c in ("k", "start_id", "end_id", "duration_us")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.open.clear()
-        self.last.clear()
+        """Forgets the keys that have rested long enough; the timer is that of the bucket's oldest."""
+        passed, (last, queues) = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._read()
+        gone = [key for key, (at, _, _) in last.items() if at // 1000 + self.expiry_ms <= passed]
+        for key in gone:
+            del last[key]
+            queues.pop(key, None)
+        self._write(last, queues, expiredTimerInfo.getExpiryTimeInMs())
         yield from ()
 
     def close(self) -> None:
         """Nothing is held outside the state."""
 
 
+#: Groups of keys whose state is held together.
+BUCKETS = 128
+#: How the values of a key are written as one text and read again, to the microsecond.
+KEY_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def fifo_stream(
-    events: DataFrame, key: Sequence[str] = STAGE_KEY, late: str = LATE, expiry: timedelta = timedelta(days=3650), label: str = "fifo", folder: str | None = None
+    events: DataFrame, key: Sequence[str] = STAGE_KEY, late: str = LATE, expiry: timedelta = timedelta(days=3650), label: str = "fifo", folder: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Durations as ``fifo_durations`` gives them, of a stream that arrives in time order: in a batch any order will do.
 
     Open starts are keyed state of the engine, so a run that is broken off goes on from its checkpoint (``folder``). Rows older
     than ``late`` before the newest one are dropped by the watermark; rows between, that their key has passed, come out with
-    ``late`` set and no pair. A key's rows of one batch are one task: bound batches by files per trigger.
+    ``late`` set and no pair. Keys are dealt into ``buckets``, the same number for each run on a folder; the rows and the state of
+    one bucket in one batch are one call of one task: bound batches by files per trigger, and take more buckets for many more keys.
     """
-    kinds = dict(events.dtypes)
     timed = events.where(F.col("ts").isNotNull() & F.col("status").isin("start", "ok", "fail")).withWatermark("ts", late)
-    rows = timed.select(*key, F.col("event_id").cast("long").alias("event_id"), "status", "ts", F.unix_micros("ts").alias("at"))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", k bigint, start_id bigint, end_id bigint, duration_us bigint, late boolean"
-    pairs = rows.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=Pairing(key, int(expiry.total_seconds() * 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    name = F.to_json(F.struct(*key), KEY_TEXT).alias("key")
+    at, bucket = F.unix_micros("ts").alias("at"), F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket")
+    rows = timed.select(name, F.col("event_id").cast("long").alias("event_id"), "status", "ts", at, bucket)
+    pairs = rows.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=Pairing(int(expiry.total_seconds() * 1000)),
+        outputStructType="key string, k bigint, start_id bigint, end_id bigint, duration_us bigint, late boolean",
+        outputMode="Append", timeMode="EventTime",
     )
-    return run_to_table(pairs, "append", label=label, folder=folder)
+    kinds = events.select(*key).schema
+    found = pairs.select(F.from_json("key", kinds, KEY_TEXT).alias("key"), *pairs.columns[1:]).select("key.*", *pairs.columns[1:])
+    return run_to_table(found, "append", label=label, folder=folder)
