@@ -1,7 +1,9 @@
 """Work that is done once: plans without copies of heavy expressions, in the session's default settings."""
 
+import re
+
 import __spark_entry__ as driver
-from verdictframe.functions import schema
+from verdictframe.functions import rules, schema, text
 from verdictframe.operators import trajectory
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,11 @@ def test_schemas_without_ids_resolve_no_addresses(monkeypatch):
     monkeypatch.setattr(schema, "urljoin", never)
     check = schema._ready('{"$defs":{"n":{"type":"integer","exclusiveMaximum":60061}},"properties":{"answer":{"anyOf":[{"$ref":"#/$defs/n"},{"const":"x"}]}}}')
     assert (check({"answer": 60060}), check({"answer": 60061}), check({"answer": "x"})) == ([], ["$.answer: anyOf"], [])
+
+
+def test_orders_without_a_spec_stay_out_of_the_join(spark):
+    """Nulls of an outer join all go to one task: nine orders in ten, here."""
+    plan = plan_of(driver.queries()["oracle_router"](spark, SF)).splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert any("Union" in line for line in plan[:join])
+    assert any("Filter" in line and "% 10) = 0" in line for line in plan[join + 1 : join + 4])

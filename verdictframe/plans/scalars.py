@@ -178,7 +178,12 @@ def oracle_router(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("").alias("spec_checker"),
     )
     method = decide.pick_by_priority(decide.applicable_methods("task_type"))["selected"]
-    return orders.join(specs, "judge_spec_id", "left").select(
+    # most orders name no spec: in the join all of them would meet in one task
+    named, rest = F.col("judge_spec_id").isNotNull(), F.lit(None).cast("string")
+    joined = orders.where(named).join(specs, "judge_spec_id", "left").unionByName(
+        orders.where(~named).select("*", rest.alias("spec_method"), rest.alias("spec_checker"))
+    )
+    return joined.select(
         "o_orderkey",
         "task_type",
         F.coalesce("spec_method", method).alias("eval_method"),
