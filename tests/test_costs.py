@@ -47,3 +47,14 @@ def test_orders_without_a_spec_stay_out_of_the_join(spark):
     join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
     assert any("Union" in line for line in plan[:join])
     assert any("Filter" in line and "% 10) = 0" in line for line in plan[join + 1 : join + 4])
+
+
+def test_patterns_of_tags_run_only_where_their_word_is(spark):
+    assert [text.needed_word(p) for p in (r"\b(?:api|function)\s+calling\b", r"\blookup\s+flows?\b", "a|b", "(?:a|b)?c", "ab*", "(?i)a")] == ["calling", "lookup", "", "", "", ""]
+    assert sum(text.needed_word(p) != "" for p, _ in rules.TAG_PATTERNS) >= 16
+    briefs = ["Tool\tCalling by API calling", "no calling of tools", "Extract from text", "lookup flow", "a context based qa", "", None]
+    rows = spark.createDataFrame(list(enumerate(briefs)), "i int, t string")
+    plain = {k: sum(1 for p, _ in rules.TAG_PATTERNS if t is not None and re.search(p, t.lower())) for k, t in enumerate(briefs)}
+    only = {r["i"]: r["tags"] for r in rows.select("i", text.rule_tags("t", {}, [(p, [str(n)]) for n, (p, _) in enumerate(rules.TAG_PATTERNS)]).alias("tags")).collect()}
+    assert {k: len(v or []) for k, v in only.items()} == plain
+    assert plan_of(rows.select(text.rule_tags("t").alias("tags"))).count("lower(") == 1

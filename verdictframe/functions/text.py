@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ def col(c: Column | str) -> Column:
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.transform(F.array(value), body)[0]  # F.get would name the whole once more, for its size
 
 
 def strip(c: Column | str) -> Column:
@@ -65,16 +66,35 @@ def first_match(text: Column, patterns: Sequence[tuple[str, str]], default: str)
     return F.coalesce(*[F.when(text.rlike(p), F.lit(v)) for p, v in patterns], F.lit(default))
 
 
+#: Patterns of words, gaps and groups of alternatives, one after the other; and the parts that a match need not have.
+_PLAIN = re.compile(r"(?:\\b|\\s[*+]?|[a-z]\??|-\??|\(\?:[a-z|]+\))+")
+_LOOSE = re.compile(r"\([^)]*\)|\\b|\\s[*+]?|.\?|-")
+
+
+def needed_word(pattern: str) -> str:
+    """The longest run of letters that every match of ``pattern`` holds; empty for patterns that are not plain."""
+    return max(_LOOSE.sub(" ", pattern).split(), key=len, default="") if _PLAIN.fullmatch(pattern) else ""
+
+
 def rule_tags(
     c: Column | str,
     keywords: Mapping[str, Sequence[str]] = rules.TAG_KEYWORDS,
     patterns: Sequence[tuple[str, Sequence[str]]] = rules.TAG_PATTERNS,
 ) -> Column:
-    """Tags of all matching rules, in rule order, each once."""
-    text = F.lower(col(c))
-    hits = [F.when(text.contains(k), F.array(*map(F.lit, tags))) for k, tags in keywords.items()]
-    hits += [F.when(text.rlike(p), F.array(*map(F.lit, tags))) for p, tags in patterns]
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))
+    """Tags of all matching rules, in rule order, each once.
+
+    The text is lower-cased once, and a pattern runs only over texts that hold the word it cannot match without.
+    """
+
+    def matches(text: Column, pattern: str) -> Column:
+        return text.contains(word) & text.rlike(pattern) if (word := needed_word(pattern)) else text.rlike(pattern)
+
+    def found(text: Column) -> Column:
+        hits = [F.when(text.contains(k), F.array(*map(F.lit, tags))) for k, tags in keywords.items()]
+        hits += [F.when(matches(text, p), F.array(*map(F.lit, tags))) for p, tags in patterns]
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))
+
+    return bound(F.lower(col(c)), found)
 
 
 def objective(c: Column | str) -> Column:
