@@ -215,6 +215,20 @@ def test_prefixes_count_documents_once(spark):
     assert {r.term for r in divergence.going_on(docs, 8, kept).collect()} == {b"commandeer", b"commandeers", b"commander", b"commanders"}
 
 
+@pytest.mark.parametrize("size", [5, 60, 1 << 20])
+def test_terms_of_bytes_read_in_parts(monkeypatch, size):
+    """Terms are found in bytes; a text that is read in parts has each term once, and none is cut where texts meet."""
+    monkeypatch.setattr(divergence, "SLICE", size)
+    texts = ["", "Aa aA É é日本`b{C", "x" * 70, "12 34", " ".join(["Again", "end"] * 150_000), "end", "tail\0\x7fTail"]
+    values, doc, at, n = divergence.terms([t.encode() for t in texts])
+    names = [v.decode() for v in values.to_pylist()]
+    found = [(d, names[a], k) for d, a, k in zip(doc.tolist(), at.tolist(), n.tolist(), strict=True)]
+    model = [Counter(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", lower(t))) for t in texts]
+    assert sorted(found) == sorted((d, w, k) for d, c in enumerate(model) for w, k in c.items())
+    assert doc.tolist() == sorted(doc.tolist())
+    assert len(set(names)) == len(names)
+
+
 def test_bitmap_holds_what_it_was_made_of(spark):
     keys = [(g, bytes([k % 256, k // 256])) for k in range(3000) for g in ("en", "", "日")]
     bitmap = divergence.bitmap_of(spark.createDataFrame(keys, "lang string, key binary"))

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +38,55 @@ BITS = 1 << 27
 KEPT, SLICE, ROWS = 1 << 18, 2 << 20, 1 << 14
 #: Terms times sources of a block whose pairs of sources are summed together; copies of a language's sources, for its rows to meet.
 BLOCK, SALTS = 1 << 17, 16
-_terms = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+").findall
-_gap = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]")
+#: Bytes as terms have them: A-Z in lower case, what no term holds as a blank.
+_LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+_gap = re.compile(b"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 GROUP = ("lang", "source")
 U = np.uint64
 
 
-def terms(text: str) -> Counter:
-    """The terms of a text and how often each comes."""
-    out: Counter = Counter()
-    for part in pieces(text.encode().lower().decode(), _gap):
-        out.update(_terms(part))
-    return out
+def terms(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different terms of all texts; of each text and each of its terms, once and by text: which text, which term, how often.
+
+    Terms are found as bytes between blanks, ``SLICE`` bytes of texts at a time, so no term is a Python object.
+    """
+    found, docs, often = [], [], []
+
+    def add(parts: list[bytes], of: list[int]) -> None:
+        data = np.frombuffer(b" ".join([*parts, b""]).translate(_LETTERS), np.uint8)
+        inside = data != 0x20
+        edges = np.flatnonzero(np.diff(inside, prepend=False))  # a blank ends the last term as well
+        start = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2]))).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer(start), pa.py_buffer(data[inside])]).dictionary_encode()
+        part = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), edges[::2], side="right")
+        width = max(1, len(coded.dictionary))
+        pair, n = np.unique(np.array(of, dtype=np.int64)[part] * width + coded.indices.to_numpy(), return_counts=True)
+        found.append(pa.DictionaryArray.from_arrays(pa.array(pair % width, type=pa.int32()), coded.dictionary))
+        docs.append(pair // width)
+        often.append(n)
+
+    parts: list[bytes] = []
+    of: list[int] = []
+    size = 0
+    for doc, text in enumerate(texts):
+        for part in pieces(text, _gap):
+            parts.append(part)
+            of.append(doc)
+            size += len(part)
+            if size >= SLICE:
+                add(parts, of)
+                parts, of, size = [], [], 0
+    if parts or not found:
+        add(parts, of)
+    same = pa.chunked_array(found).unify_dictionaries()
+    values = same.chunk(0).dictionary
+    at = np.concatenate([c.indices.to_numpy() for c in same.chunks])
+    doc, n = np.concatenate(docs), np.concatenate(often)
+    if len(found) > 1:  # a text of several parts has terms of its own in each
+        pair, back = np.unique(doc * max(1, len(values)) + at, return_inverse=True)
+        doc, at = pair // max(1, len(values)), pair % max(1, len(values))
+        n = np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
+    return values, doc, at, n
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -69,26 +105,17 @@ def postings(docs: DataFrame) -> DataFrame:
         Memo.begin("divergence")
         for whole in batches:
             for batch in slices(whole, SLICE):
-                flat: list[str] = []
-                often: list[int] = []
-                ends = []
-                for text in batch.column("text").to_pylist():
-                    found = terms(text)
-                    flat += found
-                    often += found.values()
-                    ends.append(len(flat))
-                term = pa.array(flat, type=pa.string()).dictionary_encode()
-                values, at, n = term.dictionary.cast(pa.binary()), term.indices.to_numpy(zero_copy_only=False), np.array(often, dtype=np.int64)
+                values, doc, at, n = terms(batch.column("text").cast(pa.binary()).to_pylist())
                 size = pc.binary_length(values).to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 groups_ = [pa.array([batch.column(c).to_pylist()], type=pa.list_(pa.string())) for c in GROUP]
                 for long in (False, True):
                     own = (size > LEVELS[0]) == long
                     there = own[at]
-                    numbers = (size[own], np.bincount(doc[there], minlength=len(ends)).cumsum(), (np.cumsum(own) - 1)[at[there]], n[there])
-                    joined = b"".join(values.filter(pa.array(own)).to_pylist())
+                    numbers = (size[own], np.bincount(doc[there], minlength=batch.num_rows).cumsum(), (np.cumsum(own) - 1)[at[there]], n[there])
+                    own_terms = values.filter(pa.array(own))
+                    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(own_terms)], own_terms), b"")
                     yield pa.RecordBatch.from_arrays(
-                        [*groups_, pa.array([long]), pa.array([joined], type=pa.binary()), *(pa.array([x.astype("<i4").tobytes()], type=pa.binary()) for x in numbers)], names=names
+                        [*groups_, pa.array([long]), joined, *(pa.array([x.astype("<i4").tobytes()], type=pa.binary()) for x in numbers)], names=names
                     )
 
     found = read.mapInArrow(run, "lang array<string>, source array<string>, long boolean, bytes binary, size binary, ends binary, at binary, n binary")
@@ -147,7 +174,10 @@ def slots(keys: pa.Array) -> np.ndarray:
     """A hash of each key, of its length and first 64 bytes."""
     size = np.minimum(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64), 64)
     width = -(-int(size.max(initial=1)) // 8) * 8
-    table = np.array(pc.binary_slice(keys, 0, 64).to_pylist(), dtype=f"S{width}").view(U).reshape(len(keys), width // 8)
+    cut = pc.binary_slice(keys, 0, 64)
+    table = np.zeros((len(keys), width), np.uint8)
+    table[np.arange(width) < size[:, None]] = np.frombuffer(b"" if not len(cut) else cut.buffers()[2] or b"", np.uint8)[: size.sum()]
+    table = table.view(U)
     out = mixed(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(U))
     for k in range(width // 8):  # words beyond a key's end leave the hash as it is
         out = np.where(8 * k < size, mixed(out * U(0x9E3779B97F4A7C15) + table[:, k]), out)
