@@ -58,3 +58,9 @@ def test_patterns_of_tags_run_only_where_their_word_is(spark):
     only = {r["i"]: r["tags"] for r in rows.select("i", text.rule_tags("t", {}, [(p, [str(n)]) for n, (p, _) in enumerate(rules.TAG_PATTERNS)]).alias("tags")).collect()}
     assert {k: len(v or []) for k, v in only.items()} == plain
     assert plan_of(rows.select(text.rule_tags("t").alias("tags"))).count("lower(") == 1
+
+
+def test_checkers_read_texts_that_are_parsed_once(spark):
+    """Named in an expression, the parse of an input came again wherever the checker read a number."""
+    plan = plan_of(driver.queries()["verify_unknown_checker"](spark, SF))
+    assert plan.count("parseJson(") == 2
