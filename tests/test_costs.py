@@ -64,3 +64,10 @@ def test_checkers_read_texts_that_are_parsed_once(spark):
     """Named in an expression, the parse of an input came again wherever the checker read a number."""
     plan = plan_of(driver.queries()["verify_unknown_checker"](spark, SF))
     assert plan.count("parseJson(") == 2
+
+
+def test_numbers_of_sums_are_read_once(spark):
+    """A number that the checker of sums named again was read from the JSON value again."""
+    for name in ("verify_all", "verify_unknown_checker"):
+        plan = plan_of(driver.queries()[name](spark, SF))
+        assert [plan.count(f"$.{n}, LongType") for n in ("a", "b", "c", "answer")] == [1, 1, 1, 1]

@@ -59,13 +59,18 @@ def math_sum(a: Column, b: Column, c: Column, answer: Column) -> Column:
     return outcome(ok, F.lit(PROGRAMMATIC_FAILED), message)
 
 
-def _math_checker(row: dict[str, Column]) -> Column:
-    def number(source: Column, path: str) -> Column:
-        return F.try_variant_get(source, path, "bigint")
+def math_numbers(given: Column, parsed: Column) -> dict[str, Column]:
+    """What the checker of sums reads; as columns of a step before (``numbers`` of a checker's row) each is read once."""
+    sources = {"a": given, "b": given, "c": given, "answer": parsed}
+    return {n: F.try_variant_get(source, f"$.{n}", "bigint") for n, source in sources.items()} | {
+        "has_c": F.try_variant_get(given, "$.c", "variant").isNotNull()
+    }
+
 
-    has_c = F.try_variant_get(row["input"], "$.c", "variant").isNotNull()
-    c = number(row["input"], "$.c")
-    checked = math_sum(number(row["input"], "$.a"), number(row["input"], "$.b"), c, number(row["parsed"], "$.answer"))
+def _math_checker(row: dict[str, Column]) -> Column:
+    numbers = row.get("numbers") or math_numbers(row["input"], row["parsed"])
+    has_c, c = numbers["has_c"], numbers["c"]
+    checked = math_sum(numbers["a"], numbers["b"], c, numbers["answer"])
     bad_c = outcome(F.lit(False), F.lit(PROGRAMMATIC_FAILED), F.lit("programmatic_check parse error"))
     return F.when(has_c & c.isNull(), bad_c).otherwise(checked)
 

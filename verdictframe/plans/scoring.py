@@ -163,9 +163,12 @@ def verify_unknown_checker(spark: SparkSession, sf: str) -> DataFrame:
     read = view(spark, sf, "v_math", wide=True).select(
         "*", F.parse_json(F.to_json(F.struct("a", "b", "c"))).alias("input"), scoring.parse("raw_output").alias("parsed")
     )
+    numbers = scoring.math_numbers(F.col("input"), F.col("parsed"))
+    read = read.select("*", *[value.alias(f"number_{n}") for n, value in numbers.items()])
     row = {
         "input": F.col("input"),
         "parsed": F.col("parsed"),
+        "numbers": {n: F.col(f"number_{n}") for n in numbers},
         "expected": F.parse_json(F.lit("null")),
         "config": F.parse_json(F.lit("null")),
         "rules": F.lit(None).cast("array<struct<from:string,to:string>>"),
