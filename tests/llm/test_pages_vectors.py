@@ -225,3 +225,69 @@ def test_scores_of_large_numbers():
         q, c = draw.integers(-most, most, (7, 20)), draw.integers(-most, most, (30, 20))
         c[:, 3] = 0
         assert (topk.scores(q, c).astype(np.int64) == q @ c.T).all()
+
+
+def test_search_sends_no_blocks_through_the_driver(spark):
+    """However many shuffle partitions there are, queries are not copied for each and broadcast."""
+    draw = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, draw.normal(size=16).round(2).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        found = topk.top_k(table, table["vec_id"] % 50 == 0, 5)
+        assert found.count() == 8 * 5
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows) == brute(table.collect(), 5)
+
+
+def test_search_in_many_parts_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART_BYTES", 1500)
+    monkeypatch.setattr(topk, "TASK_WORK", 100)
+    draw = np.random.default_rng(7)
+    rows = [(i, draw.normal(size=9).round(1).tolist()) for i in range(900)] + [(i, [0.5] * 9) for i in range(900, 980)] + [(1000, [900.0, -3.0])]
+    rows += [(i, draw.normal(size=9).round(1).tolist()) for i in range(7)] * 2  # ids 0 to 6 come again, with other vectors, twice
+    parts, groups = topk.shares(20, len(rows), 9, 5, spark.sparkContext.defaultParallelism)
+    assert parts > 2 and groups > 10
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, (table["vec_id"] % 50 == 0) & (table["vec_id"] > 0), 5).collect())
+    assert got == [r for r in brute(rows, 5) if r[0]]
+
+
+def test_best_of_many_blocks_equal_those_of_all(monkeypatch):
+    """Ties go to the smaller id whatever block it comes in; own rows are no candidates; blocks differ in width and kind."""
+    for name, size in (("QUERY_ROWS", 7), ("CANDIDATE_ROWS", 16), ("AT_ONCE", 4)):
+        monkeypatch.setattr(topk, name, size)
+    draw = np.random.default_rng(8)
+    for most in (2, 100, 1 << 20, 1 << 28):
+        pieces = [(draw.integers(0, 60, n), draw.integers(-most, most, (n, width)).astype(kind)) for n, width, kind in ((30, 5, np.int64), (1, 5, np.int32), (9, 3, np.int64), (40, 5, np.int64), (12, 0, np.int8))]
+        asking = [(np.arange(n, n + 10), draw.integers(-most, most, (10, 5))) for n in (50, 0)]
+        for k in (1, 3, 200):
+            blocks = topk.search([(False, *a) for a in asking] + [(True, *p) for p in pieces], k)
+            got = sorted((int(q), int(i), int(s)) for b in blocks for q, i, s in zip(b.names[b.row], b.name, b.score, strict=True))
+            found = []
+            for q, left in ((q, left) for names, matrix in asking for q, left in zip(names, matrix, strict=True)):
+                every = sorted((-int(left[: m.shape[1]] @ right[:5]), int(i)) for ids, m in pieces for i, right in zip(ids, m.astype(np.int64), strict=True) if i != q)
+                found += [(int(q), i, -s) for s, i in every[:k]]
+            assert got == sorted(found)
+    assert not [b for b in topk.search([], 3)]
+
+
+def test_parts_fit_and_copies_are_bounded():
+    for asked, there, width, k in ((0, 0, 1, 5), (1, 10**7, 64, 5), (1026, 51_282, 64, 5), (308_000, 15_400_000, 64, 5), (10**6, 10**6, 768, 100)):
+        parts, groups = topk.shares(asked, there, width, k, 6)
+        assert asked * 4 * width <= parts * topk.PART_BYTES
+        assert there * width <= groups * topk.GROUP_SIZE
+        # queries go to each group, candidates to each part
+        assert asked * groups <= max(2 * there * parts, 4 * 6 * asked + asked * (1 + there * width / topk.GROUP_SIZE))
+    assert topk.shares(40, 2000, 64, 5, 6) == (1, 1)
+
+
+def test_scores_of_sparse_vectors():
+    draw = np.random.default_rng(9)
+    for share in (0.01, 0.1, 0.9):
+        q, c = (draw.integers(-50, 50, (n, 30)) * (draw.random((n, 30)) < share) for n in (11, 200))
+        assert (topk.scores(q, c).astype(np.int64) == q @ c.T).all()
+        assert (topk.scores(q[:, :4], c).astype(np.int64) == q[:, :4] @ c[:, :4].T).all()
